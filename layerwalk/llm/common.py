@@ -50,7 +50,7 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def grouped(batches: Iterable[pa.RecordBatch], keys: list[str], most: int = 1 << 17) -> Iterator[pa.Table]:
+def grouped(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Tables of whole groups out of batches sorted by ``keys``; several small groups come in one table.
 
     Groups must be bounded by the caller (it splits hot keys into blocks), so memory is too.

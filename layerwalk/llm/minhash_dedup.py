@@ -7,9 +7,11 @@
    count. Longer lists are dealt out in blocks, so that a task holds two blocks whatever a list's length.
 3. In a block pair, collisions are counted over the skipped coordinates of the signature. Pairs with at least
    ``MATCHES`` collisions are candidates; a block pair emits a maximum spanning forest of them, never all pairs.
-4. Forest pairs are confirmed on the full shingle sets of both whole texts. Lists with a failed forest pair are
-   searched again, and every remaining candidate pair between different components is confirmed too, so no link that
-   could join two components is left out. Components come from the confirmed links.
+4. Forest pairs are confirmed on the full shingle sets of both whole texts; components come from confirmed links.
+5. Where a forest pair failed, other candidates of its candidate component may still join the parts. The members of
+   such a component meet again in block pairs, with their texts: every candidate pair between different parts is
+   confirmed on full sets inside the task, and one link for each two parts comes out. So no link that could join two
+   components is left out, and no list of pairs grows with the square of a group.
 
 A pair at the threshold is missed with a probability of about 1e-6 (no prefix coordinate in common: 0.25**10) plus
 1e-6 (fewer than MATCHES collisions: 4.8 standard deviations).
@@ -25,10 +27,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textbuf as tb
-from .common import connected_components, drop_stage, group_bounds, grouped, materialize, partitions, table
+from .common import connected_components, group_bounds, grouped, materialize, partitions, table
 
 SIZE, PER_CENT = 5, 75
-PREFIX, WIDTH, BLOCK = 10, 192, 1024
+PREFIX, WIDTH = 10, 192
+#: Rows in a block of a list, and of a candidate component that is searched again.
+BLOCK, MEET = 1024, 256
 #: Mean collisions at the threshold (0.75 and chance agreement of a byte) less 4.8 standard deviations.
 MATCHES = int(WIDTH * (0.75 + 0.25 / 256) - 4.8 * (WIDTH * 0.1875) ** 0.5)
 
@@ -94,38 +98,65 @@ def _forest(got: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.array(x, np.int64) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2
 
 
-def _candidates(batches: Iterator[pa.RecordBatch], every: bool) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) of each block pair: the forest, or with ``every`` all candidates between different components."""
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The candidate forest (a, b) of each block pair."""
     for got in grouped(batches, ["key", "bi", "bj"]):
-        rep, key = np.asarray(got["rep"]), np.asarray(got["key"])
-        comp = np.asarray(got["comp"])
+        rep = np.asarray(got["rep"])
         sig = np.frombuffer(b"".join(got["sig"].to_pylist()), np.uint8).reshape(len(rep), WIDTH)
-        at = group_bounds(key, np.asarray(got["bi"]), np.asarray(got["bj"]))
+        at = group_bounds(*(np.asarray(got[c]) for c in ("key", "bi", "bj")))
         size = np.diff(at)
         a, b = [], []
         two = at[:-1][size == 2]
-        if len(two):  # most lists
-            for lo in range(0, len(two), 1 << 14):
-                x = two[lo : lo + (1 << 14)]
-                ok = (sig[x] == sig[x + 1]).sum(1) >= MATCHES
-                x = x[ok & ((comp[x] != comp[x + 1]) | (not every))]
-                a.append(x)
-                b.append(x + 1)
+        for lo in range(0, len(two), 1 << 14):  # most lists
+            x = two[lo : lo + (1 << 14)]
+            x = x[(sig[x] == sig[x + 1]).sum(1) >= MATCHES]
+            a.append(x)
+            b.append(x + 1)
         for g in np.flatnonzero(size > 2):
-            lo, hi = at[g], at[g + 1]
-            if every and (comp[lo:hi] == comp[lo]).all():
-                continue
-            m = _counts(sig[lo:hi])
+            m = _counts(sig[at[g] : at[g + 1]])
             np.fill_diagonal(m, 0)
-            if every:
-                i, j = np.nonzero(np.triu(m >= MATCHES) & (comp[lo:hi, None] != comp[None, lo:hi]))
-            else:
-                i, j = _forest(m, MATCHES)
-            a.append(i + lo)
-            b.append(j + lo)
+            i, j = _forest(m, MATCHES)
+            a.append(i + at[g])
+            b.append(j + at[g])
+        if a:
+            a, b = rep[np.concatenate(a)], rep[np.concatenate(b)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+
+def _join_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A confirmed link (a, b) for each two parts of a candidate component that have one in this block pair."""
+    for got in grouped(batches, ["part", "bi", "bj"]):
+        rep, comp = np.asarray(got["rep"]), np.asarray(got["comp"])
+        at = group_bounds(*(np.asarray(got[c]) for c in ("part", "bi", "bj")))
+        a, b = [], []
+        for lo, hi in zip(at[:-1], at[1:], strict=True):
+            own = comp[lo:hi]
+            if (own == own[0]).all():
+                continue
+            sig = np.frombuffer(b"".join(got["sig"][lo:hi].to_pylist()), np.uint8).reshape(hi - lo, WIDTH)
+            near = np.triu(_counts(sig) >= MATCHES) & (own[:, None] != own[None])
+            sets: list[np.ndarray] = []
+            for _, _, data, off in tb.runs(got["text"].slice(lo, hi - lo)):
+                h, t = tb.distinct(*tb.shingles(data, off, SIZE))
+                sets += np.split(h, np.searchsorted(t, np.arange(1, len(off) - 1)))
+            size = np.array([len(x) for x in sets])
+            for i in np.flatnonzero(near.any(1)):
+                js = np.flatnonzero(near[i])
+                js = js[(100 * np.minimum(size[js], size[i]) >= PER_CENT * np.maximum(size[js], size[i]))]
+                if not len(js):
+                    continue
+                many = np.concatenate([sets[j] for j in js])
+                spot = np.minimum(np.searchsorted(sets[i], many), size[i] - 1)
+                ends = np.cumsum(size[js])
+                both = np.add.reduceat((sets[i][spot] == many).astype(np.int64), ends - size[js])
+                js = js[100 * both >= PER_CENT * (size[i] + size[js] - both)]
+                a.append(np.full(len(js), i + lo))
+                b.append(js + lo)
         if a:
             a, b = np.concatenate(a), np.concatenate(b)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[a], rep[b])), pa.array(np.maximum(rep[a], rep[b])), pa.array(key[a])], names=["a", "b", "key"])
+            pair = np.stack([np.minimum(comp[a], comp[b]), np.maximum(comp[a], comp[b])], 1)
+            one = np.unique(pair, axis=0, return_index=True)[1]
+            yield pa.RecordBatch.from_arrays([pa.array(rep[a[one]]), pa.array(rep[b[one]])], names=["a", "b"])
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,26 +189,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     posts = posts.withColumn("mine", mine).withColumn("other", other)
     posts = materialize(posts.select("key", F.least("mine", "other").alias("bi"), F.greatest("mine", "other").alias("bj"), "rep", "sig"), "posts")
 
-    def search(posts: DataFrame, every: bool) -> DataFrame:
-        dealt = posts.repartition(partitions(spark), "key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "rep")
-        found = dealt.select("key", "bi", "bj", "rep", "comp", "sig").mapInArrow(lambda it: _candidates(it, every), "a long, b long, key long")
-        return materialize(found, "candidates")
-
-    def confirm(found: DataFrame) -> DataFrame:
-        pairs = found.select("a", "b").distinct()
-        pairs = pairs.join(docs.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-        pairs = pairs.join(docs.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-        return materialize(pairs.select("a", "b", "ta", "tb").mapInArrow(_confirm, "a long, b long, linked boolean").groupBy("a", "b").agg(F.max("linked").alias("linked")), "links")
-
-    forest = search(posts.withColumn("comp", F.col("rep")), False)
-    links = confirm(forest)
-    comps = connected_components(links.filter("linked"), "minhash")
-    failed = forest.join(links.filter("not linked"), ["a", "b"]).select("key").distinct()
-    if not failed.isEmpty():
-        again = posts.join(failed, "key", "left_semi").join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
-        more = confirm(search(again, True))
-        drop_stage(posts)
-        comps = connected_components(links.filter("linked").select("a", "b").union(more.filter("linked").select("a", "b")), "minhash2")
+    dealt = posts.repartition(partitions(spark), "key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "rep")
+    forest = dealt.select("key", "bi", "bj", "rep", "sig").mapInArrow(_candidates, "a long, b long").distinct()
+    forest = materialize(forest, "forest")
+    pairs = forest.join(docs.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
+    pairs = pairs.join(docs.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
+    links = pairs.select("a", "b", "ta", "tb").mapInArrow(_confirm, "a long, b long, linked boolean")
+    links = materialize(links.groupBy("a", "b").agg(F.max("linked").alias("linked")), "confirmed")
+    comps = connected_components(links.filter("linked").select("a", "b"), "minhash")
+    if not links.filter("not linked").isEmpty():
+        more = _missing_links(spark, docs, reps, links, comps)
+        comps = connected_components(links.filter("linked").select("a", "b").union(more), "minhash-joined")
     own = sets.groupBy("doc_id").agg(F.min(F.struct("n_shingles", "s1", "s2")).alias("s")).select("doc_id", "s.*")
     of = reps.select("n_shingles", "s1", "s2", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
     of = of.select("n_shingles", "s1", "s2", F.coalesce("component", "rep").alias("component"))
@@ -186,6 +208,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+def _missing_links(spark: SparkSession, docs: DataFrame, reps: DataFrame, links: DataFrame, comps: DataFrame) -> DataFrame:
+    """Confirmed links between the parts of candidate components in which a forest pair failed and the ends stayed apart."""
+    wide = materialize(connected_components(links.select("a", "b"), "candidate").withColumnRenamed("component", "part"), "parts")
+    both = wide.join(comps, "node", "left").select("node", "part", F.coalesce("component", "node").alias("comp"))
+    split = both.groupBy("part").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("n")).filter("x <> y")
+    both = both.join(split.select("part", F.ceil(F.col("n") / MEET).cast("int").alias("nb")), "part").withColumnRenamed("node", "rep")
+    met = both.join(reps.select("rep", "sig"), "rep").join(docs.select(F.col("doc_id").alias("rep"), "text"), "rep")
+    met = met.withColumn("mine", F.pmod(F.xxhash64("rep"), "nb").cast("int"))
+    met = met.withColumn("other", F.explode(F.expr("if(nb = 1, array(0), filter(sequence(0, nb - 1), j -> j <> mine))")))
+    met = met.select("part", F.least("mine", "other").alias("bi"), F.greatest("mine", "other").alias("bj"), "rep", "comp", "sig", "text")
+    met = met.repartition(partitions(spark), "part", "bi", "bj").sortWithinPartitions("part", "bi", "bj", "rep")
+    return materialize(met.mapInArrow(_join_parts, "a long, b long"), "joined")
+
+
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
