@@ -317,7 +317,7 @@ def op10_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_private(docs, train(docs))
     line = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     base = F.filter("spans", lambda x: x["kind"] != "other")
-    counts = [F.size(F.filter("spans", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in PATTERNS]
+    counts = [F.expr(f"cast(size(filter(spans, x -> x.kind = '{k}')) as bigint) as n_{k}") for k in PATTERNS]
     return found.select("doc_id", *counts, F.sha2(line(base).cast("binary"), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"))
 
 
