@@ -1,0 +1 @@
+"""Multilayer diffusion graphs over short time series, as Spark DataFrames."""

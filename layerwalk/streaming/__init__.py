@@ -1,0 +1 @@
+"""No operator of the library consumes an unbounded input; measurements are read as batches (see ``layerwalk.sources``)."""
