@@ -548,7 +548,7 @@ def _(s, d):
 
 
 @query("cluster_composition", """SELECT layer AS graph, cluster, count(*) AS n, round(100.0::DOUBLE * count(*) / sum(count(*)) OVER (PARTITION BY layer), 6) + 0.0 AS percent, count(*) FILTER (WHERE length(x) = 2 AND x LIKE 'e%') AS n_basis,
-  count(*) FILTER (WHERE upper(x) LIKE '%RNA%') AS n_rna, count(*) FILTER (WHERE regexp_matches(upper(x), '_K[0-9]+ME[0-9]+$')) AS n_histone FROM (SELECT layer, node || '_' || layer AS x, (length(node) % 3)::INT AS cluster FROM (SELECT DISTINCT layer, node FROM f)) GROUP BY ALL""")
+  count(*) FILTER (WHERE upper(x) LIKE '%RNA%') AS n_rna, count(*) FILTER (WHERE regexp_matches(upper(x), '_K[0-9]+ME[0-9]+$')) AS n_histone FROM (SELECT layer, node || '_' || layer AS x, (length(node) % 3)::INT AS cluster FROM (SELECT DISTINCT layer, node FROM f)) GROUP BY layer, cluster""")
 def _(s, d):
     n = measurements(s, d).select("layer", "node").distinct().select(F.col("layer").alias("graph"), F.concat_ws("_", "node", "layer").alias("node"), (F.length("node") % 3).cast("int").alias("cluster"))
     return clusters.composition(n).select("graph", "cluster", "n", *_r("percent"), "n_basis", "n_rna", "n_histone")

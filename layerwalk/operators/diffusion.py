@@ -51,7 +51,7 @@ def series(edges: DataFrame, start: str, r: float, steps: int, backward: bool =
     Converges when row sums are at most 1: the error is at most r^(steps + 1) / (1 - r).
     """
     a, b = ("dst", "src") if backward else ("src", "dst")
-    e = edges.select(F.col(a).alias("node"), F.col(b).alias("to"), "w")
+    e = materialize(edges.select(F.col(a).alias("node"), F.col(b).alias("to"), "w"), "edges")
     spark = edges.sparkSession
     now = spark.createDataFrame([(start, 1.0)], "node string, x double")
     total = now

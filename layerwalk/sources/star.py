@@ -6,10 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.layers import fill_times
+from ..plans.stages import materialize
 
 
 def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(layer, node, t, value): summed quantity of 1995-1999 by flag and brand; with the type after ``*`` but for R."""
+    """(layer, node, t, value): summed quantity of 1995-1999 by flag and brand; with the type after ``*`` but for R.
+
+    Written once: the graphs read it several times, and the line items only here.
+    """
     item = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_partkey", "l_returnflag", "l_quantity", F.year("l_shipdate").alias("y"))
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_brand", "p_type")
     item = item.filter("y between 1995 and 1999").join(part, F.col("p_partkey") == F.col("l_partkey"))
@@ -17,4 +21,4 @@ def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
     layer = F.when(flag == "R", "rna_ai").when(flag == "A", "k9me2").otherwise("k20me3")
     node = F.when(flag == "R", F.col("p_brand")).otherwise(F.concat_ws("*", "p_brand", "p_type"))
     m = item.groupBy(layer.alias("layer"), node.alias("node"), (F.col("y") - 1995).alias("t")).agg(F.sum("l_quantity").alias("value"))
-    return fill_times(m)
+    return fill_times(materialize(m, "measurements"))
