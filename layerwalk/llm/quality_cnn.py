@@ -164,7 +164,8 @@ def train(docs: DataFrame, labels: DataFrame, mod: int = 5, rest: int = 0) -> Ne
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net.params())], pa.binary())], names=["net"])
 
     # one task fits the bounded sample, so that a lost executor only repeats it
-    return Net(*pickle.loads(rows.repartition(1).mapInArrow(run, "net binary").first().net))
+    got = rows.repartition(1).mapInArrow(run, "net binary").first()
+    return Net(*pickle.loads(got.net)) if got else fit([], np.zeros(0))
 
 
 def score_texts(docs: DataFrame, net: Net) -> DataFrame:

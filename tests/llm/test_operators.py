@@ -1,0 +1,432 @@
+"""Each operator against brute force and on nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
+
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from layerwalk.llm import bloom_lm, chat_format, decontaminate, embedding_dedup, html_text, line_dedup, minhash_dedup, pii_crf, quality_cnn, sentencepiece_fst
+from layerwalk.llm import textbuf as tb
+from layerwalk.llm.common import connected_components
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+LONG = " ".join(f"word{i * 7919 % 5003}" for i in range(40_000))
+
+
+def docs(spark, texts, ids=None):
+    ids = ids if ids is not None else range(1, len(texts) + 1)
+    return spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in zip(ids, texts)], DOCS)
+
+
+def passage(seed, n=60):
+    rng = np.random.default_rng(seed)
+    return " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))
+
+
+def lower(t):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+
+
+def words(t):
+    return re.findall(r"[^\x20\x09-\x0D]+", lower(t))
+
+
+def shingles(t):
+    w = words(t)
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+
+
+def roots(ids, links):
+    up = {i: i for i in ids}
+
+    def find(a):
+        while up[a] != a:
+            a = up[a]
+        return a
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        up[max(a, b)] = min(a, b)
+    return {i: find(i) for i in ids}
+
+
+def rows(df, key):
+    return {r[key]: r for r in df.collect()}
+
+
+# -- common ----------------------------------------------------------------------------------------------------------
+
+
+def test_components_of_paths_and_hubs(spark):
+    path = [(i, i + 1) for i in range(30)]
+    hub = [(1000, 1000 + i) for i in range(1, 200)]
+    edges = spark.createDataFrame([*path, *hub, (5, 5), (None, 3), (7, 6), (7, 6)], "a long, b long")
+    got = {r.node: r.component for r in connected_components(edges, "t").collect()}
+    assert got == {i: 0 for i in range(31)} | {i: 1000 for i in range(1000, 1200)}
+    assert connected_components(edges.limit(0), "t").count() == 0
+
+
+def test_word_spans_and_hashes():
+    import pyarrow as pa
+
+    texts = ["", None, "A b", " a\tB\x0b\x0c\r\n c ", "é à", "a", LONG, "a b c d e", "A B C D E f"]
+    data, off = tb.buffers(pa.array(texts))
+    s, e, t = tb.words(data, off)
+    assert [(int(k), bytes(data[i:j]).decode().lower()) for i, j, k in zip(s, e, t)] == [(k, w) for k, x in enumerate(texts) for w in words(x)]
+    h = tb.span_hashes(data, s, e)
+    of = {}
+    for x, w in zip(h, [w for x in texts for w in words(x)]):
+        assert of.setdefault(w, x) == x
+    assert len(set(of.values())) == len(of)
+    hs, ht = tb.distinct(*tb.shingles(data, off))
+    assert np.bincount(ht, minlength=len(texts)).tolist() == [len(shingles(x)) for x in texts]
+
+
+# -- 1 ---------------------------------------------------------------------------------------------------------------
+
+
+def test_embeddings_against_brute_force(spark):
+    rng = np.random.default_rng(0)
+    x = rng.standard_normal((300, 16))
+    for i in range(60):  # near copies at several distances, and exact ones
+        x[200 + i] = x[i % 20] + rng.standard_normal(16) * (0.0, 0.05, 0.14, 0.2)[i % 4]
+    v = [(i, [float(np.float32(a)) for a in r], i % 2 if i < 200 else (i - 200) % 20 % 2) for i, r in enumerate(x)]
+    v += [(900, None, 0), (901, [0.0] * 16, 0), (902, [float("nan")] * 16, 0), (903, [None] * 16, 0), (904, v[0][1], None), (905, [1.0], 0), (906, [], 0), (907, v[3][1], 1), (907, v[3][1], 1), (None, v[0][1], 0)]
+    df = spark.createDataFrame([(*r, "x") for r in v], "vec_id long, embedding array<float>, label int, rep string")
+    got = rows(embedding_dedup.link_embeddings(df), "vec_id")
+    ok = {r[0]: r for r in v if r[0] is not None and r[2] is not None and r[1] and len(r[1]) == 16 and None not in r[1] and all(map(math.isfinite, r[1])) and any(r[1])}
+    unit = {i: np.array(r[1]) / np.linalg.norm(r[1]) for i, r in ok.items()}
+    links = [(a, b) for a in ok for b in ok if a < b and ok[a][2] == ok[b][2] and unit[a] @ unit[b] >= 0.98]
+    deg, root = Counter(i for p in links for i in p), roots({r[0] for r in v if r[0] is not None}, links)
+    assert len(got) == len(root) and len(links) > 20
+    for i, r in got.items():
+        assert (r.n_links, r.component_id, r.kept) == (deg[i], root[i], root[i] == i), i
+    assert embedding_dedup.link_embeddings(df.limit(0)).count() == 0
+
+
+def test_multi_index_traversal_is_ordered_and_stops():
+    x, _ = embedding_dedup.unit(np.random.default_rng(1).standard_normal((200, 8)))
+    m = embedding_dedup.MultiIndex(x, 6, 0.98, 0.999)
+    (_, gu), (_, gw) = m.bounds(x)
+    for r in range(20):
+        seen = {(i, int(j)) for i, js in m.traverse(gu[r], gw[r]) for j in js}
+        assert seen == {(i, j) for i in range(6) for j in range(6) if gu[r, i] + gw[r, j] <= m.stop}
+
+
+# -- 2 ---------------------------------------------------------------------------------------------------------------
+
+
+def test_quality_learns_and_scores_every_text(spark):
+    rng = np.random.default_rng(0)
+    good = [" ".join(rng.choice(["the", "stone", "river", "walks", "over", "green"], 60)) + "." for _ in range(60)]
+    bad = [" ".join(w + "!!" for w in rng.choice(["BUY", "NOW", "CASH"], 60)) for _ in range(60)]
+    texts = [*good, *bad, None, "", LONG, "é"]
+    d = docs(spark, texts).withColumn("score", __import__("pyspark.sql.functions", fromlist=["lit"]).lit("old"))
+    labels = spark.createDataFrame([(i + 1, int(i < 60), 0) for i in range(120)] + [(None, 1, 0), (3, None, 0), (1, 1, 0)], "doc_id long, quality int, toxic int")
+    net = quality_cnn.train(d, labels)
+    got = rows(quality_cnn.score_texts(d, net), "doc_id")
+    assert len(got) == len(texts) and all(0 <= r.score <= 1 for r in got.values())
+    held = [i for i in range(1, 121) if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert sum((got[i].score >= 0.3) == (i <= 60) for i in held) >= 0.9 * len(held)
+    assert got[121].score == got[122].score
+    assert quality_cnn.score_texts(d.limit(0), net).count() == 0
+    one = quality_cnn.train(d, labels.limit(0))
+    assert len({r.score for r in quality_cnn.score_texts(d, one).collect()}) == 1
+
+
+def test_chunks_cover_every_byte():
+    for n in (0, 1, 511, 512, 513, 1020, 1021, 5000):
+        data = np.arange(n) % 251
+        c = quality_cnn.chunk_codes(data.astype(np.uint8))
+        assert c.shape[1] == quality_cnn.CHUNK
+        assert n < 512 or (c[0][:4] == data[:4]).all() and (c[-1][-4:] == data[-4:]).all()
+        assert len(c) == (1 if n <= 512 else -(-(n - 512) // quality_cnn.HOP) + 1)
+
+
+# -- 3 ---------------------------------------------------------------------------------------------------------------
+
+
+def brute_lines(texts):
+    key = lambda s: lower(s.strip(" \t\n\v\f\r"))
+    by = {}
+    for i, t in texts.items():
+        for s in (t or "").split("\n"):
+            if len(key(s)) >= 40:
+                by.setdefault(key(s), set()).add(i)
+    gone = {k: max(v) for k, v in by.items() if len(v) >= 5}
+    out = {}
+    for i, t in texts.items():
+        ls = (t or "").split("\n")
+        kept = [s for s in ls if key(s) not in gone or gone[key(s)] == i]
+        out[i] = (len(ls), len(ls) - len(kept), "\n".join(kept))
+    return out
+
+
+def test_lines_against_brute_force(spark):
+    a, b, c = passage(1, 8), "É" * 40, "x" * 39
+    texts = [f"{a}\n{i}\n{b}" for i in range(6)] + [f"  {a.upper()}\t\nown {i}\n{c}" for i in range(6)] + [None, "", "\n", "\n\n" + a, a + "\r", f"{a}\n{a}\nz", LONG + "\n" + b]
+    d = docs(spark, texts)
+    want = brute_lines(dict(enumerate(texts, 1)))
+    got = rows(line_dedup.drop_lines(d.withColumn("n_lines", d.doc_id)), "doc_id")
+    assert {i: (r.n_lines, r.n_dropped, r.text or "") for i, r in got.items()} == want
+    assert got[13].text is None and line_dedup.drop_lines(d.limit(0)).count() == 0
+    twice = line_dedup.drop_lines(d.union(d)).collect()
+    assert sorted((r.doc_id, r.n_dropped) for r in twice) == sorted((i, w[1]) for i, w in want.items() for _ in (0, 1))
+
+
+def test_perfect_hash_places_every_key_once():
+    for n in (1, 2, 5, 3000):
+        h1, h2 = tb.numbers(20, n), tb.numbers(21, n)
+        h1, h2, at = np.append(h1, h1[:1]), np.append(h2, h2[:1] ^ np.uint64(1)), np.arange(n + 1)
+        s = line_dedup.Shard(line_dedup.build_shard(h1, h2, at, at + 5))
+        place = s.probe(h1, h2)
+        assert sorted(place) == list(range(n + 1)) and (s.count[place] == at).all() and (s.keeper[place] == at + 5).all()
+        assert (s.probe(tb.numbers(22, n), tb.numbers(23, n)) < 0).all()
+
+
+# -- 4 ---------------------------------------------------------------------------------------------------------------
+
+PARA = "<p>" + "The river ran past the old mill and on to the sea, and nobody minded it. " * 4
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (None, ""), ("", ""), ("<html><body></body></html>", ""), ("plain words", "plain words"), ("<p>a&amp;b &lt;i&gt; x<b>y</b>z", "a&b <i> xyz"), ("<p>1 < 2<p>ok", "1 < 2 ok"), ("a<!-- x > y -->b<script>if (a<b) c()</script>", "ab"),
+        (f"<html><head><title>T</title></head><body><nav><ul><li><a href=1>Home</a></ul></nav><div class='sidebar'><a>x</a> more</div><article><h1>Head</h1>{PARA}</p>{PARA}</article><div class=ad>Buy this now!</div><footer>&copy; us</footer>", "HEAD"),
+        (f"<body><div id=menu><a>One</a><a>Two</a></div><div><div>{PARA}{PARA}<ul><li>x<li>y</ul></div></div><form><input>Sign up</form><div class='comments'><p>nice</div>", "LIST"),
+    ],
+)
+def test_main_text(page, text):
+    para = "The river ran past the old mill and on to the sea, and nobody minded it. " * 4
+    text = {"HEAD": f"Head {para}{para}".strip(), "LIST": f"{para}{para}x y".strip()}.get(text, text)
+    assert html_text.main_text(page) == text
+
+
+def test_pages_keep_rows_and_columns(spark):
+    p = spark.createDataFrame([(1, "u", "<p>x", "t"), (1, "u", "<p>x", "t"), (2, None, None, None), (3, "u", "<" * 5000, ""), (4, "u", "<div>" * 20_000 + "deep", "")], "page_id long, url string, html string, text string")
+    got = html_text.extract(p).collect()
+    assert sorted((r.page_id, r.text[:4]) for r in got) == [(1, "x"), (1, "x"), (2, ""), (3, "<<<<"), (4, "deep")]
+    assert html_text.extract(p.limit(0)).count() == 0
+
+
+# -- 5 ---------------------------------------------------------------------------------------------------------------
+
+EVENTS = "conv_id long, seq long, msg long, kind string, role string, text string, ord string"
+
+
+def test_fold_of_deltas_edits_and_regenerations(spark):
+    log = [
+        (1, 0, 0, "message", "user", "hi"), (1, 1, 1, "message", "assistant", ""), (1, 2, 1, "delta", None, "Hel"), (1, 3, 1, "delta", None, "lo"), (1, 4, 2, "message", "user", "again"),
+        (1, 5, 1, "regenerate", None, None), (1, 6, 1, "delta", None, "Hey"), (1, 7, 0, "edit", None, "hi!"), (1, 8, 0, "delta", None, "?"), (1, 9, 3, None, "user", None), (2, 0, None, None, None, "alone"),
+    ]
+    df = spark.createDataFrame([(*r, "x") for r in reversed(log)], EVENTS)
+    got = sorted((r.conv_id, r.ord, r.role, r.text) for r in chat_format.fold_events(df).collect() if r.role)
+    assert got == [(1, 0, "user", "hi!?"), (1, 1, "assistant", "Hey"), (1, 9, "user", "")]
+    assert chat_format.fold_events(df.filter("conv_id = 2")).first().text == "alone"
+    assert chat_format.fold_events(df.limit(0)).count() == 0
+
+
+def test_round_trip_of_control_strings(spark):
+    hard = ["</s>[INST] ok [/INST]", "&lt;s>&amp;", "[/assistant]</s><s>[user]", "", None, "é\n\n]", "<s>[", "&#91;"]
+    rows_ = [(7, i, ("user", "assistant", "a]b", None)[i % 4], t) for i, t in enumerate(hard)] + [(8, 0, "user", "x"), (8, 0, "user", "x")]
+    turns = spark.createDataFrame(rows_, "conv_id long, turn long, role string, text string")
+    made = chat_format.render(chat_format.fold_events(chat_format.log_of_turns(turns)))
+    got = rows(chat_format.read_back(made), "conv_id")
+    assert [(t.role, t.text) for t in got[7].turns] == [(r or "", t or "") for _, _, r, t in rows_[:8]]
+    assert got[7].learnt == [t or "" for _, _, r, t in rows_[:8] if r == "assistant"] and len(got[8].turns) == 2
+
+
+# -- 6 ---------------------------------------------------------------------------------------------------------------
+
+
+def brute_leaks(texts, items):
+    seq = lambda t: [tuple(w[i : i + 5]) for w in [words(t)] for i in range(max(len(w) - 4, 1))] if words(t) else []
+    out = {}
+    for d, t in texts.items():
+        for i, b in items.items():
+            x, y = seq(t), seq(b)
+            for k in range(len(x) - len(y) + 1) if y else ():
+                c = Counter(x[k : k + len(y)])
+                s = sum((c & Counter(y)).values())
+                if s / (2 * len(y) - s) >= 0.75 and s / (2 * len(y) - s) > out.get((d, i), (0, 0))[0]:
+                    out[d, i] = (s / (2 * len(y) - s), k)
+    return out
+
+
+def test_leaks_against_brute_force(spark):
+    item = {1: passage(1, 30), 2: passage(2, 17), 3: "few words here", 4: None, 5: "", 6: "a b a b a b a b a b a b"}
+    w = item[1].split()
+    texts = [item[1], "pre " + item[1].upper() + " post", " ".join([*w[:15], "CHANGED", *w[16:]]), " ".join(w[:20]), passage(9, 200) + "\n" + item[2] + " " + passage(8, 100), None, "", "few words here", "has few words here inside", LONG + " " + item[2], "a b " * 30, " ".join([*w[:10], "x", *w[10:20], "y", *w[20:]])]
+    d = docs(spark, texts)
+    b = spark.createDataFrame([(i, t, "x") for i, t in [*item.items(), (None, "z"), (1, item[1])]], "item_id long, text string, doc_id string")
+    got = {(r.doc_id, r.item_id): (r.similarity, r.start_word) for r in decontaminate.find_leaks(d, b).collect()}
+    assert got == brute_leaks(dict(enumerate(texts, 1)), item) and len(got) >= 6
+    assert {r.doc_id for r in decontaminate.drop_leaks(d, b).collect()} == set(range(1, 13)) - {k for k, _ in got}
+    assert decontaminate.find_leaks(d.limit(0), b).count() == 0 and decontaminate.find_leaks(d, b.limit(0)).count() == 0
+
+
+def test_blocks_find_every_fingerprint_within_the_radius():
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 1 << 16, (40, 8), dtype=np.uint16)
+    bits = np.unpackbits(a.view(np.uint8), axis=1)
+    for i in range(40):
+        bits[i, rng.choice(128, decontaminate.RADIUS, replace=False)] ^= 1
+    b = np.packbits(bits, axis=1).view(np.uint16)
+    w, i = decontaminate.near(a, b)
+    assert {(k, k) for k in range(40)} <= set(zip(w.tolist(), i.tolist()))
+
+
+# -- 7 ---------------------------------------------------------------------------------------------------------------
+
+
+def test_near_duplicates_against_brute_force(spark):
+    rng = np.random.default_rng(4)
+    texts = [None, "", " \n", "a b", "A  b", "a b c", LONG, LONG + " tail", passage(50), passage(50).upper()]
+    for f in range(6):  # families of edits of edits, on both sides of the threshold
+        w = passage(100 + f, 120).split()
+        for _ in range(25):
+            w = list(w)
+            for k in rng.integers(0, len(w), (1, 2, 4)[f % 3]):
+                w[k] = f"n{rng.integers(10**6)}"
+            texts.append(" ".join(w))
+    texts += [texts[-1]] * 3
+    got = rows(minhash_dedup.near_duplicates(docs(spark, texts).withColumnRenamed("lang", "component_id")), "doc_id")
+    s = {i: shingles(t) for i, t in enumerate(texts, 1)}
+    links = [(a, b) for a in s for b in s if a < b and s[a] and s[b] and 100 * len(s[a] & s[b]) >= 75 * len(s[a] | s[b])]
+    root = roots(s, links)
+    assert {i: (r.n_shingles, r.component_id, r.kept) for i, r in got.items()} == {i: (len(s[i]), root[i], root[i] == i) for i in s}
+    assert minhash_dedup.near_duplicates(docs(spark, texts).limit(0)).count() == 0
+    d = docs(spark, texts[8:12])
+    assert minhash_dedup.near_duplicates(d.union(d)).count() == 4
+
+
+def test_forest_spans_every_candidate_component():
+    sig = np.random.default_rng(5).integers(0, 3, (60, minhash_dedup.WIDTH), dtype=np.uint8)
+    got = minhash_dedup._counts(sig)
+    assert (got == (sig[:, None] == sig[None]).sum(2)).all()
+    np.fill_diagonal(got, 0)
+    least = int(np.quantile(got, 0.97))
+    i, j = minhash_dedup._forest(got, least)
+    pairs = list(zip(*np.nonzero(got >= least)))
+    assert all(got[a, b] >= least for a, b in zip(i, j)) and roots(range(60), zip(i, j)) == roots(range(60), pairs)
+
+
+# -- 8 ---------------------------------------------------------------------------------------------------------------
+
+
+def test_scores_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(bloom_lm, "FREQUENT", 20)  # most words take the way of rare ones
+    rng = np.random.default_rng(6)
+    texts = [" ".join(rng.choice(["a", "B", "c", *[f"w{i}" for i in range(300)]], rng.integers(1, 80))) for _ in range(150)] + [None, "", " ", LONG, "unseen words only"]
+    d = docs(spark, texts)
+    model = bloom_lm.train(d)
+    got = rows(bloom_lm.score_texts(d, model), "doc_id")
+    tok = {i: [*words(t), None] for i, t in enumerate(texts, 1)}
+    out = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in tok}
+    c = Counter(w for i in tok if not out[i] for w in tok[i])
+    n, v = sum(c.values()), len(c)
+    for i, w in tok.items():
+        r = got[i]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (out[i], len(w), sum(c[x] > 0 for x in w), n)
+        assert math.isclose(r.base_score, sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w), rel_tol=1e-9)
+        assert r.score < 0
+    assert bloom_lm.score_texts(d.limit(0), model).count() == 0
+    none = bloom_lm.train(d.limit(0))
+    assert all(r.n_known == 0 and r.train_tokens == 0 for r in bloom_lm.score_texts(d, none).collect())
+    assert bloom_lm.score_texts(d.union(d), model).count() == 2 * len(texts)
+
+
+def test_filter_has_no_false_negatives_and_few_false_positives():
+    n = 20_000
+    low, counts = (tb.numbers(30, n) >> np.uint64(32)).astype(np.uint32), np.random.default_rng(7).geometric(0.3, n)
+    width = bloom_lm.BITS * n // 8
+    bloom = bloom_lm.LogBloom(np.frombuffer(bloom_lm.fill(width, low, counts), np.uint8), 1)
+    got = bloom.levels(np.zeros(n, int), low)
+    assert (got >= bloom_lm.level(counts)).all() and (got == bloom_lm.level(counts)).mean() > 0.9
+    other = (tb.numbers(31, n) >> np.uint64(32)).astype(np.uint32)
+    assert (bloom.levels(np.zeros(n, int), other) > 0).mean() < 0.1
+
+
+# -- 9 ---------------------------------------------------------------------------------------------------------------
+
+
+def test_pieces_equal_the_library(spark):
+    sp = __import__("sentencepiece").SentencePieceProcessor(model_file=sentencepiece_fst.default_model())
+    rng = np.random.default_rng(8)
+    texts = ["", " ", "  a  b ", "a\tb\nc", "ﬁ ①", "<s> hi </s>", "▁x", "日本語", "👍🏽", " " * 40 + "x", "a" * 500, "\x00", "don't stop-me", LONG[:20_000]]
+    texts += ["".join(rng.choice(list("abcdehtilnorsEÉ▁ñ.,!?0-\n  "), rng.integers(1, 80))) for _ in range(300)]
+    d = docs(spark, [*texts, None]).withColumnRenamed("lang", "decoded")
+    got = rows(sentencepiece_fst.encode_texts(d), "doc_id")
+    for i, t in enumerate(texts, 1):
+        assert got[i].piece_ids == sp.encode(t), t
+        assert got[i].decoded == sp.decode(sp.encode(t)) == t.replace("▁", " ")
+    assert got[len(texts) + 1].piece_ids == [] and sentencepiece_fst.encode_texts(d.limit(0)).count() == 0
+    one = sentencepiece_fst.digest(d.filter("doc_id = 8")).first()
+    assert one.round_trip and one.ids_sha256 == hashlib.sha256(",".join(map(str, sp.encode(texts[7]))).encode()).hexdigest()
+
+
+def test_unigram_takes_the_shortest_path():
+    f = sentencepiece_fst.compiled(sentencepiece_fst._read(sentencepiece_fst.default_model()))
+    plain = object.__new__(sentencepiece_fst.Transducer)
+    plain.__dict__ = dict(f.__dict__, bpe=False, id={p: i for i, p in enumerate(["a", "b", "ab", "abc", "c"])}, scores=[-1.0, -1.0, -1.5, -4.0, -1.0], longest=3)
+    assert plain._path("abc") == ["ab", "c"] and plain._path("axb") == ["a", "x", "b"]
+
+
+# -- 10 --------------------------------------------------------------------------------------------------------------
+
+
+def brute_pii(t):
+    out = []
+    for kind, p in pii_crf.PATTERNS.items():
+        for m in p.finditer(t or ""):
+            d = re.sub("[^0-9]", "", m[0])
+            if kind == "ip" and any(int(x) > 255 for x in m[0].split(".")):
+                continue
+            if kind == "card" and not (16 <= len(d) <= 19 and sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0):
+                continue
+            if kind == "phone" and not 8 <= len(d) <= 15:
+                continue
+            out.append((kind, *m.span()))
+    return out
+
+
+def test_private_data_against_brute_force(spark):
+    texts = [
+        None, "", "no data", "é a.b@c.de, x@y, @a.b ..q@r.s.t@u.v", "ip 1.2.3.4 999.1.1.1 1.2.3.4.5.6.7.8 00000001.2.3.4", "card 4041894974608795 4041-8949 7460 8795 4041894974608796 1 2 3", "call +1 (988) 555-2485 now, +49 30 1234 5678 9012 345",
+        "+1 (269) 555-3296 4524132264652876 then +1 (269) 555-3296", LONG + " a@b.cd", "%@-.-" * 50, "1" * 3000, "a@b" * 400, "٣٤ 1٣",
+    ]
+    d = docs(spark, [*texts, texts[3]])
+    model = pii_crf.fit([t for t in texts if t] * 20)
+    got = sorted((r.doc_id, [tuple(s) for s in r.spans]) for r in pii_crf.find_private(d.withColumnRenamed("lang", "spans"), model).collect())
+    assert len(got) == len(texts) + 1
+    for (_, spans), t in zip(got, [*texts, texts[3]]):
+        assert [s for s in spans if s[0] != "other"] == brute_pii(t)
+        for kind, s, e in spans:
+            assert s < e <= len(t) and (kind != "other" or not any(a < e and s < b for k, a, b in spans if k != "other"))
+    assert pii_crf.find_private(d.limit(0), model).count() == 0
+    assert pii_crf.train(d.limit(0))["w"][0] < 0
+
+
+def test_skip_edges_pull_repeated_tokens_together():
+    emit = np.zeros((5, 2))
+    emit[0] = (-4.0, 4.0)
+    skip = np.array([[0.7, -0.7], [-0.7, 0.7]])
+    with_edge, without = (pii_crf.beliefs(emit, np.zeros((2, 2)), e, skip) for e in ([(0, 4)], []))
+    assert with_edge[4] > 0.7 and abs(without[4] - 0.5) < 1e-9
+    # on a chain without skip edges the beliefs are the exact marginals
+    rng = np.random.default_rng(9)
+    emit, chain = rng.standard_normal((4, 2)), rng.standard_normal((2, 2))
+    import itertools
+
+    p = np.zeros(4)
+    z = 0.0
+    for y in itertools.product((0, 1), repeat=4):
+        w = math.exp(sum(emit[i, v] for i, v in enumerate(y)) + sum(chain[a, b] for a, b in zip(y, y[1:])))
+        z += w
+        p += w * np.array(y)
+    assert np.allclose(pii_crf.beliefs(emit, chain, [], skip), p / z)
