@@ -458,6 +458,57 @@ def _(s, d):
     return out.select("gene", *_r("score", "score_weighted", "histone_time", "rna_time"), "n_nodes")
 
 
+@query("pagerank_distributed", "SELECT node, round(x, 6) + 0.0 AS score FROM pr WHERE i = 4", multi=True, recursive=True,
+       more=f"""{_NODES}, nc AS (SELECT count(*) AS c FROM nn), pm AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS p FROM ga),
+pr AS (SELECT 0 AS i, node, 1.0::DOUBLE / c AS x FROM nn, nc UNION ALL
+  SELECT i, node, 0.85 * sum(x) + 0.15 / max(c) FROM (
+    SELECT pr.i + 1 AS i, pm.dst AS node, pr.x * pm.p AS x FROM pr JOIN pm ON pm.src = pr.node WHERE pr.i < 4
+    UNION ALL SELECT pr.i + 1, nn.node, CASE WHEN pr.node IN (SELECT src FROM pm) THEN 0 ELSE pr.x / c END FROM pr, nn, nc WHERE pr.i < 4), nc GROUP BY i, node)""")
+def _(s, d):
+    return diffusion.pagerank(_multi(s, d), iterations=4, tol=0.0, strategy="distributed").select("node", *_r("score"))
+
+
+@query("eigenvector_distributed", "SELECT node, round(x / sqrt(sum(x * x) OVER ()), 6) + 0.0 AS score FROM ev WHERE i = 3", multi=True, recursive=True,
+       more=f"""{_NODES}, ev AS (SELECT 0 AS i, node, 1.0::DOUBLE AS x FROM nn UNION ALL
+  SELECT i, node, sum(x) FROM (SELECT i + 1 AS i, node, x FROM ev WHERE i < 3 UNION ALL SELECT ev.i + 1, ga.dst, ev.x * ga.w FROM ev JOIN ga ON ga.src = ev.node WHERE i < 3) GROUP BY i, node)""")
+def _(s, d):
+    return diffusion.eigenvector(_multi(s, d), iterations=3, tol=0.0, strategy="distributed").select("node", *_r("score"))
+
+
+@query("start_to_end_distributed", """SELECT nn.node, round(coalesce(h.x, 0) * coalesce(f.x, 0) / (SELECT sum(x) FROM bw WHERE node = 'e3'), 6) + 0.0 AS score FROM nn
+LEFT JOIN (SELECT node, sum(x) AS x FROM fw GROUP BY node) f ON f.node = nn.node LEFT JOIN (SELECT node, sum(x) AS x FROM bw GROUP BY node) h ON h.node = nn.node WHERE nn.node <> 'e5'""", multi=True, recursive=True,
+       more=f"""{_NODES}, inn AS (SELECT * FROM ga WHERE src <> 'e5' AND dst <> 'e5'), out5 AS (SELECT * FROM ga WHERE src <> 'e5'),
+fw AS ({_SERIES.format(start='e3', to='a.dst', name='fw', edges='inn', by='src').replace('< 80', '< 4')}), bw AS ({_SERIES.format(start='e5', to='a.src', name='bw', edges='out5', by='dst').replace('< 80', '< 4')})""")
+def _(s, d):
+    return diffusion.start_to_end(_multi(s, d), "e3", "e5", strategy="distributed", steps=4).select("node", *_r("score"))
+
+
+@query("scores_on_positions", "SELECT node || '_' || layer AS node, round(max(v), 6) + 0.0 AS score FROM f WHERE layer = 'rna_ai' GROUP BY node, layer")
+def _(s, d):
+    m = measurements(s, d)
+    sc = m.filter("layer = 'rna_ai'").select("node", F.col("value").alias("score"))
+    return genes.scores_on_positions(sc, m.select(F.concat_ws("_", "node", "layer").alias("node")).distinct(), "rna_ai").select("node", *_r("score"))
+
+
+_NET = """sc AS (SELECT src AS node, sum(w) / 1000 AS k FROM e WHERE layer = 'k9me2' GROUP BY src ORDER BY round(sum(w) / 1000, 9) DESC, src LIMIT 20),
+ne AS (SELECT src AS a, dst AS b, w FROM e WHERE layer = 'k9me2' AND src < dst AND src IN (SELECT node FROM sc) AND dst IN (SELECT node FROM sc))"""
+
+
+@query("centrality_network_nodes", "SELECT node, round((k - min(k) OVER ()) / (max(k) OVER () - min(k) OVER ()), 6) + 0.0 AS scaled, round(500 + 2200 * (k - min(k) OVER ()) / (max(k) OVER () - min(k) OVER ()), 6) + 0.0 AS size FROM sc", more=_NET)
+def _(s, d):
+    return _network(s, d)[0].select("node", *_r("scaled", "size"))
+
+
+@query("centrality_network_edges", "SELECT a, b, round(w, 6) + 0.0 AS w, round(0.6 + 3 * (w - min(w) OVER ()) / (max(w) OVER () - min(w) OVER ()), 6) + 0.0 AS width FROM ne", more=_NET)
+def _(s, d):
+    return _network(s, d)[1].select("a", "b", *_r("w", "width"))
+
+
+def _network(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    e = _graph(s, d).edges.filter("layer = 'k9me2'")
+    return plotdata.centrality_network(e.groupBy(F.col("src").alias("node")).agg((F.sum("w") / 1000).alias("score")), layers.strongest_undirected(e))
+
+
 # -- genes -----------------------------------------------------------------------------------------------------------
 
 
@@ -682,6 +733,19 @@ def _(s, d):
     return precision.lasso_graphs(measurements(s, d), 0.2, max_iter=60).edges
 
 
+@query("spd_shadow_multigraph")
+def _(s, d):
+    m = measurements(s, d)
+    return multilayer.build(m, precision.lasso_graphs(m, 0.2, max_iter=60), "shadow", 0.5)
+
+
+@query("walks_thinned")
+def _(s, d):
+    w = walks.walks_to_set(_multi(s, d, "shadow"), "Brand#11*STANDARD_k9me2", "rna", 300)
+    ends = w.groupBy("end_node").agg(F.count(F.lit(1)).alias("n"))
+    return walks.sample_walks(walks.thin_walks(w, ends), 20).select("simulation", "steps", "end_node")
+
+
 @query("spd_spectrum")
 def _(s, d):
     return precision.spectrum(_graph(s, d))

@@ -7,12 +7,41 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import node_type
 
 
+def from_matrix(spark: SparkSession, matrix: object, names: list[str] | None = None, graph: str = "g") -> DataFrame:
+    """Edges (graph, src, dst, w) of a small square matrix: a pandas frame with equal index and columns, or an array with names."""
+    if isinstance(matrix, pd.DataFrame):
+        if set(matrix.index) != set(matrix.columns) or matrix.shape[0] != matrix.shape[1]:
+            raise ValueError("index and columns must hold the same nodes")
+        names, a = [str(x) for x in matrix.index], matrix[matrix.index].to_numpy(float)
+    else:
+        a = np.asarray(matrix, float)
+        if a.ndim != 2 or a.shape[0] != a.shape[1]:
+            raise ValueError("the matrix must be square")
+        names = [str(x) for x in (names if names is not None else range(len(a)))]
+        if len(names) != len(a):
+            raise ValueError("one name is needed for each row")
+    i, j = np.nonzero(np.nan_to_num(a))
+    return spark.createDataFrame([(graph, names[x], names[y], float(a[x, y])) for x, y in zip(i, j, strict=True)], "graph string, src string, dst string, w double")
+
+
+def label_frame(labels: DataFrame, label: str = "cluster", graph: str | None = None) -> DataFrame:
+    """(graph, node, cluster) of a frame that has these columns, or lacks ``graph`` and gets it as given."""
+    missing = {"node", label} - set(labels.columns)
+    if missing:
+        raise ValueError(f"labels lack {sorted(missing)}")
+    if "graph" not in labels.columns:
+        if graph is None:
+            raise ValueError("a graph name is needed")
+        labels = labels.withColumn("graph", F.lit(graph))
+    return labels.select("graph", "node", F.col(label).alias("cluster"))
+
+
 def affinity(edges: DataFrame, symmetrize: str = "max", clip_negative: bool = True, remove_isolated: bool = True, add_self_loops: bool = False) -> DataFrame:
     """Symmetric edges (graph, src, dst, w) without diagonal: larger, mean or smaller of both directions, or as they are."""
     e = edges.filter("src <> dst").select("graph", "src", "dst", (F.greatest("w", F.lit(0.0)) if clip_negative else F.col("w")).alias("w"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..plans.stages import materialize
@@ -123,8 +124,11 @@ def start_to_end(edges: DataFrame, start: str, end: str, r: float = 0.7, strateg
     return _dense(edges, solve, "node string, score double")
 
 
-def pagerank(edges: DataFrame, damping: float = 0.85, iterations: int = 1000, tol: float = 1e-6) -> DataFrame:
+def pagerank(edges: DataFrame, damping: float = 0.85, iterations: int = 1000, tol: float = 1e-6, strategy: str = "auto") -> DataFrame:
     """(node, score): weighted PageRank; rows are normalised, dangling mass spreads evenly; stops below N * tol."""
+    edges = edges.filter("w <> 0")
+    if _pick(edges, strategy) == "distributed":
+        return _ranked(edges, damping, iterations, tol)
 
     def solve(names: list[str], a: np.ndarray) -> pd.DataFrame:
         n = len(names)
@@ -139,11 +143,35 @@ def pagerank(edges: DataFrame, damping: float = 0.85, iterations: int = 1000, to
                 break
         return pd.DataFrame({"node": names, "score": x})
 
-    return _dense(edges.filter("w <> 0"), solve, "node string, score double")
+    return _dense(edges, solve, "node string, score double")
 
 
-def eigenvector(edges: DataFrame, iterations: int = 1000, tol: float = 1e-6, weighted: bool = True) -> DataFrame:
+def _ranked(edges: DataFrame, damping: float, iterations: int, tol: float) -> DataFrame:
+    """PageRank as one join and one sum a round; each round is a written table."""
+    total = F.sum("w").over(W.partitionBy("src"))
+    e = materialize(edges.withColumn("p", F.col("w") / total).select(F.col("src").alias("node"), F.col("dst").alias("to"), "p"), "edges")
+    nodes = e.select("node").union(e.select("to")).distinct().join(e.select("node", F.lit(False).alias("dead")).distinct(), "node", "left")
+    nodes = materialize(nodes.withColumn("dead", F.coalesce("dead", F.lit(True))), "nodes")
+    n = nodes.count()
+    x = nodes.withColumn("x", F.lit(1.0 / max(n, 1)))
+    for _ in range(iterations):
+        lost = x.agg(F.sum(F.when(F.col("dead"), F.col("x")))).first()[0] or 0.0
+        into = x.join(e, "node").groupBy(F.col("to").alias("node")).agg(F.sum(F.col("x") * F.col("p")).alias("got"))
+        new = x.join(into, "node", "left").select("node", "dead", F.col("x").alias("old"), (damping * (F.coalesce("got", F.lit(0.0)) + lost / n) + (1 - damping) / n).alias("x"))
+        new = materialize(new, "rank")
+        moved = new.agg(F.sum(F.abs(F.col("x") - F.col("old")))).first()[0] or 0.0
+        x = new.drop("old")
+        if moved < n * tol:
+            break
+    return x.select("node", F.col("x").alias("score"))
+
+
+def eigenvector(edges: DataFrame, iterations: int = 1000, tol: float = 1e-6, weighted: bool = True, strategy: str = "auto") -> DataFrame:
     """(node, score): in-edge eigenvector centrality by shifted power iteration, of length 1; if it does not converge, 1 for all."""
+    e = edges.filter("w <> 0")
+    e = e if weighted else e.withColumn("w", F.lit(1.0))
+    if _pick(e, strategy) == "distributed":
+        return _leading(e, iterations, tol)
 
     def solve(names: list[str], a: np.ndarray) -> pd.DataFrame:
         n = len(names)
@@ -160,8 +188,26 @@ def eigenvector(edges: DataFrame, iterations: int = 1000, tol: float = 1e-6, wei
                 x = np.ones(n)
         return pd.DataFrame({"node": names, "score": x})
 
-    e = edges.filter("w <> 0")
-    return _dense(e if weighted else e.withColumn("w", F.lit(1.0)), solve, "node string, score double")
+    return _dense(e, solve, "node string, score double")
+
+
+def _leading(edges: DataFrame, iterations: int, tol: float) -> DataFrame:
+    e = materialize(edges.select(F.col("src").alias("node"), F.col("dst").alias("to"), "w"), "edges")
+    nodes = materialize(e.select("node").union(e.select("to")).distinct(), "nodes")
+    n = nodes.count()
+    x = nodes.withColumn("x", F.lit(1.0 / max(n, 1)))
+    for _ in range(iterations):
+        into = x.join(e, "node").groupBy(F.col("to").alias("node")).agg(F.sum(F.col("x") * F.col("w")).alias("got"))
+        raw = materialize(x.join(into, "node", "left").select("node", F.col("x").alias("old"), (F.col("x") + F.coalesce("got", F.lit(0.0))).alias("x")), "power")
+        length = (raw.agg(F.sum(F.col("x") * F.col("x"))).first()[0] or 0.0) ** 0.5 or 1.0
+        moved = raw.agg(F.sum(F.abs(F.col("x") / length - F.col("old")))).first()[0] or 0.0
+        x = raw.select("node", (F.col("x") / length).alias("x"))
+        if moved < n * tol:
+            break
+    else:
+        if tol > 0:
+            x = nodes.withColumn("x", F.lit(1.0))
+    return x.select("node", F.col("x").alias("score"))
 
 
 def degree_centrality(edges: DataFrame) -> DataFrame:

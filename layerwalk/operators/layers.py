@@ -6,6 +6,7 @@ absent edge weighs 0) and ``nodes`` (layer, node), which keeps isolated nodes th
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -63,7 +64,12 @@ def n_times(packed: DataFrame) -> int:
     return int(packed.agg(F.max(F.size("u"))).first()[0] or 0)
 
 
-def correlations(packed: DataFrame, blocks: int = 4, nan_policy: str = "drop") -> DataFrame:
+def pair_blocks(packed: DataFrame) -> int:
+    """Blocks of nodes whose pairs give each shuffle partition of the session about one place to meet."""
+    return max(1, math.ceil(int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions")) ** 0.5))
+
+
+def correlations(packed: DataFrame, blocks: int | None = None, nan_policy: str = "drop") -> DataFrame:
     """(layer, src, dst, c) with src < dst: Pearson correlation of all pairs within a layer.
 
     Nodes are dealt to blocks and a pair of blocks meets in one place, so a layer is not one task; every pair is
@@ -71,6 +77,7 @@ def correlations(packed: DataFrame, blocks: int = 4, nan_policy: str = "drop") -
     """
     if nan_policy not in ("drop", "zero_corr"):
         raise ValueError(f"unknown nan_policy {nan_policy!r}")
+    blocks = blocks or pair_blocks(packed)
     n = n_times(packed)
     p = packed.select("layer", "node", "u", F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int").alias("mine"))
     p = p.filter("u is not null") if nan_policy == "drop" else p
@@ -92,7 +99,7 @@ def weigh(corr: DataFrame, kernel: str | K.Kernel, sigma: float | None = None, n
     return mirror(corr.select("layer", "src", "dst", K.apply(kernel, F.col("c"), sigma, n).alias("w"), K.sign(F.col("c")).alias("sign")))
 
 
-def layer_graphs(m: DataFrame, kernel: str | K.Kernel = "exponential_abs", sigma: float | None = 0.05, n: float | None = None, threshold: float = 0.01, start: str | None = "e3", end: str | None = "e5", basis: bool = True, blocks: int = 4) -> Graph:
+def layer_graphs(m: DataFrame, kernel: str | K.Kernel = "exponential_abs", sigma: float | None = 0.05, n: float | None = None, threshold: float = 0.01, start: str | None = "e3", end: str | None = "e5", basis: bool = True, blocks: int | None = None) -> Graph:
     """Graph of each layer with its basis nodes; weights below ``threshold`` (strictly) are no edges.
 
     If start or end is a basis node, the edges of every other basis node go; else all five stay connected. Kernels that
