@@ -40,10 +40,14 @@ def node_count(edges: DataFrame) -> int:
     return edges.select(F.explode(F.array("src", "dst")).alias("n")).distinct().count()
 
 
-def _pick(edges: DataFrame, strategy: str) -> str:
+def _pick(edges: DataFrame, strategy: str) -> tuple[DataFrame, bool]:
+    """The edges, and whether they are for joins. To count nodes, the edges are written once and read again."""
+    if strategy not in ("auto", "local", "distributed"):
+        raise ValueError(f"unknown strategy {strategy!r}")
     if strategy != "auto":
-        return strategy
-    return "local" if node_count(edges) <= DENSE_NODES else "distributed"
+        return edges, strategy == "distributed"
+    edges = materialize(edges.select("src", "dst", "w"), "edges")
+    return edges, node_count(edges) > DENSE_NODES
 
 
 def series(edges: DataFrame, start: str, r: float, steps: int, backward: bool = False, every: int = 5) -> DataFrame:
@@ -68,7 +72,8 @@ def series(edges: DataFrame, start: str, r: float, steps: int, backward: bool =
 
 def local_neighbourhood(edges: DataFrame, node: str, r: float = 0.7, strategy: str = "auto", steps: int = 80) -> DataFrame:
     """(node, score): damped diffusion from a node, the solution s of (I - r A^T) s = e_node."""
-    if _pick(edges, strategy) == "distributed":
+    edges, joins = _pick(edges, strategy)
+    if joins:
         return series(edges, node, r, steps)
 
     def solve(names: list[str], a: np.ndarray) -> pd.DataFrame:
@@ -95,7 +100,8 @@ def start_to_end(edges: DataFrame, start: str, end: str, r: float = 0.7, strateg
     """
     if start == end:
         raise ValueError("start and end are the same node")
-    if _pick(edges, strategy) == "distributed":
+    edges, joins = _pick(edges, strategy)
+    if joins:
         inner = edges.filter((F.col("src") != end) & (F.col("dst") != end))
         g = series(inner, start, r, steps).withColumnRenamed("score", "g")
         h = series(edges.filter(F.col("src") != end), end, r, steps, backward=True).withColumnRenamed("score", "h").filter(F.col("node") != end)
@@ -127,7 +133,8 @@ def start_to_end(edges: DataFrame, start: str, end: str, r: float = 0.7, strateg
 def pagerank(edges: DataFrame, damping: float = 0.85, iterations: int = 1000, tol: float = 1e-6, strategy: str = "auto") -> DataFrame:
     """(node, score): weighted PageRank; rows are normalised, dangling mass spreads evenly; stops below N * tol."""
     edges = edges.filter("w <> 0")
-    if _pick(edges, strategy) == "distributed":
+    edges, joins = _pick(edges, strategy)
+    if joins:
         return _ranked(edges, damping, iterations, tol)
 
     def solve(names: list[str], a: np.ndarray) -> pd.DataFrame:
@@ -170,7 +177,8 @@ def eigenvector(edges: DataFrame, iterations: int = 1000, tol: float = 1e-6, wei
     """(node, score): in-edge eigenvector centrality by shifted power iteration, of length 1; if it does not converge, 1 for all."""
     e = edges.filter("w <> 0")
     e = e if weighted else e.withColumn("w", F.lit(1.0))
-    if _pick(e, strategy) == "distributed":
+    e, joins = _pick(e, strategy)
+    if joins:
         return _leading(e, iterations, tol)
 
     def solve(names: list[str], a: np.ndarray) -> pd.DataFrame:

@@ -1,7 +1,8 @@
 """Layers joined by names into one transition graph, and its shadow copy that tracks negative correlation.
 
 Edges are (src, dst, w) between composed names ``node_layer``; merged basis nodes have their plain name. ``src_layer``
-and ``dst_layer`` (null for merged basis nodes) ride along, so names are never parsed.
+and ``dst_layer`` (null for merged basis nodes) ride along, so names are never parsed. So does ``sw``, the signed weight,
+from which the shadow graph takes its signs without a second pass.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from ..functions import kernels as K
 from ..functions.names import SHADOW, gene_part, is_basis
 from .layers import Graph, dot, layer_graphs, n_times, pack
 
-COLUMNS = ["src", "src_layer", "dst", "dst_layer", "w"]
+COLUMNS = ["src", "src_layer", "dst", "dst_layer", "w", "sw"]
 
 
 def contains_pairs(packed: DataFrame, order: list[str] | None = None, same_gene: bool = True) -> DataFrame:
@@ -38,17 +39,16 @@ def contains_pairs(packed: DataFrame, order: list[str] | None = None, same_gene:
 
 
 def inter_edges(packed: DataFrame, kernel: str | K.Kernel = "absolute", sigma: float | None = None, n: float | None = None, order: list[str] | None = None, same_gene: bool = True, threshold: float | None = None) -> DataFrame:
-    """Edges between layers, both directions; ``kernel`` may be ``signed`` for the correlation itself (null: 0)."""
+    """Edges between layers, both directions, with the correlation itself as ``sw`` (none: 0)."""
     pairs = contains_pairs(packed, order, same_gene)
     times = n_times(packed)
     c = F.coalesce(dot(F.col("u"), F.col("v"), times), F.lit(float("nan"))) if times else F.lit(float("nan"))
-    w = F.when(F.isnan(c), 0.0).otherwise(c) if kernel == "signed" else K.apply(kernel, c, sigma, n)
-    e = pairs.select("layer_a", "a", "layer_b", "b", w.alias("w")).filter("not isnan(w)")
+    e = pairs.select("layer_a", "a", "layer_b", "b", K.apply(kernel, c, sigma, n).alias("w"), F.nanvl(c, F.lit(0.0)).alias("sw")).filter("not isnan(w)")
     if threshold is not None:
         e = e.filter(F.col("w") >= threshold)
     x, y = F.concat_ws("_", "a", "layer_a"), F.concat_ws("_", "b", "layer_b")
-    one = e.select(x.alias("src"), F.col("layer_a").alias("src_layer"), y.alias("dst"), F.col("layer_b").alias("dst_layer"), "w")
-    two = e.select(y.alias("src"), F.col("layer_b").alias("src_layer"), x.alias("dst"), F.col("layer_a").alias("dst_layer"), "w")
+    one = e.select(x.alias("src"), F.col("layer_a").alias("src_layer"), y.alias("dst"), F.col("layer_b").alias("dst_layer"), "w", "sw")
+    two = e.select(y.alias("src"), F.col("layer_b").alias("src_layer"), x.alias("dst"), F.col("layer_a").alias("dst_layer"), "w", "sw")
     return one.unionByName(two)
 
 
@@ -59,14 +59,18 @@ def _merged(node: Column, layer: Column, many: bool) -> tuple[Column, Column]:
 
 
 def multigraph(intra: DataFrame, inter: DataFrame, n_layers: int) -> DataFrame:
-    """Layer edges and edges between layers in one graph; with several layers, basis copies merge by sums, without self-loops."""
+    """Layer edges and edges between layers in one graph; with several layers, basis copies merge by sums, without self-loops.
+
+    Signed weights are summed beside the weights; edges without a ``sign`` count as positive.
+    """
+    signed = F.col("w") * F.col("sign") if "sign" in intra.columns else F.col("w")
     many = n_layers > 1
     s, sl = _merged(F.col("src"), F.col("layer"), many)
     d, dl = _merged(F.col("dst"), F.col("layer"), many)
-    e = intra.select(s.alias("src"), sl.alias("src_layer"), d.alias("dst"), dl.alias("dst_layer"), "w")
+    e = intra.select(s.alias("src"), sl.alias("src_layer"), d.alias("dst"), dl.alias("dst_layer"), "w", signed.alias("sw"))
     if many:
         e = e.filter(~(is_basis(F.col("src")) & (F.col("src") == F.col("dst"))))
-        e = e.groupBy("src", "src_layer", "dst", "dst_layer").agg(F.sum("w").alias("w"))
+        e = e.groupBy("src", "src_layer", "dst", "dst_layer").agg(F.sum("w").alias("w"), F.sum("sw").alias("sw"))
     return e.unionByName(inter).select(*COLUMNS)
 
 
@@ -89,14 +93,13 @@ def row_sums(edges: DataFrame) -> DataFrame:
     return s.agg(F.min("s").alias("min_sum"), F.max("s").alias("max_sum"), F.avg("s").alias("mean_sum"), F.coalesce(F.bool_and(F.abs(F.col("s") - 1) <= 1e-8 + 1e-5), F.lit(True)).alias("stochastic"))
 
 
-def shadow(regular: DataFrame, signed: DataFrame) -> DataFrame:
+def shadow(regular: DataFrame) -> DataFrame:
     """Regular and shadow nodes: edges of positive sign stay on their side, those of negative sign change it.
 
     Basis nodes have no shadow: nothing leads from shadows to them, and negative edges to them vanish. Edges of sign 0
     vanish, and weights are not scaled again, so row sums may be below 1.
     """
-    s = signed.groupBy("src", "dst").agg(F.signum(F.sum("w")).alias("s"))
-    e = regular.join(s, ["src", "dst"]).filter("s <> 0")
+    e = regular.withColumn("s", F.signum("sw")).filter("s <> 0")
     b, c = F.col("src_layer").isNull(), F.col("dst_layer").isNull()
     neg = lambda x: F.concat(x, F.lit(SHADOW))
     arms = F.explode(F.array(
@@ -122,10 +125,7 @@ def build(m: DataFrame, g: Graph | None = None, kind: str = "shadow", alpha: flo
     if kind == "plain":
         return plain
     regular = layer_transitions(plain, alpha)
-    if kind == "transitions":
-        return regular
-    signed = multigraph(g.edges.withColumn("w", F.col("w") * F.col("sign")), inter_edges(packed, "signed", order=order), len(order))
-    return shadow(regular, signed)
+    return regular if kind == "transitions" else shadow(regular)
 
 
 def clustering_graph(m: DataFrame, g: Graph, method: str = "absolute", n_power: float = 20, sigma: float = 0.05, threshold: float = 0.0, alpha: float = 0.1) -> DataFrame:
