@@ -2,7 +2,7 @@
 
 Walkers are rows of a range; each task steps its walkers together over shared edge arrays. The numbers of a walker come
 from a counter hash of (seed, walk, step), so results do not depend on how walkers are dealt to tasks. Attempts are
-bounded: where the reference repeats until enough walks succeed, a batch of walks is simulated and failures are told.
+bounded: a batch of walks is simulated, and those that fail are told apart, not tried again.
 """
 
 from __future__ import annotations
