@@ -6,7 +6,8 @@ characters and LT tags inside links, all over its subtree, the composite density
     C / T * log(C / LC * T / LT) / log(log(C / notLC * LC + LCb / Cb * C + e))
 
 (Sun, Song and Liao, SIGIR 2011), where notLC = C - LC and the b values are those of the body; zero counts become 1. The
-subtree with the largest sum of its children's densities is the core of the page. The threshold is the least density
+subtree with the largest sum of its children's densities is the core of the page; elements that are boilerplate by name
+(unless they hold over half of the text, in several elements) cannot be it. The threshold is the least density
 on the path from the core to the body; within the core, elements below it that are boilerplate by name go.
 """
 
@@ -164,6 +165,8 @@ def measure(root: Node) -> list[Node]:
         if x.chars:
             c, t, lc, lt = x.chars, max(x.tags, 1), max(x.link_chars, 1), max(x.link_tags, 1)
             base = math.log(c / max(c - x.link_chars, 1) * lc + share * c + math.e)
+            if x.mark and 2 * c > body.chars and x.tags > 2:  # on what holds most of a page the name tells of the layout
+                x.mark = False
             x.density = c / t * math.log(max(c / lc * t / lt, 1.0)) / math.log(max(base, 1.1))
     return found
 

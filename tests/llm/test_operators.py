@@ -199,6 +199,8 @@ PARA = "<p>" + "The river ran past the old mill and on to the sea, and nobody mi
         (None, ""), ("", ""), ("<html><body></body></html>", ""), ("plain words", "plain words"), ("<p>a&amp;b &lt;i&gt; x<b>y</b>z", "a&b <i> xyz"), ("<p>1 < 2<p>ok", "1 < 2 ok"), ("a<!-- x > y -->b<script>if (a<b) c()</script>", "ab"),
         (f"<html><head><title>T</title></head><body><nav><ul><li><a href=1>Home</a></ul></nav><div class='sidebar'><a>x</a> more</div><article><h1>Head</h1>{PARA}</p>{PARA}</article><div class=ad>Buy this now!</div><footer>&copy; us</footer>", "HEAD"),
         (f"<body><div id=menu><a>One</a><a>Two</a></div><div><div>{PARA}{PARA}<ul><li>x<li>y</ul></div></div><form><input>Sign up</form><div class='comments'><p>nice</div>", "LIST"),
+        (f"<body class='with-sidebar'><div class='content ad'><p>{PARA}</p>{PARA}<ul><li>x<li>y</ul></div><div class='cookie-notice'>We use cookies</div>", "LIST"),
+        (f"<body><header><a href=/>Site</a></header><main><article><header><h1>Head</h1></header>{PARA}{PARA}<section class='comments'><p>nice one</section></article></main><aside>more</aside>", "HEAD"),
     ],
 )
 def test_main_text(page, text):
