@@ -95,6 +95,10 @@ class Transducer:
         self.byte_of = {i: b for b, i in enumerate(self.bytes) if i >= 0}
         self.control = {i for i, k in enumerate(kinds) if k == 3}
         self.id = {p: i for i, (p, k) in enumerate(zip(self.pieces, kinds, strict=True)) if k in (1, 4)}
+        if self.bpe:  # a piece that merging cannot make is on no path
+            self.id = {p: i for p, i in self.id.items() if self._merged(p) == [p]}
+            if not all(c in self.id for p in self.id for c in p):
+                raise ValueError("every character of a BPE model's pieces must be a piece")
         self.longest = max(map(len, self.id))
         #: Length of the longest piece that starts with four characters, where that is over three.
         self.reach: dict[str, int] = {}
@@ -105,7 +109,7 @@ class Transducer:
         #: A word is a run of blanks with what follows up to the next blank; without that property, the whole text.
         self.word = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+") if not across else re.compile("(?s).+")
         self.words: dict[str, tuple[int, ...]] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[int, bool] = {}
 
     # -- the normaliser -----------------------------------------------------------------------------------------
 
@@ -133,78 +137,88 @@ class Transducer:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def follows(self, a: str, b: str) -> bool:
-        """Whether the arc over ``b`` after ``a`` has a finite weight."""
-        key = (a, b)
-        ok = self.pairs.get(key)
-        if ok is None:
-            if len(self.pairs) >= KEPT_PAIRS:
-                self.pairs.clear()
-            ok = self.pairs[key] = self._merged(a + b) == [a, b]
+    def follows(self, a: int, b: int) -> bool:
+        """Whether the arc over piece ``b`` after piece ``a`` has a finite weight."""
+        if len(self.pairs) >= KEPT_PAIRS:
+            self.pairs.clear()
+        x, y = self.pieces[a], self.pieces[b]
+        ok = self.pairs[a << 32 | b] = self._merged(x + y) == [x, y]
         return ok
 
     # -- composition and shortest path ------------------------------------------------------------------------
 
-    def _path(self, word: str) -> list[str]:
-        """Pieces or single characters along the shortest path through the lattice of ``word``."""
+    def _path(self, word: str) -> list[int]:
+        """Arcs of the shortest path through the lattice of ``word``: piece ids, or ~code point where no piece fits."""
         return self._finite_path(word) if self.bpe else self._least_path(word)
 
-    def _least_path(self, word: str) -> list[str]:
+    def _least_path(self, word: str) -> list[int]:
         n, ids, longest = len(word), self.id, self.longest
-        cost, back = [INFINITY] * (n + 1), [""] * (n + 1)
+        cost, back = [INFINITY] * (n + 1), [(0, 0)] * (n + 1)
         cost[0] = 0.0
         for end in range(1, n + 1):
             for start in range(max(0, end - longest), end):
-                arc = word[start:end]
-                k = ids.get(arc)
+                k = ids.get(word[start:end])
                 if k is None and end - start > 1:
                     continue
                 now = cost[start] + (1e4 if k is None else -self.scores[k])
                 if now < cost[end]:
-                    cost[end], back[end] = now, arc
+                    cost[end], back[end] = now, (start, ~ord(word[start]) if k is None else k)
         out = []
         while n:
-            out.append(back[n])
-            n -= len(back[n])
+            n, k = back[n]
+            out.append(k)
         return out[::-1]
 
-    def _finite_path(self, word: str) -> list[str]:
+    def _finite_path(self, word: str) -> list[int]:
         """The one path of finite weight: arcs are tried longest first; a position that fails once fails for good,
-        as all finite paths to it end in the same piece."""
-        n, ids, pairs, reach = len(word), self.id, self.pairs, self.reach
-        out: list[str] = []
+        as all finite paths to it end in the same piece. An arc that no piece has merges with nothing, so it may follow
+        and be followed by every piece."""
+        n, find, pairs, reach = len(word), self.id.get, self.pairs, self.reach
+        out: list[int] = []
+        cuts: list[int] = []
         dead: set[int] = set()
-        at, size = 0, min(n, reach.get(word[:4], 3))
+        at, last, size = 0, -1, min(n, reach.get(word[:4], 3))
         while at < n:
             while size:
                 end = at + size
-                arc = word[at:end]
-                if (arc in ids or size == 1) and end not in dead:
-                    if not out:
-                        break
-                    ok = pairs.get((out[-1], arc))
-                    if ok if ok is not None else self.follows(out[-1], arc):
+                k = find(word[at:end])
+                if end not in dead:
+                    if k is None:
+                        if size == 1:
+                            k = ~ord(word[at])
+                            break
+                    elif last < 0:
                         break
+                    else:
+                        ok = pairs.get(last << 32 | k)
+                        if ok if ok is not None else self.follows(last, k):
+                            break
                 size -= 1
             if size:
-                out.append(arc)
-                at = end
-                size = min(n - at, reach.get(word[at : at + 4], 3))
+                out.append(k)
+                cuts.append(at)
+                at, last = end, k
+                size = n - at
+                if size > 3:
+                    size = min(size, reach.get(word[at : at + 4], 3))
             else:
                 dead.add(at)
-                arc = out.pop()
-                at -= len(arc)
-                size = len(arc) - 1
+                out.pop()
+                size = at - cuts[-1] - 1
+                at = cuts.pop()
+                last = out[-1] if out else -1
         return out
 
     def _ids(self, word: str) -> tuple[int, ...]:
+        path = self._path(word)
+        if min(path) >= 0:
+            return tuple(path)
         out: list[int] = []
-        for arc in self._path(word):
-            k = self.id.get(arc)
-            if k is not None:
+        for k in path:
+            if k >= 0:
                 out.append(k)
             elif self.bytes[0] >= 0:
-                out += [self.bytes[b] for b in arc.encode("utf-8", "surrogatepass")]
+                out += [self.bytes[b] for b in chr(~k).encode("utf-8", "surrogatepass")]
             else:
                 out.append(self.unknown)
         return tuple(out)

@@ -376,7 +376,7 @@ def test_unigram_takes_the_shortest_path():
     f = sentencepiece_fst.compiled(sentencepiece_fst._read(sentencepiece_fst.default_model()))
     plain = object.__new__(sentencepiece_fst.Transducer)
     plain.__dict__ = dict(f.__dict__, bpe=False, id={p: i for i, p in enumerate(["a", "b", "ab", "abc", "c"])}, scores=[-1.0, -1.0, -1.5, -4.0, -1.0], longest=3)
-    assert plain._path("abc") == ["ab", "c"] and plain._path("axb") == ["a", "x", "b"]
+    assert plain._path("abc") == [2, 4] and plain._path("axb") == [0, ~ord("x"), 1]
 
 
 # -- 10 --------------------------------------------------------------------------------------------------------------
