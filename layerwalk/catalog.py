@@ -131,6 +131,14 @@ def _(s, d):
     return k.select("label", N.is_integer_like(F.col("label")).alias("is_integer"), N.time_of_label(F.col("label")).alias("t"))
 
 
+@query("time_axis", """WITH k AS (SELECT DISTINCT p_size AS pos, 'day ' || p_size || CASE WHEN p_size % 2 = 0 THEN '.5 h' ELSE '' END AS label FROM part)
+SELECT label, pos, list_last(regexp_extract_all(label, '(-?\\d+(?:\\.\\d+)?)', 1))::DOUBLE AS t FROM k""", plain=True)
+def _(s, d):
+    z = F.col("p_size")
+    k = s.read.parquet(f"{d}/part.parquet").select(z.alias("pos"), F.concat(F.lit("day "), z.cast("string"), F.when(z % 2 == 0, ".5 h").otherwise("")).alias("label")).distinct()
+    return genes.time_axis(k).select("label", "pos", "t")
+
+
 @query("combined_layers", "SELECT 'combined' AS layer, node || '_' || layer AS node, t, v AS value, round(z, 6) + 0.0 AS z FROM z")
 def _(s, d):
     return layers.standardize_rows(tables.combine_layers(measurements(s, d))).select("layer", "node", "t", "value", *_r("z"))
@@ -746,6 +754,16 @@ def _(s, d):
     return walks.sample_walks(walks.thin_walks(w, ends), 20).select("simulation", "steps", "end_node")
 
 
+@query("spd_lambda_sweep")
+def _(s, d):
+    return precision.lambda_sweep(measurements(s, d), [0.1, 0.3], max_iter=40)
+
+
+@query("walk_examples")
+def _(s, d):
+    return walks.example_walks(walks.walks_to_target(_multi(s, d, "shadow"), "e3", "e5", 300, 0.0005))
+
+
 @query("spd_spectrum")
 def _(s, d):
     return precision.spectrum(_graph(s, d))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
+from ..plans.stages import materialize
 from .layers import Graph, correlations, mirror, pack
 
 NEAR_ZERO = 0.01
@@ -77,12 +78,16 @@ def sweep(m: DataFrame, kernel: str | K.Kernel, parameter: str, values: list[flo
     arms = F.array(*[F.struct(F.lit(float(v)).alias("param"), K.apply(kernel, F.col("c"), **{parameter: v}).alias("w")) for v in values])
     e = corr.select("layer", "src", "dst", F.explode(arms).alias("x")).select("layer", "src", "dst", "x.param", "x.w").filter(F.col("w") >= threshold)
     nodes = packed.select("layer", "node", F.explode(F.array(*[F.lit(float(v)) for v in values])).alias("param"))
-    g = Graph(mirror(e), nodes)
-    keys = ("layer", "param")
+    return table(Graph(mirror(e), nodes), ("layer", "param"))
+
+
+def table(g: Graph, keys: tuple[str, ...] = ("layer",)) -> DataFrame:
+    """All metrics of each graph in one row."""
+    g = Graph(materialize(g.edges, "graph"), materialize(g.nodes, "graph"))
     out = scale_free_fit(g, keys=keys)
-    for other in (mean_degree, isolated_nodes, sparsity, clustering_coefficient):
+    for other in (clustering_coefficient, sparsity, isolated_nodes, mean_degree):
         out = other(g, keys).join(out, list(keys), "left")
-    return out.withColumn("slope_sign", F.signum("slope")).select("layer", "param", "mean_degree", "isolated", "sparsity", "clustering", "r2", "slope_sign", "n_points")
+    return out.select(*keys, "mean_degree", "isolated", "sparsity", "clustering", "r2", F.signum("slope").alias("slope_sign"), "n_points")
 
 
 def symmetry(edges: DataFrame, keys: tuple[str, ...] = ("layer",), atol: float = 1e-8, rtol: float = 1e-5) -> DataFrame:

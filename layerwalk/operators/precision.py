@@ -9,6 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.names import BASIS
+from ..plans.stages import materialize
+from . import metrics
 from .layers import Graph, basis_rows, pack
 
 CLIP, TAU_FLOOR = 1e6, 1e-6
@@ -131,6 +133,26 @@ def lasso_graphs(m: DataFrame, lam: float = 0.01, threshold: float = 0.01, start
     return Graph(edges, packed.select("layer", "node"))
 
 
+def lambda_sweep(m: DataFrame, lams: list[float], threshold: float = 0.01, gamma: float = 0.02, eta: float = 20.0, max_iter: int = 500) -> DataFrame:
+    """Metrics of every layer's precision graph at every lambda, one task a (layer, lambda): the metrics of ``metrics.sweep`` and the final loss."""
+    packed = pack(m).filter("z is not null").select("layer", "node", "z", F.explode(F.array(*[F.lit(float(v)) for v in lams])).alias("param"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("node")
+        q, loss = solve(np.array(pdf.z.tolist(), float).T, pdf.param.iloc[0], gamma, eta, max_iter)
+        q = np.abs(np.nan_to_num(q))
+        np.fill_diagonal(q, 0)
+        i, j = np.nonzero(q >= threshold)
+        names = pdf.node.to_numpy()
+        out = pd.DataFrame({"src": [*names[i], ""], "dst": [*names[j], ""], "w": [*q[i, j], loss[-1]]})
+        return out.assign(layer=pdf.layer.iloc[0], param=pdf.param.iloc[0])
+
+    solved = materialize(packed.groupBy("layer", "param").applyInPandas(run, "src string, dst string, w double, layer string, param double"), "precision")
+    nodes = pack(m).select("layer", "node", F.explode(F.array(*[F.lit(float(v)) for v in lams])).alias("param"))
+    out = metrics.table(Graph(solved.filter("src <> ''"), nodes), ("layer", "param"))
+    return out.join(solved.filter("src = ''").select("layer", "param", F.col("w").alias("loss")), ["layer", "param"], "left")
+
+
 def top_variance(m: DataFrame, layer: str, n: int = 60) -> DataFrame:
     """(node, variance): the n nodes of a layer whose values vary most."""
     v = m.filter(F.col("layer") == layer).groupBy("node").agg(F.var_samp("value").alias("variance"))

@@ -233,6 +233,15 @@ def shortest_walks(walks: DataFrame, n: int) -> DataFrame:
     return walks.filter("success").orderBy("steps", "simulation").limit(n)
 
 
+def example_walks(walks: DataFrame) -> DataFrame:
+    """(kind, simulation, steps, path): the shortest, median and longest successful walk; ties by number."""
+    w = walks.filter("success").select("simulation", "steps", "path")
+    ranked = w.select("simulation", "steps", F.row_number().over(W.orderBy("steps", "simulation")).alias("k"), F.count(F.lit(1)).over(W.partitionBy(F.lit(0))).alias("n"))
+    kind = F.explode(F.array(F.when(F.col("k") == 1, "shortest"), F.when(F.col("k") == F.floor((F.col("n") + 1) / 2), "median"), F.when(F.col("k") == F.col("n"), "longest")))
+    pick = ranked.select("simulation", kind.alias("kind")).filter("kind is not null")
+    return w.join(F.broadcast(pick), "simulation").select("kind", "simulation", "steps", "path")
+
+
 def sample_walks(walks: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """n successful walks in a fixed random order."""
     return walks.filter("success").orderBy(F.xxhash64("simulation", F.lit(seed)), "simulation").limit(n)

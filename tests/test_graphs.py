@@ -164,6 +164,9 @@ def test_walks_match_absorption(graph):
     v = {r.node: r.frequency for r in walks.diffusion_visits(edges, "e3", 3000, 20).collect()}
     x = {r.node: r.frequency for r in walks.expected_visits(edges, "e3", 0.1, 20).collect()}
     assert max(abs(v.get(n, 0) - x[n]) for n in x) < 0.02 and np.isclose(sum(v.values()), 1)
+    steps = [r.steps for r in w.filter("success").orderBy("steps").collect()]
+    got = {r.kind: r.steps for r in walks.example_walks(w).collect()}
+    assert got == {"shortest": steps[0], "median": steps[(len(steps) + 1) // 2 - 1], "longest": steps[-1]}
     with pytest.raises(ValueError):
         walks.walks_to_endpoints(edges, "e3", "e3", 10)
     with pytest.raises(ValueError):
@@ -181,6 +184,30 @@ def test_precision_solver_is_symmetric_positive_and_descends():
     assert np.allclose(b, np.diag(1 / tau2))
 
 
+def test_sweep_equals_single_graphs(spark):
+    m = random_layers(spark, 5)
+    got = {(r.layer, r.param): r for r in metrics.sweep(m, "gaussian_abs", "sigma", [0.1, 0.3], threshold=0.05).collect()}
+    for s in (0.1, 0.3):
+        g = layers.layer_graphs(m, "gaussian_abs", s, threshold=0.05, basis=False)
+        for r in metrics.table(g).collect():
+            x = got[r.layer, s]
+            assert np.allclose([x.mean_degree, x.isolated, x.sparsity, x.clustering], [r.mean_degree, r.isolated, r.sparsity, r.clustering])
+    lam = precision.lambda_sweep(m, [0.2, 0.9], max_iter=10).collect()
+    assert len(lam) == 6 and all(r.loss is not None for r in lam)
+
+
+def test_labels_and_matrices(spark):
+    a = clusters.from_matrix(spark, np.array([[0, 1.0], [0.5, 0]]), ["x", "y"])
+    assert sorted((r.src, r.dst, r.w) for r in a.collect()) == [("x", "y", 1.0), ("y", "x", 0.5)]
+    lab = spark.createDataFrame([("x", 1)], "node string, cluster int")
+    assert clusters.label_frame(lab, graph="g").first().graph == "g"
+    for bad in (lambda: clusters.from_matrix(spark, np.zeros((2, 3))), lambda: clusters.from_matrix(spark, np.zeros((2, 2)), ["x"]), lambda: clusters.label_frame(lab), lambda: clusters.label_frame(lab, "other", "g")):
+        with pytest.raises(ValueError):
+            bad()
+    pos = spark.createDataFrame([("e1", 0.0, 0.0), ("a", 1.0, 0.0), ("b", 0.0, 1.0), ("c", 3.0, 3.0)], "node string, x double, y double")
+    assert clusters.closest_to_basis(pos, ["e1"]).first().node == "a"
+
+
 def test_clusters_and_agreement(spark):
     e = [("g", f"{s}{i}", f"{s}{j}", 1.0) for s in "ab" for i in range(5) for j in range(5) if i != j] + [("g", "a0", "b0", 0.05)]
     df = spark.createDataFrame(e, "graph string, src string, dst string, w double")
