@@ -6,8 +6,9 @@ exact word counts stay in a packed table; quantised counts of words and bigrams
 filter, where an n-gram of level q = 1 + floor(log_B count) is a member under each of the levels 1..q. Bigrams seen
 once carry no filter entry (their estimate falls to the word's).
 
-Scoring. The filter is broadcast; its size has a fixed upper bound (``MOST_BITS``), beyond which false positives rise
-instead of memory. Repeated membership probes give a level, its mean count, and with it
+Scoring. The filter has ``BITS`` bits an n-gram at any size. One of at most ``MOST_BITS`` is broadcast. A larger one stays
+a table: runs of documents send packets of their distinct n-grams to the groups of segments that hold them, and the
+levels come back to the run. Repeated membership probes give a level, its mean count, and with it
 p(w | v) = L * min(1, c(v w) / c(v)) + (1 - L) * (c(w) + 1) / (N + V + 1) for every token, with an end token in each
 text. The exact base score looks words up in two steps: a broadcast table of the most frequent words, of bounded size,
 and for the rest packets of hashes sent to the segment that holds their exact counts.
@@ -30,12 +31,14 @@ from . import textbuf as tb
 from .common import group_bounds, grouped, materialize, partitions, table
 
 _U = np.uint64
-#: Base of the count levels; hashes a level; bits an n-gram in the filter, and bits at most.
+#: Base of the count levels; hashes a level; bits an n-gram in the filter, and bits of a filter that is broadcast.
 BASE, HASHES, BITS, MOST_BITS = 1.5, 3, 14, 1 << 28
 #: Levels that the histogram of word counts tells apart.
 LEVELS = 80
 #: Words in the broadcast table of exact counts, at most; weight of bigrams; least count of a bigram in the filter.
 FREQUENT, BIGRAM_WEIGHT, LEAST_BIGRAM = 1 << 19, 0.6, 2
+#: Bytes of text that ask a filter that is not broadcast at once; bits of a segment's number within its group.
+PROBE_BYTES, GROUP = 1 << 22, 3
 #: Hash of the end token; words never hash to it (their hashes are odd).
 END = _U(0)
 
@@ -62,6 +65,17 @@ def bigrams(h: np.ndarray, text: np.ndarray) -> np.ndarray:
     return tb.mix(before * _U(0x9E3779B97F4A7C15) + tb.mix(h))
 
 
+def ngrams(data: np.ndarray, off: np.ndarray, sb: int) -> tuple[np.ndarray, ...]:
+    """Of a run of texts: place and text of each token, the distinct places with each token's number among them, the number of
+    each token's bigram among the distinct ones, and segment and 32 bits of all distinct n-grams, words before bigrams."""
+    h, text = tokens(data, off)
+    place = _word_place(h)
+    u, word = np.unique(place, return_inverse=True)
+    two, pair = np.unique(bigrams(h, text), return_inverse=True)
+    seg, low = _pair_place(two, sb)
+    return place, text, u, word, pair, np.concatenate([_segment(u, sb), seg]), np.concatenate([word_low(u), low])
+
+
 def segment_bits(parts: int) -> int:
     """Segments are a power of two that follows the shuffle partitions, so that one stays small at any size."""
     return max(6, (8 * parts - 1).bit_length())
@@ -200,8 +214,9 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, mod: int = 7, rest: int = 2) -> dict:
     """The model of all texts whose crc32(doc_id as text) mod ``mod`` is not ``rest``.
 
-    ``segments`` is a written table of exact counts; ``bits`` (at most MOST_BITS / 8 bytes), ``frequent`` (at most
-    FREQUENT words with exact counts), ``total`` and ``distinct`` are held for broadcast.
+    ``segments`` is a written table of exact counts; ``frequent`` (at most FREQUENT words with exact counts), ``total`` and
+    ``distinct`` are held for broadcast, and so is ``bits``, the filter, if it has at most MOST_BITS bits. A larger one
+    is the written table ``filter`` (segment, bits), and ``bits`` is None.
     """
     spark = docs.sparkSession
     sb = segment_bits(partitions(spark))
@@ -214,7 +229,8 @@ def train(docs: DataFrame, mod: int = 7, rest: int = 2) -> dict:
     hist = np.array(hist)
     above = np.append(np.cumsum(hist[::-1])[::-1], 0)
     least = int(np.argmax(above <= FREQUENT))  # all words from this level on fit
-    width = max(64, min(MOST_BITS, BITS * grams) >> (sb + 3))
+    width = max(64, BITS * grams >> (sb + 3))
+    sharded = 8 * width << sb > MOST_BITS
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -224,15 +240,19 @@ def train(docs: DataFrame, mod: int = 7, rest: int = 2) -> dict:
                 often = np.minimum(level(nw), LEVELS - 1) >= least
                 yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([bits], pa.binary()), pa.array([w[often].tobytes()], pa.binary()), pa.array([nw[often].tobytes()], pa.binary())], names=["segment", "bits", "w", "nw"])
 
-    bits = np.zeros(width << sb, np.uint8)
+    built = segments.select("segment", "w", "nw", "p", "np").mapInArrow(parts, "segment int, bits binary, w binary, nw binary")
+    if sharded:
+        built = materialize(built, "filter")
+    bits = None if sharded else np.zeros(width << sb, np.uint8)
     w, nw = [], []
-    for r in segments.select("segment", "w", "nw", "p", "np").mapInArrow(parts, "segment int, bits binary, w binary, nw binary").collect():  # bounded by MOST_BITS and FREQUENT
-        bits[r.segment * width : (r.segment + 1) * width] = np.frombuffer(r.bits, np.uint8)
+    for r in built.drop(*["bits"] * sharded).collect():  # bounded by MOST_BITS and FREQUENT
+        if not sharded:
+            bits[r.segment * width : (r.segment + 1) * width] = np.frombuffer(r.bits, np.uint8)
         w.append(np.frombuffer(r.w, _U))
         nw.append(np.frombuffer(r.nw, np.int64))
     w, nw = (np.concatenate(x) if x else np.zeros(0, _U) for x in (w, nw))
     order = np.argsort(w)
-    return {"segments": segments, "bits": bits, "frequent": (w[order], nw[order].astype(np.int64)), "total": total, "distinct": distinct, "sb": sb}
+    return {"segments": segments, "bits": bits, "filter": built.select("segment", "bits") if sharded else None, "frequent": (w[order], nw[order].astype(np.int64)), "total": total, "distinct": distinct, "sb": sb}
 
 
 def find(keys: np.ndarray, sorted_keys: np.ndarray) -> np.ndarray:
@@ -243,6 +263,67 @@ def find(keys: np.ndarray, sorted_keys: np.ndarray) -> np.ndarray:
     return np.where(sorted_keys[at] == keys, at, -1)
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Numbered runs of documents."""
+    run = TaskContext.get().partitionId() << 40
+    for batch in batches:
+        for lo, hi, _, _ in tb.runs(batch.column(1), PROBE_BYTES):
+            cut = pa.array([0, hi - lo], pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([run], pa.int64()), *(pa.ListArray.from_arrays(cut, batch.column(i).slice(lo, hi - lo)) for i in (0, 1))], names=["run", "ids", "texts"])
+            run += 1
+
+
+def _ask(batches: Iterator[pa.RecordBatch], sb: int) -> Iterator[pa.RecordBatch]:
+    """A packet from each run to each group of segments: its distinct n-grams there, sorted by segment."""
+    for batch in batches:
+        for run, texts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            *_, seg, low = ngrams(*tb.buffers(texts.values), sb)
+            order = np.argsort(seg, kind="stable")
+            seg, low = seg[order], low[order]
+            cut = group_bounds(seg >> GROUP)
+            own = (seg & ((1 << GROUP) - 1)).astype(np.uint8)
+            n = len(cut) - 1
+            bodies = [[x[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)] for x in (own, low)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array((seg[cut[:-1]] >> GROUP).astype(np.int32)), pa.array(np.full(n, run, np.int64)), pa.array(np.zeros(n, np.int32)), *(pa.array(x, pa.binary()) for x in bodies)],
+                names=["group", "run", "segment", "own", "low"],
+            )
+
+
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Levels of each packet, in its order. A group's parts of the filter (run -1), by segment, come before its packets."""
+    group, part, bloom = -1, [], None
+    for batch in batches:
+        out: list[bytes] = []
+        asked = np.asarray(batch.column(1)) >= 0
+        for g, run, own, low in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3), batch.column(4), strict=True):
+            if run < 0:
+                if g != group:
+                    group, part, bloom = g, [], None
+                part.append(np.frombuffer(low.as_py(), np.uint8))
+                continue
+            if bloom is None:
+                bloom = LogBloom(np.concatenate(part), len(part))
+            out.append(bloom.levels(np.frombuffer(own.as_py(), np.uint8).astype(np.int64), np.frombuffer(low.as_py(), np.uint32)).astype(np.uint8).tobytes())
+        keep = pa.array(asked)
+        yield pa.RecordBatch.from_arrays([batch.column(1).filter(keep), batch.column(0).filter(keep), pa.array(out, pa.binary())], names=["run", "group", "levels"])
+
+
+def _with_levels(docs: DataFrame, model: dict) -> DataFrame:
+    """(run, group, ids, texts, levels): each run of documents (group -1), and after it the levels of its n-grams by group."""
+    spark, sb = docs.sparkSession, model["sb"]
+    n = partitions(spark)
+    runs = materialize(docs.mapInArrow(_runs, "run long, ids array<long>, texts array<string>"), "runs")
+    schema = "group int, run long, segment int, own binary, low binary"
+    asked = runs.select("run", "texts").mapInArrow(lambda it: _ask(it, sb), schema)
+    parts = model["filter"].select(F.shiftright("segment", GROUP).alias("group"), F.lit(-1).cast("long").alias("run"), "segment", F.lit(None).cast("binary").alias("own"), F.col("bits").alias("low"))
+    met = parts.union(asked).repartition(n, "group").sortWithinPartitions("group", "run", "segment")
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("ids", "array<long>"), ("texts", "array<string>"))]
+    levels = met.mapInArrow(_answer, "run long, group int, levels binary").select("run", "group", *none, "levels")
+    every = runs.select("run", F.lit(-1).alias("group"), "ids", "texts", F.lit(None).cast("binary").alias("levels")).union(levels)
+    return every.repartition(n, "run").sortWithinPartitions("run", "group")
+
+
 def score_texts(docs: DataFrame, model: dict, mod: int = 7, rest: int = 2) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row with a doc_id.
 
@@ -252,30 +333,49 @@ def score_texts(docs: DataFrame, model: dict, mod: int = 7, rest: int = 2) -> Da
     spark = docs.sparkSession
     total, distinct, sb = model["total"], model["distinct"], model["sb"]
     whole = math.log10(total + distinct + 1)
+    sharded = model["bits"] is None
     shared = spark.sparkContext.broadcast((model["bits"], *model["frequent"]))
 
+    def units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array, np.ndarray | None]]:
+        """Ids and texts with, where the filter is not broadcast, the levels of their n-grams by segment."""
+        if not sharded:
+            for batch in batches:
+                if batch.num_rows:
+                    yield batch.column(0), batch.column(1), None
+            return
+        own, levels = None, []
+        for batch in batches:
+            for group, ids, texts, got in zip(batch.column(1).to_pylist(), *(batch.column(i) for i in (2, 3, 4)), strict=True):
+                if group >= 0:
+                    levels.append(np.frombuffer(got.as_py(), np.uint8))
+                    continue
+                if own is not None:
+                    yield *own, np.concatenate(levels)
+                own, levels = (ids.values, texts.values), []
+        if own is not None:
+            yield *own, np.concatenate(levels)
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of documents (segment null) and packets of rare words (segment, hashes, number of the row from ``row`` on)."""
         bits, often, n_often = shared.value
-        bloom, log_often = LogBloom(bits, 1 << sb), np.log10(n_often + 1.0)
+        bloom, log_often = None if sharded else LogBloom(bits, 1 << sb), np.log10(n_often + 1.0)
         row = TaskContext.get().partitionId() << 40
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids = batch.column(0).to_pylist()
+        for ids, texts, levels in units(batches):
+            ids = ids.to_pylist()
             out = held_out(ids, mod, rest)
             ids = np.array(ids, np.int64)
             packets: dict[int, list] = defaultdict(list)
             rows = []
-            for lo, hi, data, off in tb.runs(batch.column(1)):
-                h, text = tokens(data, off)
-                place = _word_place(h)
-                two = bigrams(h, text)
+            for lo, hi, data, off in [(0, len(ids), *tb.buffers(texts))] if sharded else tb.runs(texts):
                 # one probe for each distinct n-gram of the run
-                u, back = np.unique(place, return_inverse=True)
-                c1 = LEVEL_COUNT[bloom.levels(_segment(u, sb), word_low(u))]
+                place, text, u, back, pair, seg, low = ngrams(data, off, sb)
+                if sharded:
+                    q = np.empty(len(seg), np.int64)
+                    q[np.argsort(seg, kind="stable")] = levels
+                else:
+                    q = bloom.levels(seg, low)
+                c1, c2 = LEVEL_COUNT[q[: len(u)]], LEVEL_COUNT[q[len(u) :]][pair]
                 at = find(u, often)
-                c2 = LEVEL_COUNT[bloom.levels(*_pair_place(two, sb))]
                 now = c1[back]
                 end = c1[np.searchsorted(u, _word_place(np.array([END])))[0]]
                 before = np.append(end, now[:-1])
@@ -310,7 +410,7 @@ def score_texts(docs: DataFrame, model: dict, mod: int = 7, rest: int = 2) -> Da
 
     schema = "segment int, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, keys binary, rows binary, row long"
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
-    scored = materialize(docs.mapInArrow(score, schema), "scores")
+    scored = materialize((_with_levels(docs, model) if sharded else docs).mapInArrow(score, schema), "scores")
 
     exact = model["segments"].select("segment", F.col("w").alias("keys"), F.col("nw").alias("rows"), F.lit(-1).cast("long").alias("row"))
     asked = scored.filter("segment is not null").select("segment", "keys", "rows", "row")

@@ -343,6 +343,19 @@ def test_scores_against_brute_force(spark, monkeypatch):
     assert bloom_lm.score_texts(d.union(d), model).count() == 2 * len(texts)
 
 
+def test_filter_beyond_the_broadcast_bound_scores_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    texts = [" ".join(rng.choice([f"w{i}" for i in range(200)], rng.integers(1, 60))) for _ in range(120)] + [None, "", LONG]
+    d = docs(spark, texts)
+    want = rows(bloom_lm.score_texts(d, bloom_lm.train(d)), "doc_id")
+    monkeypatch.setattr(bloom_lm, "MOST_BITS", 1 << 12)
+    monkeypatch.setattr(bloom_lm, "PROBE_BYTES", 1 << 10)
+    got = rows(bloom_lm.score_texts(d, bloom_lm.train(d)), "doc_id")
+    assert set(got) == set(want)
+    for i, r in got.items():
+        assert r[:5] == want[i][:5] and math.isclose(r.base_score, want[i].base_score) and math.isclose(r.score, want[i].score)
+
+
 def test_filter_has_no_false_negatives_and_few_false_positives():
     n = 20_000
     low, counts = (tb.numbers(30, n) >> np.uint64(32)).astype(np.uint32), np.random.default_rng(7).geometric(0.3, n)
