@@ -3,8 +3,8 @@
 Training. Each task packs the word and bigram counts of its documents by segment of a 64-bit hash and sends one row a
 segment, sorted, with words as full hashes and bigrams as 32 bits within their segment. Segments merge independently:
 exact word counts stay in a packed table; quantised counts of words and bigrams go into the segment's part of the
-filter, where an n-gram of level q = 1 + floor(log_B count) is a member under each of the levels 1..q. Bigrams seen
-once carry no filter entry (their estimate falls to the word's).
+filter, where an n-gram of level q = 1 + floor(log_B count) is a member under each of the levels 1..q. N-grams
+seen once are members under level 1.
 
 Scoring. The filter has ``BITS`` bits an n-gram at any size. One of at most ``MOST_BITS`` is broadcast. A larger one stays
 a table: runs of documents send packets of their distinct n-grams to the groups of segments that hold them, and the
@@ -35,8 +35,8 @@ _U = np.uint64
 BASE, HASHES, BITS, MOST_BITS = 1.5, 3, 14, 1 << 28
 #: Levels that the histogram of word counts tells apart.
 LEVELS = 80
-#: Words in the broadcast table of exact counts, at most; weight of bigrams; least count of a bigram in the filter.
-FREQUENT, BIGRAM_WEIGHT, LEAST_BIGRAM = 1 << 19, 0.6, 2
+#: Words in the broadcast table of exact counts, at most; weight of bigrams.
+FREQUENT, BIGRAM_WEIGHT = 1 << 19, 0.6
 #: Bytes of text that ask a filter that is not broadcast at once; bits of a segment's number within its group.
 PROBE_BYTES, GROUP = 1 << 22, 3
 #: Hash of the end token; words never hash to it (their hashes are odd).
@@ -194,7 +194,7 @@ def word_low(place: np.ndarray) -> np.ndarray:
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Merged segments: packed exact word counts, packed bigrams of at least LEAST_BIGRAM, totals and a histogram of levels."""
+    """Merged segments: packed exact word counts, packed counts of bigrams, totals and a histogram of levels."""
     for got in grouped(batches, ["segment"]):
         seg = np.asarray(got["segment"])
         cut = group_bounds(seg)
@@ -202,7 +202,6 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = {c: got[c][lo:hi].to_pylist() for c in ("w", "nw", "p", "np")}
             w, nw = _merge([np.frombuffer(x, _U) for x in part["w"]], [np.frombuffer(x, np.uint32) for x in part["nw"]])
             p, n2 = _merge([np.frombuffer(x, np.uint32) for x in part["p"]], [np.frombuffer(x, np.uint32) for x in part["np"]])
-            p, n2 = p[n2 >= LEAST_BIGRAM], n2[n2 >= LEAST_BIGRAM]
             hist = np.bincount(np.minimum(level(nw), LEVELS - 1), minlength=LEVELS)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([seg[lo]], pa.int32()), pa.array([w.tobytes()], pa.binary()), pa.array([nw.tobytes()], pa.binary()), pa.array([p.tobytes()], pa.binary()), pa.array([n2.astype(np.uint32).tobytes()], pa.binary()),

@@ -356,6 +356,17 @@ def test_filter_beyond_the_broadcast_bound_scores_the_same(spark, monkeypatch):
         assert r[:5] == want[i][:5] and math.isclose(r.base_score, want[i].base_score) and math.isclose(r.score, want[i].score)
 
 
+def test_bigrams_seen_once_count(spark):
+    ids = [i for i in range(1, 400) if zlib.crc32(str(i).encode()) % 7 != 2]
+    texts = [f"left{i} right{i}" for i in range(60)] * 2 + [f"left{i} right{i + 1}" for i in range(59)]
+    d = docs(spark, texts, ids)
+    got = rows(bloom_lm.score_texts(d, bloom_lm.train(d)), "doc_id")
+    ids = ids[:150]
+    new = docs(spark, [f"left{i} right{(i + 30) % 60}" for i in range(60)], [i + 1000 for i in range(60)])
+    unseen = [r.score for r in bloom_lm.score_texts(new, bloom_lm.train(d)).collect()]
+    assert np.median([got[i].score for i in ids[120:]]) > np.median(unseen) + 1
+
+
 def test_filter_has_no_false_negatives_and_few_false_positives():
     n = 20_000
     low, counts = (tb.numbers(30, n) >> np.uint64(32)).astype(np.uint32), np.random.default_rng(7).geometric(0.3, n)
