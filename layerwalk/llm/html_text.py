@@ -8,7 +8,9 @@ characters and LT tags inside links, all over its subtree, the composite density
 (Sun, Song and Liao, SIGIR 2011), where notLC = C - LC and the b values are those of the body; zero counts become 1. The
 subtree with the largest sum of its children's densities is the core of the page; elements that are boilerplate by name
 (unless they hold over half of the text, in several elements) cannot be it. The threshold is the least density
-on the path from the core to the body; within the core, elements below it that are boilerplate by name go.
+on the path from the body to the core and on to those of its children that hold, the densest first, nine tenths of their
+text (a subtree without links is denser than its parts, so the core itself would bar its equals). It holds for the whole body: under every element that reaches it, the subtree with the
+largest such sum is main text, as the core is. Within these, elements below it that are boilerplate by name go.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ import html
 import math
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -34,6 +37,8 @@ UNSEEN = frozenset("script style head title noscript template iframe noembed nof
 BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
+#: Share of the text of the core's children that reaches the threshold.
+MOST_TEXT = 0.9
 #: Elements that an opening tag closes, up to the nearest of the barriers.
 CLOSES = {
     "li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"),
@@ -171,10 +176,12 @@ def measure(root: Node) -> list[Node]:
     return found
 
 
-def core(root: Node) -> tuple[Node, float]:
-    """The element with the largest sum of its children's densities, and the least density on its path to the body.
+def cores(root: Node) -> tuple[list[Node], float]:
+    """The elements that hold the main text, in page order, none in another; and the threshold.
 
-    Elements named as boilerplate, and what they hold, cannot be the core. Of equal sums the outermost, first, counts.
+    The core is the element with the largest sum of its children's densities. Elsewhere in the body, the element with the
+    largest sum under any that reaches the threshold counts too. Elements named as boilerplate, and what they
+    hold, cannot be either. Of equal sums the outermost, first, counts.
     """
     found = measure(root)
     parent: dict[int, Node] = {}
@@ -187,26 +194,51 @@ def core(root: Node) -> tuple[Node, float]:
         for k in x.kids:
             if type(k) is Node and not k.off and not (k.mark or k.name == "header"):
                 parent[id(k)] = x
-    sums = [sum(k.density for k in x.kids if type(k) is Node and not k.off) for x in allowed]
-    best = max(range(len(allowed)), key=lambda i: (sums[i], -i))
-    if not sums[best]:
-        return root, 0.0
-    x, least = allowed[best], math.inf
+    best: dict[int, tuple[float, Node]] = {}
+    for x in reversed(allowed):
+        top = (sum(k.density for k in x.kids if type(k) is Node and not k.off), x)
+        for k in x.kids:
+            if type(k) is Node and id(k) in best and best[id(k)][0] > top[0]:
+                top = best[id(k)]
+        best[id(x)] = top
+    most, x = best[id(root)]
+    if not most:
+        return [root], 0.0
+    kids = sorted((k for k in x.kids if type(k) is Node and not k.off and k.density), key=lambda k: -k.density)
+    held = list(accumulate(k.chars for k in kids))
+    least = kids[next(i for i, n in enumerate(held) if n >= MOST_TEXT * held[-1])].density
     y: Node | None = x
     while y is not None:
         least = min(least, y.density)
         if y.name == "body":
             break
         y = parent.get(id(y))
-    # text that lies beside the children of the core in its own parent belongs to it
-    up = parent.get(id(x))
-    while up is not None and up.name in ("article", "main") or up is not None and x.name not in BLOCK:
-        x, up = up, parent.get(id(up))
-    return x, least
+
+    def whole(x: Node) -> Node:
+        """Text that lies beside the element in its own parent, or anywhere in its article, belongs to it."""
+        up = parent.get(id(x))
+        while up is not None and up.name in ("article", "main") or up is not None and x.name not in BLOCK:
+            x, up = up, parent.get(id(up))
+        while up is not None:
+            x, up = up if up.name == "article" else x, parent.get(id(up))
+        return x
+
+    kept = {id(whole(x))}
+    if least > 0:
+        kept |= {id(whole(best[id(y)][1])) for y in allowed if y.density >= least}
+    out: list[Node] = []
+    todo = [root]
+    while todo:
+        y = todo.pop()
+        if id(y) in kept:
+            out.append(y)
+        else:
+            todo.extend(k for k in reversed(y.kids) if type(k) is Node and id(k) in best)
+    return out, least
 
 
 def blocks(node: Node, threshold: float) -> list[str]:
-    """Texts of the blocks under the core in page order."""
+    """Texts of the blocks under an element in page order."""
     out: list[str] = []
     now: list[str] = []
 
@@ -239,8 +271,8 @@ def main_text(page: str | None) -> str:
     """The main text of a page; a null or empty page, or one without text, gives the empty string."""
     if not page:
         return ""
-    node, threshold = core(parse(page))
-    return " ".join(blocks(node, threshold))
+    nodes, threshold = cores(parse(page))
+    return " ".join(x for node in nodes for x in blocks(node, threshold))
 
 
 def extract(pages: DataFrame) -> DataFrame:

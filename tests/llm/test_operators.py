@@ -209,6 +209,15 @@ def test_main_text(page, text):
     assert html_text.main_text(page) == text
 
 
+@pytest.mark.parametrize("around", ["<body><div>{}</div>", "<body>{}", "<body><article><div class=wrap>{}</div></article>", "<body><div>{}</div><div><ul><li><a href=1>Home page</a><li><a href=2>News</a></ul></div>"])
+@pytest.mark.parametrize(("name", "sections", "paragraphs"), [("section", 2, 5), ("div", 3, 5), ("section", 4, 10)])
+def test_sibling_sections_are_all_main_text(around, name, sections, paragraphs):
+    paras = [passage(k, 45) for k in range(sections * paragraphs)]
+    body = "".join(f"<{name}>{''.join(f'<p>{p}</p>' for p in paras[k : k + paragraphs])}</{name}>" for k in range(0, len(paras), paragraphs))
+    page = "<html><head><title>T</title></head>" + around.format(body) + "<div class=sidebar>Ask us anything you like, any time</div></body></html>"
+    assert html_text.main_text(page) == " ".join(paras)
+
+
 def test_pages_keep_rows_and_columns(spark):
     p = spark.createDataFrame([(1, "u", "<p>x", "t"), (1, "u", "<p>x", "t"), (2, None, None, None), (3, "u", "<" * 5000, ""), (4, "u", "<div>" * 20_000 + "deep", "")], "page_id long, url string, html string, text string")
     got = html_text.extract(p).collect()
