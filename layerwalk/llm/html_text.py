@@ -10,7 +10,8 @@ subtree with the largest sum of its children's densities is the core of the page
 (unless they hold over half of the text, in several elements) cannot be it. The threshold is the least density
 on the path from the body to the core and on to those of its children that hold, the densest first, nine tenths of their
 text (a subtree without links is denser than its parts, so the core itself would bar its equals). It holds for the whole body: under every element that reaches it, the subtree with the
-largest such sum is main text, as the core is. Within these, elements below it that are boilerplate by name go.
+largest such sum is main text, as the core is. Within these, elements that are boilerplate by name go if they are below it or
+links dominate them. The id of a heading or paragraph names its topic, not its role.
 """
 
 from __future__ import annotations
@@ -46,6 +47,7 @@ CLOSES = {
 }
 CLOSES = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in CLOSES.items()}
 ENDS_P = BLOCK - frozenset("br body caption dd dt head html legend li option summary tbody td tfoot th thead title tr".split()) | {"p"}
+PROSE = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 #: Words of class, id and role that name what is not the article.
 NOT_MAIN = re.compile(
     r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|breadcrumbs?|sidebar|footer|masthead|banner|ads?|adverts?|advertisements?|advertising|promo|promotion|sponsor(?:ed)?|cookies?|consent|gdpr|notice|newsletter|subscribe|subscription|signup|login|popup|modal|overlay|share|sharing|social|related|recommend(?:ed|ations)?|comments?|disqus|replies|respond|pagination|pager|search|toolbar|widget|complementary|contentinfo|skip|copyright|legal|alert)(?:$|[\s_-])",
@@ -123,7 +125,7 @@ def parse(page: str) -> Node:
                 key, value = a[1].lower(), a[2] or a[3] or a[4] or ""
                 if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                     off = True
-                elif key in ("class", "id", "role") and NOT_MAIN.search(value):
+                elif (key in ("class", "role") or key == "id" and name not in PROSE) and NOT_MAIN.search(value):
                     mark = True
         node = Node(name, off or name in UNSEEN, mark)
         stack[-1].kids.append(node)
@@ -181,7 +183,7 @@ def cores(root: Node) -> tuple[list[Node], float]:
 
     The core is the element with the largest sum of its children's densities. Elsewhere in the body, the element with the
     largest sum under any that reaches the threshold counts too. Elements named as boilerplate, and what they
-    hold, cannot be either. Of equal sums the outermost, first, counts.
+    hold, cannot be either, nor do they add to a sum. Of equal sums the outermost, first, counts.
     """
     found = measure(root)
     parent: dict[int, Node] = {}
@@ -196,7 +198,7 @@ def cores(root: Node) -> tuple[list[Node], float]:
                 parent[id(k)] = x
     best: dict[int, tuple[float, Node]] = {}
     for x in reversed(allowed):
-        top = (sum(k.density for k in x.kids if type(k) is Node and not k.off), x)
+        top = (sum(k.density for k in x.kids if type(k) is Node and not k.off and not k.mark), x)
         for k in x.kids:
             if type(k) is Node and id(k) in best and best[id(k)][0] > top[0]:
                 top = best[id(k)]
@@ -215,7 +217,15 @@ def cores(root: Node) -> tuple[list[Node], float]:
         y = parent.get(id(y))
 
     def whole(x: Node) -> Node:
-        """Text that lies beside the element in its own parent, or anywhere in its article, belongs to it."""
+        """Text that lies beside the element in its own parent, or anywhere in its article, belongs to it.
+
+        Of a body, the one child with all its text stands for it, so that what is named as boilerplate beside it is outside.
+        """
+        while x.name in ("html", "body"):
+            own = [k for k in x.kids if (k.strip() if type(k) is str else not k.off and not k.mark and k.chars)]
+            if len(own) != 1 or id(own[0]) not in best:
+                break
+            x = own[0]
         up = parent.get(id(x))
         while up is not None and up.name in ("article", "main") or up is not None and x.name not in BLOCK:
             x, up = up, parent.get(id(up))
@@ -256,7 +266,8 @@ def blocks(node: Node, threshold: float) -> list[str]:
         elif type(x) is str:
             now.append(x)
         elif x is node or not x.off:
-            if x is not node and (x.mark or x.name == "header" and x.link_chars * 2 > x.chars) and (x.density < threshold or x.mark):
+            links = x.link_chars * 2 > x.chars
+            if x is not node and (x.mark and (links or x.density < threshold) or x.name == "header" and links and x.density < threshold):
                 flush()
                 continue
             if x.name in BLOCK:

@@ -218,6 +218,18 @@ def test_sibling_sections_are_all_main_text(around, name, sections, paragraphs):
     assert html_text.main_text(page) == " ".join(paras)
 
 
+def test_dense_elements_named_as_boilerplate_stay():
+    a, b, c, d = (passage(k, 45) for k in range(4))
+    links = "".join(f"<a href={k}>{passage(70 + k, 12)}</a> " for k in range(6))
+    page = (
+        f"<body><article><h2 id='the-social-network'>One</h2><p>{a}</p><h2 id=search-results>Two</h2><p class='legal notice'>{b}</p><section id='related-work'><p>{c}</p></section><p>{d}</p>"
+        f"<p class=share>Tell a friend</p><div class=related>{links}</div><h2 class=comments>Comments</h2></article></body>"
+    )
+    assert html_text.main_text(page) == f"One {a} Two {b} {c} {d}"
+    beside = f"<body><div class=ad>{a}</div><article><h1>Short</h1><p>{b[:30]}</article></body>"
+    assert html_text.main_text(beside) == f"Short {b[:30]}".strip()
+
+
 def test_pages_keep_rows_and_columns(spark):
     p = spark.createDataFrame([(1, "u", "<p>x", "t"), (1, "u", "<p>x", "t"), (2, None, None, None), (3, "u", "<" * 5000, ""), (4, "u", "<div>" * 20_000 + "deep", "")], "page_id long, url string, html string, text string")
     got = html_text.extract(p).collect()
