@@ -206,7 +206,7 @@ def drop_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int
         docs = docs.drop(c)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
     keys = texts.mapInArrow(lambda it: _keys(it, least_chars), "h1 long, h2 long, doc_id long")
-    found = keys.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper"), F.min("doc_id").alias("low"))
+    found = keys.groupBy("h1", "h2").agg(F.count_distinct("doc_id").alias("n"), F.max("doc_id").alias("keeper"))
     if docs.select("doc_id").schema[0].dataType.simpleString() not in ("bigint", "int"):
         raise TypeError("doc_id must be an integer")
     found = materialize(found.filter(F.col("n") >= least_docs), "lines")

@@ -178,6 +178,15 @@ def test_lines_against_brute_force(spark):
     assert sorted((r.doc_id, r.n_dropped) for r in twice) == sorted((i, w[1]) for i, w in want.items() for _ in (0, 1))
 
 
+def test_rows_of_one_id_are_one_document_of_a_line(spark):
+    a, b = passage(3, 8), passage(4, 8)
+    texts = [f"{a}\nown {i}" for i in range(3)] + [f"{b}\nown {i}" for i in range(5)]
+    d = docs(spark, texts)
+    want = brute_lines(dict(enumerate(texts, 1)))
+    got = line_dedup.drop_lines(d.union(d)).collect()
+    assert sorted((r.doc_id, r.n_dropped, r.text) for r in got) == sorted((i, w[1], w[2]) for i, w in want.items() for _ in (0, 1))
+
+
 def test_perfect_hash_places_every_key_once():
     for n in (1, 2, 5, 3000):
         h1, h2 = tb.numbers(20, n), tb.numbers(21, n)
