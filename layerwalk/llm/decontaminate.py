@@ -1,10 +1,11 @@
-"""Operator 6: benchmark decontamination by SimHash windows and multi-index Hamming blocks.
+"""Operator 6: benchmark decontamination by SimHash windows and a scan of Hamming blocks.
 
 For every benchmark item, windows of as many words as the item has slide over each whole document, word by word. A
-window's 128-bit SimHash over its five-word shingles is looked up in an index of the items of that size: the bits are
-cut into eight blocks, and by the pigeonhole principle a fingerprint within ``RADIUS`` bits agrees with the query in at
-least one block up to RADIUS // 8 bits, so the blocks find all of them. Candidates are verified by the exact weighted
-Jaccard similarity of both shingle multisets (weight: occurrences).
+window's 128-bit SimHash over its five-word shingles is held against all items of that size: the bits are cut into eight
+blocks, and by the pigeonhole principle a fingerprint within ``RADIUS`` bits agrees with the query in at least one block up
+to RADIUS // 8 bits, so the blocks find all of them. It is a scan: at this radius a block of an unrelated item is that near
+with probability 6885 / 65536, one of eight with 0.59, so tables of block values would lead to most items all the same.
+Candidates are verified by the exact weighted Jaccard similarity of both shingle multisets (weight: occurrences).
 
 Similarity 0.75 of two windows of S shingles needs at least 6 S / 7 common ones. Windows with fewer shingles of items
 of their size are therefore below it whatever their fingerprint, and are skipped before fingerprinting. The index
@@ -40,12 +41,21 @@ def fingerprints(h: np.ndarray) -> np.ndarray:
     return np.packbits(2 * votes > h.shape[1], axis=-1).view(np.uint16)
 
 
+#: Pairs of a window and an item that are held at once.
+HELD = 1 << 18
+
+
 def near(windows: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All (window, item) whose fingerprints are within RADIUS: some block is within RADIUS // BLOCKS, then all bits count."""
-    apart = np.bitwise_count(windows[:, None, :] ^ items[None, :, :]).astype(np.int32)
-    w, i = np.nonzero((apart <= RADIUS // BLOCKS).any(2))
-    keep = apart[w, i].sum(1) <= RADIUS
-    return w[keep], i[keep]
+    out = [(np.zeros(0, np.int64),) * 2]
+    wide = min(max(len(items), 1), HELD)
+    for i0 in range(0, len(items), wide):
+        for w0 in range(0, len(windows), HELD // wide):
+            apart = np.bitwise_count(windows[w0 : w0 + HELD // wide, None, :] ^ items[None, i0 : i0 + wide, :])
+            w, i = np.nonzero((apart <= RADIUS // BLOCKS).any(2))
+            keep = apart[w, i].sum(1, dtype=np.int32) <= RADIUS
+            out.append((w[keep] + w0, i[keep] + i0))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:

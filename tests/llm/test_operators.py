@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -313,6 +314,19 @@ def test_blocks_find_every_fingerprint_within_the_radius():
     assert {(k, k) for k in range(40)} <= set(zip(w.tolist(), i.tolist()))
 
 
+def test_memory_of_the_scan_does_not_follow_the_items():
+    rng = np.random.default_rng(5)
+    items, windows = (rng.integers(0, 1 << 16, (n, 8), dtype=np.uint16) for n in (2000, 1000))
+    windows[:50] = items[-50:] ^ np.uint16(1)
+    tracemalloc.start()
+    w, i = decontaminate.near(windows, items)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    apart = np.bitwise_count(windows[:, None, :] ^ items[None, :, :]).sum(2, dtype=np.int32)
+    assert set(zip(w.tolist(), i.tolist())) == set(zip(*(x.tolist() for x in np.nonzero(apart <= decontaminate.RADIUS)))) and len(w) >= 50
+    assert peak < 40_000_000
+
+
 # -- 7 ---------------------------------------------------------------------------------------------------------------
 
 
