@@ -22,9 +22,18 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id."""
+    """One document of each group of near copies: the one with the smallest id.
+
+    Of rows repeated under one id the one with the smallest text stays; every row without an id stays.
+    """
+    names = docs.columns
     kept = minhash_dedup.near_duplicates(docs).filter("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    out = docs.join(kept, "doc_id", "left_semi").select(*names)
+    often = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
+    if not often.isEmpty():
+        one = out.join(often, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", *(c for c in names if c != "text"))).alias("row"))
+        out = out.join(often, "doc_id", "left_anti").select(*names).union(one.select("row.*").select(*names))
+    return out.union(docs.filter("doc_id is null"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

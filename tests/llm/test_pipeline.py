@@ -62,6 +62,16 @@ def test_stages_in_order_and_columns(spark, tables):
         assert stage(spark, odd, d).columns == odd.columns
 
 
+def test_near_duplicates_of_null_and_repeated_ids(spark):
+    a, b, c = (passage(k, 30) for k in (1, 2, 3))
+    rows = [(1, a), (2, a), (3, b), (3, b), (3, b), (None, a), (None, a), (None, None), (4, c), (5, ""), (5, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], DOCS)
+    got = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns
+    want = [(1, a), (3, b), (4, c), (5, ""), (None, a), (None, a), (None, None)]
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in got.collect()))) == sorted(map(repr, want))
+
+
 def test_run_against_brute_force(spark, tables):
     d, texts = tables
     docs = spark.read.parquet(f"{d}/documents.parquet")
