@@ -1,13 +1,15 @@
 """Operator 3: line dedup over a sharded minimal perfect hash.
 
-1. One pass cuts the texts into lines, makes the 128-bit hash of each distinct long key of a document, and a partially
-   aggregated count gives every key its number of documents and its largest document.
-2. Keys of enough documents are dealt by hash to shards of bounded size. Each shard builds a minimal perfect hash
-   (hash, displace and compress: buckets placed largest first, each by the first seed that finds free slots) with
-   three arrays in slot order: fingerprint, count and keeper. A shard is one row of bytes.
+1. One pass cuts the texts into lines and makes the 128-bit hash of each distinct long key of a document. A partially
+   aggregated count gives every distinct hash its number of documents and its largest document.
+2. All distinct hashes are dealt to shards of bounded size. Each shard builds a minimal perfect hash over its hashes
+   (levels of bit arrays, Limasset et al., SEA 2017: at each level the hashes that have a place alone stay there, the others go on
+   to the next; a hash's rank among the set bits is its slot) with arrays in slot order: fingerprint, count and
+   keeper. A shard is one row of bytes.
 3. Documents send one packet of line hashes to each shard they touch. Packets of a shard are dealt over many tasks;
-   each task gets the shard's row first and probes its arrays. No line is joined with a line, and no task needs more
-   than one shard. Dropped hashes then meet the whole text once, where the kept lines are written.
+   each task gets the shard's row first and probes its arrays: whether a line goes is read from the count there. No line
+   is joined with a line, and no task needs more than one shard. Dropped hashes then meet the whole text once, where
+   the kept lines are written.
 """
 
 from __future__ import annotations
@@ -25,9 +27,9 @@ from . import textbuf as tb
 from .common import group_bounds, grouped, materialize, partitions, table
 
 LEAST_CHARS, LEAST_DOCS = 40, 5
-#: Keys aimed at in a shard, and keys in a bucket of the perfect hash.
-SHARD_KEYS, BUCKET_KEYS = 1 << 16, 4
-_SALTS = tb.numbers(5, 4)
+#: Keys aimed at in a shard; bits a key at a level of the perfect hash, and levels.
+SHARD_KEYS, LEVEL_BITS, LEVELS = 1 << 16, 2, 48
+_SALTS = tb.numbers(5, LEVELS)
 
 
 def line_key(line: bytes) -> bytes:
@@ -66,97 +68,90 @@ def _keys(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBa
 # -- the perfect hash of one shard ---------------------------------------------------------------------------------
 
 
-def _slot(h: np.ndarray, seed: np.ndarray, n: int) -> np.ndarray:
-    return (tb.mix(h ^ (seed.astype(np.uint64) * _SALTS[1])) % np.uint64(n)).astype(np.int64)
-
-
-def _bucket(h: np.ndarray, n: int) -> np.ndarray:
-    return (tb.mix(h ^ _SALTS[0]) % np.uint64(n)).astype(np.int64)
+def _places(h1: np.ndarray, h2: np.ndarray, level: int, bits: int) -> np.ndarray:
+    return (tb.mix(tb.mix(h1 ^ _SALTS[level]) + h2) % np.uint64(bits)).astype(np.int64)
 
 
 def build_shard(h1: np.ndarray, h2: np.ndarray, count: np.ndarray, keeper: np.ndarray) -> bytes:
-    """Seeds of all buckets and, in slot order, fingerprints, counts and keepers of distinct keys ``h1``.
+    """The perfect hash of distinct (h1, h2) and, in slot order, fingerprints (32 bits), counts and keepers.
 
-    Keys that share ``h1`` with another cannot be placed apart and follow the arrays as a short list.
+    Hashes that no level tells apart (none in practice) get the last slots and follow the arrays as a short list.
     """
-    first = np.unique(h1, return_index=True)[1]
-    more = np.setdiff1d(np.arange(len(h1)), first)
-    tail = b"".join(x[more].astype(np.int64).tobytes() for x in (h1.view(np.int64), h2.view(np.int64), count, keeper))
-    h1, h2, count, keeper = (x[first] for x in (h1, h2, count, keeper))
     n = len(h1)
-    m = max(1, -(-n // BUCKET_KEYS))
-    of = _bucket(h1, m)
-    order = np.argsort(of, kind="stable")
-    size = np.bincount(of, minlength=m)
-    start = np.cumsum(size) - size
-    seeds, taken, slot_of = np.zeros(m, np.uint32), np.zeros(n, bool), np.zeros(n, np.int64)
-    tries = np.arange(64, dtype=np.uint32)
-    for b in np.argsort(-size, kind="stable"):
-        if not size[b]:
-            break
-        own = order[start[b] : start[b] + size[b]]
-        first = 0
-        while True:
-            seed = tries + np.uint32(first)
-            slots = _slot(h1[own][None, :], seed[:, None], n)
-            free = ~taken[slots].any(1)
-            if size[b] > 1:
-                s = np.sort(slots, 1)
-                free &= (s[:, 1:] != s[:, :-1]).all(1)
-            ok = np.flatnonzero(free)
-            if len(ok):
-                seeds[b] = seed[ok[0]]
-                slot_of[own] = slots[ok[0]]
-                taken[slots[ok[0]]] = True
-                break
-            first += len(tries)
-            tries = np.arange(min(4 * len(tries), 1 << 14), dtype=np.uint32)
-        tries = tries if size[b] == 1 else np.arange(64, dtype=np.uint32)
-    at = np.empty(n, np.int64)
-    at[slot_of] = np.arange(n)
-    head = np.array([n, m], np.int64)
-    return b"".join(x.tobytes() for x in (head, h2[at].astype(np.uint64), count[at].astype(np.int64), keeper[at].astype(np.int64), seeds)) + tail
+    left, sizes, planes, slots = np.arange(n), [], [], []
+    while len(left) and len(sizes) < LEVELS:
+        bits = max(8, -(-LEVEL_BITS * len(left) // 8) * 8)
+        at = _places(h1[left], h2[left], len(sizes), bits)
+        alone = np.bincount(at, minlength=bits) == 1
+        sizes.append(bits)
+        planes.append(np.packbits(alone, bitorder="little"))
+        own = alone[at]
+        slots.append(left[own][np.argsort(at[own])])
+        left = left[~own]
+    order = np.concatenate([*slots, left]) if n else left
+    arrays = [tb.mix(h2[order] ^ h1[order]).astype(np.uint32), np.minimum(count[order], 0xFFFFFFFF).astype(np.uint32), keeper[order].astype(np.int64)]
+    more = np.stack([h1[left], h2[left]])
+    head = np.array([n, len(left), len(sizes), *sizes], np.int64)
+    return b"".join(x.tobytes() for x in (head, *arrays, more, *planes))
 
 
 class Shard:
     """Probes of a built shard."""
 
     def __init__(self, raw: bytes):
-        self.n, m = (int(x) for x in np.frombuffer(raw, np.int64, 2))
-        at = 16
-        self.mark = np.frombuffer(raw, np.uint64, self.n, at)
-        self.count = np.frombuffer(raw, np.int64, self.n, at + 8 * self.n)
-        self.keeper = np.frombuffer(raw, np.int64, self.n, at + 16 * self.n)
-        self.seeds = np.frombuffer(raw, np.uint32, m, at + 24 * self.n)
-        more = np.frombuffer(raw[at + 24 * self.n + 4 * m :], np.int64).reshape(4, -1)
-        self.more = [(int(a), int(b), self.n + i) for i, (a, b) in enumerate(more[:2].view(np.uint64).T)]
-        if self.more:
-            self.count, self.keeper = np.append(self.count, more[2]), np.append(self.keeper, more[3])
+        self.n, n_more, levels = (int(x) for x in np.frombuffer(raw, np.int64, 3))
+        self.sizes = np.frombuffer(raw, np.int64, levels, 24).tolist()
+        at = 24 + 8 * levels
+        self.mark, self.count = (np.frombuffer(raw, np.uint32, self.n, at + 4 * self.n * k) for k in (0, 1))
+        self.keeper = np.frombuffer(raw[at + 8 * self.n : at + 16 * self.n], np.int64)
+        at += 16 * self.n
+        more = np.frombuffer(raw[at : at + 16 * n_more], np.uint64).reshape(2, -1)
+        self.more = [(a, b, self.n - n_more + i) for i, (a, b) in enumerate(more.T)]
+        at += 16 * n_more
+        self.planes, self.ranks, seen = [], [], 0
+        for bits in self.sizes:
+            plane = np.unpackbits(np.frombuffer(raw, np.uint8, bits // 8, at), bitorder="little")
+            self.planes.append(plane.view(bool))
+            self.ranks.append(np.cumsum(plane, dtype=np.int32) + (seen - 1))
+            seen += int(plane.sum())
+            at += bits // 8
 
     def probe(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
-        """Place of each key in the arrays, or -1 where the fingerprint there is another's."""
-        slot = _slot(h1, self.seeds[_bucket(h1, len(self.seeds))], self.n)
-        slot = np.where(self.mark[slot] == h2, slot, -1)
+        """Slot of each hash, or -1 where the fingerprint there is another's."""
+        slot = np.full(len(h1), -1)
+        left = np.arange(len(h1))
+        for level, bits in enumerate(self.sizes):
+            at = _places(h1[left], h2[left], level, bits)
+            hit = self.planes[level][at]
+            slot[left[hit]] = self.ranks[level][at[hit]]
+            left = left[~hit]
+            if not len(left):
+                break
         for a, b, i in self.more:
-            slot[(h1 == np.uint64(a)) & (h2 == np.uint64(b))] = i
+            slot[(h1 == a) & (h2 == b)] = i
+        wrong = (slot >= 0) & (self.mark[slot] != tb.mix(h2 ^ h1).astype(np.uint32)) if self.n else slot >= 0
+        slot[wrong] = -1
         return slot
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _shards(batches: Iterator[pa.RecordBatch], salts: dict[int, int]) -> Iterator[pa.RecordBatch]:
+    """Built shards, one row for each salt of theirs."""
     for got in grouped(batches, ["shard"]):
         shard = np.asarray(got["shard"])
-        at = group_bounds(shard)
+        cut = group_bounds(shard)
         h1, h2 = (np.asarray(got[c]).view(np.uint64) for c in ("h1", "h2"))
         n, keeper = np.asarray(got["n"]), np.asarray(got["keeper"])
-        rows = [build_shard(h1[i:j], h2[i:j], n[i:j], keeper[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(shard[at[:-1]]), pa.array(rows, pa.binary())], names=["shard", "body"])
+        for i, j in zip(cut[:-1], cut[1:], strict=True):
+            body, m = build_shard(h1[i:j], h2[i:j], n[i:j], keeper[i:j]), salts.get(int(shard[i]), 1)
+            for k in range(m):
+                yield pa.RecordBatch.from_arrays([pa.array([shard[i]], pa.int64()), pa.array([k], pa.int64()), pa.array([body], pa.binary())], names=["shard", "salt", "body"])
 
 
 def _shard_of(h1: np.ndarray, shards: int) -> np.ndarray:
     return (h1 >> np.uint64(40)).astype(np.int64) % shards
 
 
-def _packets(batches: Iterator[pa.RecordBatch], shards: int, salts: int, least: int) -> Iterator[pa.RecordBatch]:
+def _packets(batches: Iterator[pa.RecordBatch], shards: int, salts: dict[int, int], least: int) -> Iterator[pa.RecordBatch]:
     """One row for each document and shard: the hashes of its distinct long keys, 16 bytes a key."""
     for batch in batches:
         out = defaultdict(list)
@@ -168,14 +163,17 @@ def _packets(batches: Iterator[pa.RecordBatch], shards: int, salts: int, least:
             to = _shard_of(pack[:, 0], shards)
             for s in np.unique(to):
                 out["shard"].append(int(s))
-                out["salt"].append(doc % salts)
+                out["salt"].append(doc % salts.get(int(s), 1))
                 out["doc_id"].append(doc)
                 out["body"].append(np.ascontiguousarray(pack[to == s]).tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(out["shard"], pa.int64()), pa.array(out["salt"], pa.int64()), pa.array(out["doc_id"], pa.int64()), pa.array(out["body"], pa.binary())], names=["shard", "salt", "doc_id", "body"])
 
 
-def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (shard, salt, doc_id) with the shard's own row, of a null doc_id, before its packets."""
+def _probe(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (shard, salt, doc_id) with the shard's own row, of a null doc_id, before its packets.
+
+    Out come the hashes (16 bytes each) whose count reaches ``least`` and that another document keeps.
+    """
     now, shard = None, None
     for batch in batches:
         out = defaultdict(list)
@@ -185,11 +183,11 @@ def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             elif now is not None and s == shard:
                 pack = np.frombuffer(body.as_py(), np.uint64).reshape(-1, 2)
                 slot = now.probe(pack[:, 0], pack[:, 1])
-                lost = (slot >= 0) & (now.keeper[slot] != doc)
+                lost = (slot >= 0) & (now.count[slot] >= least) & (now.keeper[slot] != doc)
                 if lost.any():
                     out["doc_id"].append(doc)
-                    out["lost"].append(pack[lost, 0].view(np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(out["doc_id"], pa.int64()), pa.array(out["lost"], pa.list_(pa.int64()))], names=["doc_id", "lost"])
+                    out["lost"].append(pack[lost].tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(out["doc_id"], pa.int64()), pa.array(out["lost"], pa.binary())], names=["doc_id", "lost"])
 
 
 def drop_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS) -> DataFrame:
@@ -209,16 +207,20 @@ def drop_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int
     found = keys.groupBy("h1", "h2").agg(F.count_distinct("doc_id").alias("n"), F.max("doc_id").alias("keeper"))
     if docs.select("doc_id").schema[0].dataType.simpleString() not in ("bigint", "int"):
         raise TypeError("doc_id must be an integer")
-    found = materialize(found.filter(F.col("n") >= least_docs), "lines")
+    found = materialize(found, "lines")
+    parts = partitions(spark)
     shards = max(1, -(-found.count() // SHARD_KEYS))
-    salts = max(1, -(-partitions(spark) // shards))
     made = found.withColumn("shard", F.expr(f"cast(shiftrightunsigned(h1, 40) % {shards} as bigint)"))
-    made = made.repartition(min(shards, partitions(spark)), "shard").sortWithinPartitions("shard")
-    made = made.select("shard", "h1", "h2", "n", "keeper").mapInArrow(_shards, "shard long, body binary")
-    made = made.select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"), F.lit(None).cast("long").alias("doc_id"), "body")
+    # a shard that holds a frequent line gets many packets: it is copied, and its packets are dealt over the copies
+    loads = made.groupBy("shard").agg(F.sum("n").alias("n"))
+    fair = max(1, (loads.agg(F.sum("n")).first()[0] or 0) // (2 * parts))
+    salts = {r.shard: -(-r.n // fair) for r in loads.filter(F.col("n") > fair).collect()}  # at most two a partition
+    made = made.repartition(min(shards, parts), "shard").sortWithinPartitions("shard")
+    made = made.select("shard", "h1", "h2", "n", "keeper").mapInArrow(lambda it: _shards(it, salts), "shard long, salt long, body binary")
+    made = made.select("shard", "salt", F.lit(None).cast("long").alias("doc_id"), "body")
     sent = texts.mapInArrow(lambda it: _packets(it, shards, salts, least_chars), "shard long, salt long, doc_id long, body binary")
-    met = made.union(sent).repartition(min(shards * salts, 8 * partitions(spark)), "shard", "salt").sortWithinPartitions("shard", "salt", F.asc_nulls_first("doc_id"))
-    lost = met.mapInArrow(_probe, "doc_id long, lost array<long>").groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("lost"))).alias("_lost"))
+    met = made.union(sent).repartition(parts, "shard", "salt").sortWithinPartitions("shard", "salt", F.asc_nulls_first("doc_id"))
+    lost = met.mapInArrow(lambda it: _probe(it, least_docs), "doc_id long, lost binary").distinct().groupBy("doc_id").agg(F.collect_list("lost").alias("_lost"))
     out = docs.join(lost, "doc_id", "left").select(*docs.columns, "_lost")
     names, at = out.columns, out.columns.index("text")
 
@@ -230,8 +232,8 @@ def drop_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int
                 total = (t or "").count("\n") + 1
                 dropped = 0
                 if lost:
-                    lost = {x & 0xFFFFFFFFFFFFFFFF for x in lost}
-                    out_lines = {i for i, k in _long_lines(t, least_chars) if _hash(k)[0] in lost}
+                    lost = {tuple(x) for part in lost for x in np.frombuffer(part, np.uint64).reshape(-1, 2).tolist()}
+                    out_lines = {i for i, k in _long_lines(t, least_chars) if _hash(k) in lost}
                     dropped = len(out_lines)
                     t = "\n".join(x for i, x in enumerate(t.split("\n")) if i not in out_lines)
                 new.append(t)

@@ -198,6 +198,14 @@ def test_perfect_hash_places_every_key_once():
         assert (s.probe(tb.numbers(22, n), tb.numbers(23, n)) < 0).all()
 
 
+def test_hashes_that_no_level_tells_apart_follow_as_a_list(monkeypatch):
+    monkeypatch.setattr(line_dedup, "LEVELS", 1)
+    h1, h2, at = tb.numbers(20, 500), tb.numbers(21, 500), np.arange(500)
+    s = line_dedup.Shard(line_dedup.build_shard(h1, h2, at, at + 5))
+    place = s.probe(h1, h2)
+    assert s.more and sorted(place) == list(range(500)) and (s.count[place] == at).all() and (s.keeper[place] == at + 5).all()
+
+
 # -- 4 ---------------------------------------------------------------------------------------------------------------
 
 PARA = "<p>" + "The river ran past the old mill and on to the sea, and nobody minded it. " * 4
