@@ -5,8 +5,8 @@ run under learned filters of ``WIDTH`` bytes at every ``STRIDE`` and are max-poo
 largest, the smallest and the mean over all chunks are kept, beside its mean rectified response, and one logistic unit
 combines them into the probability of label 1. Only the bytes of the text are inputs.
 
-Training runs Adam on a sample of at most ``SAMPLE`` labelled rows with at most ``TRAIN_CHUNKS`` chunks of each, for a
-fixed number of steps; scoring reads every byte of every text.
+Training runs Adam on a sample of at most ``SAMPLE`` labelled rows, for a fixed number of steps. Training and scoring read
+every byte of a text; chunks go through the layer in slices, so that memory does not follow the length of texts.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ from .common import table
 
 #: Bytes of a chunk and of a filter, and between the positions of a filter; sizes of a byte vector and of the layer.
 CHUNK, WIDTH, STRIDE, DIM, FILTERS = 512, 8, 4, 6, 40
-#: Labelled rows that a model is fitted on, at most; chunks of a text seen in a step; steps and texts a step.
-SAMPLE, TRAIN_CHUNKS, STEPS, BATCH = 3000, 8, 700, 32
+#: Labelled rows that a model is fitted on, at most; steps, texts a step, and chunks that training holds at once.
+SAMPLE, STEPS, BATCH, SLICE = 3000, 700, 32, 512
 THRESHOLD = 0.3
 #: A chunk begins this many bytes after the last, so that every window of WIDTH bytes lies in one.
 HOP = CHUNK - WIDTH + STRIDE
@@ -68,6 +68,49 @@ def pooled(peak: np.ndarray, mean: np.ndarray, first: np.ndarray, per: np.ndarra
     return np.concatenate([np.maximum.reduceat(peak, first), np.minimum.reduceat(peak, first), np.add.reduceat(peak, first) / per, np.add.reduceat(mean, first) / per], 1)
 
 
+def _layer(net: Net, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows, their vectors, and rectified responses (chunks, positions, FILTERS) of chunks."""
+    win = _windows(codes)
+    n, p = win.shape[:2]
+    x = net.vectors[win].reshape(n * p, WIDTH * DIM)
+    return win, x, np.maximum(x @ net.filters + net.bias, 0).reshape(n, p, FILTERS)
+
+
+def gradient(net: Net, texts: list[np.ndarray], y: np.ndarray) -> tuple[float, list[np.ndarray]]:
+    """Mean log loss of whole texts and its gradient by the parameters. A second pass over the slices carries it back."""
+    codes = [chunk_codes(t) for t in texts]
+    per = np.array([len(c) for c in codes])
+    of, first = np.repeat(np.arange(len(texts)), per), np.cumsum(per) - per
+    codes = np.concatenate(codes)
+    cuts = range(0, len(codes), SLICE)
+    kept, peak, mean = None, np.empty((len(codes), FILTERS), np.float32), np.empty((len(codes), FILTERS), np.float32)
+    for lo in cuts:
+        kept = _layer(net, codes[lo : lo + SLICE])
+        peak[lo : lo + SLICE], mean[lo : lo + SLICE] = kept[2].max(1), kept[2].mean(1)
+    per = per.astype(np.float32)[:, None]
+    h = pooled(peak, mean, first, per)
+    z = np.clip(h @ net.weights + net.offset, -30, 30)
+    d = ((1 / (1 + np.exp(-z)) - y) / len(y)).astype(np.float32)
+    dh = d[:, None] * net.weights
+    top, low, avg, all_ = (dh[:, k * FILTERS : (k + 1) * FILTERS] for k in range(4))
+    g_v, g_f, g_b = np.zeros((257, DIM)), np.zeros_like(net.filters), np.zeros_like(net.bias)
+    for lo in cuts:
+        win, x, r = kept if len(cuts) == 1 else _layer(net, codes[lo : lo + SLICE])
+        t, (n, p) = of[lo : lo + SLICE], win.shape[:2]
+        tip = peak[lo : lo + SLICE]
+        dpeak = (tip == h[t, :FILTERS]) * top[t] + (tip == h[t, FILTERS : 2 * FILTERS]) * low[t] + (avg / per)[t]
+        dr = (all_ / (p * per))[t][:, None, :] * (r > 0)
+        spot = r.argmax(1)[:, None]
+        np.put_along_axis(dr, spot, np.take_along_axis(dr, spot, 1) + (dpeak * (tip > 0))[:, None], 1)
+        dr = dr.reshape(n * p, FILTERS).astype(np.float32)
+        g_f += x.T @ dr
+        g_b += dr.sum(0)
+        dx, flat = (dr @ net.filters.T).reshape(-1, DIM), win.reshape(-1)
+        g_v += np.stack([np.bincount(flat, dx[:, k], 257) for k in range(DIM)], 1)
+    loss = float(np.mean(np.logaddexp(0, z) - y * z))
+    return loss, [g_v.astype(np.float32), g_f, g_b, h.T @ d, d.sum(keepdims=True)]
+
+
 def fit(texts: list[bytes], labels: np.ndarray) -> Net:
     """A net fitted by Adam; with one label only, a constant."""
     net = new_net()
@@ -81,37 +124,10 @@ def fit(texts: list[bytes], labels: np.ndarray) -> Net:
     m, v = ([np.zeros_like(p) for p in net.params()] for _ in range(2))
     for step in range(1, STEPS + 1):
         pick = np.concatenate([rng.choice(s, BATCH // 2) for s in sides])
-        codes, of = [], []
-        for i, d in enumerate(pick):
-            c = chunk_codes(np.frombuffer(texts[d], np.uint8))
-            c = c[np.sort(rng.permutation(len(c))[:TRAIN_CHUNKS])]
-            codes.append(c)
-            of += [i] * len(c)
-        win = _windows(np.concatenate(codes))
-        n, p = win.shape[:2]
-        x = net.vectors[win].reshape(n * p, WIDTH * DIM)
-        r = np.maximum(x @ net.filters + net.bias, 0).reshape(n, p, FILTERS)
-        first = np.searchsorted(of, np.arange(BATCH))
-        of = np.array(of)
-        per = np.bincount(of, minlength=BATCH).astype(np.float32)[:, None]
-        spot = r.argmax(1)
-        peak = np.take_along_axis(r, spot[:, None], 1)[:, 0]
-        h = pooled(peak, r.mean(1), first, per)
-        prob = 1 / (1 + np.exp(-np.clip(h @ net.weights + net.offset, -30, 30)))
-        d = ((prob - y[pick]) / BATCH).astype(np.float32)
-        dh = d[:, None] * net.weights
-        g_w, g_o = h.T @ d + 1e-4 * net.weights, d.sum(keepdims=True)
-        top, low, avg, mean = (dh[of, k * FILTERS : (k + 1) * FILTERS] for k in range(4))
-        dpeak = (peak == h[of, :FILTERS]) * top + (peak == h[of, FILTERS : 2 * FILTERS]) * low + avg / per[of]
-        dr = (mean / (p * per[of]))[:, None, :] * (r > 0)
-        np.put_along_axis(dr, spot[:, None], np.take_along_axis(dr, spot[:, None], 1) + (dpeak * (peak > 0))[:, None], 1)
-        dr = dr.reshape(n * p, FILTERS).astype(np.float32)
-        g_f, g_b = x.T @ dr, dr.sum(0)
-        dx = (dr @ net.filters.T).reshape(-1, DIM)
-        flat = win.reshape(-1)
-        g_v = np.stack([np.bincount(flat, dx[:, k], 257) for k in range(DIM)], 1).astype(np.float32)
+        _, found = gradient(net, [np.frombuffer(texts[d], np.uint8) for d in pick], y[pick])
+        found[3] += 1e-4 * net.weights
         rate = 0.02 * (1 - step / (STEPS + 1)) + 1e-4
-        for q, g, a, b in zip(net.params(), (g_v, g_f, g_b, g_w, g_o), m, v, strict=True):
+        for q, g, a, b in zip(net.params(), found, m, v, strict=True):
             a *= 0.9
             a += 0.1 * g
             b *= 0.99
@@ -153,10 +169,7 @@ def train(docs: DataFrame, labels: DataFrame, mod: int = 5, rest: int = 0) -> Ne
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ours).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
-    most = TRAIN_CHUNKS * HOP
-    # of a long text, one stretch of `most` characters from a place that its id decides
-    at = F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - most, F.lit(0)) + 1).cast("int") + 1
-    rows = text.join(F.broadcast(known), "doc_id").select("doc_id", "quality", F.substring(F.coalesce("text", F.lit("")), at, F.lit(most)).alias("text")).groupBy("doc_id", "quality").agg(F.max("text").alias("text"))
+    rows = text.join(F.broadcast(known), "doc_id").groupBy("doc_id", "quality").agg(F.max(F.coalesce("text", F.lit(""))).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = sorted({r["doc_id"]: r for b in batches for r in b.to_pylist()}.values(), key=lambda r: r["doc_id"])

@@ -139,6 +139,55 @@ def test_quality_learns_and_scores_every_text(spark):
     assert len({r.score for r in quality_cnn.score_texts(d, one).collect()}) == 1
 
 
+def plain_probability(net, text):
+    """The forward pass by loops over chunks, places and filters."""
+    peaks, means = [], []
+    for chunk in quality_cnn.chunk_codes(np.frombuffer(text, np.uint8)):
+        got = []
+        for at in range(0, len(chunk) - quality_cnn.WIDTH + 1, quality_cnn.STRIDE):
+            x = np.concatenate([net.vectors[b] for b in chunk[at : at + quality_cnn.WIDTH]]).astype(float)
+            got.append([max(0.0, float(x @ net.filters[:, f]) + float(net.bias[f])) for f in range(quality_cnn.FILTERS)])
+        peaks.append(np.max(got, 0))
+        means.append(np.mean(got, 0))
+    h = np.concatenate([np.max(peaks, 0), np.min(peaks, 0), np.mean(peaks, 0), np.mean(means, 0)])
+    return 1 / (1 + math.exp(-float(h @ net.weights + net.offset[0])))
+
+
+def random_net(seed):
+    rng = np.random.default_rng(seed)
+    net = quality_cnn.new_net()
+    net.weights += rng.standard_normal(len(net.weights)).astype(np.float32) * 0.2
+    net.bias += rng.standard_normal(len(net.bias)).astype(np.float32) * 0.1
+    return net
+
+
+def test_scores_equal_a_plain_forward_pass():
+    import pyarrow as pa
+
+    net, texts = random_net(1), ["", "short", passage(1, 60), passage(2, 300), "é" * 700]
+    got = quality_cnn.score(net, *tb.buffers(pa.array(texts)))
+    assert np.allclose(got, [plain_probability(net, t.encode()) for t in texts], atol=1e-4)
+
+
+def test_gradients_equal_differences_also_in_slices(monkeypatch):
+    net, y = random_net(2), np.array([1, 0, 1], np.float32)
+    for q in ("vectors", "filters", "bias", "weights", "offset"):
+        setattr(net, q, getattr(net, q).astype(np.float64))
+    texts = [np.frombuffer(passage(k, 40 + 150 * k).encode(), np.uint8) for k in range(3)]
+    _, found = quality_cnn.gradient(net, texts, y)
+    monkeypatch.setattr(quality_cnn, "SLICE", 2)
+    for a, b in zip(found, quality_cnn.gradient(net, texts, y)[1]):
+        assert np.allclose(a, b, atol=1e-5)
+    for g, q in zip(found, net.params()):
+        at = np.unravel_index(np.argmax(np.abs(g)), g.shape)
+        keep, step, loss = q[at], 1e-4, []
+        for s in (1, -1):
+            q[at] = keep + s * step
+            loss.append(quality_cnn.gradient(net, texts, y)[0])
+        q[at] = keep
+        assert math.isclose((loss[0] - loss[1]) / (2 * step), g[at], rel_tol=0.05, abs_tol=1e-4)
+
+
 def test_chunks_cover_every_byte():
     for n in (0, 1, 511, 512, 513, 1020, 1021, 5000):
         data = np.arange(n) % 251
