@@ -1,22 +1,28 @@
 """Operator 10: personal data by patterns and a skip-chain conditional random field.
 
-Base spans are found by four patterns in every whole text. A text with such a candidate (an @ or a digit) then goes
-through a linear chain over its tokens (words at 0x20 and 0x09-0x0D), with two labels: private or not. Besides
-neighbours, distant tokens share a potential when they repeat or resemble each other (the same letters and digits once
-case and punctuation are gone, or one contains the other's e-mail name): loopy belief propagation over chain and skip
-edges makes their labels agree across the document. A skip edge joins each token to the nearest one before it of its
-key, so edges grow with the text, not with the square of a repeated token. Runs of tokens labelled private that no
-base span covers become spans of the kind ``other``, e.g. a number repeated without its prefix or an access key.
-
-Emission weights are fitted by logistic regression on a bounded sample of texts against the base spans, with features of
-a token's shape only that do not repeat the patterns; transition and skip potentials are log odds counted on the same
-sample.
+Base spans are found by four patterns in every whole text and are fixed evidence. A text is then a sequence of tokens
+(runs of letters, digits and ``. _ % + @ / -``), each labelled none, email, ip, card, phone or secret by a linear
+chain with skip edges. Each token that could name an entity (it holds a digit or @, is as long as a key, or repeats the name
+part of an address in the text) is joined by a skip edge to the nearest earlier one of its key: letters and digits without
+case or punctuation, the name part of an address, or the last seven digits of a longer number. So edges grow with
+the text, not with the square of a repeated token. Loopy message passing over chain and skip edges carries labels to
+distant repeated or similar tokens, so that they are consistent across a document. Tokens that come out labelled and that no base
+span meets become added spans of their kind.
+
+Messages pass ``ROUNDS`` times, each time over all edges at once; a token further from every candidate than
+that many steps takes part in nothing, so only candidates and their surroundings are worked on.
+
+Emission weights are a multinomial logistic regression on the shape of a token, the words just before it, and what the
+patterns say of it (found, or refuted: a match that failed its check). It is fitted on whole texts of a bounded sample of
+documents, labelled by the base spans, and for secrets by assignments to a credential's name, with generated
+examples of these beside them. Chain and skip potentials are log odds counted on the same texts.
 """
 
 from __future__ import annotations
 
 import pickle
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,23 +30,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from . import textbuf as tb
+from .common import group_bounds, table
 
-#: The patterns of the base spans, in the order of kinds.
+#: The patterns of the base spans, in the order of kinds. (Digit runs are possessive, so matching is linear.)
 PATTERNS = {
     "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
-    "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
-    "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
+    "ip": re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"),
+    "card": re.compile(r"[0-9](?:[\x20-]?[0-9])++"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
-KINDS = [*PATTERNS, "other"]
-#: Texts with a base span and texts with an @ or digit but none that weights are fitted on, at most, and characters of each.
-SAMPLE, SAMPLE_CHARS = 1500, 4000
-ROUNDS, PRIVATE, PRIOR_AGREE = 6, 0.5, 4.0
-_TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
+KINDS = [*PATTERNS, "secret"]
+NONE, SECRET, LABELS = 0, 5, 6
+#: Documents that the field is fitted on, at most, and generated examples beside them; rounds of messages.
+SAMPLE, MADE, ROUNDS = 1500, 200, 6
+#: Before any skip edge was seen, so many agree to one that does not (a key is long, so equal keys name one thing). Bound of the
+#: log odds of agreement, and least belief in an added label.
+PRIOR_AGREE, MOST_ODDS, SURE = 1e4, 10.0, 0.5
+#: Names of credentials.
+NAMES = "token secret password passwd pwd apikey api_key api-key access_key access-key auth_token auth-token access_token client_secret private_key".split()
+_ASSIGNED = re.compile(rf"(?i)(?<![a-z])(?:{'|'.join(NAMES)})[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?([A-Za-z0-9+/_-]{{16,}})")
 _DIGITS = re.compile(r"[^0-9]")
 _KEY = re.compile(r"[^0-9a-z]")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
+_ANY_DIGIT = re.compile("[0-9]")
 
 
 def luhn(digits: str) -> bool:
@@ -71,211 +84,278 @@ def _emails(text: str) -> list[tuple[int, int]]:
             at = sign + 1
 
 
-def base_spans(text: str) -> list[list[tuple[int, int]]]:
-    """Spans of each kind of PATTERNS."""
+def _part(x: str) -> bool:
+    x = x.lstrip("0")
+    return len(x) < 3 or len(x) == 3 and int(x) <= 255
+
+
+def base_spans(text: str) -> tuple[list[list[tuple[int, int]]], list[tuple[int, int]]]:
+    """Spans of each kind of PATTERNS, and matches that failed their check."""
     out: list[list[tuple[int, int]]] = [[], [], [], []]
+    failed: list[tuple[int, int]] = []
     if "@" in text:
         out[0] = _emails(text)
-    if re.search("[0-9]", text):
+    if _ANY_DIGIT.search(text):
         for m in PATTERNS["ip"].finditer(text):
-            if all(int(x) <= 255 for x in m[0].split(".") if len(x.lstrip("0")) <= 3) and all(len(x.lstrip("0")) <= 3 for x in m[0].split(".")):
-                out[1].append(m.span())
+            (out[1] if all(map(_part, m[0].split("."))) else failed).append(m.span())
         for m in PATTERNS["card"].finditer(text):
             d = _DIGITS.sub("", m[0])
-            if 16 <= len(d) <= 19 and luhn(d):
-                out[2].append(m.span())
+            if len(d) >= 13:
+                (out[2] if 16 <= len(d) <= 19 and luhn(d) else failed).append(m.span())
         if "+" in text:
             for m in PATTERNS["phone"].finditer(text):
-                if 8 <= len(_DIGITS.sub("", m[0])) <= 15:
-                    out[3].append(m.span())
-    return out
-
-
-# -- the field -----------------------------------------------------------------------------------------------------
-
-
-def features(token: str) -> np.ndarray:
-    """Shape of a token: shares and counts of character classes, lengths; no pattern and no place in the text."""
-    n = len(token)
-    digits = sum(c.isdigit() for c in token)
-    upper = sum(c.isupper() for c in token)
-    lower = sum(c.islower() for c in token)
-    other = n - digits - upper - lower
-    return np.array([1.0, digits / n, min(digits, 20) / 10, upper / n * min(n, 20) / 10, lower / n, other / n, min(n, 30) / 10, float(digits > 0 and upper + lower > 0), float(digits > 0 and "=" in token), float(n > 12 and digits > 1 and lower == 0), float(0 < digits < 3), float(0 < digits < 3 and token[0].isdigit())])
-
-
-N_FEATURES = len(features("x"))
+                (out[3] if 8 <= len(_DIGITS.sub("", m[0])) <= 15 else failed).append(m.span())
+    return out, failed
+
+
+# -- tokens and features -------------------------------------------------------------------------------------------
+
+_IN_TOKEN = np.zeros(256, bool)
+_IN_TOKEN[128:] = True
+_IN_TOKEN[[ord(c) for c in "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ._%+@/-"]] = True
+#: Classes of bytes whose counts in a token are features.
+_DIGIT, _UPPER, _LOWER, _HEX, _SIGN, _FIRST = range(6)
+_CLASS = np.zeros((256, 6), bool)
+_CLASS[48:58, _DIGIT] = _CLASS[65:91, _UPPER] = _CLASS[97:123, _LOWER] = _CLASS[64, _SIGN] = True
+_CLASS[[ord(c) for c in "0123456789abcdefABCDEF"], _HEX] = True
+_CLASS[:, _FIRST] = (np.arange(256) & 192) != 128  # bytes that begin a code point
+_NAMES = None
+
+
+def name_hashes() -> np.ndarray:
+    global _NAMES
+    if _NAMES is None:
+        _NAMES = np.sort(tb.span_hashes(*(lambda d, o: (d, o[:-1], o[1:]))(*tb.buffers(pa.array(NAMES)))))
+    return _NAMES
+
+
+class Tokens:
+    """Tokens of a run of texts: byte places, text numbers, code point places, features and candidates."""
+
+    def __init__(self, data: np.ndarray, off: np.ndarray):
+        self.data, self.off = data, off
+        self.start, self.end, self.text = tb.words(data, off, _IN_TOKEN)
+        n = np.zeros((len(self.start), 6))
+        for k in range(6):  # one class at a time: a text of any length takes a few times its bytes
+            sums = np.zeros(len(data) + 1, np.int32)
+            np.cumsum(_CLASS[:, k][data], out=sums[1:])
+            n[:, k] = sums[self.end] - sums[self.start]
+        self.points = sums  # code points before each byte, of the whole run
+        length = np.maximum(n[:, _FIRST], 1)
+        self.candidate = (n[:, _DIGIT] > 0) | (n[:, _SIGN] > 0) | (length >= 16)
+        h = tb.span_hashes(data, self.start, self.end)
+        names = name_hashes()
+        named = names[np.minimum(np.searchsorted(names, h), len(names) - 1)] == h
+        # a credential's name within the two tokens before, and a = or : right before
+        before = np.zeros(len(h), bool)
+        for k in (1, 2):
+            before[k:] |= named[:-k] & (self.text[k:] == self.text[:-k])
+        gap = np.zeros(len(h), bool)
+        if len(h):
+            sign = np.append(0, np.cumsum((data == 61) | (data == 58)))
+            gap[1:] = (sign[self.start[1:]] > sign[self.end[:-1]]) & (self.text[1:] == self.text[:-1]) & (self.start[1:] - self.end[:-1] <= 6)
+        digits = n[:, _DIGIT]
+        key = (length >= 16) & (digits > 0) & (n[:, _UPPER] + n[:, _LOWER] > 0) & (n[:, _SIGN] == 0)
+        self.x = np.stack(
+            [np.ones(len(h)), digits / length, np.minimum(digits, 20) / 10, n[:, _HEX] / length, np.minimum(length, 40) / 20, (digits > 0) & (n[:, _UPPER] + n[:, _LOWER] > 0), n[:, _SIGN] > 0, length >= 16, key, before & gap & (length >= 8), before & gap & key, before],
+            1,
+        ).astype(np.float64)
+
+
+N_SHAPE, N_FEATURES = 12, 17  # shape; found by each pattern; refuted
 
 
 def skip_key(token: str) -> str:
-    """What repeated or similar tokens have in common; short or purely alphabetic lower-case words have none."""
-    key = token.split("@", 1)[0] if "@" in token else token
-    key = _KEY.sub("", key.lower())
-    return key if len(key) >= 4 and any(c.isdigit() for c in key) else ""
-
-
-def skip_edges(tokens: list[str]) -> list[tuple[int, int]]:
-    last: dict[str, int] = {}
-    out = []
-    for i, t in enumerate(tokens):
-        if k := skip_key(t):
-            if k in last:
-                out.append((last[k], i))
-            last[k] = i
-    return out
-
-
-def beliefs(emit: np.ndarray, chain: np.ndarray, edges: list[tuple[int, int]], skip: np.ndarray) -> np.ndarray:
-    """Probability of label 1 of each token: damped sum-product over the chain and the skip edges.
-
-    emit: (n, 2) log potentials; chain, skip: (2, 2) log potentials of neighbours and of skip edges. Each round passes
-    exact messages along the whole chain and then one message over every skip edge both ways.
+    """What repeated or similar tokens have in common, or nothing."""
+    token = token.strip("._%+@/-").lower()
+    if "@" in token:
+        token = token.split("@", 1)[0]
+    elif len(token) >= 7 and not token.strip("0123456789.-/") and token.count(".") != 3:
+        return "#" + _DIGITS.sub("", token)[-7:]
+    elif token.count(".") == 3 and not token.strip("0123456789."):
+        return token
+    key = _KEY.sub("", token)
+    return key if len(key) >= 5 and (_ANY_DIGIT.search(key) or len(key) >= 16 or "." in token or "_" in token) else ""
+
+
+class Field:
+    """The graph of a run of texts: tokens worked on, labels fixed by base spans, chain and skip edges, features."""
+
+    def __init__(self, texts: list[str | None], data: np.ndarray, off: np.ndarray):
+        t = self.tokens = Tokens(data, off)
+        n = len(t.start)
+        self.base: list[list[list[tuple[int, int]]]] = []
+        label, refuted = np.full(n, -1), np.zeros(n, bool)
+        first = np.searchsorted(t.text, np.arange(len(texts) + 1))
+        zero = t.points[off]
+        self.begin, self.finish = t.points[t.start] - zero[t.text], t.points[t.end] - zero[t.text]
+        for i, text in enumerate(texts):
+            base, failed = base_spans(text) if text and ("@" in text or _ANY_DIGIT.search(text)) else ([[], [], [], []], [])
+            self.base.append(base)
+            lo, hi = first[i], first[i + 1]
+            starts, ends = self.begin[lo:hi], self.finish[lo:hi]
+            for spans, put in [(failed, None), *((b, k + 1) for k, b in enumerate(base))]:
+                for s, e in spans:
+                    a, b = lo + np.searchsorted(ends, s, "right"), lo + np.searchsorted(starts, e)
+                    if put is None:
+                        refuted[a:b] = True
+                    else:
+                        label[a:b] = np.where(label[a:b] < 0, put, label[a:b])
+        refuted &= label < 0
+        candidate = np.flatnonzero(t.candidate | (label >= 0))
+        # name parts of addresses make candidates of the words that repeat them
+        locals_ = {i: {text[s:e].split("@", 1)[0].lower() for s, e in self.base[i][0]} for i, text in enumerate(texts) if self.base[i][0]}
+        more = [k for i, names in locals_.items() for k in range(first[i], first[i + 1]) if label[k] < 0 and self.finish[k] - self.begin[k] >= 5 and self.word(k).strip("._%+-").lower() in names]
+        candidate = np.union1d(candidate, np.array(more, int))
+        keys: dict[tuple[int, str], int] = {}
+        a, b = [], []
+        for k in candidate.tolist():
+            if key := skip_key(self.word(k)):
+                key = (int(t.text[k]), key)
+                if key in keys:
+                    a.append(keys[key])
+                    b.append(k)
+                keys[key] = k
+        near = np.zeros(n + 1, np.int64)
+        np.add.at(near, np.maximum(candidate - ROUNDS, first[t.text[candidate]]), 1)
+        np.add.at(near, np.minimum(candidate + ROUNDS + 1, first[t.text[candidate] + 1]), -1)
+        self.live = live = np.flatnonzero(np.cumsum(near[:-1]) > 0)
+        place = np.full(n, -1)
+        place[live] = np.arange(len(live))
+        self.skips = (place[np.array(a, int)], place[np.array(b, int)])
+        next_ = np.flatnonzero((np.diff(live) == 1) & (t.text[live[1:]] == t.text[live[:-1]])) if len(live) else np.zeros(0, int)
+        self.chain = (next_, next_ + 1)
+        self.label, self.candidate = label[live], np.isin(live, candidate, assume_unique=True)
+        self.x = np.zeros((len(live), N_FEATURES))
+        self.x[:, :N_SHAPE] = t.x[live]
+        for k in range(4):
+            self.x[:, N_SHAPE + k] = self.label == k + 1
+        self.x[:, -1] = refuted[live]
+
+    def word(self, k: int) -> str:
+        return self.tokens.data[self.tokens.start[k] : self.tokens.end[k]].tobytes().decode("utf-8", "replace")
+
+
+# -- inference -----------------------------------------------------------------------------------------------------
+
+
+def beliefs(emit: np.ndarray, edges: list[tuple[np.ndarray, np.ndarray, np.ndarray]], rounds: int = ROUNDS) -> np.ndarray:
+    """Beliefs of each node over the labels by sum-product messages, over all edges at once in each round.
+
+    emit: (n, labels) log potentials. edges: (a, b, log potentials by label of a and of b) of each sort of edge. Messages over
+    skip edges are damped by half, in logarithms. On a forest the beliefs are the marginals once rounds reach its longest path.
     """
-    n = len(emit)
-    a = np.array([e[0] for e in edges], int)
-    b = np.array([e[1] for e in edges], int)
-    to_a, to_b = np.zeros((len(a), 2)), np.zeros((len(a), 2))
-    for _ in range(ROUNDS if len(a) else 1):
-        local = emit.copy()
-        np.add.at(local, a, to_a)
-        np.add.at(local, b, to_b)
-        # log odds are enough for two labels
-        odds = local[:, 1] - local[:, 0]
-        fwd, bwd = np.zeros(n), np.zeros(n)
-        for i in range(1, n):
-            x = odds[i - 1] + fwd[i - 1]
-            fwd[i] = np.logaddexp(chain[0, 1], chain[1, 1] + x) - np.logaddexp(chain[0, 0], chain[1, 0] + x)
-        for i in range(n - 2, -1, -1):
-            x = odds[i + 1] + bwd[i + 1]
-            bwd[i] = np.logaddexp(chain[1, 0], chain[1, 1] + x) - np.logaddexp(chain[0, 0], chain[0, 1] + x)
-        full = odds + fwd + bwd
-        if not len(a):
-            break
-
-        def message(src: np.ndarray, back: np.ndarray) -> np.ndarray:
-            x = full[src] - (back[:, 1] - back[:, 0])
-            m = np.stack([np.logaddexp(skip[0, 0], skip[1, 0] + x), np.logaddexp(skip[0, 1], skip[1, 1] + x)], 1)
-            return m - m.max(1, keepdims=True)
-
-        to_b, to_a = 0.5 * to_b + 0.5 * message(a, to_a), 0.5 * to_a + 0.5 * message(b, to_b)
-    return 1 / (1 + np.exp(-np.clip(full, -50, 50)))
-
-
-def _tokens(text: str) -> list[tuple[int, int, str]]:
-    return [(m.start(), m.end(), m[0]) for m in _TOKEN.finditer(text)]
-
-
-def _cover(tokens: list[tuple[int, int, str]], spans: list[tuple[int, int]]) -> np.ndarray:
-    """Which tokens meet a span."""
-    out = np.zeros(len(tokens), bool)
-    if spans and tokens:
-        start = np.array([t[0] for t in tokens])
-        end = np.array([t[1] for t in tokens])
-        for s, e in spans:
-            out[np.searchsorted(end, s, "right") : np.searchsorted(start, e)] = True
+    phi = np.exp(emit - emit.max(1, keepdims=True, initial=-1e300))
+    n, m = phi.shape
+    sorts = []
+    for k, (a, b, psi) in enumerate(edges):
+        pot = np.exp(psi - psi.max())
+        sorts.append([a, b, pot, np.full((len(a), m), 1 / m), np.full((len(a), m), 1 / m), 0.5 if k else 0.0])
+    for _ in range(rounds):
+        whole = np.log(phi + 1e-300)
+        for a, b, _, to_b, to_a, _ in sorts:
+            np.add.at(whole, b, np.log(to_b))
+            np.add.at(whole, a, np.log(to_a))
+        for s in sorts:
+            a, b, pot, to_b, to_a, damp = s
+            up, down = whole[a] - np.log(to_a), whole[b] - np.log(to_b)
+            new_b = np.exp(up - up.max(1, keepdims=True, initial=-1e300)) @ pot
+            new_a = np.exp(down - down.max(1, keepdims=True, initial=-1e300)) @ pot.T
+            new_b, new_a = (np.maximum(x / x.sum(1, keepdims=True), 1e-30) for x in (new_b, new_a))
+            s[3], s[4] = to_b**damp * new_b ** (1 - damp), to_a**damp * new_a ** (1 - damp)
+    whole = np.log(phi + 1e-300)
+    for a, b, _, to_b, to_a, _ in sorts:
+        np.add.at(whole, b, np.log(to_b))
+        np.add.at(whole, a, np.log(to_a))
+    out = np.exp(whole - whole.max(1, keepdims=True, initial=-1e300))
+    return out / out.sum(1, keepdims=True)
+
+
+# -- fitting -------------------------------------------------------------------------------------------------------
+
+
+def made_examples() -> list[str]:
+    """Texts with credentials of several shapes, beside long numbers, words and checksums that are none."""
+    rng = np.random.default_rng(10)
+    alphabet = {"hex": "0123456789abcdef", "any": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"}
+    word = lambda n, a: "".join(rng.choice(list(a), n))
+    out = []
+    for i in range(MADE):
+        key = word(int(rng.integers(20, 48)), alphabet["hex" if i % 2 else "any"])
+        quote, equals = ("\"", "'", "")[i % 3], (" = ", "=", ": ")[i // 3 % 3]
+        plain = " ".join(word(int(rng.integers(2, 9)), "etaoinshrdlu") for _ in range(12))
+        sums = f"{('commit', 'sha256', 'id', 'see')[i // 4 % 4]} {word(40, alphabet['hex'])}" if i % 4 == 0 else plain
+        out.append(f"{plain} {sums} {plain} {word(16, '0123456789')} {NAMES[i % len(NAMES)]}{equals}{quote}{key}{quote} {plain} {word(22, 'etaoinshrdlu')} in {rng.integers(1900, 2030)}")
     return out
 
 
-def shape_of(token: str) -> str:
-    """Stand-in of a token: ordinary words, which hold neither digit nor @, share one, so their number does not matter."""
-    if "@" in token or any(c.isdigit() for c in token):
-        return token
-    return "WORD" if token.isupper() else "word"
+def _labels(field: Field, texts: list[str]) -> np.ndarray:
+    """Labels of the tokens worked on: base spans, and what is assigned to a credential's name."""
+    y = np.maximum(field.label, NONE)
+    t = field.tokens
+    of = t.text[field.live]
+    begin = field.begin[field.live]
+    cut = np.searchsorted(of, np.arange(len(texts) + 1))
+    for i, text in enumerate(texts):
+        for m in _ASSIGNED.finditer(text):
+            k = cut[i] + bisect_right(begin[cut[i] : cut[i + 1]], m.start(1)) - 1
+            if k >= cut[i] and y[k] == NONE and _ANY_DIGIT.search(m[1]):
+                y[k] = SECRET
+    return y
 
 
 def fit(texts: list[str]) -> dict:
-    """Emission weights, chain and skip potentials from texts labelled by their base spans.
-
-    Counts of skip edges start from PRIOR_AGREE to one in favour of equal labels.
-    """
-    seen: dict[str, list[int]] = {}
-    pairs, skips = np.ones((2, 2)), np.array([[PRIOR_AGREE, 1.0], [1.0, PRIOR_AGREE]]) / 2
-    for t in texts:
-        tok = _tokens(t)
-        lab = _cover(tok, [s for kind in base_spans(t) for s in kind]).astype(int)
-        for (_, _, w), label in zip(tok, lab.tolist(), strict=True):
-            seen.setdefault(shape_of(w), [0, 0])[label] += 1
-        np.add.at(pairs, (lab[:-1], lab[1:]), 1)
-        for i, j in skip_edges([w for _, _, w in tok]):
-            skips[lab[i], lab[j]] += 1
-            skips[lab[j], lab[i]] += 1
-    x = np.array([features(w) for w in seen]).reshape(-1, N_FEATURES)
-    n = np.array(list(seen.values()), float).reshape(-1, 2)
-    w = np.zeros(N_FEATURES)
-    w[0] = -6.0  # nothing is private where nothing was learnt
-    if n.sum(0).all():
-        w = _logistic(x, n)
-    # the chain's potentials are associations beyond the labels' own shares, which the emissions hold
+    """Emission weights, chain and skip potentials from whole texts labelled by :func:`_labels`."""
+    xs, ys = [], []
+    pairs, agree = np.full((LABELS, LABELS), 0.1), np.array([[PRIOR_AGREE, 1.0]] * LABELS)
+    every = pa.array([*texts, *made_examples()], pa.string())
+    for lo, hi, data, off in tb.runs(every):
+        part = [x.as_py() for x in every.slice(lo, hi - lo)]
+        f = Field(part, data, off)
+        y = _labels(f, part)
+        xs.append(f.x)
+        ys.append(y)
+        np.add.at(pairs, (y[f.chain[0]], y[f.chain[1]]), 1)
+        for a, b in ((f.skips[0], f.skips[1]), (f.skips[1], f.skips[0])):
+            np.add.at(agree, (y[a], (y[a] != y[b]).astype(int)), 1)
+    x, back = np.unique(np.round(np.concatenate(xs), 2), axis=0, return_inverse=True)
+    n = np.zeros((len(x), LABELS))
+    np.add.at(n, (back.ravel(), np.concatenate(ys)), 1)
     p = pairs / pairs.sum()
-    chain = np.clip(np.log(p / np.outer(p.sum(1), p.sum(0))), -3, 3)
-    agree = np.clip(np.log((skips[0, 0] + skips[1, 1]) / (skips[0, 1] + skips[1, 0])), 0, 4)
-    return {"w": w, "chain": chain, "skip": agree / 2 * np.array([[1, -1], [-1, 1]])}
-
-
-def _logistic(x: np.ndarray, n: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Newton steps on the ridge-penalised log loss of counted labels, each halved until the loss falls."""
-    w, y, n = np.zeros(x.shape[1]), n[:, 1], n.sum(1)
-
-    def loss(w: np.ndarray) -> float:
-        z = x @ w
-        return float(n @ np.logaddexp(0, z) - y @ z + ridge / 2 * w @ w)
-
-    now = loss(w)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (y - n * p) - ridge * w)
-        size = 1.0
-        while size > 1e-6 and loss(w + size * step) > now:
-            size /= 2
-        w = w + size * step
-        before, now = now, loss(w)
-        if before - now < 1e-6:
-            break
+    chain = np.clip(np.log(p / np.outer(p.sum(1), p.sum(0))), -2, 2)
+    odds = np.clip(np.log(agree[:, 0] / agree[:, 1]), 0, MOST_ODDS)
+    odds[NONE] = odds[1:].max()  # an edge favours no label by itself
+    return {"w": _softmax_fit(x, n), "chain": chain, "skip": np.diag(odds)}
+
+
+def _softmax_fit(x: np.ndarray, n: np.ndarray, ridge: float = 0.2, rounds: int = 400) -> np.ndarray:
+    """Weights (features, labels) of counted labels, the label none held at zero: accelerated steps on the ridge-penalised log loss."""
+    total = n.sum(1, keepdims=True)
+    weight = np.minimum(total, 50.0) / np.maximum(total, 1)  # a shape that is everywhere does not drown the others
+    n, total = n * weight, total * weight
+    w = np.zeros((x.shape[1], n.shape[1]))
+    ahead, t = w.copy(), 1.0
+    rate = 1 / (0.5 * np.linalg.norm((x * total).T @ x, 2) + ridge)
+    for _ in range(rounds):
+        z = x @ ahead
+        p = np.exp(z - z.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        g = x.T @ (total * p - n) + ridge * ahead
+        g[:, NONE] = 0
+        new = ahead - rate * g
+        t, before = (1 + (1 + 4 * t * t) ** 0.5) / 2, t
+        ahead, w = new + (before - 1) / t * (new - w), new
     return w
 
 
-def added_spans(text: str, base: list[list[tuple[int, int]]], model: dict) -> list[tuple[int, int]]:
-    """Runs of tokens that the field labels private and no base span meets, without punctuation at the ends."""
-    tok = _tokens(text)
-    if not tok:
-        return []
-    words = [t[2] for t in tok]
-    known = _cover(tok, [s for kind in base for s in kind])
-    shape: dict[str, float] = {}
-    odds = np.empty(len(tok))
-    for i, w in enumerate(words):
-        w = shape_of(w)
-        if w not in shape:
-            shape[w] = float(features(w) @ model["w"])
-        odds[i] = shape[w]
-    emit = np.zeros((len(tok), 2))
-    emit[:, 1] = odds
-    emit[known] = (-20.0, 20.0)  # base spans stay
-    private = beliefs(emit, model["chain"], skip_edges(words), model["skip"]) > PRIVATE
-    out: list[tuple[int, int]] = []
-    for i in np.flatnonzero(private & ~known):
-        s, e = tok[i][0], tok[i][1]
-        while s < e and not text[s].isalnum():
-            s += 1
-        while e > s and not text[e - 1].isalnum():
-            e -= 1
-        if s < e:
-            if out and i and private[i - 1] and not known[i - 1] and text[out[-1][1] : s].strip(" \t\n\v\f\r") == "":
-                out[-1] = (out[-1][0], e)
-            else:
-                out.append((s, e))
-    return out
-
-
 def train(docs: DataFrame) -> dict:
-    """Fitted in one task on at most SAMPLE texts with an @ or digit, of each a stretch of at most SAMPLE_CHARS around them.
+    """Fitted in one task on the whole texts of at most SAMPLE documents with an @ or digit, and on generated examples.
 
-    Of rows repeated under one doc_id the largest text counts; without any such text nothing is ever added.
+    Of rows repeated under one doc_id the largest text counts; without any such text the generated examples are all.
     """
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).filter("doc_id is not null and text rlike '[@0-9]'")
     ids = text.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)  # ids alone are sorted
-    at = F.greatest(F.regexp_instr("text", F.lit("[@+]|[0-9]{2}")) - SAMPLE_CHARS // 2, F.lit(1))
-    rows = text.join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", F.substring("text", at, F.lit(SAMPLE_CHARS)).alias("text")).groupBy("doc_id").agg(F.max("text").alias("text"))
+    rows = text.join(F.broadcast(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = [r["text"] for r in sorted((r for b in batches for r in b.to_pylist()), key=lambda r: r["doc_id"])]
@@ -285,42 +365,64 @@ def train(docs: DataFrame) -> dict:
     return pickle.loads(got.model) if got else fit([])
 
 
+def all_spans(texts: list[str | None], data: np.ndarray, off: np.ndarray, model: dict) -> Iterator[list[tuple[str, int, int, bool]]]:
+    """(kind, start, end, base) of each text, by kind and start."""
+    f = Field(texts, data, off)
+    emit = f.x @ model["w"]
+    fixed = f.label >= 0
+    emit[fixed] = -30.0
+    emit[fixed, f.label[fixed]] = 0.0  # base spans stay
+    emit[~f.candidate, 1:] = -30.0
+    p = beliefs(emit, [(*f.chain, model["chain"]), (*f.skips, model["skip"])])
+    p[:, NONE] = np.where(fixed, 1.0, p[:, NONE])
+    found = np.flatnonzero(p[:, NONE] < 1 - SURE)
+    kind = p[found, 1:].argmax(1)
+    at = f.live[found]
+    of = f.tokens.text[at]
+    cut = np.searchsorted(of, np.arange(len(texts) + 1))
+    for i in range(len(texts)):
+        out = [(KINDS[k], s, e, True) for k, spans in enumerate(f.base[i]) for s, e in spans]
+        if cut[i] < cut[i + 1]:
+            for j in range(cut[i], cut[i + 1]):
+                word, s = f.word(at[j]), int(f.begin[at[j]])
+                core = word.strip("._%+@/-")
+                s += len(word) - len(word.lstrip("._%+@/-"))
+                if core and not any(a < s + len(core) and s < b for spans in f.base[i] for a, b in spans[max(0, bisect_right(spans, (s, s)) - 1) : bisect_right(spans, (s, s)) + 1]):
+                    out.append((KINDS[kind[j]], s, s + len(core), False))
+            out.sort(key=lambda x: (KINDS.index(x[0]), x[1]))
+        yield out
+
+
 def find_private(docs: DataFrame, model: dict) -> DataFrame:
-    """(doc_id, spans array<struct<kind, start, end>>) of every row: base spans by kind, then added ones, each by start.
+    """(doc_id, spans array<struct<kind, start, end, base>>) of every row: by kind (KINDS), then start.
 
-    Places are in code points, ends exclusive. Null and empty texts have no spans. Repeated rows are treated each; other
-    columns are ignored; no rows give no rows.
+    ``base`` says whether a pattern found the span; the field adds the others. Places are in code points, ends exclusive.
+    Null and empty texts have no spans. Repeated rows are treated each; other columns are ignored; no rows give no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kind, start, end, off = [], [], [], [0]
-            for t in batch.column(1):
-                text = t.as_py()
-                if text and ("@" in text or _ANY_DIGIT.search(text)):
-                    base = base_spans(text)
-                    more = added_spans(text, base, model)
-                    for k, spans in enumerate([*base, more]):
-                        for s, e in spans:
-                            kind.append(KINDS[k])
-                            start.append(s)
-                            end.append(e)
-                off.append(len(kind))
-            spans = pa.StructArray.from_arrays([pa.array(kind, pa.string()), pa.array(start, pa.int64()), pa.array(end, pa.int64())], ["kind", "start", "end"])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(off, pa.int32()), spans)], names=["doc_id", "spans"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, spans array<struct<kind: string, start: long, end: long>>")
-
+            kind, start, end, base, sizes = [], [], [], [], [0]
+            for lo, hi, data, off in tb.runs(batch.column(1)):
+                for spans in all_spans(batch.column(1).slice(lo, hi - lo).to_pylist(), data, off, model):
+                    for k, s, e, b in spans:
+                        kind.append(k)
+                        start.append(s)
+                        end.append(e)
+                        base.append(b)
+                    sizes.append(len(kind))
+            spans = pa.StructArray.from_arrays([pa.array(kind, pa.string()), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(base, pa.bool_())], ["kind", "start", "end", "base"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), spans)], names=["doc_id", "spans"])
 
-_ANY_DIGIT = re.compile("[0-9]")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, spans array<struct<kind: string, start: long, end: long, base: boolean>>")
 
 
 def op10_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = find_private(docs, train(docs))
     line = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
-    base = F.filter("spans", lambda x: x["kind"] != "other")
-    counts = [F.expr(f"cast(size(filter(spans, x -> x.kind = '{k}')) as bigint) as n_{k}") for k in PATTERNS]
+    base = F.filter("spans", lambda x: x["base"])
+    counts = [F.expr(f"cast(size(filter(spans, x -> x.base and x.kind = '{k}')) as bigint) as n_{k}") for k in PATTERNS]
     return found.select("doc_id", *counts, F.sha2(line(base).cast("binary"), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"))
 
 

@@ -78,12 +78,12 @@ def runs(texts: pa.Array, most: int = RUN_BYTES) -> Iterator[tuple[int, int, np.
         lo = hi
 
 
-def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and text index of every word."""
+def words(data: np.ndarray, off: np.ndarray, inside: np.ndarray = _IS_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and text index of every word, a run of bytes that are ``inside``."""
     if not len(data):
         z = np.zeros(0, np.int64)
         return z, z, z
-    is_word = _IS_WORD[data]
+    is_word = inside[data]
     cut = np.zeros(len(data) + 1, bool)
     cut[off] = True
     start, end = is_word.copy(), is_word.copy()

@@ -507,12 +507,16 @@ def test_unigram_takes_the_shortest_path():
 # -- 10 --------------------------------------------------------------------------------------------------------------
 
 
+#: The patterns as the operator's description gives them.
+PII = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
 def brute_pii(t):
     out = []
-    for kind, p in pii_crf.PATTERNS.items():
+    for kind, p in ((k, re.compile(x)) for k, x in PII.items()):
         for m in p.finditer(t or ""):
             d = re.sub("[^0-9]", "", m[0])
-            if kind == "ip" and any(int(x) > 255 for x in m[0].split(".")):
+            if kind == "ip" and any(len(x.lstrip("0")) > 3 or int(x.lstrip("0") or 0) > 255 for x in m[0].split(".")):
                 continue
             if kind == "card" and not (16 <= len(d) <= 19 and sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0):
                 continue
@@ -525,35 +529,85 @@ def brute_pii(t):
 def test_private_data_against_brute_force(spark):
     texts = [
         None, "", "no data", "é a.b@c.de, x@y, @a.b ..q@r.s.t@u.v", "ip 1.2.3.4 999.1.1.1 1.2.3.4.5.6.7.8 00000001.2.3.4", "card 4041894974608795 4041-8949 7460 8795 4041894974608796 1 2 3", "call +1 (988) 555-2485 now, +49 30 1234 5678 9012 345",
-        "+1 (269) 555-3296 4524132264652876 then +1 (269) 555-3296", LONG + " a@b.cd", "%@-.-" * 50, "1" * 3000, "a@b" * 400, "٣٤ 1٣",
+        "+1 (269) 555-3296 4524132264652876 then +1 (269) 555-3296", LONG + " a@b.cd", "%@-.-" * 50, "1" * 3000, "a@b" * 400, "٣٤ 1٣", "1.2.3.4.5.6.7 1.2.3 12.34.56.789.1.2.3",
     ]
     d = docs(spark, [*texts, texts[3]])
     model = pii_crf.fit([t for t in texts if t] * 20)
     got = sorted((r.doc_id, [tuple(s) for s in r.spans]) for r in pii_crf.find_private(d.withColumnRenamed("lang", "spans"), model).collect())
     assert len(got) == len(texts) + 1
     for (_, spans), t in zip(got, [*texts, texts[3]]):
-        assert [s for s in spans if s[0] != "other"] == brute_pii(t)
-        for kind, s, e in spans:
-            assert s < e <= len(t) and (kind != "other" or not any(a < e and s < b for k, a, b in spans if k != "other"))
+        assert [s[:3] for s in spans if s[3]] == brute_pii(t)
+        for kind, s, e, base in spans:
+            assert s < e <= len(t) and kind in pii_crf.KINDS and (base or not any(a < e and s < b for _, a, b, k in spans if k))
     assert pii_crf.find_private(d.limit(0), model).count() == 0
-    assert pii_crf.train(d.limit(0))["w"][0] < 0
+    assert pii_crf.train(d.limit(0))["w"].shape == (pii_crf.N_FEATURES, pii_crf.LABELS)
 
 
-def test_skip_edges_pull_repeated_tokens_together():
-    emit = np.zeros((5, 2))
-    emit[0] = (-4.0, 4.0)
-    skip = np.array([[0.7, -0.7], [-0.7, 0.7]])
-    with_edge, without = (pii_crf.beliefs(emit, np.zeros((2, 2)), e, skip) for e in ([(0, 4)], []))
-    assert with_edge[4] > 0.7 and abs(without[4] - 0.5) < 1e-9
-    # on a chain without skip edges the beliefs are the exact marginals
-    rng = np.random.default_rng(9)
-    emit, chain = rng.standard_normal((4, 2)), rng.standard_normal((2, 2))
+def private(texts, model):
+    import pyarrow as pa
+
+    out = []
+    for lo, hi, data, off in tb.runs(pa.array(texts)):
+        out += list(pii_crf.all_spans(texts[lo:hi], data, off, model))
+    return [[(k, t[s:e]) for k, s, e, base in spans if not base] for t, spans in zip(texts, out)]
+
+
+def test_long_digit_runs_take_linear_time():
+    import time
+
+    began = time.time()
+    zeros = "1.2.3." + "0" * 5000 + "7"  # more digits than int() takes
+    assert pii_crf.base_spans(zeros)[0][1] == [(0, len(zeros))]
+    texts = [zeros, "1" * 10**6, "1." * 300_000, "+1 " * 100_000, "a" * 10**6 + "@", "1 " * 300_000]
+    assert private(texts, pii_crf.fit([])) == [[]] * len(texts)
+    assert time.time() - began < 60
+
+
+def hex_key(rng):
+    return "".join(rng.choice(list("0123456789abcdef"), 40))
+
+
+def test_secrets_are_found_and_decoys_left():
+    rng = np.random.default_rng(31)
+    filler = lambda n: passage(int(rng.integers(10**6)), n).replace("w", "v")
+    model = pii_crf.fit([f"{passage(k, 20)} a{k}@b.cd {passage(k, 9)} +1 (988) 555-{1000 + k}" for k in range(200)])
+    keys = [hex_key(rng) for _ in range(100)]
+    got = private([f'{filler(12)} token = "{k}" {filler(12)}' for k in keys], model)
+    assert sum(("secret", k) in x for x, k in zip(got, keys)) >= 90
+    decoys = [f"{filler(9)} {''.join(rng.choice(list('0123456789'), 15))}{(x := rng.integers(10))} {filler(3)} commit {hex_key(rng)} {filler(5)} 300.1.2.{x} in 1999" for _ in range(100)]
+    assert sum(bool(x) for x in private(decoys, model)) <= 2
+
+
+def test_skip_edges_find_repeats_without_context():
+    rng = np.random.default_rng(32)
+    model = pii_crf.fit([f"{passage(k, 20)} a.b{k}@b.cd {passage(k, 9)} +1 (988) 555-{1000 + k}" for k in range(200)])
+    without = model | {"skip": model["skip"] * 0}
+    texts, bare = [], []
+    for k in range(60):
+        full, again = [(f"+1 (269) 555-{3000 + k}", f"555-{3000 + k}"), (f"jane.doe{k}@x.org", f"jane.doe{k}"), (f'token = "{(h := hex_key(rng))}"', h)][k % 3]
+        texts.append(f"{passage(k, 25)} {full} {passage(k + 100, 40)} see {again} there")
+        bare.append(f"{passage(k, 25)} see {again} there")
+    share = lambda got, least: np.mean([len(x) >= least(k) for k, x in enumerate(got)])
+    both = lambda k: 2 if k % 3 == 2 else 1
+    assert share(private(texts, model), both) >= 0.9
+    assert share(private(texts, without), both) <= 0.1 and share(private(bare, model), lambda k: 1) <= 0.1
+
+
+def test_messages_on_trees_are_exact_and_skip_edges_pull_repeats_together():
     import itertools
 
-    p = np.zeros(4)
-    z = 0.0
-    for y in itertools.product((0, 1), repeat=4):
-        w = math.exp(sum(emit[i, v] for i, v in enumerate(y)) + sum(chain[a, b] for a, b in zip(y, y[1:])))
+    rng = np.random.default_rng(9)
+    emit, chain, skip = rng.standard_normal((5, 3)), rng.standard_normal((3, 3)), np.diag([1.0, 2.0, 0.5])
+    edges = [(np.array([0, 1, 3]), np.array([1, 2, 4]), chain), (np.array([0]), np.array([3]), skip)]  # a tree
+    p, z = np.zeros((5, 3)), 0.0
+    for y in itertools.product(range(3), repeat=5):
+        w = math.exp(sum(emit[i, v] for i, v in enumerate(y)) + sum(psi[y[a], y[b]] for s, t, psi in edges for a, b in zip(s, t)))
         z += w
-        p += w * np.array(y)
-    assert np.allclose(pii_crf.beliefs(emit, chain, [], skip), p / z)
+        for i, v in enumerate(y):
+            p[i, v] += w
+    assert np.allclose(pii_crf.beliefs(emit, edges, 40), p / z, atol=1e-6)
+    emit = np.zeros((5, 2))
+    emit[0] = (-4.0, 4.0)
+    none = (np.zeros(0, int), np.zeros(0, int), np.zeros((2, 2)))
+    with_edge, without = (pii_crf.beliefs(emit, [none, e]) for e in ((np.array([0]), np.array([4]), np.diag([1.4, 1.4])), none))
+    assert with_edge[4, 1] > 0.7 and abs(without[4, 1] - 0.5) < 1e-9
