@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -176,18 +177,25 @@ def _probe(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordB
     """
     now, shard = None, None
     for batch in batches:
-        out = defaultdict(list)
-        for s, doc, body in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
-            if doc is None:
-                now, shard = Shard(body.as_py()), s
-            elif now is not None and s == shard:
-                pack = np.frombuffer(body.as_py(), np.uint64).reshape(-1, 2)
-                slot = now.probe(pack[:, 0], pack[:, 1])
-                lost = (slot >= 0) & (now.count[slot] >= least) & (now.keeper[slot] != doc)
-                if lost.any():
-                    out["doc_id"].append(doc)
-                    out["lost"].append(pack[lost].tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(out["doc_id"], pa.int64()), pa.array(out["lost"], pa.binary())], names=["doc_id", "lost"])
+        docs, packs = [np.zeros(0, np.int64)], [np.zeros((0, 2), np.uint64)]  # of what is lost
+        of, doc, body = batch.column(0).to_numpy(), batch.column(2), batch.column(3)
+        heads = np.flatnonzero(np.asarray(doc.is_null()))
+        cut = group_bounds(of, np.cumsum(np.asarray(doc.is_null())))
+        for lo, hi in zip(cut[:-1], cut[1:], strict=True):  # runs of packets of a shard, after its row if that is here
+            if lo in heads:
+                now, shard = Shard(body[lo].as_py()), of[lo]
+                lo += 1
+            if lo == hi or now is None or shard != of[lo]:
+                continue
+            pack = np.frombuffer(b"".join(body.slice(lo, hi - lo).to_pylist()), np.uint64).reshape(-1, 2)
+            own = np.repeat(doc.slice(lo, hi - lo).to_numpy(), np.asarray(pc.binary_length(body.slice(lo, hi - lo))) // 16)
+            slot = now.probe(pack[:, 0], pack[:, 1])
+            lost = (slot >= 0) & (now.count[slot] >= least) & (now.keeper[slot] != own)
+            docs.append(own[lost].astype(np.int64))
+            packs.append(pack[lost])
+        docs, packs = np.concatenate(docs), np.concatenate(packs)
+        cut = group_bounds(docs)
+        yield pa.RecordBatch.from_arrays([pa.array(docs[cut[:-1]]), pa.array([packs[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], names=["doc_id", "lost"])
 
 
 def drop_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS) -> DataFrame:
