@@ -6,9 +6,9 @@ exact word counts stay in a packed table; quantised counts of words and bigrams
 filter, where an n-gram of level q = 1 + floor(log_B count) is a member under each of the levels 1..q. N-grams
 seen once are members under level 1.
 
-Scoring. The filter has ``BITS`` bits an n-gram at any size. One of at most ``MOST_BITS`` is broadcast. A larger one stays
-a table: runs of documents send packets of their distinct n-grams to the groups of segments that hold them, and the
-levels come back to the run. Repeated membership probes give a level, its mean count, and with it
+Scoring. The filter has ``BITS`` bits an n-gram at any size and stays a table of segments: runs of documents send packets
+of their distinct n-grams to the groups of segments that hold them, and the levels come back to the run. So no
+task or broadcast holds more than a bounded part of the filter. Repeated membership probes give a level, its mean count, and with it
 p(w | v) = L * min(1, c(v w) / c(v)) + (1 - L) * (c(w) + 1) / (N + V + 1) for every token, with an end token in each
 text. The exact base score looks words up in two steps: a broadcast table of the most frequent words, of bounded size,
 and for the rest packets of hashes sent to the segment that holds their exact counts.
@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,13 +32,13 @@ from . import textbuf as tb
 from .common import group_bounds, grouped, materialize, partitions, table
 
 _U = np.uint64
-#: Base of the count levels; hashes a level; bits an n-gram in the filter, and bits of a filter that is broadcast.
-BASE, HASHES, BITS, MOST_BITS = 1.5, 3, 14, 1 << 28
+#: Base of the count levels; hashes a level; bits an n-gram in the filter.
+BASE, HASHES, BITS = 1.5, 3, 14
 #: Levels that the histogram of word counts tells apart.
 LEVELS = 80
 #: Words in the broadcast table of exact counts, at most; weight of bigrams.
 FREQUENT, BIGRAM_WEIGHT = 1 << 19, 0.6
-#: Bytes of text that ask a filter that is not broadcast at once; bits of a segment's number within its group.
+#: Bytes of text that ask the filter at once; bits of a segment's number within its group.
 PROBE_BYTES, GROUP = 1 << 22, 3
 #: Hash of the end token; words never hash to it (their hashes are odd).
 END = _U(0)
@@ -213,9 +214,8 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, mod: int = 7, rest: int = 2) -> dict:
     """The model of all texts whose crc32(doc_id as text) mod ``mod`` is not ``rest``.
 
-    ``segments`` is a written table of exact counts; ``frequent`` (at most FREQUENT words with exact counts), ``total`` and
-    ``distinct`` are held for broadcast, and so is ``bits``, the filter, if it has at most MOST_BITS bits. A larger one
-    is the written table ``filter`` (segment, bits), and ``bits`` is None.
+    ``segments`` is a written table of exact counts, ``filter`` (segment, bits) one of the filter; ``frequent`` (at most
+    FREQUENT words with exact counts), ``total`` and ``distinct`` are held for broadcast.
     """
     spark = docs.sparkSession
     sb = segment_bits(partitions(spark))
@@ -229,7 +229,6 @@ def train(docs: DataFrame, mod: int = 7, rest: int = 2) -> dict:
     above = np.append(np.cumsum(hist[::-1])[::-1], 0)
     least = int(np.argmax(above <= FREQUENT))  # all words from this level on fit
     width = max(64, BITS * grams >> (sb + 3))
-    sharded = 8 * width << sb > MOST_BITS
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -239,19 +238,14 @@ def train(docs: DataFrame, mod: int = 7, rest: int = 2) -> dict:
                 often = np.minimum(level(nw), LEVELS - 1) >= least
                 yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([bits], pa.binary()), pa.array([w[often].tobytes()], pa.binary()), pa.array([nw[often].tobytes()], pa.binary())], names=["segment", "bits", "w", "nw"])
 
-    built = segments.select("segment", "w", "nw", "p", "np").mapInArrow(parts, "segment int, bits binary, w binary, nw binary")
-    if sharded:
-        built = materialize(built, "filter")
-    bits = None if sharded else np.zeros(width << sb, np.uint8)
-    w, nw = [], []
-    for r in built.drop(*["bits"] * sharded).collect():  # bounded by MOST_BITS and FREQUENT
-        if not sharded:
-            bits[r.segment * width : (r.segment + 1) * width] = np.frombuffer(r.bits, np.uint8)
+    built = materialize(segments.select("segment", "w", "nw", "p", "np").mapInArrow(parts, "segment int, bits binary, w binary, nw binary"), "filter")
+    w, nw = [np.zeros(0, _U)], [np.zeros(0, np.int64)]
+    for r in built.select("w", "nw").collect():  # bounded by FREQUENT
         w.append(np.frombuffer(r.w, _U))
         nw.append(np.frombuffer(r.nw, np.int64))
-    w, nw = (np.concatenate(x) if x else np.zeros(0, _U) for x in (w, nw))
+    w, nw = np.concatenate(w), np.concatenate(nw)
     order = np.argsort(w)
-    return {"segments": segments, "bits": bits, "filter": built.select("segment", "bits") if sharded else None, "frequent": (w[order], nw[order].astype(np.int64)), "total": total, "distinct": distinct, "sb": sb}
+    return {"segments": segments, "filter": built.select("segment", "bits"), "frequent": (w[order], nw[order]), "total": total, "distinct": distinct, "sb": sb}
 
 
 def find(keys: np.ndarray, sorted_keys: np.ndarray) -> np.ndarray:
@@ -262,21 +256,31 @@ def find(keys: np.ndarray, sorted_keys: np.ndarray) -> np.ndarray:
     return np.where(sorted_keys[at] == keys, at, -1)
 
 
+def _packed(data: np.ndarray, off: np.ndarray) -> bytes:
+    return zstandard.compress(np.array([len(off)], np.int64).tobytes() + off.astype(np.int64).tobytes() + data.tobytes(), 3)
+
+
+def _unpacked(body: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = zstandard.decompress(body)
+    n = int(np.frombuffer(raw, np.int64, 1)[0])
+    return np.frombuffer(raw, np.uint8, -1, 8 + 8 * n) if len(raw) > 8 + 8 * n else np.zeros(0, np.uint8), np.frombuffer(raw, np.int64, n, 8)
+
+
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Numbered runs of documents."""
+    """Numbered runs of documents: their ids and compressed texts."""
     run = TaskContext.get().partitionId() << 40
     for batch in batches:
-        for lo, hi, _, _ in tb.runs(batch.column(1), PROBE_BYTES):
-            cut = pa.array([0, hi - lo], pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array([run], pa.int64()), *(pa.ListArray.from_arrays(cut, batch.column(i).slice(lo, hi - lo)) for i in (0, 1))], names=["run", "ids", "texts"])
+        for lo, hi, data, off in tb.runs(batch.column(1), PROBE_BYTES):
+            ids = pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), batch.column(0).slice(lo, hi - lo))
+            yield pa.RecordBatch.from_arrays([pa.array([run], pa.int64()), ids, pa.array([_packed(data, off)], pa.binary())], names=["run", "ids", "body"])
             run += 1
 
 
 def _ask(batches: Iterator[pa.RecordBatch], sb: int) -> Iterator[pa.RecordBatch]:
     """A packet from each run to each group of segments: its distinct n-grams there, sorted by segment."""
     for batch in batches:
-        for run, texts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            *_, seg, low = ngrams(*tb.buffers(texts.values), sb)
+        for run, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            *_, seg, low = ngrams(*_unpacked(body.as_py()), sb)
             order = np.argsort(seg, kind="stable")
             seg, low = seg[order], low[order]
             cut = group_bounds(seg >> GROUP)
@@ -301,25 +305,29 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     group, part, bloom = g, [], None
                 part.append(np.frombuffer(low.as_py(), np.uint8))
                 continue
+            low = np.frombuffer(low.as_py(), np.uint32)
+            if g != group:  # nothing was learnt
+                out.append(bytes(len(low)))
+                continue
             if bloom is None:
                 bloom = LogBloom(np.concatenate(part), len(part))
-            out.append(bloom.levels(np.frombuffer(own.as_py(), np.uint8).astype(np.int64), np.frombuffer(low.as_py(), np.uint32)).astype(np.uint8).tobytes())
+            out.append(bloom.levels(np.frombuffer(own.as_py(), np.uint8).astype(np.int64), low).astype(np.uint8).tobytes())
         keep = pa.array(asked)
         yield pa.RecordBatch.from_arrays([batch.column(1).filter(keep), batch.column(0).filter(keep), pa.array(out, pa.binary())], names=["run", "group", "levels"])
 
 
 def _with_levels(docs: DataFrame, model: dict) -> DataFrame:
-    """(run, group, ids, texts, levels): each run of documents (group -1), and after it the levels of its n-grams by group."""
+    """(run, group, ids, body): each run of documents (group -1), and after it the levels of its n-grams by group."""
     spark, sb = docs.sparkSession, model["sb"]
     n = partitions(spark)
-    runs = materialize(docs.mapInArrow(_runs, "run long, ids array<long>, texts array<string>"), "runs")
+    runs = materialize(docs.mapInArrow(_runs, "run long, ids array<long>, body binary"), "runs")
     schema = "group int, run long, segment int, own binary, low binary"
-    asked = runs.select("run", "texts").mapInArrow(lambda it: _ask(it, sb), schema)
+    asked = runs.select("run", "body").mapInArrow(lambda it: _ask(it, sb), schema)
     parts = model["filter"].select(F.shiftright("segment", GROUP).alias("group"), F.lit(-1).cast("long").alias("run"), "segment", F.lit(None).cast("binary").alias("own"), F.col("bits").alias("low"))
     met = parts.union(asked).repartition(n, "group").sortWithinPartitions("group", "run", "segment")
-    none = [F.lit(None).cast(t).alias(c) for c, t in (("ids", "array<long>"), ("texts", "array<string>"))]
-    levels = met.mapInArrow(_answer, "run long, group int, levels binary").select("run", "group", *none, "levels")
-    every = runs.select("run", F.lit(-1).alias("group"), "ids", "texts", F.lit(None).cast("binary").alias("levels")).union(levels)
+    none = F.lit(None).cast("array<long>").alias("ids")
+    levels = met.mapInArrow(_answer, "run long, group int, levels binary").select("run", "group", none, F.col("levels").alias("body"))
+    every = runs.select("run", F.lit(-1).alias("group"), "ids", "body").union(levels)
     return every.repartition(n, "run").sortWithinPartitions("run", "group")
 
 
@@ -332,65 +340,51 @@ def score_texts(docs: DataFrame, model: dict, mod: int = 7, rest: int = 2) -> Da
     spark = docs.sparkSession
     total, distinct, sb = model["total"], model["distinct"], model["sb"]
     whole = math.log10(total + distinct + 1)
-    sharded = model["bits"] is None
-    shared = spark.sparkContext.broadcast((model["bits"], *model["frequent"]))
-
-    def units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array, np.ndarray | None]]:
-        """Ids and texts with, where the filter is not broadcast, the levels of their n-grams by segment."""
-        if not sharded:
-            for batch in batches:
-                if batch.num_rows:
-                    yield batch.column(0), batch.column(1), None
-            return
+    shared = spark.sparkContext.broadcast(model["frequent"])
+
+    def units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, bytes, np.ndarray]]:
+        """Ids and texts of each run with the levels of its n-grams, by segment."""
         own, levels = None, []
         for batch in batches:
-            for group, ids, texts, got in zip(batch.column(1).to_pylist(), *(batch.column(i) for i in (2, 3, 4)), strict=True):
+            for group, ids, body in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
                 if group >= 0:
-                    levels.append(np.frombuffer(got.as_py(), np.uint8))
+                    levels.append(np.frombuffer(body.as_py(), np.uint8))
                     continue
                 if own is not None:
                     yield *own, np.concatenate(levels)
-                own, levels = (ids.values, texts.values), []
+                own, levels = (ids.values, body.as_py()), []
         if own is not None:
             yield *own, np.concatenate(levels)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of documents (segment null) and packets of rare words (segment, hashes, number of the row from ``row`` on)."""
-        bits, often, n_often = shared.value
-        bloom, log_often = None if sharded else LogBloom(bits, 1 << sb), np.log10(n_often + 1.0)
+        often, n_often = shared.value
+        log_often = np.log10(n_often + 1.0)
         row = TaskContext.get().partitionId() << 40
-        for ids, texts, levels in units(batches):
+        for ids, body, levels in units(batches):
             ids = ids.to_pylist()
             out = held_out(ids, mod, rest)
             ids = np.array(ids, np.int64)
             packets: dict[int, list] = defaultdict(list)
-            rows = []
-            for lo, hi, data, off in [(0, len(ids), *tb.buffers(texts))] if sharded else tb.runs(texts):
-                # one probe for each distinct n-gram of the run
-                place, text, u, back, pair, seg, low = ngrams(data, off, sb)
-                if sharded:
-                    q = np.empty(len(seg), np.int64)
-                    q[np.argsort(seg, kind="stable")] = levels
-                else:
-                    q = bloom.levels(seg, low)
-                c1, c2 = LEVEL_COUNT[q[: len(u)]], LEVEL_COUNT[q[len(u) :]][pair]
-                at = find(u, often)
-                now = c1[back]
-                end = c1[np.searchsorted(u, _word_place(np.array([END])))[0]]
-                before = np.append(end, now[:-1])
-                before[np.append(True, text[1:] != text[:-1])] = end
-                p = BIGRAM_WEIGHT * np.minimum(1.0, c2 / np.maximum(before, np.maximum(c2, 1))) + (1 - BIGRAM_WEIGHT) * np.minimum(1.0, (now + 1) / (total + distinct + 1))
-                n = hi - lo
-                first = np.searchsorted(text, np.arange(n))
-                got = at[back]
-                base = np.add.reduceat(np.where(got >= 0, log_often[got] if len(log_often) else 0.0, 0.0), first)
-                known = np.add.reduceat((got >= 0).astype(np.int64), first)
-                rows.append((ids[lo:hi], out[lo:hi], np.bincount(text, minlength=n), known, base, np.add.reduceat(np.log10(p), first)))
-                rare = np.flatnonzero(got < 0)
-                if len(rare):
-                    for s, x in _split(place[rare], text[rare] + lo, sb):
-                        packets[s].append(x)
-            doc, flag, n, known, base, sc = (np.concatenate(x) for x in zip(*rows, strict=True))
+            place, text, u, back, pair, seg, low = ngrams(*_unpacked(body), sb)
+            q = np.empty(len(seg), np.int64)
+            q[np.argsort(seg, kind="stable")] = levels
+            c1, c2 = LEVEL_COUNT[q[: len(u)]], LEVEL_COUNT[q[len(u) :]][pair]
+            at = find(u, often)
+            now = c1[back]
+            end = c1[np.searchsorted(u, _word_place(np.array([END])))[0]]
+            before = np.append(end, now[:-1])
+            before[np.append(True, text[1:] != text[:-1])] = end
+            p = BIGRAM_WEIGHT * np.minimum(1.0, c2 / np.maximum(before, np.maximum(c2, 1))) + (1 - BIGRAM_WEIGHT) * np.minimum(1.0, (now + 1) / (total + distinct + 1))
+            first = np.searchsorted(text, np.arange(len(ids)))
+            got = at[back]
+            base = np.add.reduceat(np.where(got >= 0, log_often[got] if len(log_often) else 0.0, 0.0), first)
+            known = np.add.reduceat((got >= 0).astype(np.int64), first)
+            rare = np.flatnonzero(got < 0)
+            if len(rare):
+                for s, x in _split(place[rare], text[rare], sb):
+                    packets[s].append(x)
+            doc, flag, n, sc = ids, out, np.bincount(text, minlength=len(ids)), np.add.reduceat(np.log10(p), first)
             seg, pdoc, pkey = [], [], []
             for s, x in packets.items():
                 seg.append(s)
@@ -409,7 +403,7 @@ def score_texts(docs: DataFrame, model: dict, mod: int = 7, rest: int = 2) -> Da
 
     schema = "segment int, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, keys binary, rows binary, row long"
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
-    scored = materialize((_with_levels(docs, model) if sharded else docs).mapInArrow(score, schema), "scores")
+    scored = materialize(_with_levels(docs, model).mapInArrow(score, schema), "scores")
 
     exact = model["segments"].select("segment", F.col("w").alias("keys"), F.col("nw").alias("rows"), F.lit(-1).cast("long").alias("row"))
     asked = scored.filter("segment is not null").select("segment", "keys", "rows", "row")

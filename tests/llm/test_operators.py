@@ -444,17 +444,58 @@ def test_scores_against_brute_force(spark, monkeypatch):
     assert bloom_lm.score_texts(d.union(d), model).count() == 2 * len(texts)
 
 
-def test_filter_beyond_the_broadcast_bound_scores_the_same(spark, monkeypatch):
+def exact_scores(tok, out):
+    """The interpolated model from exact counts, each replaced by the mean of its level."""
+    held = lambda n: bloom_lm.LEVEL_COUNT[bloom_lm.level(np.array([n]))[0]] if n else 0.0
+    one = Counter(w for i in tok if not out[i] for w in tok[i])
+    two = Counter(p for i in tok if not out[i] for p in zip([None, *tok[i]], tok[i]))
+    m, b = sum(one.values()) + len(one) + 1, bloom_lm.BIGRAM_WEIGHT
+
+    def p(v, w):
+        c, n = held(two[v, w]), held(one[v])
+        return b * min(1.0, c / max(n, c, 1)) + (1 - b) * min(1.0, (held(one[w]) + 1) / m)
+
+    return {i: sum(math.log10(p(v, w)) for v, w in zip([None, *tok[i]], tok[i])) for i in tok}
+
+
+def test_scores_equal_an_exact_interpolated_model_at_any_size_of_run(spark, monkeypatch):
+    monkeypatch.setattr(bloom_lm, "BITS", 1000)  # hardly any false positives
     rng = np.random.default_rng(12)
-    texts = [" ".join(rng.choice([f"w{i}" for i in range(200)], rng.integers(1, 60))) for _ in range(120)] + [None, "", LONG]
-    d = docs(spark, texts)
-    want = rows(bloom_lm.score_texts(d, bloom_lm.train(d)), "doc_id")
-    monkeypatch.setattr(bloom_lm, "MOST_BITS", 1 << 12)
+    texts = [" ".join(rng.choice([f"w{i}" for i in range(200)], rng.integers(1, 60))) for _ in range(120)] + [None, "", LONG, "unseen words only"]
+    d = docs(spark, texts).withColumn("score", __import__("pyspark.sql.functions", fromlist=["lit"]).lit("old")).withColumnRenamed("lang", "run")
+    tok = {i: [*words(t), None] for i, t in enumerate(texts, 1)}
+    want = exact_scores(tok, {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in tok})
+    got = rows(bloom_lm.score_texts(d, bloom_lm.train(d)), "doc_id")
+    close = [math.isclose(got[i].score, want[i], rel_tol=1e-6) for i in tok]
+    assert np.mean(close) >= 0.98 and all(abs(got[i].score - want[i]) < 0.02 * abs(want[i]) for i in tok)
     monkeypatch.setattr(bloom_lm, "PROBE_BYTES", 1 << 10)
+    again = rows(bloom_lm.score_texts(d, bloom_lm.train(d)), "doc_id")
+    assert all(again[i][:5] == got[i][:5] and math.isclose(again[i].base_score, got[i].base_score) and math.isclose(again[i].score, got[i].score) for i in tok)
+
+
+def test_documents_that_occur_twice_score_apart(spark):
+    ids = [i for i in range(1, 600) if zlib.crc32(str(i).encode()) % 7 != 2]
+    vocabulary = [f"w{i}" for i in range(3000)]
+    rng = np.random.default_rng(14)
+    once, twice = ([" ".join(rng.choice(vocabulary, 40)) for _ in range(n)] for n in (300, 60))
+    d = docs(spark, [*once, *twice, *twice], ids[:420])
     got = rows(bloom_lm.score_texts(d, bloom_lm.train(d)), "doc_id")
-    assert set(got) == set(want)
-    for i, r in got.items():
-        assert r[:5] == want[i][:5] and math.isclose(r.base_score, want[i].base_score) and math.isclose(r.score, want[i].score)
+    a, b = ([got[i].score / got[i].n_tokens for i in x] for x in (ids[:300], ids[300:420]))
+    assert np.mean(np.array(b) > np.quantile(a, 0.95)) >= 0.8
+
+
+def test_false_positives_do_not_grow_with_the_data(spark):
+    def share(n):
+        rng = np.random.default_rng(n)
+        texts = [" ".join(f"w{x}" for x in rng.integers(0, 10**6, 100)) for _ in range(n)]
+        model = bloom_lm.train(docs(spark, texts))
+        seg = sorted((r.segment, r.bits) for r in model["filter"].collect())
+        bloom = bloom_lm.LogBloom(np.frombuffer(b"".join(b for _, b in seg), np.uint8), len(seg))
+        at = tb.numbers(33, 20_000)
+        return (bloom.levels((at >> np.uint64(40)).astype(np.int64) % len(seg), (at & np.uint64(0xFFFFFFFF)).astype(np.uint32)) > 0).mean()
+
+    small, large = share(100), share(2000)
+    assert 0 < large < 0.02 and large < 1.3 * small + 0.002
 
 
 def test_bigrams_seen_once_count(spark):
