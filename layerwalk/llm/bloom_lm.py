@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textbuf as tb
-from .common import group_bounds, grouped, materialize, partitions, table
+from .common import drop_stage, group_bounds, grouped, materialize, partitions, table
 
 _U = np.uint64
 #: Base of the count levels; hashes a level; bits an n-gram in the filter.
@@ -205,7 +205,7 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             p, n2 = _merge([np.frombuffer(x, np.uint32) for x in part["p"]], [np.frombuffer(x, np.uint32) for x in part["np"]])
             hist = np.bincount(np.minimum(level(nw), LEVELS - 1), minlength=LEVELS)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([seg[lo]], pa.int32()), pa.array([w.tobytes()], pa.binary()), pa.array([nw.tobytes()], pa.binary()), pa.array([p.tobytes()], pa.binary()), pa.array([n2.astype(np.uint32).tobytes()], pa.binary()),
+                [pa.array([seg[lo]], pa.int32()), pa.array([w.tobytes()], pa.binary()), pa.array([nw.tobytes()], pa.binary()), pa.array([p.tobytes()], pa.binary()), pa.array([np.minimum(n2, 0xFFFFFFFF).astype(np.uint32).tobytes()], pa.binary()),
                  pa.array([int(nw.sum())]), pa.array([len(w)]), pa.array([len(w) + len(p)]), pa.array([hist.tolist()], pa.list_(pa.int64()))],
                 names=["segment", "w", "nw", "p", "np", "total", "words", "grams", "hist"],
             )
@@ -214,16 +214,16 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, mod: int = 7, rest: int = 2) -> dict:
     """The model of all texts whose crc32(doc_id as text) mod ``mod`` is not ``rest``.
 
-    ``segments`` is a written table of exact counts, ``filter`` (segment, bits) one of the filter; ``frequent`` (at most
-    FREQUENT words with exact counts), ``total`` and ``distinct`` are held for broadcast.
+    ``segments`` is a written table: of each segment the exact counts of its words and its bits of the filter; ``frequent``
+    (at most FREQUENT words with exact counts), ``total`` and ``distinct`` are held for broadcast.
     """
     spark = docs.sparkSession
     sb = segment_bits(partitions(spark))
     sent = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null").mapInArrow(lambda it: _count(it, mod, rest, sb), "segment int, w binary, nw binary, p binary, np binary")
     dealt = sent.repartition(partitions(spark), "segment").sortWithinPartitions("segment")
     schema = "segment int, w binary, nw binary, p binary, np binary, total long, words long, grams long, hist array<long>"
-    segments = materialize(dealt.mapInArrow(_segments, schema), "ngrams")
-    sums = segments.agg(F.sum("total"), F.sum("words"), F.sum("grams"), *(F.sum(F.col("hist")[q]) for q in range(LEVELS))).first()
+    counted = materialize(dealt.mapInArrow(_segments, schema), "ngrams")
+    sums = counted.agg(F.sum("total"), F.sum("words"), F.sum("grams"), *(F.sum(F.col("hist")[q]) for q in range(LEVELS))).first()
     total, distinct, grams, *hist = (int(x or 0) for x in sums)
     hist = np.array(hist)
     above = np.append(np.cumsum(hist[::-1])[::-1], 0)
@@ -236,16 +236,18 @@ def train(docs: DataFrame, mod: int = 7, rest: int = 2) -> dict:
                 w, nw, p, n2 = np.frombuffer(w, _U), np.frombuffer(nw, np.int64), np.frombuffer(p, np.uint32), np.frombuffer(n2, np.uint32)
                 bits = fill(width, np.concatenate([word_low(w), p]), np.concatenate([nw, n2]))
                 often = np.minimum(level(nw), LEVELS - 1) >= least
-                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([bits], pa.binary()), pa.array([w[often].tobytes()], pa.binary()), pa.array([nw[often].tobytes()], pa.binary())], names=["segment", "bits", "w", "nw"])
+                cols = [bits, w.tobytes(), nw.tobytes(), w[often].tobytes(), nw[often].tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), *(pa.array([x], pa.binary()) for x in cols)], names=["segment", "bits", "w", "nw", "often", "n_often"])
 
-    built = materialize(segments.select("segment", "w", "nw", "p", "np").mapInArrow(parts, "segment int, bits binary, w binary, nw binary"), "filter")
+    built = materialize(counted.select("segment", "w", "nw", "p", "np").mapInArrow(parts, "segment int, bits binary, w binary, nw binary, often binary, n_often binary"), "filter")
+    drop_stage(counted)
     w, nw = [np.zeros(0, _U)], [np.zeros(0, np.int64)]
-    for r in built.select("w", "nw").collect():  # bounded by FREQUENT
-        w.append(np.frombuffer(r.w, _U))
-        nw.append(np.frombuffer(r.nw, np.int64))
+    for r in built.select("often", "n_often").collect():  # bounded by FREQUENT
+        w.append(np.frombuffer(r.often, _U))
+        nw.append(np.frombuffer(r.n_often, np.int64))
     w, nw = np.concatenate(w), np.concatenate(nw)
     order = np.argsort(w)
-    return {"segments": segments, "filter": built.select("segment", "bits"), "frequent": (w[order], nw[order]), "total": total, "distinct": distinct, "sb": sb}
+    return {"segments": built.select("segment", "bits", "w", "nw"), "frequent": (w[order], nw[order]), "total": total, "distinct": distinct, "sb": sb}
 
 
 def find(keys: np.ndarray, sorted_keys: np.ndarray) -> np.ndarray:
@@ -323,10 +325,10 @@ def _with_levels(docs: DataFrame, model: dict) -> DataFrame:
     runs = materialize(docs.mapInArrow(_runs, "run long, ids array<long>, body binary"), "runs")
     schema = "group int, run long, segment int, own binary, low binary"
     asked = runs.select("run", "body").mapInArrow(lambda it: _ask(it, sb), schema)
-    parts = model["filter"].select(F.shiftright("segment", GROUP).alias("group"), F.lit(-1).cast("long").alias("run"), "segment", F.lit(None).cast("binary").alias("own"), F.col("bits").alias("low"))
+    parts = model["segments"].select(F.shiftright("segment", GROUP).alias("group"), F.lit(-1).cast("long").alias("run"), "segment", F.lit(None).cast("binary").alias("own"), F.col("bits").alias("low"))
     met = parts.union(asked).repartition(n, "group").sortWithinPartitions("group", "run", "segment")
     none = F.lit(None).cast("array<long>").alias("ids")
-    levels = met.mapInArrow(_answer, "run long, group int, levels binary").select("run", "group", none, F.col("levels").alias("body"))
+    levels = materialize(met.mapInArrow(_answer, "run long, group int, levels binary"), "levels").select("run", "group", none, F.col("levels").alias("body"))
     every = runs.select("run", F.lit(-1).alias("group"), "ids", "body").union(levels)
     return every.repartition(n, "run").sortWithinPartitions("run", "group")
 

@@ -29,10 +29,12 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, what: str) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet to the shared folder and read it back.
 
-    A lost executor then costs only its own tasks, never the stages before.
+    A lost executor then costs only its own tasks, never the stages before. Shuffle files of plans written before are of
+    no more use; Spark deletes those of a plan that the driver has collected, which by itself may take half an hour.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/layerwalk-{what}-{uuid.uuid4().hex}"
+    spark.sparkContext._jvm.System.gc()
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

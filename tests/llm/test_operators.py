@@ -489,7 +489,7 @@ def test_false_positives_do_not_grow_with_the_data(spark):
         rng = np.random.default_rng(n)
         texts = [" ".join(f"w{x}" for x in rng.integers(0, 10**6, 100)) for _ in range(n)]
         model = bloom_lm.train(docs(spark, texts))
-        seg = sorted((r.segment, r.bits) for r in model["filter"].collect())
+        seg = sorted((r.segment, r.bits) for r in model["segments"].collect())
         bloom = bloom_lm.LogBloom(np.frombuffer(b"".join(b for _, b in seg), np.uint8), len(seg))
         at = tb.numbers(33, 20_000)
         return (bloom.levels((at >> np.uint64(40)).astype(np.int64) % len(seg), (at & np.uint64(0xFFFFFFFF)).astype(np.uint32)) > 0).mean()
