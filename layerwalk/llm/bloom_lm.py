@@ -39,7 +39,7 @@ LEVELS = 80
 #: Words in the broadcast table of exact counts, at most; weight of bigrams.
 FREQUENT, BIGRAM_WEIGHT = 1 << 19, 0.6
 #: Bytes of text that ask the filter at once; bits of a segment's number within its group.
-PROBE_BYTES, GROUP = 1 << 22, 3
+PROBE_BYTES, GROUP = 1 << 22, 1
 #: Hash of the end token; words never hash to it (their hashes are odd).
 END = _U(0)
 
@@ -126,7 +126,7 @@ def _count(batches: Iterator[pa.RecordBatch], mod: int, rest: int, sb: int) -> I
             words.append(h)
             pairs.append(bigrams(h, text))
             size += len(h)
-            if size > 3_000_000:
+            if size > 2_000_000:
                 yield from flush()
                 words, pairs, size = [], [], 0
     if size:

@@ -1,19 +1,20 @@
 """Operator 9: SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-The vocabulary file is compiled once a worker into three transducers:
+The vocabulary file is compiled once a worker into one transducer, the composition of three:
 
 - the normaliser: the identity on characters, blanks become U+2581, with one put before a text;
-- the pieces: a trie of piece strings; an arc over a piece weighs minus its score;
-- byte fallback: an arc over a character that is no piece, written as the pieces of its UTF-8 bytes.
-
-Their composition with a text is a lattice over its positions, and the encoding is the path of least weight in the
-tropical semiring (minimum, plus). In a model of type unigram that is the plain shortest path. In one of type BPE the
-piece transducer also remembers its last piece: an arc weighs infinity unless merging the two pieces' text by the
-model's scores gives back just these two. A BPE encoding is the one path without such an arc, so the finite shortest
-path is the encoding, and each position has a single state.
-
-No piece holds a blank after another character, so no finite path leaves a word for the next within a piece; the
-lattice is composed word by word, and paths of words are kept in a table of bounded size.
+- the pieces: a tree of states with an arc for each character; from a state that ends a piece an arc without input goes
+  back to the root, writes the piece and weighs minus its score;
+- byte fallback: an arc from the root over a character that is no piece, written as the pieces of its UTF-8 bytes.
+
+It is composed with each text as the search goes along: a composed state is a place in the text and a state of the
+pieces. The encoding is the path of least weight in the tropical semiring (minimum, plus). In a model of type unigram that is all. In
+one of type BPE the root also remembers the last piece, and a piece whose text the model would have merged otherwise
+across the border to the last one weighs infinity (:meth:`Transducer.clash`: the ranks of both pieces' own merges are followed
+down). Of the paths to a place in the text one is finite, so a place needs to keep one last piece only.
+
+No piece holds a blank after another character, so no finite path leaves a word for the next within a piece; texts are
+composed word by word, and shortest paths of words are kept in a table of bounded size.
 """
 
 from __future__ import annotations
@@ -23,15 +24,22 @@ import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from . import textbuf as tb
 from .common import table
 
 BLANK = "▁"
 #: Paths kept by a worker, at most.
 KEPT_WORDS, KEPT_PAIRS = 1 << 19, 1 << 20
+#: Bytes of text in a run whose distinct words take their paths together.
+RUN_BYTES = 1 << 22
+_NOT_BLANK = np.arange(256) != 32
 INFINITY = float("inf")
+#: Weight of a byte fallback arc; input of the arcs that end a piece (no text holds it as one character).
+FALLBACK, PIECE = 1e4, ""
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, object]]:
@@ -95,21 +103,28 @@ class Transducer:
         self.byte_of = {i: b for b, i in enumerate(self.bytes) if i >= 0}
         self.control = {i for i, k in enumerate(kinds) if k == 3}
         self.id = {p: i for i, (p, k) in enumerate(zip(self.pieces, kinds, strict=True)) if k in (1, 4)}
+        #: Of a BPE model, the two pieces whose merge makes a piece; a single character is its own.
+        self.halves: dict[int, tuple[int, int]] = {}
         if self.bpe:  # a piece that merging cannot make is on no path
-            self.id = {p: i for p, i in self.id.items() if self._merged(p) == [p]}
-            if not all(c in self.id for p in self.id for c in p):
+            made = {}
+            for p, i in self.id.items():
+                parts, halves = self._merged(p)
+                if parts == [p]:
+                    made[p] = i
+                    self.halves[i] = halves or (i, i)
+            if not all(c in made for p in made for c in p):
                 raise ValueError("every character of a BPE model's pieces must be a piece")
-        self.longest = max(map(len, self.id))
-        #: Length of the longest piece that starts with four characters, where that is over three.
-        self.reach: dict[str, int] = {}
-        for p in self.id:
-            if len(p) > 3:
-                self.reach[p[:4]] = max(len(p), self.reach.get(p[:4], 3))
+            self.id = made
+        self._order()
+        self._compile()
         across = any(BLANK in p.lstrip(BLANK) for p in self.id)
         #: A word is a run of blanks with what follows up to the next blank; without that property, the whole text.
         self.word = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+") if not across else re.compile("(?s).+")
+        #: Whether a run of texts can be cut into words by its bytes alone.
+        self.by_words = not across and self.prefix and not self.squeeze
+        self._outputs = None
         self.words: dict[str, tuple[int, ...]] = {}
-        self.pairs: dict[int, bool] = {}
+        self.pairs: dict[int, float] = {}
 
     # -- the normaliser -----------------------------------------------------------------------------------------
 
@@ -120,11 +135,24 @@ class Transducer:
             return ""
         return (BLANK if self.prefix else "") + text.replace(" ", BLANK)
 
-    # -- the last-piece memory of a BPE model --------------------------------------------------------------------
+    # -- the pieces ---------------------------------------------------------------------------------------------
+
+    def _compile(self) -> None:
+        """States of the piece tree: a state maps a character to the next state, and PIECE to the arc back to the root."""
+        self.root: dict = {}
+        for p, i in self.id.items():
+            state = self.root
+            for c in p:
+                state = state.setdefault(c, {})
+            state[PIECE] = (i, -self.scores[i])
+
+    def _order(self) -> None:
+        """Whether every piece comes after its halves, as in a trained model."""
+        self.ordered = all(len(self.pieces[h]) == 1 or self.scores[h] >= self.scores[i] for i, both in self.halves.items() for h in both if h != i)
 
-    def _merged(self, text: str) -> list[str]:
-        """``text`` merged pair by pair, the best score first and the leftmost of equals."""
-        parts = list(text)
+    def _merged(self, text: str) -> tuple[list[str], tuple[int, int] | None]:
+        """``text`` merged pair by pair, the best score first and the leftmost of equals, and the two sides of the last merge."""
+        parts, halves = list(text), None
         ids, scores = self.id, self.scores
         while len(parts) > 1:
             best, at = -INFINITY, -1
@@ -134,81 +162,76 @@ class Transducer:
                     best, at = scores[k], i
             if at < 0:
                 break
+            halves = (ids.get(parts[at], -1), ids.get(parts[at + 1], -1))
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
-
-    def follows(self, a: int, b: int) -> bool:
-        """Whether the arc over piece ``b`` after piece ``a`` has a finite weight."""
-        if len(self.pairs) >= KEPT_PAIRS:
-            self.pairs.clear()
-        x, y = self.pieces[a], self.pieces[b]
-        ok = self.pairs[a << 32 | b] = self._merged(x + y) == [x, y]
-        return ok
+        return parts, halves
+
+    def clash(self, a: int, b: int) -> float:
+        """Weight that the memory of last piece ``a`` adds to piece ``b``: 0, or infinity if the model merges across their border.
+
+        The pieces at the border are undone from the outside, the latest merge of both first. If the two that meet there
+        have a merge that comes before all merges undone so far, the model would have taken it. Of equal scores the
+        leftmost merge comes first: one inside ``a`` before the border, one inside ``b`` after it. That holds where no piece comes
+        before its halves; for a model where one does, both pieces are merged again.
+        """
+        pieces, scores, halves, ids = self.pieces, self.scores, self.halves, self.id
+        if not self.ordered:
+            return 0.0 if self._merged(pieces[a] + pieces[b])[0] == [pieces[a], pieces[b]] else INFINITY
+        # the next merge across the border counts if it precedes the earliest merge undone on either side
+        before_a = before_b = -INFINITY
+        while True:
+            k = ids.get(pieces[a] + pieces[b])
+            if k is not None and scores[k] > before_a and scores[k] >= before_b:
+                return INFINITY
+            left, right = halves[a], halves[b]
+            whole_a, whole_b = left[0] == a, right[0] == b
+            if whole_a and whole_b:
+                return 0.0
+            if not whole_a and (whole_b or scores[a] < scores[b]):
+                before_a, a = max(before_a, scores[a]), left[1]
+            else:
+                before_b, b = max(before_b, scores[b]), right[0]
 
-    # -- composition and shortest path ------------------------------------------------------------------------
+    # -- composition and shortest path --------------------------------------------------------------------------
 
     def _path(self, word: str) -> list[int]:
-        """Arcs of the shortest path through the lattice of ``word``: piece ids, or ~code point where no piece fits."""
-        return self._finite_path(word) if self.bpe else self._least_path(word)
-
-    def _least_path(self, word: str) -> list[int]:
-        n, ids, longest = len(word), self.id, self.longest
-        cost, back = [INFINITY] * (n + 1), [(0, 0)] * (n + 1)
-        cost[0] = 0.0
-        for end in range(1, n + 1):
-            for start in range(max(0, end - longest), end):
-                k = ids.get(word[start:end])
-                if k is None and end - start > 1:
-                    continue
-                now = cost[start] + (1e4 if k is None else -self.scores[k])
-                if now < cost[end]:
-                    cost[end], back[end] = now, (start, ~ord(word[start]) if k is None else k)
+        """Outputs of the shortest path through the composition with ``word``: piece ids, or ~code point where no piece fits."""
+        n, root, bpe, pairs, clash = len(word), self.root, self.bpe, self.pairs, self.clash
+        if len(pairs) >= KEPT_PAIRS:
+            pairs.clear()
+        cost: list[float] = [0.0] + [INFINITY] * n
+        last, came = [-1] * (n + 1), [0] * (n + 1)
+        for start in range(n):
+            now = cost[start]
+            if now == INFINITY:
+                continue
+            before = last[start]
+            high = before << 32 if bpe and before >= 0 else -1
+            state, at = root, start
+            while at < n:
+                state = state.get(word[at])
+                if state is None:
+                    break
+                at += 1
+                arc = state.get(PIECE)
+                if arc is not None:
+                    k, weight = arc
+                    if now + weight < cost[at]:
+                        if high >= 0:
+                            more = pairs.get(high | k)
+                            if more is None:
+                                more = pairs[high | k] = clash(before, k)
+                            if more:
+                                continue
+                        cost[at], last[at], came[at] = now + weight, k, start
+            if word[start] not in root and now + FALLBACK < cost[start + 1]:
+                cost[start + 1], last[start + 1], came[start + 1] = now + FALLBACK, ~ord(word[start]), start
         out = []
         while n:
-            n, k = back[n]
-            out.append(k)
+            out.append(last[n])
+            n = came[n]
         return out[::-1]
 
-    def _finite_path(self, word: str) -> list[int]:
-        """The one path of finite weight: arcs are tried longest first; a position that fails once fails for good,
-        as all finite paths to it end in the same piece. An arc that no piece has merges with nothing, so it may follow
-        and be followed by every piece."""
-        n, find, pairs, reach = len(word), self.id.get, self.pairs, self.reach
-        out: list[int] = []
-        cuts: list[int] = []
-        dead: set[int] = set()
-        at, last, size = 0, -1, min(n, reach.get(word[:4], 3))
-        while at < n:
-            while size:
-                end = at + size
-                k = find(word[at:end])
-                if end not in dead:
-                    if k is None:
-                        if size == 1:
-                            k = ~ord(word[at])
-                            break
-                    elif last < 0:
-                        break
-                    else:
-                        ok = pairs.get(last << 32 | k)
-                        if ok if ok is not None else self.follows(last, k):
-                            break
-                size -= 1
-            if size:
-                out.append(k)
-                cuts.append(at)
-                at, last = end, k
-                size = n - at
-                if size > 3:
-                    size = min(size, reach.get(word[at : at + 4], 3))
-            else:
-                dead.add(at)
-                out.pop()
-                size = at - cuts[-1] - 1
-                at = cuts.pop()
-                last = out[-1] if out else -1
-        return out
-
     def _ids(self, word: str) -> tuple[int, ...]:
         path = self._path(word)
         if min(path) >= 0:
@@ -223,22 +246,88 @@ class Transducer:
                 out.append(self.unknown)
         return tuple(out)
 
+    def _word_ids(self, w: str, words: dict[str, tuple[int, ...]]) -> tuple[int, ...]:
+        got = words.get(w)
+        if got is None:
+            got = self._ids(w)
+            if len(w) <= 64:
+                if len(words) >= KEPT_WORDS:
+                    words.clear()
+                words[w] = got
+        return got
+
     def encode(self, text: str | None) -> list[int]:
         out: list[int] = []
-        words = self.words
         for w in self.word.findall(self.normalise(text or "")):
-            got = words.get(w)
-            if got is None:
-                got = self._ids(w)
-                if len(w) <= 64:
-                    if len(words) >= KEPT_WORDS:
-                        words.clear()
-                    words[w] = got
-            out += got
+            out += self._word_ids(w, self.words)
         return out
 
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces of all texts in one array, and the offsets of each text: every distinct word of a run takes its path once."""
+        out, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for lo, hi, data, off in tb.runs(texts, RUN_BYTES):
+            plain = self.by_words and BLANK.encode() not in data.tobytes()
+            ids, n = self._run(data, off) if plain else self._each(texts.slice(lo, hi - lo).to_pylist())
+            out.append(ids)
+            sizes.append(n)
+        return np.concatenate(out), np.append(0, np.cumsum(np.concatenate(sizes)))
+
+    def _each(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [self.encode(t) for t in texts]
+        return np.array([i for x in ids for i in x], np.int32), np.array([len(x) for x in ids])
+
+    def _run(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        start, end, text = tb.words(data, off, _NOT_BLANK)
+        n = len(off) - 1
+        # blanks before each word; the normaliser puts one before a text. Blanks at the end of a text are a word of their own
+        first = np.ones(len(start), bool)
+        first[1:] = text[1:] != text[:-1]
+        before = np.where(first, off[text] - 1, np.append(0, end[:-1]))
+        last_end = off[:-1] - 1  # of a text without words
+        last_end = last_end.copy()
+        last_end[text] = end
+        tail = np.flatnonzero((off[1:] > off[:-1]) & (off[1:] > np.maximum(last_end, off[:-1])))
+        start, end, text = np.append(start, off[tail + 1]), np.append(end, off[tail + 1]), np.append(text, tail)
+        blanks = start - np.append(before, last_end[tail])
+        order = np.argsort(text, kind="stable")
+        start, end, text, blanks = start[order], end[order], text[order], blanks[order]
+        key = tb.mix(tb.span_hashes(data, start, end, tb.EXACT) + blanks.astype(np.uint64))
+        _, one, which = np.unique(key, return_index=True, return_inverse=True)
+        raw, words, path = data.tobytes(), self.words, []
+        for s, e, k in zip(start[one].tolist(), end[one].tolist(), blanks[one].tolist(), strict=True):
+            path.append(self._word_ids(BLANK * k + raw[s:e].decode("utf-8", "surrogatepass"), words))
+        size = np.fromiter(map(len, path), np.int64, len(path))
+        flat = np.fromiter((i for x in path for i in x), np.int32, int(size.sum()))
+        per = size[which]
+        at = np.repeat((np.cumsum(size) - size)[which] - (np.cumsum(per) - per), per) + np.arange(int(per.sum()))
+        return flat[at], np.bincount(text, per, n).astype(np.int64)
+
     # -- decoding: the inverse transducer ------------------------------------------------------------------------
 
+    def decode_all(self, ids: np.ndarray, off: np.ndarray) -> pa.Array:
+        """Texts of runs of pieces that :meth:`encode_all` made."""
+        if self._outputs is None:
+            made = [b"" if i in self.control else (" \u2047 " if i == self.unknown else p.replace(BLANK, " ")).encode("utf-8", "surrogatepass") for i, p in enumerate(self.pieces)]
+            for i, b in self.byte_of.items():
+                made[i] = bytes([b])
+            size = np.fromiter(map(len, made), np.int64, len(made))
+            self._outputs = np.frombuffer(b"".join(made), np.uint8), np.cumsum(size) - size, size
+        flat, begin, size = self._outputs
+        per = size[ids]
+        ends = np.append(0, np.cumsum(per))
+        data = flat[np.repeat(begin[ids] - ends[:-1], per) + np.arange(int(ends[-1]))]
+        at = ends[off]
+        if self.prefix:  # the blank before a text goes
+            some = np.flatnonzero(at[1:] > at[:-1])
+            lead = some[data[at[some]] == 32]
+            keep = np.ones(len(data), bool)
+            keep[at[lead]] = False
+            data = data[keep]
+            gone = np.zeros(len(off), np.int64)
+            gone[lead + 1] = 1
+            at = at - np.cumsum(gone)
+        return pa.Array.from_buffers(pa.large_string(), len(off) - 1, [None, pa.py_buffer(at.astype(np.int64).tobytes()), pa.py_buffer(data.tobytes())])
+
     def decode(self, ids: list[int]) -> str:
         out: list[str] = []
         run = bytearray()
@@ -290,11 +379,11 @@ def encode_texts(docs: DataFrame, model: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fst = compiled(raw)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                ids = [fst.encode(t) for t in part.column(at).to_pylist()]
-                back = [fst.decode(x) for x in ids]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.list_(pa.int32())), pa.array(back, pa.string())], names=[*part.schema.names, "piece_ids", "decoded"])
+            for lo, hi, _, _ in tb.runs(batch.column(at), RUN_BYTES):
+                part = batch.slice(lo, hi - lo)
+                ids, off = fst.encode_all(part.column(at))
+                back = fst.decode_all(ids, off).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(ids)), back], names=[*part.schema.names, "piece_ids", "decoded"])
 
     from pyspark.sql import types as T
 

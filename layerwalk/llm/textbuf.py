@@ -93,10 +93,14 @@ def words(data: np.ndarray, off: np.ndarray, inside: np.ndarray = _IS_WORD) -> t
     return start, end, np.searchsorted(off, start, "right") - 1
 
 
-def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+#: Byte values of hashes that tell A-Z from a-z.
+EXACT = numbers(1, 256)
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, values: np.ndarray = _BYTE) -> np.ndarray:
     """A 64-bit hash of each span, of bytes with A-Z lower-cased: a polynomial over random byte values, then mixed."""
     run = np.zeros(len(data) + 1, _U)
-    np.cumsum(_BYTE[data] * _power(_BASE, len(data)), out=run[1:])
+    np.cumsum(values[data] * _power(_BASE, len(data)), out=run[1:])
     return mix((run[end] - run[start]) * _power(_INVERSE, len(data) + 1)[start] + (end - start).astype(_U) * _U(0x9E3779B97F4A7C15))
 
 

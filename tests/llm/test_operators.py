@@ -538,11 +538,55 @@ def test_pieces_equal_the_library(spark):
     assert one.round_trip and one.ids_sha256 == hashlib.sha256(",".join(map(str, sp.encode(texts[7]))).encode()).hexdigest()
 
 
+def small_model(pieces, bpe):
+    """A transducer of (piece, score) pairs."""
+    f = object.__new__(sentencepiece_fst.Transducer)
+    names, scores = zip(*pieces)
+    f.__dict__ = {"bpe": bpe, "pieces": list(names), "scores": list(scores), "id": {p: i for i, p in enumerate(names)}, "pairs": {}, "halves": {}}
+    if bpe:
+        f.halves = {i: f._merged(p)[1] or (i, i) for p, i in f.id.items()}
+    f._order()
+    f._compile()
+    return f
+
+
 def test_unigram_takes_the_shortest_path():
-    f = sentencepiece_fst.compiled(sentencepiece_fst._read(sentencepiece_fst.default_model()))
-    plain = object.__new__(sentencepiece_fst.Transducer)
-    plain.__dict__ = dict(f.__dict__, bpe=False, id={p: i for i, p in enumerate(["a", "b", "ab", "abc", "c"])}, scores=[-1.0, -1.0, -1.5, -4.0, -1.0], longest=3)
-    assert plain._path("abc") == [2, 4] and plain._path("axb") == [0, ~ord("x"), 1]
+    import itertools
+
+    pieces = [("a", -1.0), ("b", -1.0), ("ab", -1.5), ("abc", -4.0), ("c", -1.0)]
+    f = small_model(pieces, False)
+    assert f._path("abc") == [2, 4] and f._path("axb") == [0, ~ord("x"), 1]
+    assert small_model([*pieces[:3], ("abc", -2.0), pieces[4]], False)._path("abc") == [3]
+    score = dict(pieces)
+    for word in map("".join, itertools.product("abc", repeat=6)):  # every way to cut
+        ways = [[word[i:j] for i, j in zip((0, *cut), (*cut, 6))] for k in range(6) for cut in itertools.combinations(range(1, 6), k)]
+        assert sum(score[f.pieces[k]] for k in f._path(word)) == max(sum(map(score.get, w)) for w in ways if all(p in score for p in w))
+
+
+def test_bpe_paths_follow_the_weights():
+    import itertools
+
+    base = [("a", -90.0), ("b", -91.0), ("c", -92.0)]
+    f = small_model([*base, ("ab", -1.0), ("bc", -2.0)], True)
+    g = small_model([*base, ("ab", -2.0), ("bc", -1.0)], True)
+    assert [f.pieces[k] for k in f._path("abc")] == ["ab", "c"] and [g.pieces[k] for k in g._path("abc")] == ["a", "bc"]
+    rng = np.random.default_rng(21)
+    ordered = []
+    for turn in range(60):  # random merge lists against merging itself: in order, some with equal scores, and in any order
+        made = ["a", "b", "c"]
+        for _ in range(9):
+            made.append("".join(rng.choice(made, 2)))
+        made = list(dict.fromkeys(p for p in made if len(p) < 9))
+        of = {p: float(-(k // (1, 2)[turn % 2]) if turn < 40 else -rng.integers(1, 8)) if len(p) > 1 else -99.0 for k, p in enumerate(made)}
+        while True:
+            f = small_model(list(of.items()), True)
+            if not (gone := [p for p in of if f._merged(p)[0] != [p]]):
+                break
+            of = {p: x for p, x in of.items() if p not in gone}
+        ordered.append(f.ordered)
+        for word in map("".join, itertools.product("abc", repeat=6)):
+            assert [f.pieces[k] for k in f._path(word)] == f._merged(word)[0], (of, word)
+    assert sum(ordered) >= 30 and not all(ordered)
 
 
 # -- 10 --------------------------------------------------------------------------------------------------------------
