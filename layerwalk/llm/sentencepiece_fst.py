@@ -3,8 +3,8 @@
 The vocabulary file is compiled once a worker into one transducer, the composition of three:
 
 - the normaliser: the identity on characters, blanks become U+2581, with one put before a text;
-- the pieces: a tree of states with an arc for each character; from a state that ends a piece an arc without input goes
-  back to the root, writes the piece and weighs minus its score;
+- the pieces: a tree of states with an arc for each character; where a piece ends, an arc without input goes back to the
+  root, writes the piece and weighs minus its score (the tree is determinised, so that one state knows all pieces that end there);
 - byte fallback: an arc from the root over a character that is no piece, written as the pieces of its UTF-8 bytes.
 
 It is composed with each text as the search goes along: a composed state is a place in the text and a state of the
@@ -13,8 +13,8 @@ one of type BPE the root also remembers the last piece, and a piece whose text t
 across the border to the last one weighs infinity (:meth:`Transducer.clash`: the ranks of both pieces' own merges are followed
 down). Of the paths to a place in the text one is finite, so a place needs to keep one last piece only.
 
-No piece holds a blank after another character, so no finite path leaves a word for the next within a piece; texts are
-composed word by word, and shortest paths of words are kept in a table of bounded size.
+No piece holds a blank after another character, so no finite path leaves a word for the next within a piece. Texts are
+composed word by word; the distinct words of a run of texts take their paths together, place by place in arrays.
 """
 
 from __future__ import annotations
@@ -36,10 +36,12 @@ BLANK = "▁"
 KEPT_WORDS, KEPT_PAIRS = 1 << 19, 1 << 20
 #: Bytes of text in a run whose distinct words take their paths together.
 RUN_BYTES = 1 << 22
+#: Code points of a word that is searched along with others, at most, and places of such words held at once.
+LONGEST, HELD = 1 << 12, 1 << 20
 _NOT_BLANK = np.arange(256) != 32
 INFINITY = float("inf")
-#: Weight of a byte fallback arc; input of the arcs that end a piece (no text holds it as one character).
-FALLBACK, PIECE = 1e4, ""
+#: Weight of a byte fallback arc.
+FALLBACK = 1e4
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, object]]:
@@ -72,6 +74,47 @@ def _fields(raw: bytes) -> Iterator[tuple[int, object]]:
             i += n
 
 
+class Table:
+    """Numbers by non-negative keys, found for many keys at once: open addressing, at most half full."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.used, self.keys, self.values = 0, np.full(1 << 10, -1, np.int64), np.zeros(1 << 10, np.int32)
+        self.add(keys, values)
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return (tb.mix(keys.view(np.uint64)) & np.uint64(len(self.keys) - 1)).astype(np.int64)
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """New distinct keys."""
+        if 2 * (self.used + len(keys)) > len(self.keys):
+            old = self.keys >= 0
+            keys, values = np.append(self.keys[old], keys), np.append(self.values[old], values)
+            size = 1 << (4 * len(keys)).bit_length()
+            self.used, self.keys, self.values = 0, np.full(size, -1, np.int64), np.zeros(size, np.int32)
+        self.used += len(keys)
+        slot = self._slots(keys)
+        while len(keys):
+            free = self.keys[slot] < 0
+            self.keys[slot[free]] = keys[free]  # of several keys at one slot the last stays
+            done = self.keys[slot] == keys
+            self.values[slot[done]] = values[done]
+            keys, values, slot = keys[~done], values[~done], (slot[~done] + 1) & (len(self.keys) - 1)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Value of each key, or -1."""
+        slot = self._slots(keys)
+        at = self.keys[slot]
+        out = np.where(at == keys, self.values[slot], -1)
+        todo = np.flatnonzero((at != keys) & (at >= 0))
+        while len(todo):
+            slot[todo] = (slot[todo] + 1) & (len(self.keys) - 1)
+            at = self.keys[slot[todo]]
+            hit = at == keys[todo]
+            out[todo[hit]] = self.values[slot[todo[hit]]]
+            todo = todo[~hit & (at >= 0)]
+        return out
+
+
 class Transducer:
     """The compiled vocabulary of a SentencePiece model file (type unigram or BPE, identity normaliser)."""
 
@@ -138,13 +181,28 @@ class Transducer:
     # -- the pieces ---------------------------------------------------------------------------------------------
 
     def _compile(self) -> None:
-        """States of the piece tree: a state maps a character to the next state, and PIECE to the arc back to the root."""
-        self.root: dict = {}
+        """States of the determinised piece tree, as [next state by character, state to go on from, arcs].
+
+        A state is the longest end of the text so far that begins a piece; where it has no arc for a character, the
+        search goes on from its own longest such end. Its arcs are the pieces that end here, the longest first: (length, piece, weight).
+        """
+        self.root: list = [{}, None, ()]
+        queue: list[tuple[list, list, str]] = []
         for p, i in self.id.items():
             state = self.root
             for c in p:
-                state = state.setdefault(c, {})
-            state[PIECE] = (i, -self.scores[i])
+                state = state[0].setdefault(c, [{}, self.root, ()])
+            state[2] = ((len(p), i, -self.scores[i]),)
+        queue = [self.root]
+        for state in queue:  # by length
+            for c, after in state[0].items():
+                on = state[1]
+                while on is not None and c not in on[0]:
+                    on = on[1]
+                if on is not None:
+                    after[1] = on[0][c]
+                    after[2] += after[1][2]
+                queue.append(after)
 
     def _order(self) -> None:
         """Whether every piece comes after its halves, as in a trained model."""
@@ -196,40 +254,44 @@ class Transducer:
 
     def _path(self, word: str) -> list[int]:
         """Outputs of the shortest path through the composition with ``word``: piece ids, or ~code point where no piece fits."""
-        n, root, bpe, pairs, clash = len(word), self.root, self.bpe, self.pairs, self.clash
+        root, bpe, pairs, clash = self.root, self.bpe, self.pairs, self.clash
         if len(pairs) >= KEPT_PAIRS:
             pairs.clear()
-        cost: list[float] = [0.0] + [INFINITY] * n
-        last, came = [-1] * (n + 1), [0] * (n + 1)
-        for start in range(n):
-            now = cost[start]
-            if now == INFINITY:
-                continue
-            before = last[start]
-            high = before << 32 if bpe and before >= 0 else -1
-            state, at = root, start
-            while at < n:
-                state = state.get(word[at])
-                if state is None:
-                    break
-                at += 1
-                arc = state.get(PIECE)
-                if arc is not None:
-                    k, weight = arc
-                    if now + weight < cost[at]:
-                        if high >= 0:
-                            more = pairs.get(high | k)
+        cost, last, came = [0.0], [-1], [0]
+        state, at = root, 0
+        for c in word:
+            after = state[0].get(c)
+            while after is None and state is not root:
+                state = state[1]
+                after = state[0].get(c)
+            least, piece, begin = INFINITY, -1, at
+            if after is not None:
+                state = after
+                for size, k, weight in after[2]:
+                    start = at + 1 - size
+                    weight += cost[start]
+                    if weight < least:
+                        before = last[start]
+                        if bpe and before >= 0:
+                            both = before << 32 | k
+                            more = pairs.get(both)
                             if more is None:
-                                more = pairs[high | k] = clash(before, k)
+                                more = pairs[both] = clash(before, k)
                             if more:
                                 continue
-                        cost[at], last[at], came[at] = now + weight, k, start
-            if word[start] not in root and now + FALLBACK < cost[start + 1]:
-                cost[start + 1], last[start + 1], came[start + 1] = now + FALLBACK, ~ord(word[start]), start
+                        least, piece, begin = weight, k, start
+                        if bpe:  # the other paths to this place weigh infinity
+                            break
+            if c not in self.id and cost[at] + FALLBACK < least:
+                least, piece, begin = cost[at] + FALLBACK, ~ord(c), at
+            at += 1
+            cost.append(least)
+            last.append(piece)
+            came.append(begin)
         out = []
-        while n:
-            out.append(last[n])
-            n = came[n]
+        while at:
+            out.append(last[at])
+            at = came[at]
         return out[::-1]
 
     def _ids(self, word: str) -> tuple[int, ...]:
@@ -262,19 +324,126 @@ class Transducer:
             out += self._word_ids(w, self.words)
         return out
 
+    def _arrays(self) -> None:
+        """The states of :meth:`_compile` by number in arrays, and the arcs over characters in a hash table."""
+        number, states = {id(self.root): 0}, [self.root]
+        keys, after = [], []
+        for i, state in enumerate(states):
+            for c, to in state[0].items():
+                number[id(to)] = len(states)
+                states.append(to)
+                keys.append(i << 21 | ord(c))
+                after.append(number[id(to)])
+        n = len(states)
+        self.on = np.array([number[id(x[1])] if x[1] is not None else 0 for x in states], np.int32)
+        own = np.zeros(n, np.int32)  # length of the piece that a state is, or 0
+        depth = np.zeros(n, np.int32)
+        for (i, _), j in zip((divmod(k, 1 << 21) for k in keys), after, strict=True):
+            depth[j] = depth[i] + 1
+        self.piece, self.weight = np.full(n, -1, np.int64), np.full(n, INFINITY)
+        for i, x in enumerate(states):
+            if x[2] and x[2][0][0] == depth[i]:
+                own[i], self.piece[i], self.weight[i] = x[2][0]
+        self.size = own
+        #: The longest state that is a piece and ends the text where a state does, and the next shorter one.
+        self.ends, self.shorter = np.where(own > 0, np.arange(n), -1), np.full(n, -1)
+        for i in range(1, n):  # by length
+            self.shorter[i] = self.ends[self.on[i]]
+            if self.ends[i] < 0:
+                self.ends[i] = self.shorter[i]
+        self.arcs = Table(np.array(keys, np.int64), np.array(after, np.int32))
+        self.memory = Table(np.zeros(0, np.int64), np.zeros(0, np.int32))
+
+    def _clashes(self, before: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """:meth:`clash` of many pairs, from a table of bounded size."""
+        key = before.astype(np.int64) << 32 | k
+        got = self.memory.find(key)
+        new = np.unique(key[got < 0])
+        if len(new):
+            if self.memory.used + len(new) > KEPT_PAIRS:
+                self.memory = Table(np.zeros(0, np.int64), np.zeros(0, np.int32))
+            self.memory.add(new, np.array([self.clash(x >> 32, x & 0xFFFFFFFF) > 0 for x in new.tolist()], np.int32))
+            got[got < 0] = self.memory.find(key[got < 0])
+        return got > 0
+
+    def _paths(self, codes: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """:meth:`_path` of many words, given by code points and offsets and sorted from the longest on: pieces, and number of each word's."""
+        long = np.diff(off)
+        n, wide = len(long), int(long[0]) + 1
+        cost, last, came = np.full((n, wide), INFINITY), np.full((n, wide), -1), np.zeros((n, wide), np.int32)
+        cost[:, 0] = 0.0
+        state = np.zeros(n, np.int64)
+        for j in range(wide - 1):
+            m = int(np.searchsorted(-long, -j))  # words that are longer than j
+            c = codes[off[:m] + j].astype(np.int64)
+            now, after, todo = state[:m].copy(), np.full(m, -1), np.arange(m)
+            while len(todo):
+                got = self.arcs.find(now[todo] << 21 | c[todo])
+                after[todo] = got
+                todo = todo[(got < 0) & (now[todo] > 0)]
+                now[todo] = self.on[now[todo]]
+            state[:m] = np.maximum(after, 0)
+            arc = np.where(after >= 0, self.ends[state[:m]], -1)
+            least, piece, begin = np.full(m, INFINITY), np.full(m, -1), np.zeros(m, np.int64)
+            todo = np.flatnonzero(arc >= 0)
+            while len(todo):
+                e = arc[todo]
+                k, start = self.piece[e], j + 1 - self.size[e]
+                w, before = cost[todo, start] + self.weight[e], last[todo, start]
+                better = w < least[todo]
+                if self.bpe:
+                    ask = np.flatnonzero(better & (before >= 0))
+                    better[ask[self._clashes(before[ask], k[ask])]] = False
+                to = todo[better]
+                least[to], piece[to], begin[to] = w[better], k[better], start[better]
+                arc[todo] = self.shorter[e]
+                todo = todo[(arc[todo] >= 0) & ~(better & self.bpe)]  # of a BPE model the other paths to this place weigh infinity
+            one = self.arcs.find(c)
+            alone = np.flatnonzero(((one < 0) | (self.piece[one] < 0)) & (cost[:m, j] + FALLBACK < least))
+            least[alone], piece[alone], begin[alone] = cost[alone, j] + FALLBACK, ~c[alone], j
+            cost[:m, j + 1], last[:m, j + 1], came[:m, j + 1] = least, piece, begin
+        at, rows, steps = long.copy(), np.arange(n), []
+        while len(rows):
+            steps.append((rows, last[rows, at[rows]]))
+            at[rows] = came[rows, at[rows]]
+            rows = rows[at[rows] > 0]
+        per = np.bincount(np.concatenate([r for r, _ in steps]), minlength=n)
+        ends = np.cumsum(per)
+        out = np.zeros(int(ends[-1]), np.int64)
+        for k, (r, x) in enumerate(steps):
+            out[ends[r] - 1 - k] = x
+        return out, per
+
     def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Pieces of all texts in one array, and the offsets of each text: every distinct word of a run takes its path once."""
         out, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
         for lo, hi, data, off in tb.runs(texts, RUN_BYTES):
-            plain = self.by_words and BLANK.encode() not in data.tobytes()
-            ids, n = self._run(data, off) if plain else self._each(texts.slice(lo, hi - lo).to_pylist())
+            odd = self._odd(data, off)
+            if not odd.any():
+                ids, n = self._run(data, off)
+            else:
+                part, flag = texts.slice(lo, hi - lo), pa.array(odd)
+                (a, na), (b, nb) = self._each(part.filter(flag).to_pylist()), self._run(*tb.buffers(part.filter(pa.array(~odd))))
+                n = np.zeros(hi - lo, np.int64)
+                n[odd], n[~odd] = na, nb
+                begin = np.zeros(hi - lo, np.int64)
+                begin[odd], begin[~odd] = np.cumsum(na) - na, len(a) + np.cumsum(nb) - nb
+                ids = np.append(a, b)[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
             out.append(ids)
             sizes.append(n)
         return np.concatenate(out), np.append(0, np.cumsum(np.concatenate(sizes)))
 
+    def _odd(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Texts that cannot be cut into words by their blanks alone: those that hold the normaliser's own blank, or all."""
+        odd = np.full(len(off) - 1, not self.by_words)
+        if self.by_words and len(data) > 2:
+            a, b, c = BLANK.encode()
+            odd[np.searchsorted(off, np.flatnonzero((data[:-2] == a) & (data[1:-1] == b) & (data[2:] == c)), "right") - 1] = True
+        return odd
+
     def _each(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         ids = [self.encode(t) for t in texts]
-        return np.array([i for x in ids for i in x], np.int32), np.array([len(x) for x in ids])
+        return np.array([i for x in ids for i in x], np.int32), np.array([len(x) for x in ids], np.int64)
 
     def _run(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         start, end, text = tb.words(data, off, _NOT_BLANK)
@@ -293,25 +462,78 @@ class Transducer:
         start, end, text, blanks = start[order], end[order], text[order], blanks[order]
         key = tb.mix(tb.span_hashes(data, start, end, tb.EXACT) + blanks.astype(np.uint64))
         _, one, which = np.unique(key, return_index=True, return_inverse=True)
-        raw, words, path = data.tobytes(), self.words, []
-        for s, e, k in zip(start[one].tolist(), end[one].tolist(), blanks[one].tolist(), strict=True):
-            path.append(self._word_ids(BLANK * k + raw[s:e].decode("utf-8", "surrogatepass"), words))
-        size = np.fromiter(map(len, path), np.int64, len(path))
-        flat = np.fromiter((i for x in path for i in x), np.int32, int(size.sum()))
+        flat, size = self._distinct(data, start[one], end[one], blanks[one])
         per = size[which]
         at = np.repeat((np.cumsum(size) - size)[which] - (np.cumsum(per) - per), per) + np.arange(int(per.sum()))
         return flat[at], np.bincount(text, per, n).astype(np.int64)
 
+    def _distinct(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, blanks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces of words (spans of bytes after so many blanks), and the number of each word's."""
+        if self._outputs is None:
+            self._outputs = self._output_table()
+            self._arrays()
+        n = end - start
+        at = np.append(0, np.cumsum(n))
+        raw = data[np.repeat(start - at[:-1], n) + np.arange(int(at[-1]))]
+        chars = np.append(0, np.cumsum((raw & 0xC0) != 0x80))[at]
+        chars = np.diff(chars)
+        long = chars + blanks
+        codes = np.full(int(long.sum()), ord(BLANK), np.uint32)
+        off = np.append(0, np.cumsum(long))
+        first = np.append(0, np.cumsum(chars))
+        codes[np.repeat(off[:-1] + blanks - first[:-1], chars) + np.arange(int(first[-1]))] = np.frombuffer(raw.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
+        order = np.argsort(-long, kind="stable")
+        size = np.zeros(len(long), np.int64)
+        flat = []
+        lo = 0
+        while lo < len(order):
+            top = int(long[order[lo]])
+            if top > LONGEST:  # one word takes its path by itself
+                w = order[lo : lo + 1]
+                ids = np.array(self._ids("".join(map(chr, codes[off[w[0]] : off[w[0] + 1]].tolist()))), np.int64)
+                per = np.array([len(ids)])
+            else:  # words of half to all of a length together
+                hi = int(np.searchsorted(-long[order], -(top // 2), "left")) if top > 16 else len(order)
+                w = order[lo : max(hi, lo + 1)][: max(1, HELD // top)]
+                own = np.append(0, np.cumsum(long[w]))
+                ids, per = self._paths(codes[np.repeat(off[w] - own[:-1], long[w]) + np.arange(int(own[-1]))], own)
+                if len(ids) and ids.min() < 0:
+                    ids, per = self._with_bytes(ids, per)
+            lo += len(w)
+            size[w] = per
+            flat.append(ids)
+        # from the order by length back to the order of the words
+        flat = np.concatenate(flat) if flat else np.zeros(0, np.int64)
+        begin = np.zeros(len(long), np.int64)
+        begin[order] = np.cumsum(size[order]) - size[order]
+        ends = np.append(0, np.cumsum(size))
+        return flat[np.repeat(begin - ends[:-1], size) + np.arange(int(ends[-1]))].astype(np.int32), size
+
+    def _with_bytes(self, ids: np.ndarray, per: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Byte fallback arcs of paths written out."""
+        of = np.repeat(np.arange(len(per)), per)
+        put = [[self.unknown] if self.bytes[0] < 0 else [self.bytes[b] for b in chr(~k).encode("utf-8", "surrogatepass")] for k in ids[ids < 0].tolist()]
+        n = np.ones(len(ids), np.int64)
+        n[ids < 0] = list(map(len, put))
+        out = np.repeat(ids, n)
+        out[out < 0] = [i for x in put for i in x]
+        return out, np.bincount(np.repeat(of, n), minlength=len(per))
+
     # -- decoding: the inverse transducer ------------------------------------------------------------------------
 
+    def _output_table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bytes that each piece decodes to: all of them, and place and number of each piece's."""
+        made = [b"" if i in self.control else (" \u2047 " if i == self.unknown else p.replace(BLANK, " ")).encode("utf-8", "surrogatepass") for i, p in enumerate(self.pieces)]
+        for i, b in self.byte_of.items():
+            made[i] = bytes([b])
+        size = np.fromiter(map(len, made), np.int64, len(made))
+        return np.frombuffer(b"".join(made), np.uint8), np.cumsum(size) - size, size
+
     def decode_all(self, ids: np.ndarray, off: np.ndarray) -> pa.Array:
         """Texts of runs of pieces that :meth:`encode_all` made."""
         if self._outputs is None:
-            made = [b"" if i in self.control else (" \u2047 " if i == self.unknown else p.replace(BLANK, " ")).encode("utf-8", "surrogatepass") for i, p in enumerate(self.pieces)]
-            for i, b in self.byte_of.items():
-                made[i] = bytes([b])
-            size = np.fromiter(map(len, made), np.int64, len(made))
-            self._outputs = np.frombuffer(b"".join(made), np.uint8), np.cumsum(size) - size, size
+            self._outputs = self._output_table()
+            self._arrays()
         flat, begin, size = self._outputs
         per = size[ids]
         ends = np.append(0, np.cumsum(per))

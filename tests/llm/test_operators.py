@@ -538,6 +538,23 @@ def test_pieces_equal_the_library(spark):
     assert one.round_trip and one.ids_sha256 == hashlib.sha256(",".join(map(str, sp.encode(texts[7]))).encode()).hexdigest()
 
 
+def test_runs_of_words_take_the_paths_of_single_ones(monkeypatch):
+    import pyarrow as pa
+
+    f = sentencepiece_fst.Transducer(sentencepiece_fst._read(sentencepiece_fst.default_model()))
+    rng = np.random.default_rng(18)
+    texts = ["", None, " ", "   ", "x ", " x", "a  b   c    ", "▁x", "a▁ b", "日本 語", "👍🏽 ok", "a" * 5000, "ab" * 200 + " é", "\ud7ff\n", "don't", LONG[:9000]]
+    texts += ["".join(rng.choice(list("abcdehtilnorsEÉñ.,!?0-\n   "), rng.integers(1, 80))) for _ in range(200)]
+    want = [f.encode(t) for t in texts]
+    for most in (1 << 22, 300):
+        monkeypatch.setattr(sentencepiece_fst, "RUN_BYTES", most)
+        ids, off = f.encode_all(pa.array(texts, pa.string()))
+        assert [ids[i:j].tolist() for i, j in zip(off[:-1], off[1:])] == want
+        assert f.decode_all(ids, off).to_pylist() == [f.decode(x) for x in want]
+    monkeypatch.setattr(sentencepiece_fst, "KEPT_PAIRS", 50)
+    assert f.encode_all(pa.array(texts, pa.string()))[0].tolist() == ids.tolist()
+
+
 def small_model(pieces, bpe):
     """A transducer of (piece, score) pairs."""
     f = object.__new__(sentencepiece_fst.Transducer)
