@@ -340,48 +340,63 @@ def brute_leaks(texts, items):
     for d, t in texts.items():
         for i, b in items.items():
             x, y = seq(t), seq(b)
-            for k in range(len(x) - len(y) + 1) if y else ():
+            for k in range(max(len(x) - len(y), 0) + 1) if x and y else ():
                 c = Counter(x[k : k + len(y)])
                 s = sum((c & Counter(y)).values())
-                if s / (2 * len(y) - s) >= 0.75 and s / (2 * len(y) - s) > out.get((d, i), (0, 0))[0]:
-                    out[d, i] = (s / (2 * len(y) - s), k)
+                s /= sum(c.values()) + len(y) - s
+                if s >= 0.75 and s > out.get((d, i), (0, 0))[0]:
+                    out[d, i] = (s, k)
     return out
 
 
 def test_leaks_against_brute_force(spark):
     item = {1: passage(1, 30), 2: passage(2, 17), 3: "few words here", 4: None, 5: "", 6: "a b a b a b a b a b a b"}
     w = item[1].split()
-    texts = [item[1], "pre " + item[1].upper() + " post", " ".join([*w[:15], "CHANGED", *w[16:]]), " ".join(w[:20]), passage(9, 200) + "\n" + item[2] + " " + passage(8, 100), None, "", "few words here", "has few words here inside", LONG + " " + item[2], "a b " * 30, " ".join([*w[:10], "x", *w[10:20], "y", *w[20:]])]
+    texts = [item[1], "pre " + item[1].upper() + " post", " ".join([*w[:15], "CHANGED", *w[16:]]), " ".join(w[:20]), passage(9, 200) + "\n" + item[2] + " " + passage(8, 100), None, "", "few words here", "has few words here inside", LONG + " " + item[2], "a b " * 30, " ".join([*w[:10], "x", *w[10:20], "y", *w[20:]]), " ".join(w[:28]), " ".join(w[6:]), " ".join(w[:23]), "a b a b a b a b a b a"]
     d = docs(spark, texts)
     b = spark.createDataFrame([(i, t, "x") for i, t in [*item.items(), (None, "z"), (1, item[1])]], "item_id long, text string, doc_id string")
     got = {(r.doc_id, r.item_id): (r.similarity, r.start_word) for r in decontaminate.find_leaks(d, b).collect()}
     assert got == brute_leaks(dict(enumerate(texts, 1)), item) and len(got) >= 6
-    assert {r.doc_id for r in decontaminate.drop_leaks(d, b).collect()} == set(range(1, 13)) - {k for k, _ in got}
+    assert {(13, 1), (14, 1), (16, 6)} <= set(got) and (15, 1) not in got
+    assert {r.doc_id for r in decontaminate.drop_leaks(d, b).collect()} == set(range(1, 17)) - {k for k, _ in got}
     assert decontaminate.find_leaks(d.limit(0), b).count() == 0 and decontaminate.find_leaks(d, b.limit(0)).count() == 0
 
 
-def test_blocks_find_every_fingerprint_within_the_radius():
+@pytest.mark.parametrize("items", [300, 12_000])
+def test_blocks_find_every_fingerprint_within_the_radius(items):
     rng = np.random.default_rng(3)
-    a = rng.integers(0, 1 << 16, (40, 8), dtype=np.uint16)
-    bits = np.unpackbits(a.view(np.uint8), axis=1)
+    a = rng.integers(0, 1 << 16, (items, 8), dtype=np.uint16)
+    blocks = decontaminate.Blocks(a)
+    assert max(len(v) for v, *_ in blocks.tables) > len(decontaminate._MASKS) or items == 300
     for i in range(40):
-        bits[i, rng.choice(128, decontaminate.RADIUS, replace=False)] ^= 1
-    b = np.packbits(bits, axis=1).view(np.uint16)
-    w, i = decontaminate.near(a, b)
-    assert {(k, k) for k in range(40)} <= set(zip(w.tolist(), i.tolist()))
+        bits = np.unpackbits(a[i].view(np.uint8))
+        bits[rng.choice(128, decontaminate.RADIUS - i % 3, replace=False)] ^= 1
+        mark = np.packbits(bits).view(np.uint16)
+        want = np.flatnonzero(np.bitwise_count(a ^ mark).sum(1, dtype=np.int32) <= decontaminate.RADIUS)
+        assert i in want and decontaminate.Blocks.near(blocks, mark).tolist() == want.tolist()
 
 
-def test_memory_of_the_scan_does_not_follow_the_items():
+def test_many_items_of_one_size_stay_within_memory():
     rng = np.random.default_rng(5)
-    items, windows = (rng.integers(0, 1 << 16, (n, 8), dtype=np.uint16) for n in (2000, 1000))
-    windows[:50] = items[-50:] ^ np.uint16(1)
+    w = [f"w{x}" for x in range(100_000)]
+    texts = [" ".join([w[i], *(w[j] for j in rng.integers(0, 100_000, 9))]) for i in range(100_000)]
     tracemalloc.start()
-    w, i = decontaminate.near(windows, items)
+    index = decontaminate.Index(list(range(len(texts))), texts)
+    import pyarrow as pa
+
+    found = list(index.search(*tb.shingles(*tb.buffers(pa.array(["x y " + t + " z" for t in texts[:50]])), 5)))
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
-    apart = np.bitwise_count(windows[:, None, :] ^ items[None, :, :]).sum(2, dtype=np.int32)
-    assert set(zip(w.tolist(), i.tolist())) == set(zip(*(x.tolist() for x in np.nonzero(apart <= decontaminate.RADIUS)))) and len(w) >= 50
-    assert peak < 40_000_000
+    assert {(t, i, sim, word) for t, i, sim, word in found} >= {(k, k, 1.0, 2) for k in range(50)} and peak < 1_000_000_000
+
+
+def test_parts_of_a_large_benchmark_find_the_same(spark, monkeypatch):
+    items = [passage(k, 12) for k in range(12)]
+    d = docs(spark, [f"{passage(90 + k, 20)} {items[k]} {passage(70 + k, 9)}" for k in range(12)])
+    b = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    monkeypatch.setattr(decontaminate, "PART_CHARS", 300)
+    got = {(r.doc_id, r.item_id, r.similarity, r.start_word) for r in decontaminate.find_leaks(d, b).collect()}
+    assert got == {(k + 1, k, 1.0, 20) for k in range(12)}
 
 
 # -- 7 ---------------------------------------------------------------------------------------------------------------
