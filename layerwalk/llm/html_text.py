@@ -6,16 +6,20 @@ characters and LT tags inside links, all over its subtree, the composite density
     C / T * log(C / LC * T / LT) / log(log(C / notLC * LC + LCb / Cb * C + e))
 
 (Sun, Song and Liao, SIGIR 2011), where notLC = C - LC and the b values are those of the body; zero counts become 1. The
-subtree with the largest sum of its children's densities is the core of the page; elements that are boilerplate by name
-(unless they hold over half of the text, in several elements) cannot be it. The threshold is the least density
+subtree with the largest sum of its children's densities is the core of the page. The threshold is the least density
 on the path from the body to the core and on to those of its children that hold, the densest first, nine tenths of their
-text (a subtree without links is denser than its parts, so the core itself would bar its equals). It holds for the whole body: under every element that reaches it, the subtree with the
-largest such sum is main text, as the core is. Within these, elements that are boilerplate by name go if they are below it or
-links dominate them. The id of a heading or paragraph names its topic, not its role.
+text (a subtree without links is denser than its parts, so the core itself would bar its equals). It holds for the whole
+body: under every element that reaches it, the subtree with the largest such sum is main text, as the core is. Within
+these, lists, tables and boxes that are mostly links go if they are below it, whatever they are called.
+
+Names help where density cannot tell: elements named as boilerplate cannot be a core, and inside one they go if they are
+below the threshold or mostly links; those named as readers' comments always go. A name says nothing if all text that is
+neither link nor boilerplate lies inside the element (it tells of the layout), nor if that is the id of a heading or paragraph.
 """
 
 from __future__ import annotations
 
+import heapq
 import html
 import math
 import re
@@ -38,8 +42,11 @@ UNSEEN = frozenset("script style head title noscript template iframe noembed nof
 BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
-#: Share of the text of the core's children that reaches the threshold.
-MOST_TEXT = 0.9
+#: Share of the text of the core's children that reaches the threshold; an element with over so many times the text outside it
+#: is named for the layout.
+MOST_TEXT, OUTSIDE = 0.9, 3
+#: Links that make a menu, at least.
+MENU = 3
 #: Elements that an opening tag closes, up to the nearest of the barriers.
 CLOSES = {
     "li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"),
@@ -55,13 +62,18 @@ NOT_MAIN = re.compile(
 )
 
 
+#: Classes and ids that name readers' comments, and elements that hold others.
+COMMENTS = re.compile(r"(?:^|\s)(?:(?:user|reader|post|article|page|js)[-_])?(?:comments?|replies|respond|disqus|discussion)(?:[-_](?:list|area|section|wrapper|container|thread|threads|box|block|body|form|inner|content|tree|group))*(?:$|\s)", re.I)
+HOLDERS = frozenset("article aside blockquote details div dl fieldset li main ol section table tbody td tr ul".split())
+
+
 class Node:
-    __slots__ = ("name", "kids", "off", "mark", "chars", "tags", "link_chars", "link_tags", "density")
+    __slots__ = ("name", "kids", "off", "mark", "talk", "chars", "tags", "link_chars", "link_tags", "plain", "density")
 
-    def __init__(self, name: str, off: bool = False, mark: bool = False):
-        self.name, self.off, self.mark = name, off, mark
+    def __init__(self, name: str, off: bool = False, mark: bool = False, talk: bool = False):
+        self.name, self.off, self.mark, self.talk = name, off, mark, talk
         self.kids: list[Node | str] = []
-        self.chars = self.tags = self.link_chars = self.link_tags = 0
+        self.chars = self.tags = self.link_chars = self.link_tags = self.plain = 0
         self.density = 0.0
 
 
@@ -119,7 +131,7 @@ def parse(page: str) -> Node:
             own = next((j for j in range(len(stack) - k + 1, len(stack)) if stack[j].name in shut), None)
             if own is not None and own > 0:
                 del stack[own:]
-        off = mark = False
+        off = mark = talk = False
         if m[4]:
             for a in _ATTRIBUTE.finditer(m[4]):
                 key, value = a[1].lower(), a[2] or a[3] or a[4] or ""
@@ -127,7 +139,8 @@ def parse(page: str) -> Node:
                     off = True
                 elif (key in ("class", "role") or key == "id" and name not in PROSE) and NOT_MAIN.search(value):
                     mark = True
-        node = Node(name, off or name in UNSEEN, mark)
+                    talk = talk or key != "role" and name in HOLDERS and COMMENTS.search(value) is not None
+        node = Node(name, off or name in UNSEEN, mark, talk)
         stack[-1].kids.append(node)
         if name in RAW:
             low = page.lower() if low is None else low
@@ -150,6 +163,35 @@ def _elements(node: Node) -> list[Node]:
     return out
 
 
+def _outermost(x: Node) -> list[Node]:
+    """Marked elements under an element that are in no other one."""
+    out, todo = [], [x]
+    while todo:
+        for k in todo.pop().kids:
+            if type(k) is Node and not k.off:
+                (out if k.mark else todo).append(k)
+    return out
+
+
+def _unmark(root: Node) -> None:
+    """Take the marks off elements, the largest first, beside which the page has too little text that is neither link nor marked.
+
+    Comments lose theirs only if there is none.
+    """
+    outside, heap = root.plain, []
+    for turn, x in enumerate(_outermost(root)):
+        heapq.heappush(heap, (x.link_chars - x.chars, turn, x))
+    turn = len(heap)
+    while heap:
+        size, _, x = heapq.heappop(heap)
+        if x.tags > 2 and (OUTSIDE * outside < -size and not x.talk or not outside):
+            x.mark = x.talk = False
+            outside += x.plain
+            for k in _outermost(x):
+                turn += 1
+                heapq.heappush(heap, (k.link_chars - k.chars, turn, k))
+
+
 def measure(root: Node) -> list[Node]:
     """Counts and densities of all seen elements."""
     found = _elements(root)
@@ -158,22 +200,24 @@ def measure(root: Node) -> list[Node]:
             x.link_tags = 1
         for k in x.kids:
             if type(k) is str:
-                x.chars += len(_BLANKS.sub("", k))
+                n = len(_BLANKS.sub("", k))
+                x.chars += n
+                x.plain += n
             elif not k.off:
                 x.chars += k.chars
                 x.tags += k.tags + 1
                 x.link_chars += k.link_chars
                 x.link_tags += k.link_tags
+                x.plain += 0 if k.mark else k.plain
         if x.name == "a":
-            x.link_chars = x.chars
+            x.link_chars, x.plain = x.chars, 0
+    _unmark(root)
     body = next((x for x in found if x.name == "body"), root)
     share = body.link_chars / max(body.chars, 1)
     for x in found:
         if x.chars:
             c, t, lc, lt = x.chars, max(x.tags, 1), max(x.link_chars, 1), max(x.link_tags, 1)
             base = math.log(c / max(c - x.link_chars, 1) * lc + share * c + math.e)
-            if x.mark and 2 * c > body.chars and x.tags > 2:  # on what holds most of a page the name tells of the layout
-                x.mark = False
             x.density = c / t * math.log(max(c / lc * t / lt, 1.0)) / math.log(max(base, 1.1))
     return found
 
@@ -266,8 +310,8 @@ def blocks(node: Node, threshold: float) -> list[str]:
         elif type(x) is str:
             now.append(x)
         elif x is node or not x.off:
-            links = x.link_chars * 2 > x.chars
-            if x is not node and (x.mark and (links or x.density < threshold) or x.name == "header" and links and x.density < threshold):
+            links, low = x.link_chars * 2 > x.chars, x.density < threshold
+            if x is not node and (x.talk or x.mark and (links or low) or links and low and (x.name == "header" or x.name in HOLDERS and x.link_tags >= MENU)):
                 flush()
                 continue
             if x.name in BLOCK:

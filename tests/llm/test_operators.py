@@ -297,6 +297,109 @@ def test_dense_elements_named_as_boilerplate_stay():
     assert html_text.main_text(beside) == f"Short {b[:30]}".strip()
 
 
+def test_comments_longer_than_the_article_are_left_out():
+    article = "".join(f"<p>{passage(k, 20)}</p>" for k in range(3))
+    want = " ".join(passage(k, 20) for k in range(3))
+    talk = "".join(f"<div class=comment><b>user{k}</b><p>{passage(50 + k, 30)}</p></div>" for k in range(20))
+    for box in ("<div id=comments>{}</div>", "<section class='user-comments'>{}</section>", "<ol class='comment-list'>{}</ol>", "<div class='wide disqus'>{}</div>"):
+        box = box.format(talk)
+        assert html_text.main_text(f"<body><article>{article}</article>{box}</body>") == want
+        assert html_text.main_text(f"<body><article>{article}{box}</article></body>") == want
+        assert html_text.main_text(f"<body><div>{article}</div>{box}<footer>f</footer></body>") == want
+    assert html_text.main_text(f"<body><article><h2 id=comments>On comments</h2>{article}</article></body>") == "On comments " + want
+
+
+def unnamed_page(k):
+    """A page whose boilerplate no name and no role tells, and the text of its article."""
+    rng = np.random.default_rng(k)
+    text = lambda n: " ".join(f"t{x}" for x in rng.integers(0, 10**6, n))
+    link = lambda: f"<a href=/{rng.integers(99)}>m{rng.integers(10**6)} x</a>"
+    menu = lambda n: ("<ul>" + "".join(f"<li>{link()}</li>" for _ in range(n)) + "</ul>") if k % 2 else "".join(f"<span>{link()}</span> " for _ in range(n))
+    head, parts, body = text(5), [], []
+    for _ in range(rng.integers(3, 9)):
+        p = text(int(rng.integers(30, 80)))
+        parts.append(p)
+        w = p.split()
+        body.append("<p>" + " ".join([*w[:9], f"<a href=/x>{w[9]}</a>", *w[10:]]) + "</p>")
+    inner = f"<h1>{head}</h1>" + "".join(body)
+    inner = inner if k % 3 else f"<div><div>{inner}</div></div>"
+    side = f"<div class=c2>{menu(6)}<div>{link()} {text(2)}</div></div>"
+    page = f"<html><head><title>T</title></head><body><div class=c1>{menu(8)}</div><div>{'' if k % 4 else side}<div class=c3>{inner}</div>{side if k % 4 else ''}</div><div>{menu(5)} {link()} {text(3)}</div></body></html>"
+    return page, f"{head} {' '.join(parts)}"
+
+
+def test_unnamed_boilerplate_goes_by_density_alone(monkeypatch):
+    pages = [unnamed_page(k) for k in range(60)]
+    got = [html_text.main_text(p) for p, _ in pages]
+    hit = [Counter(g.split()) & Counter(t.split()) for g, (_, t) in zip(got, pages)]
+    recall = np.array([h.total() / len(t.split()) for h, (_, t) in zip(hit, pages)])
+    precision = np.array([h.total() / max(len(g.split()), 1) for h, g in zip(hit, got)])
+    assert recall.min() >= 0.95 and precision.mean() >= 0.97 and np.mean([g == t for g, (_, t) in zip(got, pages)]) >= 0.8
+    monkeypatch.setattr(html_text, "cores", lambda root: ([root], 0.0))
+    assert np.mean([html_text.main_text(p) != g for (p, _), g in zip(pages, got)]) >= 0.95
+
+
+def test_densities_against_a_plain_recursion():
+    import html.parser
+
+    class Tree(html.parser.HTMLParser):
+        """[name, kids] of well-formed pages."""
+
+        def __init__(self):
+            super().__init__()
+            self.stack = [["html", []]]
+
+        def handle_starttag(self, tag, attrs):
+            self.stack[-1][1].append([tag, []])
+            self.stack.append(self.stack[-1][1][-1])
+
+        def handle_endtag(self, tag):
+            self.stack.pop()
+
+        def handle_data(self, data):
+            self.stack[-1][1].append(data)
+
+    def counts(x):
+        """Characters, elements, and those in links, below an element."""
+        c = t = lc = lt = 0
+        for k in x[1]:
+            if isinstance(k, str):
+                c += len(k.replace(" ", ""))
+            else:
+                a, b, d, e = counts(k)
+                c, t, lc, lt = c + a, t + b + 1, lc + (a if k[0] == "a" else d), lt + e + (k[0] == "a")
+        return c, t, lc, lt
+
+    def density(x, body):
+        c, t, lc, lt = counts(x)
+        bc, _, blc, _ = counts(body)
+        if not c:
+            return 0.0
+        t, lc1, lt = max(t, 1), max(lc, 1), max(lt, 1)
+        return c / t * math.log(max(c / lc1 * t / lt, 1.0)) / math.log(max(math.log(c / max(c - lc, 1) * lc1 + blc / max(bc, 1) * c + math.e), 1.1))
+
+    def sums(x, body, out):
+        if not isinstance(x, str) and x[0] != "a":
+            out.append((sum(density(k, body) for k in x[1] if not isinstance(k, str)), x))
+            for k in x[1]:
+                sums(k, body, out)
+        return out
+
+    text = lambda x: "".join(k if isinstance(k, str) else text(k) for k in x[1])
+    for k in range(20):
+        page = unnamed_page(k)[0].replace("<head><title>T</title></head>", "")
+        tree = Tree()
+        tree.feed(page)
+        body = tree.stack[0][1][0][1][0]
+        best = max(sums(body, body, []), key=lambda s: s[0])[1]
+        whole = html_text.parse(page)
+        nodes = html_text.measure(whole)
+        got = {"".join(html_text.blocks(x, 0.0)).replace(" ", ""): x.density for x in nodes if x.name == "p"}
+        for p in (x for _, x in sums(body, body, []) if x[0] == "p"):
+            assert math.isclose(got[text(p).replace(" ", "")], density(p, body), rel_tol=1e-9)
+        assert text(best).split()[0] in html_text.main_text(page).split()
+
+
 def test_pages_keep_rows_and_columns(spark):
     p = spark.createDataFrame([(1, "u", "<p>x", "t"), (1, "u", "<p>x", "t"), (2, None, None, None), (3, "u", "<" * 5000, ""), (4, "u", "<div>" * 20_000 + "deep", "")], "page_id long, url string, html string, text string")
     got = html_text.extract(p).collect()
