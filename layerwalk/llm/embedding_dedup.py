@@ -6,9 +6,11 @@ neighbour there: in each half, the distance to the plane between its own centroi
 traversal walks both sorted lists of bounds and stops at a bound that is calibrated to the target recall of two vectors
 that are just at the threshold. Found pairs are verified by cosine in double precision.
 
-All vectors are queries. Rows of one label and first code meet in blocks of bounded size on either side, so that a hot
-label or cell is dealt over many tasks; a block pair returns counts of links and a spanning forest of them, never all
-pairs. Exact copies collapse to one row first and count by their number.
+All vectors are queries. A task takes the rows of a (label, cell): those that live there and those that visit. The
+grid grows with the rows of the largest label, so that cells stay at about ``CELL`` rows until ``MOST_CODES``; the rows of a cell
+beyond a block meet in pairs of blocks, so that a hot label or cell is dealt over many tasks. A block pair returns counts
+of links and a spanning forest of them, never all pairs. Vectors travel as they are stored (32 bits a component where
+they are floats). Exact copies collapse to one row first and count by their number. Each length has an index of its own.
 """
 
 from __future__ import annotations
@@ -17,14 +19,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, group_bounds, grouped, local_components, materialize, partitions, table
+from .common import connected_components, drop_stage, group_bounds, grouped, local_components, materialize, partitions, table
 
 THRESHOLD = 0.98
-#: Rows that codebooks and the bound are fitted on, at most; rows in a block; centroids of a codebook, at most.
-SAMPLE, BLOCK, MOST_CODES = 4096, 1024, 128
+#: Rows that codebooks and the bound are fitted on, at most; rows aimed at in a cell; centroids of a codebook, at most.
+SAMPLE, CELL, MOST_CODES = 8192, 2000, 1024
+#: Components in a block of a cell, and rows compared at once.
+BLOCK_VALUES, TILE = 1 << 20, 1024
 TARGET_RECALL = 0.9999
 
 
@@ -88,126 +94,166 @@ class MultiIndex:
             yield int(i), order[: np.searchsorted(ranked, self.stop - gu[i], "right")]
 
 
-def _matrix(vectors: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of ``dim`` values, and which rows are whole: not null, of that length, without null components."""
-    n = len(vectors)
-    out, ok = np.zeros((n, dim)), np.zeros(n, bool)
-    size = np.asarray(vectors.value_lengths().fill_null(-1))
-    rows = np.flatnonzero(size == dim)
-    if len(rows):
-        flat = vectors.take(pa.array(rows)).flatten()
-        holes = np.asarray(flat.is_null()).reshape(len(rows), dim).any(1)
-        out[rows] = np.asarray(flat.fill_null(0).cast(pa.float64())).reshape(len(rows), dim)
-        ok[rows] = ~holes
-    return out, ok
-
-
-def _fit(sample: DataFrame, rows: int, threshold: float, recall: float) -> MultiIndex | None:
-    got = [r[0] for r in sample.collect()]
-    if not got:
-        return None
-    dim = max({len(v) for v in got}, key=lambda d: (sum(len(v) == d for v in got), d))
-    x, ok = unit(np.array([v for v in got if len(v) == dim], float).reshape(-1, dim))
-    return MultiIndex(x[ok], min(MOST_CODES, max(2, round((rows / 100) ** 0.5))), threshold, recall) if ok.any() and dim > 1 else None
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each (id, label, vector) row: length, a 128-bit hash and the bytes of its vector, null where it links with nothing."""
+    for batch in batches:
+        vectors = batch.column(2)
+        kind = vectors.type.value_type.to_pandas_dtype()
+        body: list[bytes | None] = [None] * batch.num_rows
+        size = np.asarray(pc.fill_null(pc.list_value_length(vectors), 0)).astype(np.int32)
+        use = np.flatnonzero((size > 0) & np.asarray(batch.column(1).is_valid()))
+        for dim in np.unique(size[use]):
+            rows = use[size[use] == dim]
+            flat = vectors.take(pa.array(rows)).flatten()
+            holes = np.asarray(flat.is_null()).reshape(-1, dim).any(1)
+            x = np.asarray(flat.fill_null(0)).astype(kind).reshape(-1, dim) + kind(0)  # no negative zeros
+            ok = np.isfinite(x).all(1) & (x != 0).any(1) & ~holes
+            for r, v in zip(rows[ok].tolist(), x[ok], strict=True):
+                body[r] = v.tobytes()
+        h = [None if x is None else xxhash.xxh3_128_intdigest(x) for x in body]
+        high, low = ([None if x is None else ((x >> k) & 0xFFFFFFFFFFFFFFFF) - (1 << 63) for x in h] for k in (64, 0))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(body, pa.binary())], names=["vec_id", "label", "dim", "h1", "h2", "x"])
+
+
+def _units(body: pa.Array, dim: int, kind: type) -> np.ndarray:
+    return unit(np.frombuffer(b"".join(body.to_pylist()), kind).reshape(-1, dim))[0]
+
+
+def _fit(reps: DataFrame, kind: type, threshold: float, recall: float) -> dict[int, MultiIndex]:
+    """An index for each length in a sample of at most SAMPLE rows. Vectors of another length, or of one component, share one cell."""
+    rows, most = reps.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n"), F.max("n")).first()
+    if not rows:
+        return {}
+    some = reps.select("rep", "dim", "x").filter(F.pmod(F.xxhash64("rep"), F.lit(max(1, rows // SAMPLE))) == 0)
+    got = some.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).collect()
+    out = {}
+    for dim in {r.dim for r in got if r.dim > 1}:
+        x = unit(np.array([np.frombuffer(r.x, kind) for r in got if r.dim == dim]))[0]
+        out[dim] = MultiIndex(x, min(MOST_CODES, round((most / CELL) ** 0.5), len(x) // 8), threshold, recall)
+    return out
 
 
 def link_embeddings(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = TARGET_RECALL, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row with an id.
 
-    Two vectors link when their labels are equal and not null and their cosine is at least ``threshold``. Vectors that
-    are null, empty, zero, of another length than most of the sample, or that hold null or non-finite components link
-    with nothing; so do rows with a null label. Rows repeated under one id count once (their smallest vector).
+    Two vectors link when their labels are equal and not null, their lengths are equal and their cosine is at least
+    ``threshold``. Vectors that are null, empty, zero, or that hold null or non-finite components link with nothing; so
+    do rows with a null label. Rows repeated under one id count once (the smallest label, then the smallest vector).
     Rows without an id are left out, other columns ignored, and no rows give no rows.
     """
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), F.col(vec_col).cast("array<double>").alias("vec")).filter("vec_id is not null")
-    rows = rows.groupBy("vec_id").agg(F.min(F.struct("label", "vec")).alias("r")).select("vec_id", "r.label", "r.vec")
-    fit = rows.filter("label is not null and vec is not null and size(vec) > 1 and forall(vec, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(vec, x -> x <> 0)")
-    index = _fit(fit.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vec"), fit.count(), threshold, recall)
-    if index is None:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    dim = sum(b.shape[1] for b in index.books)
-    same = fit.filter(F.size("vec") == dim).groupBy("label", "vec").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    same = same.withColumn("label", F.xxhash64("label"))
+    single = vectors.schema[vec_col].dataType.elementType.typeName() == "float"
+    kind, array = (np.float32, "array<float>") if single else (np.float64, "array<double>")
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), F.col(vec_col).cast(array).alias("vec")).filter("vec_id is not null")
+    all_, ids = rows.agg(F.count("vec_id"), F.count_distinct("vec_id")).first()
+    if ids < all_:
+        rows = rows.groupBy("vec_id").agg(F.min(F.struct("label", "vec")).alias("r")).select("vec_id", "r.label", "r.vec")
+    label = F.when(F.col("label").isNotNull(), F.xxhash64("label")).alias("label")
+    rows = materialize(rows.select("vec_id", label, "vec").mapInArrow(_read, "vec_id long, label long, dim int, h1 long, h2 long, x binary"), "vectors")
+    same = ["label", "dim", "h1", "h2"]
+    reps = rows.filter("h1 is not null").groupBy(*same).agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("x").alias("x"))
+    reps = materialize(reps, "vectors")
+    index = _fit(reps, kind, threshold, recall)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Home cell and visited first codes of each representative."""
+        """Home cell and other visited cells of each representative."""
         for batch in batches:
-            x, ok = _matrix(batch.column(1), dim)
-            x, has = unit(x)
-            keep = np.flatnonzero(ok & has)
-            x = x[keep]
-            (iu, gu), (iw, gw) = index.bounds(x)
-            visits = [[i for i, second in index.traverse(gu[r], gw[r]) if len(second)] for r in range(len(x))]
-            take = pa.array(keep)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(take), batch.column(2).take(take), batch.column(3).take(take), pa.array([v.tobytes() for v in x], pa.binary()), pa.array(iu.astype(np.int32)), pa.array(iw.astype(np.int32)), pa.array(visits, pa.list_(pa.int32()))],
-                names=["label", "rep", "copies", "x", "iu", "iw", "visits"],
-            )
-
-    placed = materialize(same.select("label", "vec", "rep", "copies").mapInArrow(place, "label long, rep long, copies long, x binary, iu int, iw int, visits array<int>"), "vectors")
-    seen = placed.withColumn("cell", F.explode("visits")).drop("visits")
-    blocks = F.ceil(F.count(F.lit(1)) / BLOCK).cast("int")
-    homes = placed.groupBy("label", F.col("iu").alias("cell")).agg(blocks.alias("nm"))
-    sizes = seen.groupBy("label", "cell").agg(blocks.alias("nv")).join(homes, ["label", "cell"])
-    seen = seen.join(sizes, ["label", "cell"])
-    own = placed.drop("visits").withColumn("cell", F.col("iu")).join(sizes, ["label", "cell"])
-    at = F.xxhash64("rep", F.lit(1))
-    cols = ["label", "cell", "mb", "vb", "member", "rep", "copies", "x", "iu", "iw"]
-    seen = seen.withColumn("vb", F.pmod(at, "nv").cast("int")).withColumn("mb", F.explode(F.expr("sequence(0, nm - 1)"))).withColumn("member", F.lit(0)).select(cols)
-    own = own.withColumn("mb", F.pmod(at, "nm").cast("int")).withColumn("vb", F.explode(F.expr("sequence(0, nv - 1)"))).withColumn("member", F.lit(1)).select(cols)
-    key = ["label", "cell", "mb", "vb"]
-    dealt = seen.union(own).repartition(partitions(spark), *key).sortWithinPartitions(*key, "member", "rep")
+            dims = np.asarray(batch.column(1))
+            home, visits = np.zeros(len(dims), np.int64), [[]] * len(dims)
+            for dim in set(dims.tolist()) & set(index):
+                own = np.flatnonzero(dims == dim)
+                for lo in range(0, len(own), TILE):
+                    at = own[lo : lo + TILE]
+                    m = index[dim]
+                    (iu, gu), (iw, gw) = m.bounds(_units(batch.column(2).take(pa.array(at)), dim, kind))
+                    home[at] = iu * MOST_CODES + iw
+                    for r, k in enumerate(at.tolist()):
+                        visits[k] = [c for i, js in m.traverse(gu[r], gw[r]) for c in (i * MOST_CODES + js).tolist() if c != home[k]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(home), pa.array(visits, pa.list_(pa.int64()))], names=["rep", "dim", "label", "home", "visits"])
+
+    placed = materialize(reps.select("rep", "dim", "x", "label").mapInArrow(place, "rep long, dim int, label long, home long, visits array<long>"), "places")
+    seen = placed.select("rep", "label", "dim", F.explode(F.concat(F.array(F.struct(F.col("home").alias("cell"), F.lit(1).alias("member"))), F.transform("visits", lambda c: F.struct(c.alias("cell"), F.lit(0).alias("member"))))).alias("c"))
+    seen = seen.select("rep", "label", "dim", "c.*")
+    cell = ["label", "dim", "cell"]
+    blocks = F.ceil(F.count(F.lit(1)) * F.col("dim") / BLOCK_VALUES).cast("int").alias("nb")
+    hot = materialize(seen.groupBy(*cell).agg(blocks).filter("nb > 1"), "cells")
+    if hot.isEmpty():
+        seen = seen.withColumn("bi", F.lit(0)).withColumn("bj", F.lit(0)).withColumn("mine", F.lit(0))
+    else:
+        seen = seen.join(hot, cell, "left").withColumn("nb", F.coalesce("nb", F.lit(1)))
+        seen = seen.withColumn("mine", F.pmod(F.xxhash64("rep", F.lit(1)), "nb").cast("int")).withColumn("other", F.explode(F.expr("sequence(0, nb - 1)")))
+        seen = seen.withColumn("bi", F.least("mine", "other")).withColumn("bj", F.greatest("mine", "other"))
+    key = [*cell, "bi", "bj"]
+    seen = seen.select(*key, "mine", "member", "rep").join(reps.select("rep", "copies", "x"), "rep")  # vectors come last
+    dealt = seen.select(*key, "mine", "member", "rep", "copies", "x").repartition(partitions(spark), *key).sortWithinPartitions(*key, "mine", "member", "rep")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Per row: (a, null, links found) and forest edges (a, b, 0)."""
         for got in grouped(batches, key):
             cut = group_bounds(*(np.asarray(got[c]) for c in key))
-            rep, copies, member, iu, iw = (np.asarray(got[c]) for c in ("rep", "copies", "member", "iu", "iw"))
-            x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float64).reshape(-1, dim)
-            a_ids, b_ids, n = [], [], []
             for lo, hi in zip(cut[:-1], cut[1:], strict=True):
-                mid = lo + int(np.searchsorted(member[lo:hi], 1))
-                v, m = np.arange(lo, mid), np.arange(mid, hi)
-                if not len(v) or not len(m):
+                part = got.slice(lo, hi - lo)
+                dim, own, bi, bj = (part[c][0].as_py() for c in ("dim", "cell", "bi", "bj"))
+                rep, copies, member, mine = (np.asarray(part[c]) for c in ("rep", "copies", "member", "mine"))
+                if hi - lo < 2 or not member.any():
                     continue
-                (_, vu), (_, vw) = index.bounds(x[v])
-                reach = index.stop - vu[:, iu[m[0]]]
-                pv, pm = [], []
-                for j in np.unique(iw[m]):  # the cells of this first code
-                    mj, vj = m[iw[m] == j], v[vw[:, j] <= reach]
-                    p, q = np.nonzero(x[vj] @ x[mj].T >= threshold - 1e-12)
-                    p, q = vj[p], mj[q]
-                    ok = (rep[p] != rep[q]) & ((x[p] * x[q]).sum(1) >= threshold)
-                    pv.append(p[ok])
-                    pm.append(q[ok])
-                p, q = np.concatenate(pv), np.concatenate(pm)
+                x = _units(part["x"], dim, kind)
+                p, q = _pairs(x, member > 0, None if bi == bj else mine == bi, threshold)
                 if not len(p):
                     continue
-                (_, mu), (_, mw) = index.bounds(x[m])
-                back = mu[q - mid, iu[p]] + mw[q - mid, iw[p]] > index.stop  # a link that q's own traversal does not meet
-                links = np.bincount(np.concatenate([p, q[back]]) - lo, np.concatenate([copies[q], copies[p[back]]]), hi - lo).astype(np.int64)
+                if dim in index:  # a member and a visitor that visit each other's cells are found twice: the smaller cell counts
+                    m = index[dim]
+                    v = np.where(member[p] > 0, q, p)  # the visitor, or a second member
+                    far, back = np.flatnonzero(member[v] == 0), np.zeros(len(p), bool)
+                    some, at = np.unique(np.concatenate([p[far], q[far]]), return_inverse=True)
+                    if len(some):
+                        (iu, gu), (iw, gw) = m.bounds(x[some])
+                        home = iu * MOST_CODES + iw
+                        i, j = at[: len(far)], at[len(far) :]
+                        i, j = np.where(member[p[far]] > 0, i, j), np.where(member[p[far]] > 0, j, i)  # member, visitor
+                        back[far] = (gu[i, iu[j]] + gw[i, iw[j]] <= m.stop) & (home[j] < own)
+                    count = ~back
+                else:
+                    count = np.ones(len(p), bool)
+                links = np.bincount(np.concatenate([p[count], q[count]]), np.concatenate([copies[q[count]], copies[p[count]]]), hi - lo).astype(np.int64)
                 has = np.flatnonzero(links)
-                root = local_components(hi - lo, p - lo, q - lo)
-                far = np.flatnonzero(root != np.arange(hi - lo))
-                a_ids += [rep[has + lo], rep[far + lo]]
-                b_ids += [np.full(len(has), -1), rep[root[far] + lo]]
-                n += [links[has], np.zeros(len(far), np.int64)]
-            if a_ids:
-                a, b, c = (np.concatenate(z) for z in (a_ids, b_ids, n))
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b, mask=c > 0), pa.array(c)], names=["a", "b", "n"])
+                root = local_components(hi - lo, p, q)
+                apart = np.flatnonzero(root != np.arange(hi - lo))
+                a, b = np.concatenate([rep[has], rep[apart]]), np.concatenate([np.full(len(has), -1), rep[root[apart]]])
+                n = np.concatenate([links[has], np.zeros(len(apart), np.int64)])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b, mask=n > 0), pa.array(n)], names=["a", "b", "n"])
 
     found = materialize(dealt.mapInArrow(verify, "a long, b long, n long"), "links")
+    drop_stage(placed)
     links = found.filter("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     comps = connected_components(found.filter("b is not null").select("a", "b"), "embedding").withColumnRenamed("node", "rep")
-    of = placed.select("rep", "label", "copies").join(links, "rep", "left").join(comps, "rep", "left")
-    of = of.select("rep", F.coalesce("component", "rep").alias("component"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    member = fit.filter(F.size("vec") == dim).join(same.withColumnRenamed("label", "h"), (F.xxhash64("label") == F.col("h")) & (fit["vec"] == same["vec"])).select("vec_id", "rep")
-    done = rows.select("vec_id").join(member.join(of, "rep"), "vec_id", "left")
+    of = reps.select(*same, "rep", "copies").join(links, "rep", "left").join(comps, "rep", "left")
+    of = of.select(*same, F.coalesce("component", "rep").alias("component"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    done = rows.select("vec_id", *same).join(of, same, "left")
     component = F.coalesce("component", "vec_id")
     return done.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (component == F.col("vec_id")).alias("kept"))
 
 
+def _pairs(x: np.ndarray, member: np.ndarray, side: np.ndarray | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Linked (p, q) with a member among them: p < q, or of two blocks p on the one ``side`` and q on the other."""
+    ps, qs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    left, right = (np.arange(len(x)),) * 2 if side is None else (np.flatnonzero(side), np.flatnonzero(~side))
+    for lo in range(0, len(left), TILE):
+        a = left[lo : lo + TILE]
+        for at in range(lo if side is None else 0, len(right), TILE):
+            b = right[at : at + TILE]
+            p, q = np.nonzero(x[a] @ x[b].T >= threshold - 1e-12)
+            p, q = a[p], b[q]
+            ok = member[p] | member[q]
+            if side is None:
+                ok &= p < q
+            p, q = p[ok], q[ok]
+            ok = (x[p] * x[q]).sum(1) >= threshold
+            ps.append(p[ok])
+            qs.append(q[ok])
+    return np.concatenate(ps), np.concatenate(qs)
+
+
 def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_embeddings(table(spark, sf_dir, "embeddings"))
 

@@ -90,20 +90,29 @@ def test_word_spans_and_hashes():
 # -- 1 ---------------------------------------------------------------------------------------------------------------
 
 
-def test_embeddings_against_brute_force(spark):
+def linked(v):
+    """Links, degrees and roots of (id, vector, label) rows by all pairs."""
+    ok = {i: (np.array(x, float), c) for i, x, c in v if i is not None and c is not None and x and None not in x and all(map(math.isfinite, x)) and any(x)}
+    unit = {i: x / np.linalg.norm(x) for i, (x, _) in ok.items()}
+    links = [(a, b) for a in ok for b in ok if a < b and ok[a][1] == ok[b][1] and len(unit[a]) == len(unit[b]) and unit[a] @ unit[b] >= 0.98]
+    return links, Counter(i for p in links for i in p), roots({r[0] for r in v if r[0] is not None}, links)
+
+
+@pytest.mark.parametrize(("cell", "values", "kind"), [(2000, 1 << 20, "float"), (3, 1 << 20, "double"), (8, 160, "float"), (100, 320, "float")])
+def test_embeddings_against_brute_force(spark, monkeypatch, cell, values, kind):
+    monkeypatch.setattr(embedding_dedup, "CELL", cell)  # from one cell on to a fine grid
+    monkeypatch.setattr(embedding_dedup, "BLOCK_VALUES", values)
     rng = np.random.default_rng(0)
     x = rng.standard_normal((300, 16))
     for i in range(60):  # near copies at several distances, and exact ones
         x[200 + i] = x[i % 20] + rng.standard_normal(16) * (0.0, 0.05, 0.14, 0.2)[i % 4]
     v = [(i, [float(np.float32(a)) for a in r], i % 2 if i < 200 else (i - 200) % 20 % 2) for i, r in enumerate(x)]
     v += [(900, None, 0), (901, [0.0] * 16, 0), (902, [float("nan")] * 16, 0), (903, [None] * 16, 0), (904, v[0][1], None), (905, [1.0], 0), (906, [], 0), (907, v[3][1], 1), (907, v[3][1], 1), (None, v[0][1], 0)]
-    df = spark.createDataFrame([(*r, "x") for r in v], "vec_id long, embedding array<float>, label int, rep string")
+    v += [(910 + i, [1.0, i / 8, -0.0 if i % 2 else 0.0], 0) for i in range(6)] + [(920, [2.0], 0), (921, [-2.0], 0), (922, [float("inf")], 0)]  # other lengths link with their own
+    df = spark.createDataFrame([(*r, "x") for r in v], f"vec_id long, embedding array<{kind}>, label int, rep string")
     got = rows(embedding_dedup.link_embeddings(df), "vec_id")
-    ok = {r[0]: r for r in v if r[0] is not None and r[2] is not None and r[1] and len(r[1]) == 16 and None not in r[1] and all(map(math.isfinite, r[1])) and any(r[1])}
-    unit = {i: np.array(r[1]) / np.linalg.norm(r[1]) for i, r in ok.items()}
-    links = [(a, b) for a in ok for b in ok if a < b and ok[a][2] == ok[b][2] and unit[a] @ unit[b] >= 0.98]
-    deg, root = Counter(i for p in links for i in p), roots({r[0] for r in v if r[0] is not None}, links)
-    assert len(got) == len(root) and len(links) > 20
+    links, deg, root = linked({r[0]: r for r in v}.values())
+    assert len(got) == len(root) and len(links) > 20 and deg[905] == 1 and deg[910] == 1
     for i, r in got.items():
         assert (r.n_links, r.component_id, r.kept) == (deg[i], root[i], root[i] == i), i
     assert embedding_dedup.link_embeddings(df.limit(0)).count() == 0
