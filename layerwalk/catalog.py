@@ -396,20 +396,20 @@ def _(s, d):
 _NODES = "nn AS (SELECT src AS node FROM ga UNION SELECT dst FROM ga)"
 
 
-@query("pagerank_fixed_iters", "SELECT node, round(x, 6) + 0.0 AS score FROM pr WHERE i = 40", multi=True, recursive=True,
+@query("pagerank_fixed_iters", "SELECT node, round(x, 6) + 0.0 AS score FROM pr WHERE i = 600", multi=True, recursive=True,
        more=f"""{_NODES}, nc AS (SELECT count(*) AS c FROM nn), pm AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS p FROM ga),
 dn AS (SELECT node, node NOT IN (SELECT src FROM pm) AS dead FROM nn),
 pr AS (SELECT 0 AS i, node, 1.0::DOUBLE / c AS x FROM nn, nc UNION ALL
   SELECT i, node, 0.85 * (sum(x) + sum(y) / max(c)) + 0.15 / max(c) FROM (
-    SELECT pr.i + 1 AS i, pm.dst AS node, pr.x * pm.p AS x, 0.0::DOUBLE AS y FROM pr JOIN pm ON pm.src = pr.node WHERE pr.i < 40
-    UNION ALL SELECT pr.i + 1, nn.node, 0.0, CASE WHEN dn.dead THEN pr.x ELSE 0 END FROM pr JOIN dn USING (node), nn WHERE pr.i < 40), nc GROUP BY i, node)""")
+    SELECT pr.i + 1 AS i, pm.dst AS node, pr.x * pm.p AS x, 0.0::DOUBLE AS y FROM pr JOIN pm ON pm.src = pr.node WHERE pr.i < 600
+    UNION ALL SELECT pr.i + 1, nn.node, 0.0, CASE WHEN dn.dead THEN pr.x ELSE 0 END FROM pr JOIN dn USING (node), nn WHERE pr.i < 600), nc GROUP BY i, node)""")
 def _(s, d):
     return diffusion.pagerank(_multi(s, d), iterations=40, tol=0.0).select("node", *_r("score"))
 
 
-@query("eigenvector_fixed_iters", "SELECT node, round(x / sqrt(sum(x * x) OVER ()), 6) + 0.0 AS score FROM ev WHERE i = 30", multi=True, recursive=True,
+@query("eigenvector_fixed_iters", "SELECT node, round(x / sqrt(sum(x * x) OVER ()), 6) + 0.0 AS score FROM ev WHERE i = 1400", multi=True, recursive=True,
        more=f"""{_NODES}, ev AS (SELECT 0 AS i, node, 1.0::DOUBLE AS x FROM nn UNION ALL
-  SELECT i, node, sum(x) FROM (SELECT i + 1 AS i, node, x FROM ev WHERE i < 30 UNION ALL SELECT ev.i + 1, ga.dst, ev.x * ga.w FROM ev JOIN ga ON ga.src = ev.node WHERE i < 30) GROUP BY i, node)""")
+  SELECT i, node, sum(x) FROM (SELECT i + 1 AS i, node, x FROM ev WHERE i < 1400 UNION ALL SELECT ev.i + 1, ga.dst, ev.x * ga.w FROM ev JOIN ga ON ga.src = ev.node WHERE i < 30) GROUP BY i, node)""")
 def _(s, d):
     return diffusion.eigenvector(_multi(s, d), iterations=30, tol=0.0).select("node", *_r("score"))
 
@@ -441,10 +441,10 @@ def _(s, d):
     return diffusion.start_to_end(_multi(s, d), "e3", "e5").select("node", *_r("score"))
 
 
-@query("local_neighbourhood_distributed", "SELECT node, round(sum(x), 6) + 0.0 AS score FROM sr GROUP BY node", multi=True, recursive=True,
-       more=f"sr AS ({_SERIES.format(start='e3', to='a.dst', name='sr', edges='ga', by='src').replace('< 80', '< 6')})")
+@query("local_neighbourhood_distributed", "SELECT nn.node, round(coalesce(sum(x), 0), 6) + 0.0 AS score FROM nn LEFT JOIN sr ON sr.node = nn.node GROUP BY nn.node", multi=True, recursive=True,
+       more=f"{_NODES}, sr AS ({_SERIES.format(start='e3', to='a.dst', name='sr', edges='ga', by='src')})")
 def _(s, d):
-    return diffusion.local_neighbourhood(_multi(s, d), "e3", strategy="distributed", steps=6).select("node", *_r("score"))
+    return diffusion.local_neighbourhood(_multi(s, d), "e3", strategy="distributed").select("node", *_r("score"))
 
 
 _GENE_TIME = "gt AS (SELECT layer, split_part(node, '*', 1) AS gene, avg(x) AS mean_time FROM (SELECT layer, node, sum(abs(v) * t) / nullif(sum(abs(v)), 0) AS x FROM f GROUP BY ALL) GROUP BY ALL)"
@@ -466,29 +466,29 @@ def _(s, d):
     return out.select("gene", *_r("score", "score_weighted", "histone_time", "rna_time"), "n_nodes")
 
 
-@query("pagerank_distributed", "SELECT node, round(x, 6) + 0.0 AS score FROM pr WHERE i = 4", multi=True, recursive=True,
+@query("pagerank_distributed", "SELECT node, round(x, 6) + 0.0 AS score FROM pr WHERE i = 60", multi=True, recursive=True,
        more=f"""{_NODES}, nc AS (SELECT count(*) AS c FROM nn), pm AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS p FROM ga),
 pr AS (SELECT 0 AS i, node, 1.0::DOUBLE / c AS x FROM nn, nc UNION ALL
   SELECT i, node, 0.85 * sum(x) + 0.15 / max(c) FROM (
-    SELECT pr.i + 1 AS i, pm.dst AS node, pr.x * pm.p AS x FROM pr JOIN pm ON pm.src = pr.node WHERE pr.i < 4
-    UNION ALL SELECT pr.i + 1, nn.node, CASE WHEN pr.node IN (SELECT src FROM pm) THEN 0 ELSE pr.x / c END FROM pr, nn, nc WHERE pr.i < 4), nc GROUP BY i, node)""")
+    SELECT pr.i + 1 AS i, pm.dst AS node, pr.x * pm.p AS x FROM pr JOIN pm ON pm.src = pr.node WHERE pr.i < 60
+    UNION ALL SELECT pr.i + 1, nn.node, CASE WHEN pr.node IN (SELECT src FROM pm) THEN 0 ELSE pr.x / c END FROM pr, nn, nc WHERE pr.i < 60), nc GROUP BY i, node)""")
 def _(s, d):
-    return diffusion.pagerank(_multi(s, d), iterations=4, tol=0.0, strategy="distributed").select("node", *_r("score"))
+    return diffusion.pagerank(_multi(s, d), iterations=1000, tol=1e-11, strategy="distributed").select("node", *_r("score"))
 
 
-@query("eigenvector_distributed", "SELECT node, round(x / sqrt(sum(x * x) OVER ()), 6) + 0.0 AS score FROM ev WHERE i = 3", multi=True, recursive=True,
+@query("eigenvector_distributed", "SELECT node, round(x / sqrt(sum(x * x) OVER ()), 6) + 0.0 AS score FROM ev WHERE i = 140", multi=True, recursive=True,
        more=f"""{_NODES}, ev AS (SELECT 0 AS i, node, 1.0::DOUBLE AS x FROM nn UNION ALL
-  SELECT i, node, sum(x) FROM (SELECT i + 1 AS i, node, x FROM ev WHERE i < 3 UNION ALL SELECT ev.i + 1, ga.dst, ev.x * ga.w FROM ev JOIN ga ON ga.src = ev.node WHERE i < 3) GROUP BY i, node)""")
+  SELECT i, node, sum(x) FROM (SELECT i + 1 AS i, node, x FROM ev WHERE i < 140 UNION ALL SELECT ev.i + 1, ga.dst, ev.x * ga.w FROM ev JOIN ga ON ga.src = ev.node WHERE i < 140) GROUP BY i, node)""")
 def _(s, d):
-    return diffusion.eigenvector(_multi(s, d), iterations=3, tol=0.0, strategy="distributed").select("node", *_r("score"))
+    return diffusion.eigenvector(_multi(s, d), iterations=1000, tol=1e-10, strategy="distributed").select("node", *_r("score"))
 
 
 @query("start_to_end_distributed", """SELECT nn.node, round(coalesce(h.x, 0) * coalesce(f.x, 0) / (SELECT sum(x) FROM bw WHERE node = 'e3'), 6) + 0.0 AS score FROM nn
 LEFT JOIN (SELECT node, sum(x) AS x FROM fw GROUP BY node) f ON f.node = nn.node LEFT JOIN (SELECT node, sum(x) AS x FROM bw GROUP BY node) h ON h.node = nn.node WHERE nn.node <> 'e5'""", multi=True, recursive=True,
        more=f"""{_NODES}, inn AS (SELECT * FROM ga WHERE src <> 'e5' AND dst <> 'e5'), out5 AS (SELECT * FROM ga WHERE src <> 'e5'),
-fw AS ({_SERIES.format(start='e3', to='a.dst', name='fw', edges='inn', by='src').replace('< 80', '< 4')}), bw AS ({_SERIES.format(start='e5', to='a.src', name='bw', edges='out5', by='dst').replace('< 80', '< 4')})""")
+fw AS ({_SERIES.format(start='e3', to='a.dst', name='fw', edges='inn', by='src')}), bw AS ({_SERIES.format(start='e5', to='a.src', name='bw', edges='out5', by='dst')})""")
 def _(s, d):
-    return diffusion.start_to_end(_multi(s, d), "e3", "e5", strategy="distributed", steps=4).select("node", *_r("score"))
+    return diffusion.start_to_end(_multi(s, d), "e3", "e5", strategy="distributed").select("node", *_r("score"))
 
 
 @query("scores_on_positions", "SELECT node || '_' || layer AS node, round(max(v), 6) + 0.0 AS score FROM f WHERE layer = 'rna_ai' GROUP BY node, layer")
@@ -708,24 +708,30 @@ def _(s, d):
 
 @query("walks_to_target")
 def _(s, d):
-    return walks.walk_statistics(walks.walks_to_target(_multi(s, d, "shadow"), "e3", "e5", 500, 0.0005))
+    return walks.walk_statistics(walks.walks_until(_multi(s, d, "shadow"), "e3", "e5", 1000, 0.0005))
+
+
+@query("walks_slow")
+def _(s, d):
+    w, stats, top = walks.slow_walks(layers.layer_graphs(measurements(s, d), "absolute", None).edges.filter("layer = 'rna_ai'"), "e3", "e5", 200, 0.0005)
+    return top.crossJoin(F.broadcast(stats))
 
 
 @query("walks_to_set")
 def _(s, d):
     m = measurements(s, d)
-    w = walks.walks_to_set(multilayer.build(m, kind="shadow", alpha=0.5), "Brand#11*STANDARD_k9me2", "rna", 500)
+    w = walks.walks_to_set(multilayer.build(m, kind="shadow", alpha=0.5), "Brand#11*STANDARD_k9me2", "rna", 1000)
     return genes.endpoint_genes(w.filter("success"), m.filter("layer <> 'rna_ai'").select("node"))
 
 
 @query("walks_two_endpoints")
 def _(s, d):
-    return walks.endpoint_tallies(walks.walks_to_endpoints(_multi(s, d), "e3", "e5", 500, restart=0.05))
+    return walks.endpoint_tallies(walks.walks_to_endpoints(_multi(s, d), "e3", "e5", 1000, restart=0.05))
 
 
 @query("diffusion_visits")
 def _(s, d):
-    return walks.diffusion_visits(_multi(s, d), "e3", 500, 100)
+    return walks.diffusion_visits(_multi(s, d), "e3", 1000, 100)
 
 
 @query("walk_segments")
@@ -738,13 +744,13 @@ def _(s, d):
 
 @query("spd_lasso_edges")
 def _(s, d):
-    return precision.lasso_graphs(measurements(s, d), 0.2, max_iter=60).edges
+    return precision.lasso_graphs(measurements(s, d), 0.2).edges
 
 
 @query("spd_shadow_multigraph")
 def _(s, d):
     m = measurements(s, d)
-    return multilayer.build(m, precision.lasso_graphs(m, 0.2, max_iter=60), "shadow", 0.5)
+    return multilayer.build(m, precision.lasso_graphs(m, 0.2), "shadow", 0.5)
 
 
 @query("walks_thinned")
@@ -756,7 +762,7 @@ def _(s, d):
 
 @query("spd_lambda_sweep")
 def _(s, d):
-    return precision.lambda_sweep(measurements(s, d), [0.1, 0.3], max_iter=40)
+    return precision.lambda_sweep(measurements(s, d), [0.1, 0.2, 0.3, 0.4, 0.5])
 
 
 @query("walk_examples")
@@ -769,24 +775,29 @@ def _(s, d):
     return precision.spectrum(_graph(s, d))
 
 
+@query("spd_symmetry_report")
+def _(s, d):
+    return precision.symmetry_report(measurements(s, d), "rna_ai", lam=0.2)
+
+
 @query("spd_hyper_sweep")
 def _(s, d):
-    return precision.hyper_sweep(measurements(s, d), "rna_ai", [0.05, 0.2], iters=[20, 60], top_n=20)
+    return precision.hyper_sweep(measurements(s, d), "rna_ai", [0.05, 0.2], iters=[100, 500])
 
 
 @query("pipeline_start_to_end")
 def _(s, d):
-    return pipelines.start_to_end(measurements(s, d), pipelines.Settings(n_walks=200, alpha=0.5, restart=0.0005))["visits"]
+    return pipelines.start_to_end(measurements(s, d), pipelines.Settings(n_walks=1000, alpha=0.5, restart=0.0005))["visits"]
 
 
 @query("pipeline_histone_to_rna")
 def _(s, d):
-    return pipelines.histone_to_rna(measurements(s, d), "Brand#11*STANDARD_k9me2", pipelines.Settings(n_walks=200, alpha=0.5))["endpoints"]
+    return pipelines.histone_to_rna(measurements(s, d), "Brand#11*STANDARD_k9me2", pipelines.Settings(n_walks=1000, alpha=0.5))["endpoints"]
 
 
 @query("pipeline_combined_clusters")
 def _(s, d):
-    return pipelines.combined_clusters(measurements(s, d).filter("layer = 'rna_ai'"), pipelines.Settings(n_walks=50))["clusters"]
+    return pipelines.combined_clusters(measurements(s, d), pipelines.Settings(n_walks=50))["clusters"]
 
 
 # -- manifest --------------------------------------------------------------------------------------------------------

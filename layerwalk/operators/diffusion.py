@@ -1,7 +1,8 @@
 """Centralities and damped diffusion.
 
-Two strategies give the same numbers: ``local`` solves a graph of bounded size in one task with numpy (one task a
-graph), ``distributed`` runs the series as joins and sums over the edges, whose lineage is cut by checkpoints.
+Two strategies give the same nodes, numbers and errors: ``local`` solves a graph of at most DENSE_NODES nodes in one task
+with numpy (a larger one raises ValueError), ``distributed`` runs the series as joins and sums over the edges, whose
+lineage is cut by written tables, until what is left out is below ``tol``.
 """
 
 from __future__ import annotations
@@ -15,8 +16,8 @@ from pyspark.sql import functions as F
 
 from ..plans.stages import materialize
 
-#: Nodes of a graph up to which a dense solve in one task is chosen.
-DENSE_NODES = 5000
+#: Nodes of a graph up to which a dense solve in one task is chosen; what a series may leave out.
+DENSE_NODES, TOLERANCE = 5000, 1e-10
 
 
 def _matrix(pdf: pd.DataFrame) -> tuple[list[str], np.ndarray]:
@@ -27,6 +28,14 @@ def _matrix(pdf: pd.DataFrame) -> tuple[list[str], np.ndarray]:
     return names, a
 
 
+def dense(edges: DataFrame, f, schema: str) -> DataFrame:
+    """``f(names, matrix)`` of a graph of at most DENSE_NODES nodes, in one task."""
+    edges = materialize(edges.select("src", "dst", "w"), "edges")
+    if node_count(edges) > DENSE_NODES:
+        raise ValueError(f"more than {DENSE_NODES} nodes are no dense matrix; take the distributed strategy")
+    return _dense(edges, f, schema)
+
+
 def _dense(edges: DataFrame, f, schema: str) -> DataFrame:
     one = edges.select(F.lit("g").alias("graph"), "src", "dst", "w").withColumn("graph", F.concat("graph", F.lit("")))
 
@@ -44,41 +53,69 @@ def _pick(edges: DataFrame, strategy: str) -> tuple[DataFrame, bool]:
     """The edges, and whether they are for joins. To count nodes, the edges are written once and read again."""
     if strategy not in ("auto", "local", "distributed"):
         raise ValueError(f"unknown strategy {strategy!r}")
-    if strategy != "auto":
-        return edges, strategy == "distributed"
     edges = materialize(edges.select("src", "dst", "w"), "edges")
-    return edges, node_count(edges) > DENSE_NODES
+    if strategy == "distributed":
+        return edges, True
+    large = node_count(edges) > DENSE_NODES
+    if large and strategy == "local":
+        raise ValueError(f"more than {DENSE_NODES} nodes are no dense matrix; take the distributed strategy")
+    return edges, large
+
+
+def nodes_of(edges: DataFrame) -> DataFrame:
+    return edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
 
 
-def series(edges: DataFrame, start: str, r: float, steps: int, backward: bool = False, every: int = 5) -> DataFrame:
-    """(node, score) of sum over k <= steps of r^k times the k-step weight from ``start`` (or, backward, to it).
+def _has(edges: DataFrame, node: str) -> bool:
+    return not edges.filter((F.col("src") == node) | (F.col("dst") == node)).isEmpty()
 
-    Converges when row sums are at most 1: the error is at most r^(steps + 1) / (1 - r).
+
+def _steps(r: float, tol: float) -> int:
+    """Terms of a series of ratio r after which at most ``tol`` is left out."""
+    if not 0 <= r < 1:
+        raise ValueError("r must be in [0, 1)")
+    return 0 if r == 0 else max(1, int(np.ceil(np.log(tol * (1 - r)) / np.log(r))) - 1)
+
+
+def series(edges: DataFrame, start: str, r: float, steps: int | None = None, backward: bool = False, every: int = 5, tol: float = TOLERANCE) -> DataFrame:
+    """(node, score) of sum over k of r^k times the k-step weight from ``start`` (or, backward, to it).
+
+    With row sums of at most 1 the terms after r^k leave out at most r^(k + 1) / (1 - r): without ``steps`` as many are summed as
+    ``tol`` asks, or fewer once the last term is small enough. A series that has not converged then raises ValueError.
     """
+    last = steps if steps is not None else _steps(r, tol)
     a, b = ("dst", "src") if backward else ("src", "dst")
     e = materialize(edges.select(F.col(a).alias("node"), F.col(b).alias("to"), "w"), "edges")
     spark = edges.sparkSession
     now = spark.createDataFrame([(start, 1.0)], "node string, x double")
     total = now
-    for k in range(1, steps + 1):
+    for k in range(1, last + 1):
         now = now.join(e, "node").groupBy(F.col("to").alias("node")).agg((r * F.sum(F.col("x") * F.col("w"))).alias("x"))
         total = total.union(now).groupBy("node").agg(F.sum("x").alias("x"))
-        if k % every == 0 or k == steps:
+        if k % every == 0 or k == last:
             both = now.withColumn("part", F.lit(0)).union(total.withColumn("part", F.lit(1)))
             both = materialize(both, "series")
             now, total = both.filter("part = 0").drop("part"), both.filter("part = 1").drop("part")
+            left = (now.agg(F.sum(F.abs("x"))).first()[0] or 0.0) * r / (1 - r) if steps is None else 0.0
+            if steps is None and left <= tol:
+                break
+            if k == last and left > 1e3 * tol:
+                raise ValueError("the series does not converge; normalise the rows")
     return total.select("node", F.col("x").alias("score"))
 
 
-def local_neighbourhood(edges: DataFrame, node: str, r: float = 0.7, strategy: str = "auto", steps: int = 80) -> DataFrame:
-    """(node, score): damped diffusion from a node, the solution s of (I - r A^T) s = e_node."""
+def local_neighbourhood(edges: DataFrame, node: str, r: float = 0.7, strategy: str = "auto", steps: int | None = None) -> DataFrame:
+    """(node, score) of all nodes: damped diffusion from a node, the solution s of (I - r A^T) s = e_node.
+
+    A node that is not in the graph raises ValueError. ``steps`` cuts the series of the distributed strategy short.
+    """
     edges, joins = _pick(edges, strategy)
+    if not _has(edges, node):
+        raise ValueError(f"no node {node!r}")
     if joins:
-        return series(edges, node, r, steps)
+        return nodes_of(edges).join(series(edges, node, r, steps), "node", "left").select("node", F.coalesce("score", F.lit(0.0)).alias("score"))
 
     def solve(names: list[str], a: np.ndarray) -> pd.DataFrame:
-        if node not in names:
-            raise ValueError(f"no node {node!r}")
         e = np.zeros(len(names))
         e[names.index(node)] = 1
         m = np.eye(len(names)) - r * a.T
@@ -91,7 +128,7 @@ def local_neighbourhood(edges: DataFrame, node: str, r: float = 0.7, strategy: s
     return _dense(edges, solve, "node string, score double")
 
 
-def start_to_end(edges: DataFrame, start: str, end: str, r: float = 0.7, strategy: str = "auto", steps: int = 80) -> DataFrame:
+def start_to_end(edges: DataFrame, start: str, end: str, r: float = 0.7, strategy: str = "auto", steps: int | None = None) -> DataFrame:
     """(node, score): expected damped visits of each node on ways from start that reach end, without end itself.
 
     With Q = r A and end taken out, G = (I - Q)^-1 and h = G q_end, a node scores h_i G[start, i] / h_start. Both
@@ -101,6 +138,8 @@ def start_to_end(edges: DataFrame, start: str, end: str, r: float = 0.7, strateg
     if start == end:
         raise ValueError("start and end are the same node")
     edges, joins = _pick(edges, strategy)
+    if not _has(edges, start) or not _has(edges, end):
+        raise ValueError("start or end is not a node")
     if joins:
         inner = edges.filter((F.col("src") != end) & (F.col("dst") != end))
         g = series(inner, start, r, steps).withColumnRenamed("score", "g")
@@ -109,12 +148,10 @@ def start_to_end(edges: DataFrame, start: str, end: str, r: float = 0.7, strateg
         if top is None or abs(top.h) < 1e-15:
             raise ValueError("end cannot be reached from start")
         out = g.join(h, "node", "left").select("node", (F.coalesce("h", F.lit(0.0)) * F.col("g") / top.h).alias("score"))
-        rest = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct().filter(F.col("node") != end)
+        rest = nodes_of(edges).filter(F.col("node") != end)
         return rest.join(out, "node", "left").select("node", F.coalesce("score", F.lit(0.0)).alias("score"))
 
     def solve(names: list[str], a: np.ndarray) -> pd.DataFrame:
-        if start not in names or end not in names:
-            raise ValueError("start or end is not a node")
         keep = [i for i, n in enumerate(names) if n != end]
         q, q_end = r * a[np.ix_(keep, keep)], r * a[keep, names.index(end)]
         m = np.eye(len(keep)) - q
@@ -173,13 +210,30 @@ def _ranked(edges: DataFrame, damping: float, iterations: int, tol: float) -> Da
     return x.select("node", F.col("x").alias("score"))
 
 
+def undirected(edges: DataFrame) -> DataFrame:
+    """Each pair of nodes with an edge in either direction, both ways; of two weights that of the larger end's edge counts."""
+    one = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), F.struct("src", "w").alias("x")).groupBy("a", "b").agg(F.max("x").alias("x"))
+    one = one.select("a", "b", F.col("x.w").alias("w"))
+    return one.select(F.col("a").alias("src"), F.col("b").alias("dst"), "w").union(one.filter("a <> b").select("b", "a", "w"))
+
+
 def eigenvector(edges: DataFrame, iterations: int = 1000, tol: float = 1e-6, weighted: bool = True, strategy: str = "auto") -> DataFrame:
-    """(node, score): in-edge eigenvector centrality by shifted power iteration, of length 1; if it does not converge, 1 for all."""
+    """(node, score): in-edge eigenvector centrality by shifted power iteration, of length 1.
+
+    If it does not converge, that of the undirected graph; if that does not either, 1 for all.
+    """
     e = edges.filter("w <> 0")
     e = e if weighted else e.withColumn("w", F.lit(1.0))
     e, joins = _pick(e, strategy)
-    if joins:
-        return _leading(e, iterations, tol)
+    for graph in (e, undirected(e)):
+        found = materialize(_leading(graph, iterations, tol) if joins else _leading_dense(graph, iterations, tol), "power")
+        if tol <= 0 or found.filter("score is null").isEmpty():
+            return found
+    return found.select("node", F.lit(1.0).alias("score"))
+
+
+def _leading_dense(e: DataFrame, iterations: int, tol: float) -> DataFrame:
+    """Scores, or nulls if they do not converge."""
 
     def solve(names: list[str], a: np.ndarray) -> pd.DataFrame:
         n = len(names)
@@ -193,13 +247,14 @@ def eigenvector(edges: DataFrame, iterations: int = 1000, tol: float = 1e-6, wei
                 break
         else:
             if tol > 0:
-                x = np.ones(n)
+                x = np.full(n, None, object)
         return pd.DataFrame({"node": names, "score": x})
 
     return _dense(e, solve, "node string, score double")
 
 
 def _leading(edges: DataFrame, iterations: int, tol: float) -> DataFrame:
+    """Scores, or nulls if they do not converge; each round is a written table."""
     e = materialize(edges.select(F.col("src").alias("node"), F.col("dst").alias("to"), "w"), "edges")
     nodes = materialize(e.select("node").union(e.select("to")).distinct(), "nodes")
     n = nodes.count()
@@ -214,7 +269,7 @@ def _leading(edges: DataFrame, iterations: int, tol: float) -> DataFrame:
             break
     else:
         if tol > 0:
-            x = nodes.withColumn("x", F.lit(1.0))
+            x = nodes.withColumn("x", F.lit(None).cast("double"))
     return x.select("node", F.col("x").alias("score"))
 
 

@@ -72,8 +72,8 @@ def pair_blocks(packed: DataFrame) -> int:
 def correlations(packed: DataFrame, blocks: int | None = None, nan_policy: str = "drop") -> DataFrame:
     """(layer, src, dst, c) with src < dst: Pearson correlation of all pairs within a layer.
 
-    Nodes are dealt to blocks and a pair of blocks meets in one place, so a layer is not one task; every pair is
-    made once. Constant series have no correlation: dropped, or 0 with ``zero_corr``.
+    Nodes are dealt to blocks and a pair of blocks, the smaller first, meets in one place, so a layer is not one task and
+    every pair is made once. Constant series have no correlation: dropped, or 0 with ``zero_corr``.
     """
     if nan_policy not in ("drop", "zero_corr"):
         raise ValueError(f"unknown nan_policy {nan_policy!r}")
@@ -81,10 +81,11 @@ def correlations(packed: DataFrame, blocks: int | None = None, nan_policy: str =
     n = n_times(packed)
     p = packed.select("layer", "node", "u", F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int").alias("mine"))
     p = p.filter("u is not null") if nan_policy == "drop" else p
-    left = p.select("layer", F.col("mine").alias("bi"), F.explode(F.expr(f"sequence(0, {blocks - 1})")).alias("bj"), F.col("node").alias("src"), F.col("u").alias("a"))
-    right = p.select("layer", F.explode(F.expr(f"sequence(0, {blocks - 1})")).alias("bi"), F.col("mine").alias("bj"), F.col("node").alias("dst"), F.col("u").alias("b"))
-    c = dot(F.col("a"), F.col("b"), n) if n else F.lit(None).cast("double")
-    out = left.join(right, ["layer", "bi", "bj"]).filter("src < dst").select("layer", "src", "dst", c.alias("c"))
+    left = p.select("layer", F.col("mine").alias("bi"), F.explode(F.expr(f"sequence(mine, {blocks - 1})")).alias("bj"), F.col("node").alias("m"), F.col("u").alias("x"))
+    right = p.select("layer", F.explode(F.expr("sequence(0, mine)")).alias("bi"), F.col("mine").alias("bj"), F.col("node").alias("n"), F.col("u").alias("y"))
+    c = dot(F.col("x"), F.col("y"), n) if n else F.lit(None).cast("double")
+    met = left.join(right, ["layer", "bi", "bj"]).filter("m <> n and (bi < bj or m < n)")
+    out = met.select("layer", F.least("m", "n").alias("src"), F.greatest("m", "n").alias("dst"), c.alias("c"))
     return out if nan_policy == "drop" else out.withColumn("c", F.coalesce("c", F.lit(0.0)))
 
 

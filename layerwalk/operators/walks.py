@@ -2,7 +2,8 @@
 
 Walkers are rows of a range; each task steps its walkers together over shared edge arrays. The numbers of a walker come
 from a counter hash of (seed, walk, step), so results do not depend on how walkers are dealt to tasks. Attempts are
-bounded: a batch of walks is simulated, and those that fail are told apart, not tried again.
+bounded: a batch of walks is simulated, and those that fail are told apart; :func:`walks_until` adds batches until enough
+have succeeded or a stated budget of attempts is spent.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..plans.stages import materialize
+
 MAX_STEPS = 100_000
 #: Bytes of edge arrays that may be broadcast.
 MOST_BYTES = 512 << 20
@@ -71,15 +74,15 @@ def _graph(edges: DataFrame, min_weight: float) -> Csr:
     return Csr(list(pdf.src), list(pdf.dst), pdf.w.to_numpy())
 
 
-def simulate(edges: DataFrame, starts: list[str] | None, targets: list[str] | dict[int, list[str]], n_walks: int, restart: float, min_weight: float = 0.001, max_steps: int = MAX_STEPS, seed: int = 0) -> DataFrame:
+def simulate(edges: DataFrame | Csr, starts: list[str] | None, targets: list[str] | dict[int, list[str]], n_walks: int, restart: float, min_weight: float = 0.001, max_steps: int = MAX_STEPS, seed: int = 0, first: int = 0) -> DataFrame:
     """Walks that end at a target (code > 0), by a restart (code -1), at a dead end (0) or after max_steps (-2).
 
     At each step a walker first looks whether it stands on a target, then aborts with probability ``restart``, then moves.
     ``targets`` may give codes to lists of nodes; a lower code is looked at first. Without ``starts`` each walk begins
-    at a random node. A start on a target succeeds in one step.
+    at a random node. A start on a target succeeds in one step. Walks are numbered from ``first`` on.
     """
-    spark: SparkSession = edges.sparkSession
-    g = _graph(edges, min_weight)
+    spark: SparkSession = SparkSession.active()
+    g = edges if isinstance(edges, Csr) else _graph(edges, min_weight)
     targets = targets if isinstance(targets, dict) else {1: targets}
     code_of = np.zeros(len(g.names), int)
     for code in sorted(targets, reverse=True):
@@ -123,7 +126,56 @@ def simulate(edges: DataFrame, starts: list[str] | None, targets: list[str] | di
                 "success": code > 0, "unique_nodes": [len(set(p)) for p in paths], "end_node": [names[p[-1]] for p in paths], "code": code,
             })
 
-    return spark.range(0, n_walks, 1, max(1, min(n_walks // 256, 4096))).mapInPandas(run, SCHEMA)
+    return spark.range(first, first + n_walks, 1, max(1, min(n_walks // 256, 4096))).mapInPandas(run, SCHEMA)
+
+
+def reachable(g: Csr, start: str) -> np.ndarray:
+    """Which nodes a walk from ``start`` can come to."""
+    seen = np.zeros(len(g.names), bool)
+    new = np.array([g.at[start]])
+    while len(new):
+        seen[new] = True
+        n = g.ptr[new + 1] - g.ptr[new]
+        to = np.unique(g.to[np.repeat(g.ptr[new] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))])
+        new = to[~seen[to]]
+    return seen
+
+
+def walks_until(edges: DataFrame, start: str, target: str, n_success: int = 100, restart: float = 0.001, min_weight: float = 0.001, max_steps: int = MAX_STEPS, seed: int = 0, budget: int = 1000) -> DataFrame:
+    """All attempts, by number, up to the one that is the ``n_success``-th success.
+
+    A start or target that is no node, or a target that no walk can come to, raises ValueError. After ``budget`` attempts
+    for each success wanted, those made are returned, with fewer successes.
+    """
+    g = _graph(edges, min_weight)
+    if start not in g.at or target not in g.at or not reachable(g, start)[g.at[target]]:
+        raise ValueError(f"no walk comes from {start!r} to {target!r}")
+    made, found, parts = 0, 0, []
+    while found < n_success and made < budget * n_success:
+        size = n_success - found if not made else int(1.2 * (n_success - found) * made / max(found, 1)) + 1
+        size = min(size, 8 * max(made, n_success), budget * n_success - made)
+        part = materialize(simulate(g, [start], [target], size, restart, min_weight, max_steps, seed, made), "walks")
+        parts.append(part)
+        made += size
+        found += part.filter("success").count()
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.union(part)
+    last = every.filter("success").orderBy("simulation").limit(n_success).agg(F.max("simulation")).first()[0]
+    return every.filter(F.col("simulation") <= last) if found >= n_success else every
+
+
+#: Weights that a slow walk steps over, at least; nodes of its report.
+SLOW_WEIGHT, SLOW_TOP = 0.1, 15
+
+
+def slow_walks(edges: DataFrame, start: str, target: str, n_success: int = 100, restart: float = 0.001, seed: int = 0, **more) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Walks over weights above SLOW_WEIGHT until ``n_success`` succeed: the walks, one row of statistics, and the SLOW_TOP most visited nodes.
+
+    ``more`` goes to :func:`walks_until`.
+    """
+    w = materialize(walks_until(edges, start, target, n_success, restart, SLOW_WEIGHT, seed=seed, **more), "walks")
+    return w, walk_statistics(w), visit_counts(w).orderBy(F.desc("visits"), "node").limit(SLOW_TOP)
 
 
 def walks_to_target(edges: DataFrame, start: str, target: str, n_walks: int = 100, restart: float = 0.001, min_weight: float = 0.001, seed: int = 0) -> DataFrame:
@@ -195,7 +247,7 @@ def diffusion_visits(edges: DataFrame, start: str, n_walks: int = 100, max_steps
 
 def absorption(edges: DataFrame, targets: list[str], restart: float, min_weight: float, steps: int) -> DataFrame:
     """(node, probability): exact chance that a walk from each node ends at a target within ``steps`` moves."""
-    from .diffusion import _dense
+    from .diffusion import dense
 
     p = prepare(edges, min_weight).select("src", "dst", F.col("p").alias("w"))
 
@@ -206,12 +258,12 @@ def absorption(edges: DataFrame, targets: list[str], restart: float, min_weight:
             h = np.where(goal, 1.0, (1 - restart) * (a @ h))
         return pd.DataFrame({"node": names, "probability": h})
 
-    return _dense(p, solve, "node string, probability double")
+    return dense(p, solve, "node string, probability double")
 
 
 def expected_visits(edges: DataFrame, start: str, restart: float, steps: int) -> DataFrame:
     """(node, frequency): exact share of the visits of :func:`diffusion_visits` walkers, over places 0 to steps - 1."""
-    from .diffusion import _dense
+    from .diffusion import dense
 
     p = prepare(edges, 0.0).select("src", "dst", F.col("p").alias("w"))
 
@@ -225,7 +277,7 @@ def expected_visits(edges: DataFrame, start: str, restart: float, steps: int) ->
             total += x
         return pd.DataFrame({"node": names, "frequency": total / steps})
 
-    return _dense(p, solve, "node string, frequency double").filter("frequency > 0")
+    return dense(p, solve, "node string, frequency double").filter("frequency > 0")
 
 
 def shortest_walks(walks: DataFrame, n: int) -> DataFrame:

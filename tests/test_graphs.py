@@ -269,3 +269,55 @@ def test_every_query_is_registered_with_matching_names():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and len(e.queries()) >= 80
+
+
+def test_diffusion_strategies_give_the_same_rows_and_errors(spark):
+    rows = [("a", "b", 0.5), ("b", "c", 1.0), ("c", "a", 0.3), ("a", "c", 0.5), ("d", "a", 1.0), ("e", "d", 1.0)]
+    edges = spark.createDataFrame(rows, "src string, dst string, w double")
+    for r in (0.0, 0.7, 0.95):
+        one, two = ({x.node: x.score for x in diffusion.local_neighbourhood(edges, "a", r=r, strategy=k).collect()} for k in ("local", "distributed"))
+        assert set(one) == set(two) == set("abcde") and all(abs(one[n] - two[n]) < 1e-8 for n in one) and one["e"] == two["e"] == 0
+    one, two = ({x.node: x.score for x in diffusion.start_to_end(edges, "a", "c", r=0.9, strategy=k).collect()} for k in ("local", "distributed"))
+    assert set(one) == set(two) == set("abde") and all(abs(one[n] - two[n]) < 1e-8 for n in one)
+    for k in ("local", "distributed"):
+        with pytest.raises(ValueError):
+            diffusion.local_neighbourhood(edges, "nope", strategy=k)
+        with pytest.raises(ValueError):
+            diffusion.start_to_end(edges, "a", "nope", strategy=k)
+    with pytest.raises(ValueError, match="converge"):
+        diffusion.local_neighbourhood(edges.withColumn("w", F.col("w") * 5), "a", strategy="distributed")
+
+
+def test_large_graphs_are_no_dense_matrix(spark, monkeypatch):
+    monkeypatch.setattr(diffusion, "DENSE_NODES", 3)
+    edges = spark.createDataFrame([("a", "b", 1.0), ("c", "d", 1.0)], "src string, dst string, w double")
+    for f in (lambda: diffusion.local_neighbourhood(edges, "a", strategy="local"), lambda: walks.absorption(edges, ["b"], 0.1, 0.0, 5), lambda: walks.expected_visits(edges, "a", 0.1, 5)):
+        with pytest.raises(ValueError, match="dense"):
+            f()
+
+
+def test_eigenvector_falls_back_to_the_undirected_graph(spark):
+    chain = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 1.0), ("c", "d", 1.0)], "src string, dst string, w double")
+    for k in ("local", "distributed"):
+        got = {x.node: x.score for x in diffusion.eigenvector(chain, iterations=60, tol=1e-9, strategy=k).collect()}
+        assert np.isclose(got["a"], got["d"], atol=1e-4) and np.isclose(got["b"], got["c"], atol=1e-4) and got["b"] > got["a"] > 0.3
+
+
+def test_walks_go_on_until_enough_succeed(spark):
+    edges = spark.createDataFrame([("a", "b", 0.2), ("a", "z", 0.8), ("q", "a", 1.0)], "src string, dst string, w double")
+    w = walks.walks_until(edges, "a", "b", 40, restart=0.0).collect()
+    assert sum(x.success for x in w) == 40 and len(w) > 100 and sorted(x.simulation for x in w) == list(range(len(w))) and max(w, key=lambda x: x.simulation).success
+    few = walks.walks_until(edges, "a", "b", 40, restart=0.0, budget=2).collect()
+    assert len(few) == 80 and sum(x.success for x in few) < 40
+    for pair in (("b", "a"), ("a", "q"), ("nope", "b")):
+        with pytest.raises(ValueError, match="no walk"):
+            walks.walks_until(edges, *pair)
+    w, stats, top = walks.slow_walks(edges, "a", "b", 10, restart=0.0)
+    assert stats.first().n_success == 10 and [x.node for x in top.collect()] == ["a", "b"]
+
+
+def test_symmetry_report_of_the_most_varying_nodes(spark):
+    rng = np.random.default_rng(5)
+    m = spark.createDataFrame([("x", f"n{i}", t, float(rng.standard_normal() * (i + 1))) for i in range(8) for t in range(5)], "layer string, node string, t int, value double")
+    r = precision.symmetry_report(m, "x", 6, lam=0.2).first()
+    assert r.n_nodes == 6 and r.is_symmetric and r.max_asymmetry < 1e-6 and not r.has_nan
