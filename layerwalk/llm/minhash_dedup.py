@@ -4,12 +4,15 @@
    64-bit MinHash coordinates to post under and ``WIDTH`` further coordinates of eight bits to count collisions on.
    Documents of one set collapse to the smallest id (rows linked with certainty); texts are not kept.
 2. Every representative is posted under its prefix coordinates. Lists of one are dropped by a partially aggregated
-   count. Longer lists are dealt out in blocks, so that a task holds two blocks whatever a list's length.
-3. In a block pair, collisions are counted over the skipped coordinates of the signature. Pairs with at least
-   ``MATCHES`` collisions are candidates; a block pair emits a maximum spanning forest of them, never all pairs.
+   count. Longer lists are dealt out in blocks of bounded size, each posting once.
+3. In a block, collisions are counted over the skipped coordinates of the signature. Pairs with at least ``MATCHES``
+   collisions are candidates; a block emits a maximum spanning forest of them, never all pairs.
 4. Forest pairs are confirmed on the full shingle sets of both whole texts; components come from confirmed links.
-5. Where a forest pair failed, other candidates of its candidate component may still join the parts. The members of
-   such a component meet again in block pairs, with their texts: every candidate pair between different parts is
+5. Blocks of a long list then meet in pairs, but only rows of different components need to: blocks are made by component,
+   and two blocks of one component never meet. So a large group of near copies, which its blocks and the list's first postings
+   have joined, meets only what is left. Candidates between components are confirmed as before.
+6. Where a forest pair failed, other candidates of its candidate component may still join the parts. The members of
+   such a component meet again, with their texts and dealt in the same way: every candidate pair between different parts is
    confirmed on full sets inside the task, and one link for each two parts comes out. So no link that could join two
    components is left out, and no list of pairs grows with the square of a group.
 
@@ -24,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import textbuf as tb
@@ -123,6 +127,52 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
 
+def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidates (a, b) between components: a spanning forest over the components of each block pair."""
+    for got in grouped(batches, ["part", "bi", "bj"]):
+        rep, comp = np.asarray(got["rep"]), np.asarray(got["comp"])
+        at = group_bounds(*(np.asarray(got[c]) for c in ("part", "bi", "bj")))
+        a, b = [], []
+        for lo, hi in zip(at[:-1], at[1:], strict=True):
+            own = comp[lo:hi]
+            if (own == own[0]).all():
+                continue
+            sig = np.frombuffer(b"".join(got["sig"][lo:hi].to_pylist()), np.uint8).reshape(hi - lo, WIDTH)
+            m = _counts(sig)
+            same = own[:, None] == own[None]
+            if not ((m >= MATCHES) & ~same).any():
+                continue
+            m[same] = 255  # what is joined comes first
+            np.fill_diagonal(m, 0)
+            i, j = _forest(m, MATCHES)
+            new = own[i] != own[j]
+            a.append(i[new] + lo)
+            b.append(j[new] + lo)
+        if a:
+            a, b = rep[np.concatenate(a)], rep[np.concatenate(b)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+
+def between(members: DataFrame, size: int) -> DataFrame:
+    """(part, bi, bj, rep, comp): rows of a part dealt to pairs of blocks, so that any two of different ``comp`` meet.
+
+    A component of at least ``size`` rows has blocks of its own, which never meet each other; smaller ones share blocks. Parts
+    of one component are left out.
+    """
+    sizes = materialize(members.groupBy("part", "comp").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    big = sizes.filter(F.col("n") >= size).select("part", "comp", F.ceil(F.col("n") / size).cast("int").alias("own"))
+    off = F.coalesce(F.sum("own").over(W.partitionBy("part").orderBy("comp").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("int")
+    big = big.withColumn("off", off)  # at most one row for each ``size`` members
+    part = sizes.groupBy("part").agg(F.count(F.lit(1)).alias("comps"), F.coalesce(F.sum(F.when(F.col("n") >= size, F.ceil(F.col("n") / size))), F.lit(0)).cast("int").alias("first"), F.ceil(F.coalesce(F.sum(F.when(F.col("n") < size, F.col("n"))), F.lit(0)) / size).cast("int").alias("pool"))
+    part = part.filter("comps > 1").drop("comps")
+    m = members.join(part, "part").join(big, ["part", "comp"], "left")
+    pure = F.col("own").isNotNull()
+    m = m.withColumn("pure", pure).withColumn("off", F.coalesce("off", "first")).withColumn("own", F.coalesce("own", "pool"))
+    m = m.withColumn("mine", (F.col("off") + F.pmod(F.xxhash64("rep"), "own")).cast("int"))
+    m = m.withColumn("other", F.explode(F.expr("filter(sequence(0, first + pool - 1), j -> not pure or j < off or j >= off + own)")))
+    return m.select("part", F.least("mine", "other").alias("bi"), F.greatest("mine", "other").alias("bj"), "rep", "comp")
+
+
 def _join_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A confirmed link (a, b) for each two parts of a candidate component that have one in this block pair."""
     for got in grouped(batches, ["part", "bi", "bj"]):
@@ -183,20 +233,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     posts = reps.select("rep", F.explode("post").alias("key"))
     lists = posts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     posts = posts.join(lists, "key").select("key", "rep", F.ceil(F.col("n") / BLOCK).cast("int").alias("nb"))
-    posts = posts.join(reps.select("rep", "sig"), "rep")
-    mine = F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int")
-    other = F.explode(F.expr("if(nb = 1, array(0), filter(sequence(0, nb - 1), j -> j <> mine))"))
-    posts = posts.withColumn("mine", mine).withColumn("other", other)
-    posts = materialize(posts.select("key", F.least("mine", "other").alias("bi"), F.greatest("mine", "other").alias("bj"), "rep", "sig"), "posts")
-
-    dealt = posts.repartition(partitions(spark), "key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "rep")
-    forest = dealt.select("key", "bi", "bj", "rep", "sig").mapInArrow(_candidates, "a long, b long").distinct()
-    forest = materialize(forest, "forest")
-    pairs = forest.join(docs.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-    pairs = pairs.join(docs.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-    links = pairs.select("a", "b", "ta", "tb").mapInArrow(_confirm, "a long, b long, linked boolean")
-    links = materialize(links.groupBy("a", "b").agg(F.max("linked").alias("linked")), "confirmed")
+    posts = posts.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
+    posts = materialize(posts, "posts")
+    dealt = posts.select("key", F.col("block").alias("bi"), F.col("block").alias("bj"), "rep").join(reps.select("rep", "sig"), "rep")
+    dealt = dealt.select("key", "bi", "bj", "rep", "sig").repartition(partitions(spark), "key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "rep")
+    forest = materialize(dealt.mapInArrow(_candidates, "a long, b long").distinct(), "forest")
+    # the first posting of a list stands for it: blocks of one group are joined through it
+    long = posts.filter("nb > 1")
+    hot = not long.isEmpty()
+    if hot:
+        first = long.groupBy("key").agg(F.min("rep").alias("a"))
+        star = long.select("key", "rep").join(first, "key").filter("a <> rep").select("a", F.col("rep").alias("b")).distinct()
+        star = star.join(reps.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), "a").join(reps.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b")
+        star = star.select("a", "b", "sa", "sb").mapInArrow(_alike, "a long, b long")
+        forest = materialize(forest.union(star).distinct(), "forest")
+    links = _confirmed(docs, forest)
     comps = connected_components(links.filter("linked").select("a", "b"), "minhash")
+    if hot:
+        members = long.select(F.col("key").alias("part"), "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("part", "rep", F.coalesce("component", "rep").alias("comp"))
+        met = between(materialize(members, "members"), BLOCK).join(reps.select("rep", "sig"), "rep")
+        met = met.select("part", "bi", "bj", "rep", "comp", "sig").repartition(partitions(spark), "part", "bi", "bj").sortWithinPartitions("part", "bi", "bj", "rep")
+        cross = materialize(met.mapInArrow(_cross, "a long, b long").distinct(), "forest")
+        links = materialize(links.union(_confirmed(docs, cross)), "confirmed")
+        comps = connected_components(links.filter("linked").select("a", "b"), "minhash")
     if not links.filter("not linked").isEmpty():
         more = _missing_links(spark, docs, reps, links, comps)
         comps = connected_components(links.filter("linked").select("a", "b").union(more), "minhash-joined")
@@ -208,16 +267,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) with enough collisions of their signatures."""
+    for batch in batches:
+        sa, sb = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, WIDTH) for i in (2, 3))
+        near = pa.array((sa == sb).sum(1) >= MATCHES)
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(near), batch.column(1).filter(near)], names=["a", "b"])
+
+
+def _confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, linked) of candidate pairs, on the full sets of both whole texts."""
+    pairs = pairs.join(docs.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
+    pairs = pairs.join(docs.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
+    links = pairs.select("a", "b", "ta", "tb").mapInArrow(_confirm, "a long, b long, linked boolean")
+    return materialize(links.groupBy("a", "b").agg(F.max("linked").alias("linked")), "confirmed")
+
+
 def _missing_links(spark: SparkSession, docs: DataFrame, reps: DataFrame, links: DataFrame, comps: DataFrame) -> DataFrame:
     """Confirmed links between the parts of candidate components in which a forest pair failed and the ends stayed apart."""
-    wide = materialize(connected_components(links.select("a", "b"), "candidate").withColumnRenamed("component", "part"), "parts")
-    both = wide.join(comps, "node", "left").select("node", "part", F.coalesce("component", "node").alias("comp"))
-    split = both.groupBy("part").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("n")).filter("x <> y")
-    both = both.join(split.select("part", F.ceil(F.col("n") / MEET).cast("int").alias("nb")), "part").withColumnRenamed("node", "rep")
-    met = both.join(reps.select("rep", "sig"), "rep").join(docs.select(F.col("doc_id").alias("rep"), "text"), "rep")
-    met = met.withColumn("mine", F.pmod(F.xxhash64("rep"), "nb").cast("int"))
-    met = met.withColumn("other", F.explode(F.expr("if(nb = 1, array(0), filter(sequence(0, nb - 1), j -> j <> mine))")))
-    met = met.select("part", F.least("mine", "other").alias("bi"), F.greatest("mine", "other").alias("bj"), "rep", "comp", "sig", "text")
+    wide = connected_components(links.select("a", "b"), "candidate").withColumnRenamed("component", "part")
+    both = wide.join(comps, "node", "left").select(F.col("node").alias("rep"), "part", F.coalesce("component", "node").alias("comp"))
+    met = between(materialize(both, "parts"), MEET).join(reps.select("rep", "sig"), "rep").join(docs.select(F.col("doc_id").alias("rep"), "text"), "rep")
+    met = met.select("part", "bi", "bj", "rep", "comp", "sig", "text")
     met = met.repartition(partitions(spark), "part", "bi", "bj").sortWithinPartitions("part", "bi", "bj", "rep")
     return materialize(met.mapInArrow(_join_parts, "a long, b long"), "joined")
 

@@ -514,7 +514,10 @@ def test_parts_of_a_large_benchmark_find_the_same(spark, monkeypatch):
 # -- 7 ---------------------------------------------------------------------------------------------------------------
 
 
-def test_near_duplicates_against_brute_force(spark):
+@pytest.mark.parametrize(("block", "meet"), [(1024, 256), (6, 4), (2, 2)])
+def test_near_duplicates_against_brute_force(spark, monkeypatch, block, meet):
+    monkeypatch.setattr(minhash_dedup, "BLOCK", block)  # from whole lists to blocks of two
+    monkeypatch.setattr(minhash_dedup, "MEET", meet)
     rng = np.random.default_rng(4)
     texts = [None, "", " \n", "a b", "A  b", "a b c", LONG, LONG + " tail", passage(50), passage(50).upper()]
     for f in range(6):  # families of edits of edits, on both sides of the threshold
@@ -535,6 +538,20 @@ def test_near_duplicates_against_brute_force(spark):
     assert minhash_dedup.near_duplicates(d.union(d)).count() == 4
 
 
+@pytest.mark.parametrize("size", [2, 3, 7])
+def test_rows_of_different_components_meet_and_large_ones_not_among_themselves(spark, size):
+    rng = np.random.default_rng(size)
+    rows_ = [(p, 100 * p + i, 100 * p + int(rng.integers(0, (1, 3, 8, 30)[p]))) for p in range(4) for i in range(30)] + [(9, 900 + i, 900) for i in range(40)] + [(9, 950, 950)]
+    got = minhash_dedup.between(spark.createDataFrame(rows_, "part long, rep long, comp long"), size).collect()
+    at = {}
+    for r in got:
+        at.setdefault((r.part, r.bi, r.bj), []).append((r.rep, r.comp))
+    met = {tuple(sorted((a, b))) for x in at.values() for a, ca in x for b, cb in x if ca != cb}
+    comp = {r: (p, c) for p, r, c in rows_}
+    assert met == {(a, b) for a in comp for b in comp if a < b and comp[a][0] == comp[b][0] and comp[a][1] != comp[b][1]}
+    assert not any(p == 0 for p, *_ in at) and sum(len(x) for (p, *_), x in at.items() if p == 9) <= 41 + 40 / size + 1
+
+
 def test_forest_spans_every_candidate_component():
     sig = np.random.default_rng(5).integers(0, 3, (60, minhash_dedup.WIDTH), dtype=np.uint8)
     got = minhash_dedup._counts(sig)
