@@ -318,8 +318,8 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(1).filter(keep), batch.column(0).filter(keep), pa.array(out, pa.binary())], names=["run", "group", "levels"])
 
 
-def _with_levels(docs: DataFrame, model: dict) -> DataFrame:
-    """(run, group, ids, body): each run of documents (group -1), and after it the levels of its n-grams by group."""
+def _with_levels(docs: DataFrame, model: dict) -> tuple[DataFrame, list[DataFrame]]:
+    """(run, group, ids, body): each run of documents (group -1), and after it the levels of its n-grams by group; and the stages it reads."""
     spark, sb = docs.sparkSession, model["sb"]
     n = partitions(spark)
     runs = materialize(docs.mapInArrow(_runs, "run long, ids array<long>, body binary"), "runs")
@@ -328,9 +328,9 @@ def _with_levels(docs: DataFrame, model: dict) -> DataFrame:
     parts = model["segments"].select(F.shiftright("segment", GROUP).alias("group"), F.lit(-1).cast("long").alias("run"), "segment", F.lit(None).cast("binary").alias("own"), F.col("bits").alias("low"))
     met = parts.union(asked).repartition(n, "group").sortWithinPartitions("group", "run", "segment")
     none = F.lit(None).cast("array<long>").alias("ids")
-    levels = materialize(met.mapInArrow(_answer, "run long, group int, levels binary"), "levels").select("run", "group", none, F.col("levels").alias("body"))
-    every = runs.select("run", F.lit(-1).alias("group"), "ids", "body").union(levels)
-    return every.repartition(n, "run").sortWithinPartitions("run", "group")
+    levels = materialize(met.mapInArrow(_answer, "run long, group int, levels binary"), "levels")
+    every = runs.select("run", F.lit(-1).alias("group"), "ids", "body").union(levels.select("run", "group", none, F.col("levels").alias("body")))
+    return every.repartition(n, "run").sortWithinPartitions("run", "group"), [runs, levels]
 
 
 def score_texts(docs: DataFrame, model: dict, mod: int = 7, rest: int = 2) -> DataFrame:
@@ -405,7 +405,10 @@ def score_texts(docs: DataFrame, model: dict, mod: int = 7, rest: int = 2) -> Da
 
     schema = "segment int, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, keys binary, rows binary, row long"
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
-    scored = materialize(_with_levels(docs, model).mapInArrow(score, schema), "scores")
+    dealt, spent = _with_levels(docs, model)
+    scored = materialize(dealt.mapInArrow(score, schema), "scores")
+    for stage in spent:
+        drop_stage(stage)
 
     exact = model["segments"].select("segment", F.col("w").alias("keys"), F.col("nw").alias("rows"), F.lit(-1).cast("long").alias("row"))
     asked = scored.filter("segment is not null").select("segment", "keys", "rows", "row")

@@ -224,7 +224,8 @@ def link_embeddings(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b, mask=n > 0), pa.array(n)], names=["a", "b", "n"])
 
     found = materialize(dealt.mapInArrow(verify, "a long, b long, n long"), "links")
-    drop_stage(placed)
+    for stage in (placed, hot):
+        drop_stage(stage)
     links = found.filter("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     comps = connected_components(found.filter("b is not null").select("a", "b"), "embedding").withColumnRenamed("node", "rep")
     of = reps.select(*same, "rep", "copies").join(links, "rep", "left").join(comps, "rep", "left")

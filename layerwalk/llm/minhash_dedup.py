@@ -31,7 +31,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import textbuf as tb
-from .common import connected_components, group_bounds, grouped, materialize, partitions, table
+from .common import connected_components, drop_stage, group_bounds, grouped, materialize, partitions, table
 
 SIZE, PER_CENT = 5, 75
 PREFIX, WIDTH = 10, 192
@@ -259,6 +259,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not links.filter("not linked").isEmpty():
         more = _missing_links(spark, docs, reps, links, comps)
         comps = connected_components(links.filter("linked").select("a", "b").union(more), "minhash-joined")
+    for stage in (posts, forest):
+        drop_stage(stage)
     own = sets.groupBy("doc_id").agg(F.min(F.struct("n_shingles", "s1", "s2")).alias("s")).select("doc_id", "s.*")
     of = reps.select("n_shingles", "s1", "s2", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
     of = of.select("n_shingles", "s1", "s2", F.coalesce("component", "rep").alias("component"))
