@@ -26,7 +26,7 @@ from .common import table
 #: Bytes of a chunk and of a filter, and between the positions of a filter; sizes of a byte vector and of the layer.
 CHUNK, WIDTH, STRIDE, DIM, FILTERS = 512, 8, 4, 6, 40
 #: Labelled rows that a model is fitted on, at most; steps, texts a step, and chunks that training holds at once.
-SAMPLE, STEPS, BATCH, SLICE = 3000, 700, 32, 512
+SAMPLE, STEPS, BATCH, SLICE = 3000, 700, 32, 256
 THRESHOLD = 0.3
 #: A chunk begins this many bytes after the last, so that every window of WIDTH bytes lies in one.
 HOP = CHUNK - WIDTH + STRIDE

@@ -35,7 +35,7 @@ BLANK = "▁"
 #: Paths kept by a worker, at most.
 KEPT_WORDS, KEPT_PAIRS = 1 << 19, 1 << 20
 #: Bytes of text in a run whose distinct words take their paths together.
-RUN_BYTES = 1 << 22
+RUN_BYTES = 1 << 21
 #: Code points of a word that is searched along with others, at most, and places of such words held at once.
 LONGEST, HELD = 1 << 12, 1 << 20
 _NOT_BLANK = np.arange(256) != 32
