@@ -23,6 +23,7 @@ import heapq
 import html
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -33,7 +34,8 @@ from pyspark.sql import functions as F
 from .common import table
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(.*?)(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style|aria-hidden|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?|\"[^\"]*\"|'[^']*'")
+_ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _BLANKS = re.compile(r"[ \t\n\v\f\r\xa0]+")
 #: Element names by their role in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -55,6 +57,7 @@ CLOSES = {
 CLOSES = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in CLOSES.items()}
 ENDS_P = BLOCK - frozenset("br body caption dd dt head html legend li option summary tbody td tfoot th thead title tr".split()) | {"p"}
 PROSE = frozenset("h1 h2 h3 h4 h5 h6 p".split())
+HOLDS_INLINE = frozenset("article main section div td table body".split())
 #: Words of class, id and role that name what is not the article.
 NOT_MAIN = re.compile(
     r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|breadcrumbs?|sidebar|footer|masthead|banner|ads?|adverts?|advertisements?|advertising|promo|promotion|sponsor(?:ed)?|cookies?|consent|gdpr|notice|newsletter|subscribe|subscription|signup|login|popup|modal|overlay|share|sharing|social|related|recommend(?:ed|ations)?|comments?|disqus|replies|respond|pagination|pager|search|toolbar|widget|complementary|contentinfo|skip|copyright|legal|alert)(?:$|[\s_-])",
@@ -77,10 +80,51 @@ class Node:
         self.density = 0.0
 
 
+class _Open:
+    """The open elements, outermost first, with the places of each name, of blocks and of boxes; all asked at the cost of a lookup."""
+
+    def __init__(self, root: Node):
+        self.stack, self.places = [root], {}
+        self.blocks, self.boxes = [], []
+
+    def push(self, node: Node) -> None:
+        for places in self._lists(node.name):
+            places.append(len(self.stack))
+        self.stack.append(node)
+
+    def close(self, at: int) -> None:
+        """Close the element at a place and all inside it."""
+        while len(self.stack) > at:
+            for places in self._lists(self.stack.pop().name):
+                places.pop()
+
+    def _lists(self, name: str) -> list[list[int]]:
+        own = [self.places.setdefault(name, [])]
+        own += [self.blocks] if name in BLOCK else []
+        return own + ([self.boxes] if name in HOLDS_INLINE else [])
+
+    def last(self, name: str) -> int:
+        """Place of the innermost open element of a name, or 0."""
+        return next(reversed(self.places.get(name, ())), 0)
+
+    def first_after(self, names: frozenset, at: int) -> int:
+        """Place of the outermost open element of these names inside a place, or 0."""
+        found = [p[k] for p in map(self.places.get, names) if p and (k := bisect_right(p, at)) < len(p)]
+        return min(found, default=0)
+
+
+def _attributes(text: str) -> Iterator[tuple[str, str]]:
+    """Names, lower-cased, and values of a tag's attributes."""
+    for a in _ATTRIBUTE.finditer(text):
+        if a[1]:
+            yield a[1].lower(), a[2] or a[3] or a[4] or ""
+
+
 def parse(page: str) -> Node:
     """The element tree of a page of any well-formedness; references are decoded, comments and markup are gone."""
     root = Node("html")
-    stack = [root]
+    tree = _Open(root)
+    stack = tree.stack
     at, n = 0, len(page)
     low: str | None = None
 
@@ -106,35 +150,24 @@ def parse(page: str) -> Node:
             continue
         name = m[3].lower()
         if m[2]:  # closing
-            if name in ("br", "p") and not any(x.name == name for x in stack):
-                stack[-1].kids.append(Node(name))
-            elif name not in ("html", "body"):
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].name == name:
-                        del stack[k:]
-                        break
-                    if stack[k].name in ("article", "main", "section", "div", "td", "table", "body") and name not in BLOCK:
-                        break  # a stray inline end does not close a block
+            own = tree.last(name)
+            if not own:
+                if name in ("br", "p"):
+                    stack[-1].kids.append(Node(name))
+            elif name not in ("html", "body") and (name in BLOCK or own > next(reversed(tree.boxes), 0)):
+                tree.close(own)  # a stray inline end does not close a box
             continue
-        if name in ("html", "body") and any(x.name == name for x in stack):
+        if name == "html" or name == "body" and tree.last(name):
             continue
-        if name in ENDS_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].name == "p":
-                    del stack[k:]
-                    break
-                if stack[k].name in BLOCK:
-                    break
+        if name in ENDS_P and tree.last("p") and tree.last("p") >= next(reversed(tree.blocks), 0):
+            tree.close(tree.last("p"))
         if name in CLOSES:
             shut, barrier = CLOSES[name]
-            k = next((k for k in range(1, len(stack)) if stack[-k].name in barrier), len(stack))
-            own = next((j for j in range(len(stack) - k + 1, len(stack)) if stack[j].name in shut), None)
-            if own is not None and own > 0:
-                del stack[own:]
+            if own := tree.first_after(shut, max(map(tree.last, barrier))):
+                tree.close(own)
         off = mark = talk = False
         if m[4]:
-            for a in _ATTRIBUTE.finditer(m[4]):
-                key, value = a[1].lower(), a[2] or a[3] or a[4] or ""
+            for key, value in _attributes(m[4]):
                 if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                     off = True
                 elif (key in ("class", "role") or key == "id" and name not in PROSE) and NOT_MAIN.search(value):
@@ -143,7 +176,7 @@ def parse(page: str) -> Node:
         node = Node(name, off or name in UNSEEN, mark, talk)
         stack[-1].kids.append(node)
         if name in RAW:
-            low = page.lower() if low is None else low
+            low = page.translate(_ASCII_LOWER) if low is None else low
             end = low.find("</" + name, at)
             end = n if end < 0 else end
             if not node.off:
@@ -151,7 +184,7 @@ def parse(page: str) -> Node:
             close = page.find(">", end)
             at = n if close < 0 else close + 1
         elif name not in VOID and not (m[4].endswith("/") and name in ("svg", "path")):
-            stack.append(node)
+            tree.push(node)
     return root
 
 
@@ -260,22 +293,26 @@ def cores(root: Node) -> tuple[list[Node], float]:
             break
         y = parent.get(id(y))
 
-    def whole(x: Node) -> Node:
-        """Text that lies beside the element in its own parent, or anywhere in its article, belongs to it.
+    # text that lies beside an element in its own parent, or anywhere in its article, belongs to it
+    joined: dict[int, Node] = {}
+    article: dict[int, Node] = {}
+    for y in allowed:
+        up = parent.get(id(y))
+        joined[id(y)] = joined[id(up)] if up is not None and (up.name in ("article", "main") or y.name not in BLOCK) else y
+        outer = article.get(id(up)) if up is not None else None
+        if outer is not None or y.name == "article":
+            article[id(y)] = outer or y
 
-        Of a body, the one child with all its text stands for it, so that what is named as boilerplate beside it is outside.
-        """
+    def whole(x: Node) -> Node:
+        """What belongs to an element. Of a body, the one child with all its text stands for it, so that what is named as boilerplate
+        beside it is outside."""
         while x.name in ("html", "body"):
             own = [k for k in x.kids if (k.strip() if type(k) is str else not k.off and not k.mark and k.chars)]
             if len(own) != 1 or id(own[0]) not in best:
                 break
             x = own[0]
-        up = parent.get(id(x))
-        while up is not None and up.name in ("article", "main") or up is not None and x.name not in BLOCK:
-            x, up = up, parent.get(id(up))
-        while up is not None:
-            x, up = up if up.name == "article" else x, parent.get(id(up))
-        return x
+        x = joined[id(x)]
+        return article.get(id(x), x)
 
     kept = {id(whole(x))}
     if least > 0:

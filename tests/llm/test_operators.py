@@ -348,6 +348,25 @@ def test_unnamed_boilerplate_goes_by_density_alone(monkeypatch):
     assert np.mean([html_text.main_text(p) != g for (p, _), g in zip(pages, got)]) >= 0.95
 
 
+@pytest.mark.parametrize("piece", ['<a href="/hidden-gems">{}</a>', '<p title="a hidden cost">{}</p>', '<div data-id="comments"><p>{}</p></div>', "<p data-x='class=ad' id = first>{}</p>", '<p alt=style="display:none">{}</p>', "<p aria-label='hidden'>{}</p>", '<p data-role="navigation" data-hidden>{}</p>'])
+def test_words_inside_attribute_values_and_longer_names_say_nothing(piece):
+    a, b, c = (passage(k, 45) for k in range(3))
+    assert html_text.main_text(f"<body><article><p>{a}</p>{piece.format(b)}<p>{c}</p></article></body>") == f"{a} {b} {c}"
+    assert html_text.main_text(f'<body><article data-title="Hidden Figures"><p>{a}</p></article></body>') == a
+    for attribute in ("hidden", 'hidden=""', "HIDDEN", "aria-hidden = 'true'", 'style="color:red; display : none"', "title='x' hidden", "title=x\nhidden"):
+        assert html_text.main_text(f"<body><article><p>{a}</p><p {attribute}>{b}</p><p>{c}</p></article></body>") == f"{a} {c}"
+
+
+def test_stray_tags_take_linear_time():
+    import time
+
+    began = time.time()
+    n = 40_000
+    for page in ("<i>" * n + "</span>" * n + "end", "<p><li>" + "<i>" * n + "<p></p>" * n + "end", "<ul>" + "<b>" * n + "<li>" * n + "end", "<table>" + "<td>" * n + "</x>" * n + "end", "</p>" * n + "<div>" * n + "</section>" * n + "end"):
+        assert html_text.main_text(page) == "end"
+    assert time.time() - began < 30
+
+
 def test_densities_against_a_plain_recursion():
     import html.parser
 
