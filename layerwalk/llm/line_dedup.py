@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textbuf as tb
-from .common import group_bounds, grouped, materialize, partitions, table
+from .common import group_bounds, grouped, materialize, partitions, table, unused
 
 LEAST_CHARS, LEAST_DOCS = 40, 5
 #: Keys aimed at in a shard; bits a key at a level of the perfect hash, and levels.
@@ -207,7 +207,7 @@ def drop_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int
     doc_id counts for nothing and is left as it is. A text that loses nothing is unchanged, null as well. Other
     columns pass through; no rows give no rows.
     """
-    spark = docs.sparkSession
+    spark, gone = docs.sparkSession, unused("_lost", docs)
     for c in ("n_lines", "n_dropped"):
         docs = docs.drop(c)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
@@ -228,13 +228,13 @@ def drop_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int
     made = made.select("shard", "salt", F.lit(None).cast("long").alias("doc_id"), "body")
     sent = texts.mapInArrow(lambda it: _packets(it, shards, salts, least_chars), "shard long, salt long, doc_id long, body binary")
     met = made.union(sent).repartition(parts, "shard", "salt").sortWithinPartitions("shard", "salt", F.asc_nulls_first("doc_id"))
-    lost = met.mapInArrow(lambda it: _probe(it, least_docs), "doc_id long, lost binary").distinct().groupBy("doc_id").agg(F.collect_list("lost").alias("_lost"))
-    out = docs.join(lost, "doc_id", "left").select(*docs.columns, "_lost")
+    lost = met.mapInArrow(lambda it: _probe(it, least_docs), "doc_id long, lost binary").distinct().groupBy("doc_id").agg(F.collect_list("lost").alias(gone))
+    out = docs.join(lost, "doc_id", "left").select(*docs.columns, gone)
     names, at = out.columns, out.columns.index("text")
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, gone, new = [], [], []
+            n, fewer, new = [], [], []
             for t, lost in zip(batch.column(at), batch.column(len(names) - 1), strict=True):
                 t, lost = t.as_py(), lost.as_py()
                 total = (t or "").count("\n") + 1
@@ -246,11 +246,11 @@ def drop_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int
                     t = "\n".join(x for i, x in enumerate(t.split("\n")) if i not in out_lines)
                 new.append(t)
                 n.append(total)
-                gone.append(dropped)
+                fewer.append(dropped)
             cols = [pa.array(new, pa.string()) if i == at else batch.column(i) for i in range(len(names) - 1)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int64()), pa.array(gone, pa.int64())], names=[*names[:-1], "n_lines", "n_dropped"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int64()), pa.array(fewer, pa.int64())], names=[*names[:-1], "n_lines", "n_dropped"])
 
-    schema = out.drop("_lost").withColumn("n_lines", F.lit(0).cast("long")).withColumn("n_dropped", F.lit(0).cast("long")).schema
+    schema = out.drop(gone).withColumn("n_lines", F.lit(0).cast("long")).withColumn("n_dropped", F.lit(0).cast("long")).schema
     return out.mapInArrow(rewrite, schema)
 
 

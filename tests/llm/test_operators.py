@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from layerwalk.llm import bloom_lm, chat_format, decontaminate, embedding_dedup, html_text, line_dedup, minhash_dedup, pii_crf, quality_cnn, sentencepiece_fst
 from layerwalk.llm import textbuf as tb
@@ -246,6 +247,13 @@ def test_rows_of_one_id_are_one_document_of_a_line(spark):
     assert sorted((r.doc_id, r.n_dropped, r.text) for r in got) == sorted((i, w[1], w[2]) for i, w in want.items() for _ in (0, 1))
 
 
+def test_lines_with_clashing_columns(spark):
+    line = "a line that many documents repeat word for word, again and again"
+    d = docs(spark, [f"{k}\n{line}" for k in range(6)]).withColumnsRenamed({"lang": "_lost", "source": "n_lines"}).withColumn("_LOST_", F.lit(3))
+    out = line_dedup.drop_lines(d)
+    assert [(r.text, r["_lost"], r["_LOST_"], r.n_dropped) for r in out.orderBy("doc_id").collect()] == [(str(k), "en", 3, 1) for k in range(5)] + [(f"5\n{line}", "en", 3, 0)]
+
+
 def test_perfect_hash_places_every_key_once():
     for n in (1, 2, 5, 3000):
         h1, h2 = tb.numbers(20, n), tb.numbers(21, n)
