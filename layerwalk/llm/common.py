@@ -59,6 +59,20 @@ def unused(name: str, df: DataFrame) -> str:
     return name
 
 
+def bounded_sample(sizes: DataFrame, rows: int, size: int) -> DataFrame:
+    """(doc_id) of at most ``rows`` of (doc_id, size) in the order of a hash of doc_id, as long as all that are taken have at most ``size`` together.
+
+    One that would go beyond is passed over, never cut.
+    """
+    first = sizes.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).collect()
+    taken, held = [], 0
+    for r in first:
+        if held + (r['size'] or 0) <= size:
+            taken.append((r.doc_id,))
+            held += r['size'] or 0
+    return sizes.sparkSession.createDataFrame(taken, "doc_id long")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -2,20 +2,25 @@
 
 Base spans are found by four patterns in every whole text and are fixed evidence. A text is then a sequence of tokens
 (runs of letters, digits and ``. _ % + @ / -``), each labelled none, email, ip, card, phone or secret by a linear
-chain with skip edges. Each token that could name an entity (it holds a digit or @, is as long as a key, or repeats the name
-part of an address in the text) is joined by a skip edge to the nearest earlier one of its key: letters and digits without
-case or punctuation, the name part of an address, or the last seven digits of a longer number. So edges grow with
-the text, not with the square of a repeated token. Loopy message passing over chain and skip edges carries labels to
-distant repeated or similar tokens, so that they are consistent across a document. Tokens that come out labelled and that no base
-span meets become added spans of their kind.
-
-Messages pass ``ROUNDS`` times, each time over all edges at once; a token further from every candidate than
-that many steps takes part in nothing, so only candidates and their surroundings are worked on.
-
-Emission weights are a multinomial logistic regression on the shape of a token, the words just before it, and what the
-patterns say of it (found, or refuted: a match that failed its check). It is fitted on whole texts of a bounded sample of
-documents, labelled by the base spans, and for secrets by assignments to a credential's name, with generated
-examples of these beside them. Chain and skip potentials are log odds counted on the same texts.
+chain with skip edges. A token that could name an entity (it holds a digit or @, is as long as a key, or repeats the name
+part of an address in the text) has a key: letters and digits without case or punctuation, the name part of an address, or
+the last seven digits of a longer number. Skip edges join the first token of a key to all others of it, so edges grow with the text
+and a label is two edges away from any mention. Loopy message passing over chain and skip edges goes on until the messages
+settle. Tokens that come out labelled and that no base span meets become added spans of their kind.
+
+What repeated mentions say:
+
+- The shape of a token is one piece of evidence however often the token stands in a text: each of k mentions has a k-th of
+  it. What stands before a mention is evidence of its own, so a mention without telling words is neutral.
+- A skip edge costs nothing where both ends agree, whatever the label, and the sum of both labels' penalties where they do not
+  (that of none is 0). So many mentions of a key are as likely to be labelled as one, and one telling mention labels all.
+- Chain potentials say how labels stand beside each other; with none on either side they are 0. Other tokens than candidates are none,
+  so they carry no message and take no part.
+
+Weights of features, chain and skip edges are learned together by pseudo-likelihood: each token's label given those of its
+neighbours, which is one softmax regression. It is fitted on whole texts of a bounded sample of documents, labelled by the base
+spans, assignments to a credential's name, well-known beginnings of keys and repeats of what is labelled, and on generated texts with repeated
+entities and with repeated numbers and checksums that are none.
 """
 
 from __future__ import annotations
@@ -31,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textbuf as tb
-from .common import group_bounds, table
+from .common import bounded_sample, table
 
 #: The patterns of the base spans, in the order of kinds. (Digit runs are possessive, so matching is linear.)
 PATTERNS = {
@@ -42,13 +47,18 @@ PATTERNS = {
 }
 KINDS = [*PATTERNS, "secret"]
 NONE, SECRET, LABELS = 0, 5, 6
-#: Documents that the field is fitted on, at most, and generated examples beside them; rounds of messages.
-SAMPLE, MADE, ROUNDS = 1500, 200, 6
-#: Before any skip edge was seen, so many agree to one that does not (a key is long, so equal keys name one thing). Bound of the
-#: log odds of agreement, and least belief in an added label.
-PRIOR_AGREE, MOST_ODDS, SURE = 1e4, 10.0, 0.5
+#: Documents that the field is fitted on and their bytes, at most, and generated examples beside them.
+SAMPLE, SAMPLE_BYTES, MADE = 1500, 32_000_000, 400
+#: Messages settle when none moves by more; rounds after which those of a graph that swings are taken as they are; least belief in an added label.
+SETTLED, ROUNDS, SURE = 1e-7, 500, 0.5
+#: Potentials are raised to this power for labelling, so that the best labelling of a text decides and not how many others come near it: of
+#: those there are the more, the more mentions there are.
+COLD = 8.0
 #: Names of credentials.
 NAMES = "token secret password passwd pwd apikey api_key api-key access_key access-key auth_token auth-token access_token client_secret private_key".split()
+#: Public beginnings of access keys and tokens.
+PREFIXES = "AKIA ASIA ghp_ gho_ ghs_ github_pat_ glpat- sk_live_ sk_test_ rk_live_ xoxb- xoxp- AIza".split()
+_PREFIXED = re.compile(rf"(?:{'|'.join(map(re.escape, PREFIXES))})[A-Za-z0-9_-]{{14,}}")
 _ASSIGNED = re.compile(rf"(?i)(?<![a-z])(?:{'|'.join(NAMES)})[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?([A-Za-z0-9+/_-]{{16,}})")
 _DIGITS = re.compile(r"[^0-9]")
 _KEY = re.compile(r"[^0-9a-z]")
@@ -162,7 +172,8 @@ class Tokens:
         ).astype(np.float64)
 
 
-N_SHAPE, N_FEATURES = 12, 17  # shape; found by each pattern; refuted
+N_ALONE, N_FEATURES = 9, 14  # shape of the token alone; then what stands before it; a failed match, and a key's beginning, are shape too
+SHAPE = np.array([True] * N_ALONE + [False] * 3 + [True] * 2)
 
 
 def skip_key(token: str) -> str:
@@ -179,7 +190,7 @@ def skip_key(token: str) -> str:
 
 
 class Field:
-    """The graph of a run of texts: tokens worked on, labels fixed by base spans, chain and skip edges, features."""
+    """The graph of a run of texts: candidate tokens, labels fixed by base spans, chain and skip edges, features."""
 
     def __init__(self, texts: list[str | None], data: np.ndarray, off: np.ndarray):
         t = self.tokens = Tokens(data, off)
@@ -206,31 +217,28 @@ class Field:
         # name parts of addresses make candidates of the words that repeat them
         locals_ = {i: {text[s:e].split("@", 1)[0].lower() for s, e in self.base[i][0]} for i, text in enumerate(texts) if self.base[i][0]}
         more = [k for i, names in locals_.items() for k in range(first[i], first[i + 1]) if label[k] < 0 and self.finish[k] - self.begin[k] >= 5 and self.word(k).strip("._%+-").lower() in names]
-        candidate = np.union1d(candidate, np.array(more, int))
-        keys: dict[tuple[int, str], int] = {}
+        candidate = np.union1d(candidate, np.array(more, int)).astype(int)
+        self.live = candidate
+        first_of: dict[tuple[int, str], int] = {}
         a, b = [], []
-        for k in candidate.tolist():
-            if key := skip_key(self.word(k)):
-                key = (int(t.text[k]), key)
-                if key in keys:
-                    a.append(keys[key])
-                    b.append(k)
-                keys[key] = k
-        near = np.zeros(n + 1, np.int64)
-        np.add.at(near, np.maximum(candidate - ROUNDS, first[t.text[candidate]]), 1)
-        np.add.at(near, np.minimum(candidate + ROUNDS + 1, first[t.text[candidate] + 1]), -1)
-        self.live = live = np.flatnonzero(np.cumsum(near[:-1]) > 0)
-        place = np.full(n, -1)
-        place[live] = np.arange(len(live))
-        self.skips = (place[np.array(a, int)], place[np.array(b, int)])
-        next_ = np.flatnonzero((np.diff(live) == 1) & (t.text[live[1:]] == t.text[live[:-1]])) if len(live) else np.zeros(0, int)
+        prefixed = np.zeros(len(candidate), bool)
+        size = np.ones(len(candidate))
+        for at, k in enumerate(candidate.tolist()):
+            word = self.word(k)
+            prefixed[at] = t.start[k] + 18 <= t.end[k] and _PREFIXED.match(word) is not None
+            if key := skip_key(word):
+                head = first_of.setdefault((int(t.text[k]), key), at)
+                if head != at:
+                    a.append(head)
+                    b.append(at)
+        self.skips = (np.array(a, int), np.array(b, int))
+        np.add.at(size, self.skips[0], 1)
+        size[self.skips[1]] = size[self.skips[0]]
+        next_ = np.flatnonzero((np.diff(candidate) == 1) & (t.text[candidate[1:]] == t.text[candidate[:-1]])) if len(candidate) else np.zeros(0, int)
         self.chain = (next_, next_ + 1)
-        self.label, self.candidate = label[live], np.isin(live, candidate, assume_unique=True)
-        self.x = np.zeros((len(live), N_FEATURES))
-        self.x[:, :N_SHAPE] = t.x[live]
-        for k in range(4):
-            self.x[:, N_SHAPE + k] = self.label == k + 1
-        self.x[:, -1] = refuted[live]
+        self.label = label[candidate]
+        self.x = np.column_stack([t.x[candidate], refuted[candidate], prefixed])
+        self.x[:, SHAPE] /= size[:, None]
 
     def word(self, k: int) -> str:
         return self.tokens.data[self.tokens.start[k] : self.tokens.end[k]].tobytes().decode("utf-8", "replace")
@@ -240,122 +248,155 @@ class Field:
 
 
 def beliefs(emit: np.ndarray, edges: list[tuple[np.ndarray, np.ndarray, np.ndarray]], rounds: int = ROUNDS) -> np.ndarray:
-    """Beliefs of each node over the labels by sum-product messages, over all edges at once in each round.
+    """Beliefs of each node over the labels by sum-product messages, over all edges at once in each round, until they settle.
 
     emit: (n, labels) log potentials. edges: (a, b, log potentials by label of a and of b) of each sort of edge. Messages over
-    skip edges are damped by half, in logarithms. On a forest the beliefs are the marginals once rounds reach its longest path.
+    skip edges are damped by half, in logarithms. On a forest the beliefs are the marginals.
     """
-    phi = np.exp(emit - emit.max(1, keepdims=True, initial=-1e300))
-    n, m = phi.shape
+    emit = emit - emit.max(1, keepdims=True, initial=-1e300)
+    m = emit.shape[1]
     sorts = []
     for k, (a, b, psi) in enumerate(edges):
-        pot = np.exp(psi - psi.max())
-        sorts.append([a, b, pot, np.full((len(a), m), 1 / m), np.full((len(a), m), 1 / m), 0.5 if k else 0.0])
-    for _ in range(rounds):
-        whole = np.log(phi + 1e-300)
+        sorts.append([a, b, np.exp(psi - psi.max()), np.full((len(a), m), -np.log(m)), np.full((len(a), m), -np.log(m)), 0.5 if k else 0.0])
+
+    def gathered() -> np.ndarray:
+        whole = emit.copy()
         for a, b, _, to_b, to_a, _ in sorts:
-            np.add.at(whole, b, np.log(to_b))
-            np.add.at(whole, a, np.log(to_a))
+            np.add.at(whole, b, to_b)
+            np.add.at(whole, a, to_a)
+        return whole
+
+    for _ in range(rounds):
+        whole, moved = gathered(), 0.0
         for s in sorts:
             a, b, pot, to_b, to_a, damp = s
-            up, down = whole[a] - np.log(to_a), whole[b] - np.log(to_b)
-            new_b = np.exp(up - up.max(1, keepdims=True, initial=-1e300)) @ pot
-            new_a = np.exp(down - down.max(1, keepdims=True, initial=-1e300)) @ pot.T
-            new_b, new_a = (np.maximum(x / x.sum(1, keepdims=True), 1e-30) for x in (new_b, new_a))
-            s[3], s[4] = to_b**damp * new_b ** (1 - damp), to_a**damp * new_a ** (1 - damp)
-    whole = np.log(phi + 1e-300)
-    for a, b, _, to_b, to_a, _ in sorts:
-        np.add.at(whole, b, np.log(to_b))
-        np.add.at(whole, a, np.log(to_a))
+            if not len(a):
+                continue
+            new = []
+            for up, by in ((whole[a] - to_a, pot), (whole[b] - to_b, pot.T)):
+                x = np.exp(up - up.max(1, keepdims=True)) @ by
+                new.append(np.log(np.maximum(x / x.sum(1, keepdims=True), 1e-300)))
+            new = [damp * old + (1 - damp) * x for old, x in zip((to_b, to_a), new)]
+            moved = max(moved, *(float(np.abs(old - x).max()) for old, x in zip((to_b, to_a), new)))
+            s[3], s[4] = new
+        if moved < SETTLED:
+            break
+    whole = gathered()
     out = np.exp(whole - whole.max(1, keepdims=True, initial=-1e300))
     return out / out.sum(1, keepdims=True)
 
 
+def skip_potential(penalty: np.ndarray) -> np.ndarray:
+    """Log potentials of a skip edge: none where its ends agree, else both labels' penalties."""
+    out = -(penalty[:, None] + penalty[None])
+    np.fill_diagonal(out, 0)
+    return out
+
+
 # -- fitting -------------------------------------------------------------------------------------------------------
 
 
 def made_examples() -> list[str]:
-    """Texts with credentials of several shapes, beside long numbers, words and checksums that are none."""
+    """Texts with entities, each told once and repeated up to eight times without context, beside numbers, words and checksums that repeat as often
+    and are none."""
     rng = np.random.default_rng(10)
     alphabet = {"hex": "0123456789abcdef", "any": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"}
     word = lambda n, a: "".join(rng.choice(list(a), n))
+    number = lambda n: word(n, "0123456789")
     out = []
     for i in range(MADE):
-        key = word(int(rng.integers(20, 48)), alphabet["hex" if i % 2 else "any"])
+        plain = lambda: " ".join(word(int(rng.integers(2, 9)), "etaoinshrdlu") for _ in range(int(rng.integers(2, 8))))
+        key = word(int(rng.integers(18, 48)), alphabet["hex" if i % 2 else "any"])
         quote, equals = ("\"", "'", "")[i % 3], (" = ", "=", ": ")[i // 3 % 3]
-        plain = " ".join(word(int(rng.integers(2, 9)), "etaoinshrdlu") for _ in range(12))
-        sums = f"{('commit', 'sha256', 'id', 'see')[i // 4 % 4]} {word(40, alphabet['hex'])}" if i % 4 == 0 else plain
-        out.append(f"{plain} {sums} {plain} {word(16, '0123456789')} {NAMES[i % len(NAMES)]}{equals}{quote}{key}{quote} {plain} {word(22, 'etaoinshrdlu')} in {rng.integers(1900, 2030)}")
+        name, line = f"{word(4, 'etaoin')}.{word(5, 'shrdlu')}", number(7)
+        told, again = [
+            (f"{NAMES[i % len(NAMES)]}{equals}{quote}{key}{quote}", key), (f"+{rng.integers(1, 99)} {number(2)} {line}", line), (f"{name}@{word(6, 'shrdlu')}.org", name),
+            (f"{NAMES[i % len(NAMES)]}{equals}{quote}{key}{quote}", key), (x := f"{PREFIXES[i // 5 % len(PREFIXES)]}{word(24, alphabet['any'])}", x),
+        ][i % 5]
+        sums, order = word(int(rng.choice([32, 40, 64])), alphabet["hex"]), number(int(rng.integers(7, 17)))
+        parts = [told] + [again] * int(rng.integers(0, 9) if i % 4 else 0)
+        parts += [f"{('commit', 'sha256', 'id', 'see')[i // 4 % 4]} {sums}"] + [sums] * int(rng.integers(0, 4)) + [order] * int(rng.integers(1, 6)) + [word(22, "etaoinshrdlu"), f"in {rng.integers(1900, 2030)}"]
+        out.append(" ".join(f"{plain()} {parts[k]}" for k in rng.permutation(len(parts))))
     return out
 
 
 def _labels(field: Field, texts: list[str]) -> np.ndarray:
-    """Labels of the tokens worked on: base spans, and what is assigned to a credential's name."""
+    """Labels of the candidates: base spans, keys by their beginning or assigned to a credential's name, and repeats of any of these."""
     y = np.maximum(field.label, NONE)
     t = field.tokens
-    of = t.text[field.live]
     begin = field.begin[field.live]
-    cut = np.searchsorted(of, np.arange(len(texts) + 1))
+    cut = np.searchsorted(t.text[field.live], np.arange(len(texts) + 1))
     for i, text in enumerate(texts):
         for m in _ASSIGNED.finditer(text):
             k = cut[i] + bisect_right(begin[cut[i] : cut[i + 1]], m.start(1)) - 1
             if k >= cut[i] and y[k] == NONE and _ANY_DIGIT.search(m[1]):
                 y[k] = SECRET
+    y[(field.x[:, -1] > 0) & (y == NONE)] = SECRET
+    a, b = field.skips
+    np.maximum.at(y, a, np.where(y[a] == NONE, y[b], NONE))
+    y[b] = np.where(y[b] == NONE, y[a], y[b])
     return y
 
 
 def fit(texts: list[str]) -> dict:
-    """Emission weights, chain and skip potentials from whole texts labelled by :func:`_labels`."""
-    xs, ys = [], []
-    pairs, agree = np.full((LABELS, LABELS), 0.1), np.array([[PRIOR_AGREE, 1.0]] * LABELS)
+    """Weights of features, chain potentials and skip penalties from whole texts labelled by :func:`_labels`.
+
+    Each token that no base span fixes is a row: its features, the labels before and after it in the chain, and for each label by how many
+    skip neighbours more have it than have not (within two).
+    """
+    rows, ys = [], []
     every = pa.array([*texts, *made_examples()], pa.string())
     for lo, hi, data, off in tb.runs(every):
         part = [x.as_py() for x in every.slice(lo, hi - lo)]
         f = Field(part, data, off)
         y = _labels(f, part)
-        xs.append(f.x)
-        ys.append(y)
-        np.add.at(pairs, (y[f.chain[0]], y[f.chain[1]]), 1)
-        for a, b in ((f.skips[0], f.skips[1]), (f.skips[1], f.skips[0])):
-            np.add.at(agree, (y[a], (y[a] != y[b]).astype(int)), 1)
-    x, back = np.unique(np.round(np.concatenate(xs), 2), axis=0, return_inverse=True)
+        before, after, more = np.zeros(len(y)), np.zeros(len(y)), np.zeros((len(y), LABELS))
+        before[f.chain[1]], after[f.chain[0]] = y[f.chain[0]], y[f.chain[1]]
+        for a, b in (f.skips, f.skips[::-1]):
+            np.add.at(more, a, 2.0 * np.eye(LABELS)[y[b]] - 1)
+        free = f.label < 0
+        rows.append(np.column_stack([np.round(f.x, 2), before, after, np.clip(more, -2, 2)])[free])
+        ys.append(y[free])
+    x, back = np.unique(np.concatenate(rows), axis=0, return_inverse=True)
     n = np.zeros((len(x), LABELS))
     np.add.at(n, (back.ravel(), np.concatenate(ys)), 1)
-    p = pairs / pairs.sum()
-    chain = np.clip(np.log(p / np.outer(p.sum(1), p.sum(0))), -2, 2)
-    odds = np.clip(np.log(agree[:, 0] / agree[:, 1]), 0, MOST_ODDS)
-    odds[NONE] = odds[1:].max()  # an edge favours no label by itself
-    return {"w": _softmax_fit(x, n), "chain": chain, "skip": np.diag(odds)}
+    return _pseudo_fit(x, n)
 
 
-def _softmax_fit(x: np.ndarray, n: np.ndarray, ridge: float = 0.2, rounds: int = 400) -> np.ndarray:
-    """Weights (features, labels) of counted labels, the label none held at zero: accelerated steps on the ridge-penalised log loss."""
+def _pseudo_fit(rows: np.ndarray, n: np.ndarray, ridge: float = 0.1, rounds: int = 600) -> dict:
+    """Accelerated steps on the penalised log loss of counted labels; what belongs to the label none is held at zero, penalties are not negative."""
+    x, side, more = rows[:, :N_FEATURES], rows[:, N_FEATURES : N_FEATURES + 2].astype(int), rows[:, N_FEATURES + 2 :]
     total = n.sum(1, keepdims=True)
     weight = np.minimum(total, 50.0) / np.maximum(total, 1)  # a shape that is everywhere does not drown the others
     n, total = n * weight, total * weight
-    w = np.zeros((x.shape[1], n.shape[1]))
-    ahead, t = w.copy(), 1.0
-    rate = 1 / (0.5 * np.linalg.norm((x * total).T @ x, 2) + ridge)
+    before, after = np.eye(LABELS)[side[:, 0]], np.eye(LABELS)[side[:, 1]]
+    every = np.column_stack([x, before, after, more])
+    rate = 1 / (0.5 * np.linalg.norm((every * total).T @ every, 2) + ridge)
+    now = [np.zeros((N_FEATURES, LABELS)), np.zeros((LABELS, LABELS)), np.zeros(LABELS)]
+    ahead, t = [v.copy() for v in now], 1.0
     for _ in range(rounds):
-        z = x @ ahead
+        w, chain, penalty = ahead
+        z = x @ w + before @ chain + after @ chain.T + more * penalty
         p = np.exp(z - z.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
-        g = x.T @ (total * p - n) + ridge * ahead
-        g[:, NONE] = 0
-        new = ahead - rate * g
-        t, before = (1 + (1 + 4 * t * t) ** 0.5) / 2, t
-        ahead, w = new + (before - 1) / t * (new - w), new
-    return w
+        d = total * p - n
+        steps = [x.T @ d + ridge * w, before.T @ d + (after.T @ d).T + ridge * chain, (more * d).sum(0) + ridge * penalty]
+        new = [v - rate * g for v, g in zip(ahead, steps)]
+        new[0][:, NONE] = new[1][:, NONE] = new[1][NONE] = new[2][NONE] = 0
+        new[2] = np.maximum(new[2], 0)
+        t, last = (1 + (1 + 4 * t * t) ** 0.5) / 2, t
+        ahead, now = [v + (last - 1) / t * (v - o) for v, o in zip(new, now)], new
+    return {"w": now[0], "chain": now[1], "skip": now[2]}
 
 
 def train(docs: DataFrame) -> dict:
-    """Fitted in one task on the whole texts of at most SAMPLE documents with an @ or digit, and on generated examples.
+    """Fitted in one task on the whole texts of at most SAMPLE documents of SAMPLE_BYTES together that hold an @ or digit, and on generated texts.
 
-    Of rows repeated under one doc_id the largest text counts; without any such text the generated examples are all.
+    Of rows repeated under one doc_id the largest text counts; without any such text the generated ones are all.
     """
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).filter("doc_id is not null and text rlike '[@0-9]'")
-    ids = text.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)  # ids alone are sorted
-    rows = text.join(F.broadcast(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
+    sizes = text.groupBy("doc_id").agg(F.max(F.octet_length("text")).alias("size"))
+    rows = text.join(F.broadcast(bounded_sample(sizes, SAMPLE, SAMPLE_BYTES)), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = [r["text"] for r in sorted((r for b in batches for r in b.to_pylist()), key=lambda r: r["doc_id"])]
@@ -372,8 +413,7 @@ def all_spans(texts: list[str | None], data: np.ndarray, off: np.ndarray, model:
     fixed = f.label >= 0
     emit[fixed] = -30.0
     emit[fixed, f.label[fixed]] = 0.0  # base spans stay
-    emit[~f.candidate, 1:] = -30.0
-    p = beliefs(emit, [(*f.chain, model["chain"]), (*f.skips, model["skip"])])
+    p = beliefs(COLD * emit, [(*f.chain, COLD * model["chain"]), (*f.skips, COLD * skip_potential(model["skip"]))])
     p[:, NONE] = np.where(fixed, 1.0, p[:, NONE])
     found = np.flatnonzero(p[:, NONE] < 1 - SURE)
     kind = p[found, 1:].argmax(1)

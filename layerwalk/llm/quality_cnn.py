@@ -5,7 +5,7 @@ run under learned filters of ``WIDTH`` bytes at every ``STRIDE`` and are max-poo
 largest, the smallest and the mean over all chunks are kept, beside its mean rectified response, and one logistic unit
 combines them into the probability of label 1. Only the bytes of the text are inputs.
 
-Training runs Adam on a sample of at most ``SAMPLE`` labelled rows, for a fixed number of steps. Training and scoring read
+Training runs Adam on a sample of at most ``SAMPLE`` labelled rows and ``SAMPLE_BYTES``, for a fixed number of steps. Training and scoring read
 every byte of a text; chunks go through the layer in slices, so that memory does not follow the length of texts.
 """
 
@@ -21,12 +21,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textbuf as tb
-from .common import table
+from .common import bounded_sample, table
 
 #: Bytes of a chunk and of a filter, and between the positions of a filter; sizes of a byte vector and of the layer.
 CHUNK, WIDTH, STRIDE, DIM, FILTERS = 512, 8, 4, 6, 40
 #: Labelled rows that a model is fitted on, at most; steps, texts a step, and chunks that training holds at once.
-SAMPLE, STEPS, BATCH, SLICE = 3000, 700, 32, 256
+SAMPLE, SAMPLE_BYTES, STEPS, BATCH, SLICE = 3000, 64_000_000, 700, 32, 256
 THRESHOLD = 0.3
 #: A chunk begins this many bytes after the last, so that every window of WIDTH bytes lies in one.
 HOP = CHUNK - WIDTH + STRIDE
@@ -160,7 +160,7 @@ def score(net: Net, data: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, mod: int = 5, rest: int = 0) -> Net:
-    """Fitted on at most SAMPLE labelled rows whose crc32(doc_id as text) mod ``mod`` is not ``rest``.
+    """Fitted on at most SAMPLE labelled rows of SAMPLE_BYTES of text together whose crc32(doc_id as text) mod ``mod`` is not ``rest``.
 
     Rows with a null label or id are left out; of several labels of a document the largest counts, of several rows
     the largest text. Without labelled rows, or with one label only, every score is a constant.
@@ -169,6 +169,8 @@ def train(docs: DataFrame, labels: DataFrame, mod: int = 5, rest: int = 0) -> Ne
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ours).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
+    sizes = text.join(F.broadcast(known.select("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.max(F.octet_length("text")).alias("size"))
+    known = known.join(F.broadcast(bounded_sample(sizes, SAMPLE, SAMPLE_BYTES)), "doc_id", "left_semi")
     rows = text.join(F.broadcast(known), "doc_id").groupBy("doc_id", "quality").agg(F.max(F.coalesce("text", F.lit(""))).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
