@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from layerwalk.llm import decontaminate, line_dedup, minhash_dedup, quality_cnn, sentencepiece_fst
-from layerwalk.llm.common import materialize, table
+from layerwalk.llm.common import drop_stage, materialize, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,8 +58,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each but the last is written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``; each but the last is written to the shared folder, read again and deleted once the next one is written.
+
+    What the last one reads stays.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), "stage")
+        if before is not None:
+            drop_stage(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
