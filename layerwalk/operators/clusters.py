@@ -11,6 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import node_type
+from ..plans.stages import drop, materialize
+from . import krylov
+
+#: Nodes of a graph up to which its matrix is dense in one task; rows that k-means draws its first centres from.
+DENSE_NODES, SEEDS = 2000, 10_000
 
 
 def from_matrix(spark: SparkSession, matrix: object, names: list[str] | None = None, graph: str = "g") -> DataFrame:
@@ -71,29 +76,109 @@ def _laplacian(pdf: pd.DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
     return names, a, np.eye(len(names)) - d[:, None] * a * d[None]
 
 
+def _first_centres(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k-means++: each centre with a probability that grows with the square of its distance from the others."""
+    c = x[[rng.integers(len(x))]]
+    while len(c) < k:
+        d = ((x[:, None] - c[None]) ** 2).sum(2).min(1)
+        c = np.vstack([c, x[rng.choice(len(x), p=d / d.sum()) if d.sum() > 0 else rng.integers(len(x))]])
+    return c
+
+
+def _sums(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Of each centre: sums and number of its rows, and their squared distances (k, dim + 2)."""
+    d = ((x[:, None] - c[None]) ** 2).sum(2)
+    lab = d.argmin(1)
+    out = np.zeros((len(c), x.shape[1] + 2))
+    np.add.at(out, lab, np.column_stack([x, np.ones(len(x)), d[np.arange(len(x)), lab]]))
+    return out
+
+
+def _lloyd(sums, starts: list[np.ndarray], rounds: int) -> np.ndarray:
+    """Centres of the best of several runs; ``sums(list of centres)`` gives :func:`_sums` of each over all rows."""
+    now, live = list(starts), list(range(len(starts)))
+    cost = np.full(len(starts), math.inf)
+    for _ in range(rounds):
+        if not live:
+            break
+        got = sums([now[i] for i in live])
+        still = []
+        for i, s in zip(live, got, strict=True):
+            n = s[:, -2:-1]
+            new = np.where(n > 0, s[:, :-2] / np.maximum(n, 1), now[i])
+            cost[i] = s[:, -1].sum()
+            if not np.allclose(new, now[i]):
+                still.append(i)
+                now[i] = new
+        live = still
+    for i, s in zip(live, sums([now[i] for i in live]) if live else [], strict=True):
+        cost[i] = s[:, -1].sum()
+    best = 0
+    for i in range(1, len(starts)):
+        best = i if cost[i] < cost[best] - 1e-12 else best
+    return now[best]
+
+
 def kmeans(x: np.ndarray, k: int, seed: int = 42, n_init: int = 20, rounds: int = 100) -> np.ndarray:
     """Labels of the best of n_init runs from k-means++ starts."""
     rng = np.random.default_rng(seed)
-    best, out = math.inf, np.zeros(len(x), int)
-    for _ in range(n_init):
-        c = x[[rng.integers(len(x))]]
-        while len(c) < k:
-            d = ((x[:, None] - c[None]) ** 2).sum(2).min(1)
-            c = np.vstack([c, x[rng.choice(len(x), p=d / d.sum()) if d.sum() > 0 else rng.integers(len(x))]])
-        for _ in range(rounds):
-            lab = ((x[:, None] - c[None]) ** 2).sum(2).argmin(1)
-            new = np.array([x[lab == j].mean(0) if (lab == j).any() else c[j] for j in range(k)])
-            if np.allclose(new, c):
-                break
-            c = new
-        cost = ((x - c[lab]) ** 2).sum()
-        if cost < best - 1e-12:
-            best, out = cost, lab
-    return out
+    c = _lloyd(lambda cs: [_sums(x, c) for c in cs], [_first_centres(x, k, rng) for _ in range(n_init)], rounds)
+    return ((x[:, None] - c[None]) ** 2).sum(2).argmin(1)
+
+
+def kmeans_rows(rows: DataFrame, k: int, seed: int = 42, n_init: int = 20, rounds: int = 100) -> DataFrame:
+    """(node, cluster) of (node, v array<double>): as :func:`kmeans`, with sums that each task makes of its rows for all runs at once.
+
+    First centres are drawn from the SEEDS rows with the least hash of their node (all, by node, where there are no more); every round
+    covers all rows. Only centres and sums reach the driver.
+    """
+    few = rows.orderBy(F.xxhash64("node"), "node").limit(SEEDS).collect()
+    x = np.array([r.v for r in sorted(few, key=lambda r: r.node)])
+    rng = np.random.default_rng(seed)
+    dim = x.shape[1]
 
+    def sums(cs: list[np.ndarray]) -> list[np.ndarray]:
+        got = krylov.products(rows.select("node", "v"), lambda c: np.stack([_sums(c["v"], one) for one in cs]), len(cs) * k * (dim + 2))
+        return list(got.reshape(len(cs), k, dim + 2))
 
-def spectral(edges: DataFrame, k: int, seed: int = 42, n_init: int = 20) -> DataFrame:
-    """(graph, node, cluster, strength) of symmetric non-negative edges; a graph needs at least k >= 2 nodes."""
+    c = _lloyd(sums, [_first_centres(x, k, rng) for _ in range(n_init)], rounds)
+    out = krylov.mapped(rows.select("node", "v"), lambda r: {"c": ((r["v"][:, None] - c[None]) ** 2).sum(2).argmin(1)[:, None].astype(float)}, ("c",))
+    return out.select("node", F.col("c")[0].cast("int").alias("cluster"))
+
+
+def _unit_rows(v: np.ndarray) -> np.ndarray:
+    return v / np.maximum(np.sqrt((v**2).sum(1)), 1e-12)[:, None]
+
+
+def _normalised(one: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges weighted w / sqrt(d_src d_dst), and (node, strength); the Laplacian is the identity less these."""
+    both = one.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    d = both.join(one.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("strength")), "node", "left").select("node", F.coalesce("strength", F.lit(0.0)).alias("strength"))
+    d = materialize(d, "strengths")
+    root = lambda end: d.select(F.col("node").alias(end), F.sqrt(F.greatest("strength", F.lit(1e-12))).alias(f"{end}_root"))
+    e = one.join(root("src"), "src").join(root("dst"), "dst").select("src", "dst", (F.col("w") / F.col("src_root") / F.col("dst_root")).alias("w"))
+    return materialize(e, "affinity"), d
+
+
+def _sized(edges: DataFrame, strategy: str) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Edges of the graphs that one task takes, all edges written, and the graphs that joins take."""
+    if strategy not in ("auto", "local", "distributed"):
+        raise ValueError(f"unknown strategy {strategy!r}")
+    edges = materialize(edges.select("graph", "src", "dst", "w"), "graphs")
+    if strategy == "local":
+        return edges, edges, []
+    n = edges.select("graph", F.explode(F.array("src", "dst")).alias("node")).distinct().groupBy("graph").count()
+    large = [r.graph for r in (n if strategy == "distributed" else n.filter(F.col("count") > DENSE_NODES)).orderBy("graph").collect()]
+    return edges.filter(~F.col("graph").isin(large)) if large else edges, edges, large
+
+
+def spectral(edges: DataFrame, k: int, seed: int = 42, n_init: int = 20, strategy: str = "auto") -> DataFrame:
+    """(graph, node, cluster, strength) of symmetric non-negative edges; a graph needs at least k >= 2 nodes.
+
+    A graph of at most DENSE_NODES nodes is a dense matrix in one task (``strategy`` local: any); for a larger one (distributed: any)
+    eigenvectors come from block Krylov subspaces over the edges, and k-means adds up partial sums: no matrix and no
+    list of nodes is in one place. Both ways give the same clusters where the k-th eigenvalue stands apart.
+    """
     if k < 2:
         raise ValueError("k must be at least 2")
 
@@ -101,24 +186,52 @@ def spectral(edges: DataFrame, k: int, seed: int = 42, n_init: int = 20) -> Data
         names, a, lap = _laplacian(pdf)
         if len(names) < k:
             raise ValueError(f"{len(names)} nodes are fewer than {k} clusters")
-        vec = np.linalg.eigh(lap)[1][:, :k]
-        vec = vec / np.maximum(np.sqrt((vec**2).sum(1)), 1e-12)[:, None]
+        vec = _unit_rows(np.linalg.eigh(lap)[1][:, :k])
         return pd.DataFrame({"graph": pdf.graph.iloc[0], "node": names, "cluster": kmeans(vec, k, seed, n_init), "strength": a.sum(1)})
 
-    return edges.groupBy("graph").applyInPandas(run, "graph string, node string, cluster int, strength double")
+    schema = "graph string, node string, cluster int, strength double"
+    small, every, large = _sized(edges, strategy)
+    out = small.groupBy("graph").applyInPandas(run, schema)
+    for graph in large:
+        e, d = _normalised(every.filter(F.col("graph") == graph))
+        if d.count() < k:
+            raise ValueError(f"{d.count()} nodes are fewer than {k} clusters")
+        _, vectors = krylov.leading(e, d.select("node"), k)
+        rows = materialize(krylov.mapped(vectors, lambda c: {"v": _unit_rows(c["v"])}, ("v",)), "embedding")
+        found = materialize(kmeans_rows(rows, k, seed, n_init).join(d, "node").select(F.lit(graph).alias("graph"), "node", "cluster", "strength"), "clusters")
+        for used in (e, d, vectors, rows):
+            drop(used)
+        out = out.union(found)
+    return out
 
 
-def eigengap(edges: DataFrame, k_max: int = 12) -> DataFrame:
-    """(graph, k, eigenvalues): clusters by the largest gap among the first min(k_max, n - 1) eigenvalues of L_sym."""
+def eigengap(edges: DataFrame, k_max: int = 12, strategy: str = "auto") -> DataFrame:
+    """(graph, k, eigenvalues): clusters by the largest gap among the first min(k_max, n - 1) eigenvalues of L_sym; strategies as in :func:`spectral`."""
+
+    def gaps(val: np.ndarray) -> int:
+        return int(np.argmax(np.diff(val))) + 1
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         names, _, lap = _laplacian(pdf)
         if len(names) < 3:
             raise ValueError("a graph needs at least three nodes")
         val = np.linalg.eigvalsh(lap)[: max(2, min(k_max, len(names) - 1)) + 1]
-        return pd.DataFrame({"graph": [pdf.graph.iloc[0]], "k": [int(np.argmax(np.diff(val))) + 1], "eigenvalues": [list(val)]})
-
-    return edges.groupBy("graph").applyInPandas(run, "graph string, k int, eigenvalues array<double>")
+        return pd.DataFrame({"graph": [pdf.graph.iloc[0]], "k": [gaps(val)], "eigenvalues": [list(val)]})
+
+    schema = "graph string, k int, eigenvalues array<double>"
+    small, every, large = _sized(edges, strategy)
+    out = small.groupBy("graph").applyInPandas(run, schema)
+    rows = []
+    for graph in large:
+        e, d = _normalised(every.filter(F.col("graph") == graph))
+        n = d.count()
+        if n < 3:
+            raise ValueError("a graph needs at least three nodes")
+        val = 1 - krylov.leading(e, d.select("node"), max(2, min(k_max, n - 1)) + 1)[0]
+        rows.append((graph, gaps(val), [float(v) for v in val]))
+        drop(e)
+        drop(d)
+    return out.union(edges.sparkSession.createDataFrame(rows, schema)) if rows else out
 
 
 def cluster(edges: DataFrame, k: int, method: str | Callable[..., DataFrame] = "spectral", **options: object) -> DataFrame:

@@ -1,12 +1,14 @@
 """Centralities and damped diffusion.
 
 Two strategies give the same nodes, numbers and errors: ``local`` solves a graph of at most DENSE_NODES nodes in one task
-with numpy (a larger one raises ValueError), ``distributed`` runs the series as joins and sums over the edges, whose
-lineage is cut by written tables, until what is left out is below ``tol``.
+with numpy (a larger one raises ValueError), ``distributed`` works by joins and sums over the edges, whose lineage is cut by
+written tables. Diffusion is a linear system, which ``distributed`` solves in Krylov subspaces (see ``krylov``), so raw weights with row sums
+over 1 and a damping of 1 are as good as normalised ones.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -14,7 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..plans.stages import materialize
+from ..plans.stages import drop, materialize
+from . import krylov
 
 #: Nodes of a graph up to which a dense solve in one task is chosen; what a series may leave out.
 DENSE_NODES, TOLERANCE = 5000, 1e-10
@@ -89,12 +92,16 @@ def series(edges: DataFrame, start: str, r: float, steps: int | None = None, bac
     spark = edges.sparkSession
     now = spark.createDataFrame([(start, 1.0)], "node string, x double")
     total = now
+    both_before = None
     for k in range(1, last + 1):
         now = now.join(e, "node").groupBy(F.col("to").alias("node")).agg((r * F.sum(F.col("x") * F.col("w"))).alias("x"))
         total = total.union(now).groupBy("node").agg(F.sum("x").alias("x"))
         if k % every == 0 or k == last:
             both = now.withColumn("part", F.lit(0)).union(total.withColumn("part", F.lit(1)))
-            both = materialize(both, "series")
+            before, both = both_before, materialize(both, "series")
+            if before is not None:
+                drop(before)
+            both_before = both
             now, total = both.filter("part = 0").drop("part"), both.filter("part = 1").drop("part")
             left = (now.agg(F.sum(F.abs("x"))).first()[0] or 0.0) * r / (1 - r) if steps is None else 0.0
             if steps is None and left <= tol:
@@ -104,67 +111,122 @@ def series(edges: DataFrame, start: str, r: float, steps: int | None = None, bac
     return total.select("node", F.col("x").alias("score"))
 
 
+def _damping(r: float) -> None:
+    if not 0 <= r <= 1:
+        raise ValueError("r must be in [0, 1]")
+
+
+def _reached(a: np.ndarray, start: int) -> np.ndarray:
+    """Places that ``start`` reaches by non-zero entries, itself included."""
+    seen = np.zeros(len(a), bool)
+    now = np.array([start])
+    seen[start] = True
+    while len(now):
+        now = np.flatnonzero((a[now] != 0).any(0) & ~seen)
+        seen[now] = True
+    return np.flatnonzero(seen)
+
+
+def _damped(a: np.ndarray, start: int, r: float, steps: int | None) -> np.ndarray:
+    """x of (I - r A^T) x = e_start over what ``start`` reaches, 0 elsewhere; with ``steps``, so many terms of the series."""
+    own = _reached(a, start)
+    e = np.zeros(len(own))
+    e[np.searchsorted(own, start)] = 1
+    m = r * a[np.ix_(own, own)].T
+    if steps is None:
+        whole = np.eye(len(own)) - m
+        if np.linalg.cond(whole, 1) > 1e13:
+            raise ValueError("the matrix I - r A is singular")
+        x = np.linalg.solve(whole, e)
+    else:
+        x = now = e
+        for _ in range(steps):
+            now = m @ now
+            x = x + now
+    out = np.zeros(len(a))
+    out[own] = x
+    return out
+
+
+def _solved(edges: DataFrame, f: Callable[[list[str], np.ndarray], pd.DataFrame]) -> DataFrame:
+    """(node, score) of ``f`` of the dense matrix, written; a ValueError inside the task is raised here."""
+
+    def run(names: list[str], a: np.ndarray) -> pd.DataFrame:
+        try:
+            return f(names, a).assign(error=None)
+        except ValueError as e:
+            return pd.DataFrame({"node": [None], "score": [None], "error": [str(e)]})
+
+    out = materialize(_dense(edges, run, "node string, score double, error string"), "solution")
+    if failed := out.filter("error is not null").first():
+        raise ValueError(failed.error)
+    return out.drop("error")
+
+
+def _diffused(edges: DataFrame, nodes: DataFrame, start: str, r: float, steps: int | None, backward: bool = False) -> DataFrame:
+    """(node, score) of all ``nodes`` by joins; backward: along the edges' other direction."""
+    if steps is not None:
+        one = nodes.join(series(edges, start, r, steps, backward), "node", "left")
+        return one.select("node", F.coalesce("score", F.lit(0.0)).alias("score"))
+    if backward:
+        edges = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
+    return krylov.solve(edges, nodes, nodes.select("node", (F.col("node") == start).cast("double").alias("b")), r)
+
+
 def local_neighbourhood(edges: DataFrame, node: str, r: float = 0.7, strategy: str = "auto", steps: int | None = None) -> DataFrame:
-    """(node, score) of all nodes: damped diffusion from a node, the solution s of (I - r A^T) s = e_node.
+    """(node, score) of all nodes: damped diffusion from a node, the solution s of (I - r A^T) s = e_node; 0 for nodes that it does not reach.
 
-    A node that is not in the graph raises ValueError. ``steps`` cuts the series of the distributed strategy short.
+    With ``steps``, so many terms of the series instead. A node that is not in the graph, r outside [0, 1] or a singular system raise ValueError.
     """
+    _damping(r)
     edges, joins = _pick(edges, strategy)
     if not _has(edges, node):
         raise ValueError(f"no node {node!r}")
     if joins:
-        return nodes_of(edges).join(series(edges, node, r, steps), "node", "left").select("node", F.coalesce("score", F.lit(0.0)).alias("score"))
-
-    def solve(names: list[str], a: np.ndarray) -> pd.DataFrame:
-        e = np.zeros(len(names))
-        e[names.index(node)] = 1
-        m = np.eye(len(names)) - r * a.T
-        try:
-            s = np.linalg.solve(m, e)
-        except np.linalg.LinAlgError:
-            s = np.linalg.pinv(m) @ e
-        return pd.DataFrame({"node": names, "score": s})
-
-    return _dense(edges, solve, "node string, score double")
+        nodes = materialize(nodes_of(edges), "nodes")
+        return _diffused(edges, nodes, node, r, steps)
+    return _solved(edges, lambda names, a: pd.DataFrame({"node": names, "score": _damped(a, names.index(node), r, steps)}))
 
 
 def start_to_end(edges: DataFrame, start: str, end: str, r: float = 0.7, strategy: str = "auto", steps: int | None = None) -> DataFrame:
     """(node, score): expected damped visits of each node on ways from start that reach end, without end itself.
 
     With Q = r A and end taken out, G = (I - Q)^-1 and h = G q_end, a node scores h_i G[start, i] / h_start. Both
-    vectors are solved for, nothing is inverted. Equal or missing ends, or an end that start cannot reach, raise
-    ValueError.
+    vectors are solved for, nothing is inverted: h first, then G's row over the nodes from which end can be reached (the others score 0). With
+    ``steps``, both are so many terms of their series. Equal or missing ends, an end that start cannot reach, r outside
+    [0, 1] or a singular system raise ValueError.
     """
+    _damping(r)
     if start == end:
         raise ValueError("start and end are the same node")
     edges, joins = _pick(edges, strategy)
     if not _has(edges, start) or not _has(edges, end):
         raise ValueError("start or end is not a node")
-    if joins:
-        inner = edges.filter((F.col("src") != end) & (F.col("dst") != end))
-        g = series(inner, start, r, steps).withColumnRenamed("score", "g")
-        h = series(edges.filter(F.col("src") != end), end, r, steps, backward=True).withColumnRenamed("score", "h").filter(F.col("node") != end)
-        top = h.filter(F.col("node") == start).first()
-        if top is None or abs(top.h) < 1e-15:
-            raise ValueError("end cannot be reached from start")
-        out = g.join(h, "node", "left").select("node", (F.coalesce("h", F.lit(0.0)) * F.col("g") / top.h).alias("score"))
-        rest = nodes_of(edges).filter(F.col("node") != end)
-        return rest.join(out, "node", "left").select("node", F.coalesce("score", F.lit(0.0)).alias("score"))
-
-    def solve(names: list[str], a: np.ndarray) -> pd.DataFrame:
-        keep = [i for i, n in enumerate(names) if n != end]
-        q, q_end = r * a[np.ix_(keep, keep)], r * a[keep, names.index(end)]
-        m = np.eye(len(keep)) - q
-        own = [names[i] for i in keep]
-        e = np.zeros(len(keep))
-        e[own.index(start)] = 1
-        h, g = np.linalg.solve(m, q_end), np.linalg.solve(m.T, e)
-        top = h[own.index(start)]
-        if abs(top) < 1e-15:
-            raise ValueError("end cannot be reached from start")
-        return pd.DataFrame({"node": own, "score": h * g / top})
-
-    return _dense(edges, solve, "node string, score double")
+    if not joins:
+
+        def solve(names: list[str], a: np.ndarray) -> pd.DataFrame:
+            j, i = names.index(end), names.index(start)
+            a[j] = 0
+            h = _damped(a.T, j, r, steps)
+            if abs(h[i]) < 1e-15:
+                raise ValueError("end cannot be reached from start")
+            live = h != 0
+            live[j] = False
+            g = _damped(np.where(live[:, None] & live[None], a, 0), i, r, steps)
+            return pd.DataFrame({"node": names, "score": h * g / h[i]}).drop(index=j)
+
+        return _solved(edges, solve)
+    nodes = materialize(nodes_of(edges), "nodes")
+    out = edges.filter(F.col("src") != end)
+    h = materialize(_diffused(out, nodes, end, r, steps, backward=True).withColumnRenamed("score", "h").filter(F.col("node") != end), "hitting")
+    top = h.filter(F.col("node") == start).first()
+    if top is None or abs(top.h) < 1e-15:
+        raise ValueError("end cannot be reached from start")
+    live = h.filter("h <> 0").select("node")
+    inner = out.join(live.withColumnRenamed("node", "src"), "src", "left_semi").join(live.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst", "w")
+    inner = materialize(inner, "edges")
+    g = _diffused(inner, nodes, start, r, steps).withColumnRenamed("score", "g")
+    return h.join(g, "node").select("node", (F.col("h") * F.col("g") / top.h).alias("score"))
 
 
 def pagerank(edges: DataFrame, damping: float = 0.85, iterations: int = 1000, tol: float = 1e-6, strategy: str = "auto") -> DataFrame:

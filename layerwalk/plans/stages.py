@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame
 
+#: How folders of stages end.
+_MADE = re.compile(r"/[a-z_-]+-[0-9a-f]{32}$")
+
 
 def materialize(df: DataFrame, what: str) -> DataFrame:
     """``df`` written as Parquet under spark.checkpoint.dir (unset, in local mode: the warehouse) and read back."""
@@ -19,3 +22,12 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     path = f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop(df: DataFrame) -> None:
+    """Delete the files of a stage made by :func:`materialize` that nothing reads any more."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if _MADE.search(folder):
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

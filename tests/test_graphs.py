@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from layerwalk.functions import kernels as K
 from layerwalk.functions import names as N
-from layerwalk.operators import clusters, diffusion, layers, manifest, metrics, multilayer, plotdata, precision, projection, walks
+from layerwalk.operators import clusters, diffusion, krylov, layers, manifest, metrics, multilayer, plotdata, precision, projection, walks
 from layerwalk.sources import tables
 
 SERIES = {"g1": [0, 1, 2, 3], "g2": [1, 1, 1, 1], "g3": [2, 0, -1, -2]}
@@ -284,8 +284,51 @@ def test_diffusion_strategies_give_the_same_rows_and_errors(spark):
             diffusion.local_neighbourhood(edges, "nope", strategy=k)
         with pytest.raises(ValueError):
             diffusion.start_to_end(edges, "a", "nope", strategy=k)
-    with pytest.raises(ValueError, match="converge"):
-        diffusion.local_neighbourhood(edges.withColumn("w", F.col("w") * 5), "a", strategy="distributed")
+        for r in (-0.1, 1.5):
+            with pytest.raises(ValueError, match="r must be"):
+                diffusion.local_neighbourhood(edges, "a", r=r, strategy=k)
+        ring = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 1.0), ("c", "a", 1.0), ("c", "d", 0.0)], "src string, dst string, w double")
+        with pytest.raises(ValueError, match="singular"):
+            diffusion.local_neighbourhood(ring, "a", r=1.0, strategy=k)
+        with pytest.raises(ValueError, match="reached"):
+            diffusion.start_to_end(edges, "a", "e", strategy=k)
+    one, two = ({x.node: x.score for x in diffusion.local_neighbourhood(edges, "a", r=0.9, strategy=k, steps=3).collect()} for k in ("local", "distributed"))
+    assert one == pytest.approx(two, abs=1e-12) and one["b"] == pytest.approx(0.9 * 0.5 + 0.9**3 * 0.5 * 0.3 * 0.5)
+
+
+@pytest.mark.parametrize(("seed", "r", "scale"), [(1, 0.7, 2.0), (2, 1.0, 0.9), (3, 0.95, 4.0)])
+def test_diffusion_of_raw_weights_equals_a_dense_solve(spark, seed, r, scale):
+    rng = np.random.default_rng(seed)
+    n = 9
+    a = rng.random((n, n)) * (rng.random((n, n)) < 0.4) * scale
+    a[0, 3] = 0.2
+    a[n - 1] = a[n - 2, : n - 2] = 0  # the last node leads nowhere, the one before only to the last two
+    assert a.sum(1).max() > 1
+    names = [f"n{i}" for i in range(n)]
+    edges = spark.createDataFrame([(names[i], names[j], float(a[i, j])) for i in range(n) for j in range(n) if a[i, j]] + [("n0", "n8", 0.0)], "src string, dst string, w double")
+    e = np.zeros(n)
+    e[0] = 1
+    want = np.linalg.solve(np.eye(n) - r * a.T, e)
+    for k in ("local", "distributed"):
+        got = {x.node: x.score for x in diffusion.local_neighbourhood(edges, "n0", r=r, strategy=k).collect()}
+        np.testing.assert_allclose([got[x] for x in names], want, rtol=1e-9, atol=1e-9 * np.abs(want).max())
+    one, two = ({x.node: x.score for x in diffusion.start_to_end(edges, "n0", "n3", r=r, strategy=k).collect()} for k in ("local", "distributed"))
+    assert one == pytest.approx(two, rel=1e-8, abs=1e-9 * max(map(abs, one.values()))) and set(one) == set(names) - {"n3"}
+
+
+def test_leading_eigenvectors_of_repeated_values(spark):
+    rng = np.random.default_rng(5)
+    a = rng.random((12, 12))
+    a = a + a.T
+    a[:6, 6:] = a[6:, :6] = 0
+    a[6:, 6:] = a[:6, :6]  # every value twice
+    names = [f"n{i:02d}" for i in range(12)]
+    edges = spark.createDataFrame([(names[i], names[j], float(a[i, j])) for i in range(12) for j in range(12) if a[i, j]], "src string, dst string, w double")
+    value, vectors = krylov.leading(edges, edges.select(F.col("src").alias("node")).distinct(), 4, spare=1, cycle=9)
+    v = np.array([x.v for x in vectors.orderBy("node").collect()])
+    np.testing.assert_allclose(value, np.sort(np.linalg.eigvalsh(a))[::-1][:4], atol=1e-9)
+    np.testing.assert_allclose(a @ v, v * value, atol=1e-8)
+    np.testing.assert_allclose(v.T @ v, np.eye(4), atol=1e-10)
 
 
 def test_large_graphs_are_no_dense_matrix(spark, monkeypatch):
@@ -321,3 +364,37 @@ def test_symmetry_report_of_the_most_varying_nodes(spark):
     m = spark.createDataFrame([("x", f"n{i}", t, float(rng.standard_normal() * (i + 1))) for i in range(8) for t in range(5)], "layer string, node string, t int, value double")
     r = precision.symmetry_report(m, "x", 6, lam=0.2).first()
     assert r.n_nodes == 6 and r.is_symmetric and r.max_asymmetry < 1e-6 and not r.has_nan
+
+
+def _as_partition(rows):
+    groups = {}
+    for r in rows:
+        groups.setdefault((r.graph, r.cluster), set()).add(r.node)
+    return {(g, frozenset(v)) for (g, _), v in groups.items()}
+
+
+def test_spectral_clusters_by_joins_equal_the_dense_ones(spark):
+    rng = np.random.default_rng(12)
+    rows = []
+    for g, sizes in (("one", (7, 6, 5)), ("two", (8, 8))):
+        of = np.repeat(np.arange(len(sizes)), sizes)
+        for i in range(len(of)):
+            for j in range(i):
+                w = float(rng.random() * (1.0 if of[i] == of[j] else 0.03 if g == "one" else 0.0))
+                rows += [(g, f"n{i:02d}", f"n{j:02d}", w), (g, f"n{j:02d}", f"n{i:02d}", w)] if w else []
+    edges = spark.createDataFrame(rows, "graph string, src string, dst string, w double")
+    one, two = (clusters.spectral(edges, 2, strategy=s).collect() for s in ("local", "distributed"))
+    assert _as_partition(one) == _as_partition(two) and sorted((r.graph, r.node, round(r.strength, 9)) for r in one) == sorted((r.graph, r.node, round(r.strength, 9)) for r in two)
+    assert {len(x) for g, x in _as_partition(two) if g == "two"} == {8}
+    one, two = ({r.graph: r for r in clusters.eigengap(edges, k_max=5, strategy=s).collect()} for s in ("local", "distributed"))
+    assert all(one[g].k == two[g].k == k and np.allclose(one[g].eigenvalues, two[g].eigenvalues, atol=1e-8) for g, k in (("one", 3), ("two", 2)))
+    with pytest.raises(ValueError):
+        clusters.spectral(edges.filter("graph = 'two' and src < 'n01' and dst < 'n02'"), 3, strategy="distributed")
+
+
+def test_kmeans_rows_equal_kmeans(spark):
+    rng = np.random.default_rng(13)
+    x = np.concatenate([rng.normal(c, 0.3, (20, 3)) for c in (-2, 0, 2)])
+    rows = spark.createDataFrame([(f"n{i:02d}", [float(v) for v in r]) for i, r in enumerate(x)], "node string, v array<double>").repartition(3)
+    got = {r.node: r.cluster for r in clusters.kmeans_rows(rows, 3, n_init=5).collect()}
+    assert [got[f"n{i:02d}"] for i in range(60)] == clusters.kmeans(x, 3, n_init=5).tolist()
