@@ -15,7 +15,7 @@ from .functions import names as N
 from .operators import clusters, diffusion, genes, layers, manifest, metrics, multilayer, plotdata, precision, projection, walks
 from .plans import pipelines
 from .sources import tables
-from .sources.star import measurements
+from .sources.star import measurements, part_measurements
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -94,6 +94,15 @@ def _multi(s: SparkSession, d: str, kind: str = "transitions") -> DataFrame:
     return multilayer.build(measurements(s, d), kind=kind, alpha=0.5)
 
 
+#: The graph of parts, all pairs.
+_PARTS = """WITH m AS (SELECT l_returnflag AS layer, l_partkey::VARCHAR AS node, year(l_shipdate) - 1995 AS t, sum(l_quantity) AS v FROM lineitem WHERE year(l_shipdate) BETWEEN 1995 AND 1999 GROUP BY ALL),
+f AS (SELECT n.layer, n.node, s.t, coalesce(m.v, 0) AS v FROM (SELECT DISTINCT layer, node FROM m) n CROSS JOIN (SELECT DISTINCT t FROM m) s LEFT JOIN m USING (layer, node, t)),
+z AS (SELECT layer, node, t, (v - avg(v) OVER w) / nullif(stddev_samp(v) OVER w, 0) / 2 AS u FROM f WINDOW w AS (PARTITION BY layer, node)),
+p AS (SELECT layer, node, list(u ORDER BY t) AS u FROM z WHERE u IS NOT NULL GROUP BY ALL),
+c AS (SELECT a.layer, a.node AS src, b.node AS dst, list_sum(list_transform(range(1, len(a.u) + 1), lambda i: a.u[i] * b.u[i])) AS c FROM p a JOIN p b ON a.layer = b.layer AND a.node < b.node)
+"""
+
+
 # -- sources, naming, standardisation --------------------------------------------------------------------------------
 
 
@@ -209,6 +218,12 @@ def _(s, d):
     return _edges(_graph(s, d))
 
 
+@query("part_graph", _PARTS + ", e AS (SELECT layer, src, dst, exp(-(1 - abs(c)) / 0.0025) AS w, sign(c)::INT AS sign FROM c)\nSELECT layer, src, dst, round(w, 6) + 0.0 AS w, sign FROM e WHERE w >= 0.01 UNION ALL SELECT layer, dst, src, round(w, 6) + 0.0, sign FROM e WHERE w >= 0.01", plain=True)
+def _(s, d):
+    g = layers.layer_graphs(part_measurements(s, d), "exponential_abs", 0.0025, basis=False, prune=True)
+    return g.edges.select("layer", "src", "dst", *_r("w"), "sign")
+
+
 @query("negative_graph", "SELECT layer, src, dst, round(exp(-0.5 * pow((1 - abs(c)) / 0.5, 2)), 6) + 0.0 AS w, sign(c)::INT AS sign FROM cn WHERE c < -0.3")
 def _(s, d):
     return _edges(layers.negative_graphs(measurements(s, d)))
@@ -396,20 +411,20 @@ def _(s, d):
 _NODES = "nn AS (SELECT src AS node FROM ga UNION SELECT dst FROM ga)"
 
 
-@query("pagerank_fixed_iters", "SELECT node, round(x, 6) + 0.0 AS score FROM pr WHERE i = 600", multi=True, recursive=True,
+@query("pagerank_fixed_iters", "SELECT node, round(x, 6) + 0.0 AS score FROM pr WHERE i = 40", multi=True, recursive=True,
        more=f"""{_NODES}, nc AS (SELECT count(*) AS c FROM nn), pm AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS p FROM ga),
 dn AS (SELECT node, node NOT IN (SELECT src FROM pm) AS dead FROM nn),
 pr AS (SELECT 0 AS i, node, 1.0::DOUBLE / c AS x FROM nn, nc UNION ALL
   SELECT i, node, 0.85 * (sum(x) + sum(y) / max(c)) + 0.15 / max(c) FROM (
-    SELECT pr.i + 1 AS i, pm.dst AS node, pr.x * pm.p AS x, 0.0::DOUBLE AS y FROM pr JOIN pm ON pm.src = pr.node WHERE pr.i < 600
-    UNION ALL SELECT pr.i + 1, nn.node, 0.0, CASE WHEN dn.dead THEN pr.x ELSE 0 END FROM pr JOIN dn USING (node), nn WHERE pr.i < 600), nc GROUP BY i, node)""")
+    SELECT pr.i + 1 AS i, pm.dst AS node, pr.x * pm.p AS x, 0.0::DOUBLE AS y FROM pr JOIN pm ON pm.src = pr.node WHERE pr.i < 40
+    UNION ALL SELECT pr.i + 1, nn.node, 0.0, CASE WHEN dn.dead THEN pr.x ELSE 0 END FROM pr JOIN dn USING (node), nn WHERE pr.i < 40), nc GROUP BY i, node)""")
 def _(s, d):
     return diffusion.pagerank(_multi(s, d), iterations=40, tol=0.0).select("node", *_r("score"))
 
 
-@query("eigenvector_fixed_iters", "SELECT node, round(x / sqrt(sum(x * x) OVER ()), 6) + 0.0 AS score FROM ev WHERE i = 1400", multi=True, recursive=True,
+@query("eigenvector_fixed_iters", "SELECT node, round(x / sqrt(sum(x * x) OVER ()), 6) + 0.0 AS score FROM ev WHERE i = 30", multi=True, recursive=True,
        more=f"""{_NODES}, ev AS (SELECT 0 AS i, node, 1.0::DOUBLE AS x FROM nn UNION ALL
-  SELECT i, node, sum(x) FROM (SELECT i + 1 AS i, node, x FROM ev WHERE i < 1400 UNION ALL SELECT ev.i + 1, ga.dst, ev.x * ga.w FROM ev JOIN ga ON ga.src = ev.node WHERE i < 30) GROUP BY i, node)""")
+  SELECT i, node, sum(x) FROM (SELECT i + 1 AS i, node, x FROM ev WHERE i < 30 UNION ALL SELECT ev.i + 1, ga.dst, ev.x * ga.w FROM ev JOIN ga ON ga.src = ev.node WHERE i < 30) GROUP BY i, node)""")
 def _(s, d):
     return diffusion.eigenvector(_multi(s, d), iterations=30, tol=0.0).select("node", *_r("score"))
 
@@ -441,6 +456,16 @@ def _(s, d):
     return diffusion.start_to_end(_multi(s, d), "e3", "e5").select("node", *_r("score"))
 
 
+#: At this damping the series of raw weights, whose rows sum to more than 1, still converges, so that SQL can sum it.
+_RAW = 0.004
+
+
+@query("local_neighbourhood_raw", "SELECT nn.node, round(coalesce(sum(x), 0), 6) + 0.0 AS score FROM nn LEFT JOIN sr ON sr.node = nn.node GROUP BY nn.node", multi=True, recursive=True,
+       more=f"{_NODES}, sr AS ({_SERIES.replace('0.7', str(_RAW)).replace('80', '60').format(start='e3', to='a.dst', name='sr', edges='g', by='src')})")
+def _(s, d):
+    return diffusion.local_neighbourhood(_multi(s, d, "plain"), "e3", r=_RAW, strategy="distributed").select("node", *_r("score"))
+
+
 @query("local_neighbourhood_distributed", "SELECT nn.node, round(coalesce(sum(x), 0), 6) + 0.0 AS score FROM nn LEFT JOIN sr ON sr.node = nn.node GROUP BY nn.node", multi=True, recursive=True,
        more=f"{_NODES}, sr AS ({_SERIES.format(start='e3', to='a.dst', name='sr', edges='ga', by='src')})")
 def _(s, d):
@@ -618,6 +643,16 @@ def _(s, d):
     return clusters.spectral(clusters.affinity(_affinity_edges(s, d)), 4)
 
 
+@query("spectral_clusters_distributed")
+def _(s, d):
+    return clusters.spectral(clusters.affinity(_affinity_edges(s, d)), 4, strategy="distributed")
+
+
+@query("eigengap_distributed")
+def _(s, d):
+    return clusters.eigengap(clusters.affinity(_affinity_edges(s, d)), 4, strategy="distributed")
+
+
 @query("eigengap")
 def _(s, d):
     return clusters.eigengap(clusters.affinity(_affinity_edges(s, d)))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels as K
 from ..functions.names import BASIS
+from . import simjoin
 
 
 @dataclass
@@ -89,6 +90,30 @@ def correlations(packed: DataFrame, blocks: int | None = None, nan_policy: str =
     return out if nan_policy == "drop" else out.withColumn("c", F.coalesce("c", F.lit(0.0)))
 
 
+#: Nodes of a layer from which on a bound on correlations is worth cells; only the cost depends on it.
+PRUNE_NODES = 4096
+
+
+def correlations_above(packed: DataFrame, least: float) -> DataFrame:
+    """The rows of :func:`correlations` with abs(c) of at least ``least`` (up to rounding), without making the pairs that cells rule out."""
+    n = n_times(packed)
+    if not n:
+        return correlations(packed).filter("false")
+    met = simjoin.candidate_pairs(packed, least)
+    met = met.select("layer", F.least("m", "n").alias("src"), F.greatest("m", "n").alias("dst"), dot(F.col("x"), F.col("y"), n).alias("c"))
+    return met.filter(F.abs("c") >= least - simjoin.SLACK)
+
+
+def _correlated(packed: DataFrame, kernel: str | K.Kernel, sigma: float | None, n: float | None, threshold: float, prune: bool | None, blocks: int | None) -> DataFrame:
+    """Correlations that may weigh ``threshold``: by cells where the kernel gives a bound and a layer is large, or as ``prune`` says; else all."""
+    least = K.inverse_threshold(kernel, threshold, sigma, n) if isinstance(kernel, str) and threshold else None
+    if least is None or least <= 0 or prune is False:
+        return correlations(packed, blocks)
+    if prune is None and packed.groupBy("layer").count().filter(F.col("count") >= PRUNE_NODES).isEmpty():
+        return correlations(packed, blocks)
+    return correlations_above(packed, least)
+
+
 def mirror(e: DataFrame) -> DataFrame:
     """Both directions of edges that are there once."""
     rest = [c for c in e.columns if c not in ("layer", "src", "dst")]
@@ -100,16 +125,17 @@ def weigh(corr: DataFrame, kernel: str | K.Kernel, sigma: float | None = None, n
     return mirror(corr.select("layer", "src", "dst", K.apply(kernel, F.col("c"), sigma, n).alias("w"), K.sign(F.col("c")).alias("sign")))
 
 
-def layer_graphs(m: DataFrame, kernel: str | K.Kernel = "exponential_abs", sigma: float | None = 0.05, n: float | None = None, threshold: float = 0.01, start: str | None = "e3", end: str | None = "e5", basis: bool = True, blocks: int | None = None) -> Graph:
+def layer_graphs(m: DataFrame, kernel: str | K.Kernel = "exponential_abs", sigma: float | None = 0.05, n: float | None = None, threshold: float = 0.01, start: str | None = "e3", end: str | None = "e5", basis: bool = True, blocks: int | None = None, prune: bool | None = None) -> Graph:
     """Graph of each layer with its basis nodes; weights below ``threshold`` (strictly) are no edges.
 
     If start or end is a basis node, the edges of every other basis node go; else all five stay connected. Kernels that
-    keep the diagonal give each node a self-loop of weight 1.
+    keep the diagonal give each node a self-loop of weight 1. Where the kernel and threshold bound the correlation, layers of
+    PRUNE_NODES nodes or more (``prune`` True: all, False: none) make only the pairs that may reach it.
     """
     packed = pack(m)
     if basis:
         packed = packed.unionByName(basis_rows(packed))
-    edges = weigh(correlations(packed, blocks), kernel, sigma, n)
+    edges = weigh(_correlated(packed, kernel, sigma, n, threshold, prune, blocks), kernel, sigma, n)
     nodes = packed.select("layer", "node")
     if kernel in K.KEEPS_DIAGONAL:
         loops = packed.filter("u is not null").select("layer", F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(1.0).alias("w"), F.lit(1).alias("sign"))

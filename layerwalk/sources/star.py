@@ -23,3 +23,10 @@ def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
     node = F.when(flag == "R", F.col("p_brand")).otherwise(F.concat_ws("*", "p_brand", "p_type"))
     m = item.groupBy(layer.alias("layer"), node.alias("node"), (F.col("y") - 1995).alias("t")).agg(F.sum("l_quantity").alias("value"))
     return fill_times(materialize(m, "measurements"))
+
+
+def part_measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(layer, node, t, value): summed quantity of 1995-1999 by return flag and part, so layers grow with the parts."""
+    item = spark.read.parquet(f"{sf_dir}/lineitem.parquet").filter("l_shipdate >= '1995-01-01' and l_shipdate < '2000-01-01'")
+    m = item.groupBy(F.col("l_returnflag").alias("layer"), F.col("l_partkey").cast("string").alias("node"), (F.year("l_shipdate") - 1995).alias("t")).agg(F.sum("l_quantity").alias("value"))
+    return fill_times(materialize(m, "measurements"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from layerwalk.functions import kernels as K
 from layerwalk.functions import names as N
-from layerwalk.operators import clusters, diffusion, krylov, layers, manifest, metrics, multilayer, plotdata, precision, projection, walks
+from layerwalk.operators import clusters, diffusion, krylov, layers, manifest, metrics, multilayer, plotdata, precision, projection, simjoin, walks
 from layerwalk.sources import tables
 
 SERIES = {"g1": [0, 1, 2, 3], "g2": [1, 1, 1, 1], "g3": [2, 0, -1, -2]}
@@ -398,3 +398,28 @@ def test_kmeans_rows_equal_kmeans(spark):
     rows = spark.createDataFrame([(f"n{i:02d}", [float(v) for v in r]) for i, r in enumerate(x)], "node string, v array<double>").repartition(3)
     got = {r.node: r.cluster for r in clusters.kmeans_rows(rows, 3, n_init=5).collect()}
     assert [got[f"n{i:02d}"] for i in range(60)] == clusters.kmeans(x, 3, n_init=5).tolist()
+
+
+@pytest.mark.parametrize("block", [2048, 7])
+def test_similarity_join_equals_all_pairs_and_makes_few(spark, block):
+    rng = np.random.default_rng(21)
+    x = rng.normal(size=(700, 5))
+    x = np.concatenate([x, np.repeat(x[:1], 60, 0), -x[1:20], [[1, 1, 1, 1, 1]]])  # a hot direction, opposites, a constant series
+    rows = [("one" if i % 5 else "two", f"n{i:03d}", t, float(v)) for i, r in enumerate(x) for t, v in enumerate(r)]
+    packed = layers.pack(spark.createDataFrame(rows, "layer string, node string, t int, value double")).cache()
+    every = layers.correlations(packed).cache()
+    least = K.inverse_threshold("exponential_abs", 0.01, 0.0025)
+    pairs = simjoin.candidate_pairs(packed, least, block)
+    c = layers.dot(F.col("x"), F.col("y"), 5)
+    got = {(r.layer, *sorted((r.m, r.n))) for r in pairs.filter(F.abs(c) >= least).collect()}
+    assert got == {(r.layer, r.src, r.dst) for r in every.filter(F.abs("c") >= least).collect()} and len(got) > 1000
+    assert pairs.count() == pairs.select("layer", F.least("m", "n"), F.greatest("m", "n")).distinct().count() < every.count() / 4
+    long_ = spark.createDataFrame([r for r in rows if r[1] < "n100"], "layer string, node string, t int, value double")
+    one, two = (layers.layer_graphs(long_, "gaussian_abs", 0.01, prune=p).edges.select("layer", "src", "dst", F.round("w", 9)).collect() for p in (True, False))
+    assert sorted(map(tuple, one)) == sorted(map(tuple, two))
+
+
+def test_similarity_join_of_little(spark):
+    for series in ({}, {"a": [1, 1, 1]}, {"a": [0, 1, 2]}, {"a": [0, 1, 2], "b": [2, 1, 0], "c": [5, 5, 5]}):
+        m = long(spark, series) if series else spark.createDataFrame([], "layer string, node string, t int, value double")
+        assert layers.correlations_above(layers.pack(m), 0.9).count() == (1 if len(series) == 3 else 0)
