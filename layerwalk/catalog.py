@@ -14,6 +14,7 @@ from .functions import kernels as K
 from .functions import names as N
 from .operators import clusters, diffusion, genes, layers, manifest, metrics, multilayer, plotdata, precision, projection, walks
 from .plans import pipelines
+from .plans.stages import materialize
 from .sources import tables
 from .sources.star import measurements, part_measurements
 
@@ -373,6 +374,17 @@ def _(s, d):
     return metrics.clustering_coefficient(_graph(s, d)).select("layer", *_r("clustering"))
 
 
+@query("clustering_coefficient_directed", """SELECT layer, round(avg(CASE WHEN den > 1e-15 THEN coalesce(num, 0) / den / top ELSE 0 END), 6) + 0.0 AS clustering FROM (SELECT DISTINCT layer, node FROM f) LEFT JOIN dnum USING (layer, node) LEFT JOIN dden USING (layer, node)
+LEFT JOIN (SELECT graph AS layer, max(w) AS top FROM tr GROUP BY graph) USING (layer) GROUP BY layer""",
+       more="""tr AS (SELECT layer AS graph, src, dst, w / sum(w) OVER (PARTITION BY layer, src) AS w FROM (SELECT layer, src, dst, exp(-(1 - abs(c)) / 0.05) AS w FROM cn) WHERE w >= 0.01),
+dnum AS (SELECT a.graph AS layer, a.src AS node, sum(a.w * b.w * c.w) AS num FROM tr a JOIN tr b ON b.graph = a.graph AND b.src = a.dst AND b.dst <> a.src JOIN tr c ON c.graph = a.graph AND c.src = b.dst AND c.dst = a.src GROUP BY ALL),
+dden AS (SELECT a.layer, a.node, a.o * coalesce(b.i, 0) - coalesce(c.x, 0) AS den FROM (SELECT graph AS layer, src AS node, sum(w) AS o FROM tr GROUP BY ALL) a LEFT JOIN (SELECT graph AS layer, dst AS node, sum(w) AS i FROM tr GROUP BY ALL) b USING (layer, node)
+  LEFT JOIN (SELECT a.graph AS layer, a.src AS node, sum(a.w * b.w) AS x FROM tr a JOIN tr b ON b.graph = a.graph AND b.src = a.dst AND b.dst = a.src GROUP BY ALL) c USING (layer, node))""")
+def _(s, d):
+    g = _plain(s, d)
+    return metrics.clustering_coefficient(layers.Graph(layers.transition(g.edges), g.nodes)).select("layer", *_r("clustering"))
+
+
 _FIT = """kp AS (SELECT *, min(k) OVER w AS lo, max(k) OVER w AS hi, count(*) OVER w AS c FROM k WHERE k > 0 WINDOW w AS (PARTITION BY layer)),
 bn AS (SELECT layer, c, log10(avg(k)) AS x, log10(count(*) / c::DOUBLE) AS y FROM kp GROUP BY layer, c, CASE WHEN hi > lo THEN least(floor((k - lo) / (hi - lo) * 10), 9) ELSE 0 END)"""
 
@@ -748,20 +760,24 @@ def _(s, d):
 
 @query("walks_slow")
 def _(s, d):
-    w, stats, top = walks.slow_walks(layers.layer_graphs(measurements(s, d), "absolute", None).edges.filter("layer = 'rna_ai'"), "e3", "e5", 200, 0.0005)
-    return top.crossJoin(F.broadcast(stats))
+    edges = materialize(layers.layer_graphs(measurements(s, d), "absolute", None).edges, "edges")
+    each = []
+    for layer in ("k20me3", "k9me2", "rna_ai"):
+        _, stats, top = walks.slow_walks(edges.filter(F.col("layer") == layer), "e3", "e5", 1000, 0.0005)
+        each.append(top.crossJoin(F.broadcast(stats)).withColumn("layer", F.lit(layer)))
+    return each[0].union(each[1]).union(each[2])
 
 
 @query("walks_to_set")
 def _(s, d):
     m = measurements(s, d)
-    w = walks.walks_to_set(multilayer.build(m, kind="shadow", alpha=0.5), "Brand#11*STANDARD_k9me2", "rna", 1000)
+    w = walks.walks_to_set(multilayer.build(m, kind="shadow", alpha=0.5), "Brand#11*STANDARD_k9me2", "rna", 10_000)
     return genes.endpoint_genes(w.filter("success"), m.filter("layer <> 'rna_ai'").select("node"))
 
 
 @query("walks_two_endpoints")
 def _(s, d):
-    return walks.endpoint_tallies(walks.walks_to_endpoints(_multi(s, d), "e3", "e5", 1000, restart=0.05))
+    return walks.endpoint_tallies(walks.walks_to_endpoints(_multi(s, d), "e3", "e5", 10_000, max_steps=100_000, restart=0.05))
 
 
 @query("diffusion_visits")
@@ -771,7 +787,7 @@ def _(s, d):
 
 @query("walk_segments")
 def _(s, d):
-    return plotdata.path_segments(walks.shortest_walks(walks.walks_to_target(_multi(s, d, "shadow"), "e3", "e5", 500, 0.0005), 20))
+    return plotdata.path_segments(walks.shortest_walks(walks.walks_until(_multi(s, d, "shadow"), "e3", "e5", 1000, 0.0005), 20))
 
 
 # -- precision graphs, pipelines -------------------------------------------------------------------------------------
@@ -790,7 +806,7 @@ def _(s, d):
 
 @query("walks_thinned")
 def _(s, d):
-    w = walks.walks_to_set(_multi(s, d, "shadow"), "Brand#11*STANDARD_k9me2", "rna", 300)
+    w = walks.walks_to_set(_multi(s, d, "shadow"), "Brand#11*STANDARD_k9me2", "rna", 1000)
     ends = w.groupBy("end_node").agg(F.count(F.lit(1)).alias("n"))
     return walks.sample_walks(walks.thin_walks(w, ends), 20).select("simulation", "steps", "end_node")
 
@@ -802,7 +818,7 @@ def _(s, d):
 
 @query("walk_examples")
 def _(s, d):
-    return walks.example_walks(walks.walks_to_target(_multi(s, d, "shadow"), "e3", "e5", 300, 0.0005))
+    return walks.example_walks(walks.walks_until(_multi(s, d, "shadow"), "e3", "e5", 1000, 0.0005))
 
 
 @query("spd_spectrum")
@@ -827,12 +843,12 @@ def _(s, d):
 
 @query("pipeline_histone_to_rna")
 def _(s, d):
-    return pipelines.histone_to_rna(measurements(s, d), "Brand#11*STANDARD_k9me2", pipelines.Settings(n_walks=1000, alpha=0.5))["endpoints"]
+    return pipelines.histone_to_rna(measurements(s, d), "Brand#11*STANDARD_k9me2", pipelines.Settings(n_walks=10_000, alpha=0.5))["endpoints"]
 
 
 @query("pipeline_combined_clusters")
 def _(s, d):
-    return pipelines.combined_clusters(measurements(s, d), pipelines.Settings(n_walks=50))["clusters"]
+    return pipelines.combined_clusters(measurements(s, d), pipelines.Settings(n_walks=10_000, restart=0.05))["visited"]
 
 
 # -- manifest --------------------------------------------------------------------------------------------------------

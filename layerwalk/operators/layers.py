@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels as K
 from ..functions.names import BASIS
-from . import simjoin
+from . import selection, simjoin
 
 
 @dataclass
@@ -208,9 +208,9 @@ def strength_subgraph(g: Graph, threshold: float, max_nodes: int, forced: list[s
     edges = g.edges.filter(F.col("w") >= threshold)
     s = _ends(edges, F.col("w")).groupBy("layer", "node").agg(F.sum("x").alias("x"))
     s = g.nodes.join(s, ["layer", "node"], "left").withColumn("x", F.coalesce("x", F.lit(0.0)))
-    w = W.partitionBy("layer").orderBy(F.desc(F.round("x", 9)), "node")
-    keep = s.withColumn("k", F.row_number().over(w)).filter((F.col("k") <= max_nodes) | F.col("node").isin(*(forced or [""])))
-    keep = keep.select("layer", "node")
+    keep = selection.first_rows(s, ["layer"], [F.desc(F.round("x", 9)), F.col("node")], max_nodes, "node").select("layer", "node")
+    if forced:
+        keep = keep.union(g.nodes.filter(F.col("node").isin(*forced)).select("layer", "node")).distinct()
     edges = edges.join(keep.withColumnRenamed("node", "src"), ["layer", "src"], "left_semi").join(keep.withColumnRenamed("node", "dst"), ["layer", "dst"], "left_semi")
     edges = edges.select(*g.edges.columns)
     if forced is None:
@@ -222,8 +222,9 @@ def degree_subgraph(g: Graph, threshold: float, top_n: int, always: tuple[str, .
     """Subgraph of the top_n nodes of each layer by number of edges at ``threshold`` or more, and those always shown."""
     edges = g.edges.filter(F.col("w") >= threshold)
     d = g.nodes.join(edges.groupBy("layer", F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("d")), ["layer", "node"], "left")
-    w = W.partitionBy("layer").orderBy(F.desc(F.coalesce("d", F.lit(0))), "node")
-    keep = d.withColumn("k", F.row_number().over(w)).filter((F.col("k") <= top_n) | F.col("node").isin(*always, "")).select("layer", "node")
+    keep = selection.first_rows(d, ["layer"], [F.desc(F.coalesce("d", F.lit(0))), F.col("node")], top_n, "node").select("layer", "node")
+    if always:
+        keep = keep.union(g.nodes.filter(F.col("node").isin(*always)).select("layer", "node")).distinct()
     out = edges.join(keep.withColumnRenamed("node", "src"), ["layer", "src"], "left_semi").join(keep.withColumnRenamed("node", "dst"), ["layer", "dst"], "left_semi")
     return Graph(out.select(*g.edges.columns), keep)
 
@@ -236,7 +237,8 @@ def strongest_undirected(edges: DataFrame) -> DataFrame:
 
 def percentile_graph(edges: DataFrame, q: float = 0.9) -> DataFrame:
     """Edges strictly above the q-quantile (linear interpolation) of the layer's positive weights."""
-    cut = edges.filter("w > 0").groupBy("layer").agg(F.percentile("w", F.lit(q)).alias("cut"))
+    cut = selection.quantile_cuts(edges.filter("w > 0"), "layer", "w", q)
+    cut = edges.sparkSession.createDataFrame(list(cut.items()), "layer string, cut double")  # a row a layer
     return edges.join(F.broadcast(cut), "layer").filter("w > cut").drop("cut")
 
 
@@ -262,18 +264,15 @@ def degree_extremes(g: Graph) -> DataFrame:
 def graph_statistics(g: Graph) -> DataFrame:
     """Least, largest, mean and median entry of each layer's dense matrix, absent edges counted as zeros."""
     n = g.nodes.groupBy("layer").agg(F.count(F.lit(1)).alias("n"))
-    w = W.partitionBy("layer").orderBy("w")
-    e = g.edges.select("layer", "w").join(F.broadcast(n), "layer")
-    s = e.groupBy("layer", "n").agg(F.count(F.lit(1)).alias("m"), F.min("w").alias("lo"), F.max("w").alias("hi"), F.sum("w").alias("s"), F.count_if(F.col("w") < 0).alias("neg"))
-    s = n.join(s.drop("n"), "layer", "left").na.fill(0)
+    s = g.edges.groupBy("layer").agg(F.count(F.lit(1)).alias("m"), F.min("w").alias("lo"), F.max("w").alias("hi"), F.sum("w").alias("s"), F.count_if(F.col("w") < 0).alias("neg"))
+    s = n.join(s, "layer", "left").na.fill(0)
     cells = F.col("n") * F.col("n")
     zeros = cells - F.col("m")
     # places of the middle cells among the sorted weights: zeros stand between negative and positive ones
-    at = lambda k: F.when(k <= F.col("neg"), k).when(k <= F.col("neg") + zeros, F.lit(None)).otherwise(k - zeros)
-    s = s.withColumn("k1", at(F.floor((cells + 1) / 2))).withColumn("k2", at(F.floor((cells + 2) / 2)))
-    r = g.edges.select("layer", "w", F.row_number().over(w).alias("k"))
-    mid = s.select("layer", "k1", "k2").join(r, "layer").filter("k = k1 or k = k2")
-    mid = mid.groupBy("layer").agg(F.sum(F.when(F.col("k") == F.col("k1"), F.col("w")).otherwise(0.0) + F.when(F.col("k") == F.col("k2"), F.col("w")).otherwise(0.0)).alias("mid"))
+    at = lambda k, r: k if k <= r.neg else None if k <= r.neg + r.n**2 - r.m else k - (r.n**2 - r.m)
+    middle = {r.layer: [at((r.n**2 + 1) // 2, r), at((r.n**2 + 2) // 2, r)] for r in s.collect()}  # a row a layer
+    found = selection.order_statistics(g.edges, "layer", "w", {k: sorted({x for x in v if x}) for k, v in middle.items()})
+    mid = g.edges.sparkSession.createDataFrame([(k, float(sum(found[k, x] for x in v if x))) for k, v in middle.items()], "layer string, mid double")
     return s.join(mid, "layer", "left").select(
         "layer", "n", F.when(zeros > 0, F.least("lo", F.lit(0.0))).otherwise(F.col("lo")).alias("min_w"), F.when(zeros > 0, F.greatest("hi", F.lit(0.0))).otherwise(F.col("hi")).alias("max_w"),
         (F.col("s") / cells).alias("mean_w"), (F.coalesce("mid", F.lit(0.0)) / 2).alias("median_w"),

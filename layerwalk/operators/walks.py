@@ -3,15 +3,16 @@
 Walkers are rows of a range; each task steps its walkers together over shared edge arrays. The numbers of a walker come
 from a counter hash of (seed, walk, step), so results do not depend on how walkers are dealt to tasks. Attempts are
 bounded: a batch of walks is simulated, and those that fail are told apart; :func:`walks_until` adds batches until enough
-have succeeded or a stated budget of attempts is spent.
+have succeeded or a stated budget of attempts is spent. A task keeps the steps of a round as two arrays and cuts them into paths at the end.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -95,13 +96,15 @@ def simulate(edges: DataFrame | Csr, starts: list[str] | None, targets: list[str
     begin = np.array(begin)
     shared = spark.sparkContext.broadcast((g, code_of, begin))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g, code_of, begin = shared.value
-        for pdf in batches:
-            walk = pdf.id.to_numpy()
+        for batch in batches:
+            walk = batch.column(0).to_numpy()
             n = len(walk)
+            if not n:
+                continue
             at = begin[(uniform(seed, walk, 0, 7) * len(begin)).astype(int)]
-            paths = [[i] for i in at]
+            who, where = [np.arange(n)], [at.copy()]
             code = np.full(n, -2)
             live = np.arange(n)
             for step in range(1, max_steps + 1):
@@ -116,17 +119,26 @@ def simulate(edges: DataFrame | Csr, starts: list[str] | None, targets: list[str
                 code[live[to < 0]] = 0
                 live, to = live[to >= 0], to[to >= 0]
                 at[live] = to
-                for i, t in zip(live, to, strict=True):
-                    paths[i].append(t)
+                who.append(live.astype(np.int32))
+                where.append(to.astype(np.int32))
                 if not len(live):
                     break
-            names = np.array(g.names, object)
-            yield pd.DataFrame({
-                "simulation": walk, "start_node": [names[p[0]] for p in paths], "path": [list(names[p]) for p in paths], "steps": [len(p) for p in paths],
-                "success": code > 0, "unique_nodes": [len(set(p)) for p in paths], "end_node": [names[p[-1]] for p in paths], "code": code,
-            })
-
-    return spark.range(first, first + n_walks, 1, max(1, min(n_walks // 256, 4096))).mapInPandas(run, SCHEMA)
+            # places of all walkers by walker, then step
+            by = np.concatenate(who)
+            order = np.argsort(by, kind="stable")
+            place, steps = np.concatenate(where)[order], np.bincount(by, minlength=n)
+            end = np.cumsum(steps)
+            pair = np.unique(by[order].astype(np.int64) * len(g.names) + place)
+            names = pa.array(g.names, pa.string())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(walk), names.take(pa.array(place[end - steps])), pa.ListArray.from_arrays(pa.array(np.append(0, end), pa.int32()), names.take(pa.array(place))), pa.array(steps, pa.int32()),
+                    pa.array(code > 0), pa.array(np.bincount(pair // len(g.names), minlength=n), pa.int32()), names.take(pa.array(at)), pa.array(code, pa.int32()),
+                ],
+                names=["simulation", "start_node", "path", "steps", "success", "unique_nodes", "end_node", "code"],
+            )
+
+    return spark.range(first, first + n_walks, 1, max(1, min(n_walks // 256, 4096))).mapInArrow(run, SCHEMA)
 
 
 def reachable(g: Csr, start: str) -> np.ndarray:
@@ -141,20 +153,21 @@ def reachable(g: Csr, start: str) -> np.ndarray:
     return seen
 
 
-def walks_until(edges: DataFrame, start: str, target: str, n_success: int = 100, restart: float = 0.001, min_weight: float = 0.001, max_steps: int = MAX_STEPS, seed: int = 0, budget: int = 1000) -> DataFrame:
+def walks_until(edges: DataFrame, start: str, target: str | Callable[[str], bool], n_success: int = 100, restart: float = 0.001, min_weight: float = 0.001, max_steps: int = MAX_STEPS, seed: int = 0, budget: int = 1000) -> DataFrame:
     """All attempts, by number, up to the one that is the ``n_success``-th success.
 
-    A start or target that is no node, or a target that no walk can come to, raises ValueError. After ``budget`` attempts
+    ``target`` is a node, or says of each node's name whether it is one. A start or target that is no node, or a target that no walk can come to, raises ValueError. After ``budget`` attempts
     for each success wanted, those made are returned, with fewer successes.
     """
     g = _graph(edges, min_weight)
-    if start not in g.at or target not in g.at or not reachable(g, start)[g.at[target]]:
-        raise ValueError(f"no walk comes from {start!r} to {target!r}")
+    goals = [n for n in g.names if (target(n) if callable(target) else n == target)]
+    if start not in g.at or not reachable(g, start)[[g.at[n] for n in goals]].any():
+        raise ValueError(f"no walk comes from {start!r} to {'a target' if callable(target) else repr(target)}")
     made, found, parts = 0, 0, []
     while found < n_success and made < budget * n_success:
         size = n_success - found if not made else int(1.2 * (n_success - found) * made / max(found, 1)) + 1
         size = min(size, 8 * max(made, n_success), budget * n_success - made)
-        part = materialize(simulate(g, [start], [target], size, restart, min_weight, max_steps, seed, made), "walks")
+        part = materialize(simulate(g, [start], goals, size, restart, min_weight, max_steps, seed, made), "walks")
         parts.append(part)
         made += size
         found += part.filter("success").count()
@@ -182,10 +195,9 @@ def walks_to_target(edges: DataFrame, start: str, target: str, n_walks: int = 10
     return simulate(edges, [start], [target], n_walks, restart, min_weight, seed=seed)
 
 
-def walks_to_set(edges: DataFrame, start: str, part: str = "rna", n_walks: int = 100, restart: float = 0.0, min_weight: float = 0.001, seed: int = 0) -> DataFrame:
-    """Walks to any node whose name holds ``part``, ignoring case."""
-    nodes = edges.select(F.explode(F.array("src", "dst")).alias("n")).filter(F.lower("n").contains(part.lower())).distinct()
-    return simulate(edges, [start], [r.n for r in nodes.collect()], n_walks, restart, min_weight, seed=seed)
+def walks_to_set(edges: DataFrame, start: str, part: str = "rna", n_success: int = 100, restart: float = 0.0, min_weight: float = 0.001, seed: int = 0, **more) -> DataFrame:
+    """Walks until ``n_success`` have come to any node whose name holds ``part``, ignoring case; ``more`` goes to :func:`walks_until`."""
+    return walks_until(edges, start, lambda name: part.lower() in name.lower(), n_success, restart, min_weight, seed=seed, **more)
 
 
 def walks_to_endpoints(edges: DataFrame, a: str, b: str, n_walks: int, max_steps: int = 1000, min_weight: float = 1e-4, restart: float = 0.5, seed: int = 0, start_nodes: list[str] | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import clusters, genes, multilayer, precision, walks
 from ..operators.layers import Graph, layer_graphs, percentile_graph
+from .stages import materialize
 from ..sources.tables import combine_layers
 
 
@@ -38,14 +39,14 @@ def graph(m: DataFrame, s: Settings) -> tuple[Graph, DataFrame]:
 
 
 def start_to_end(m: DataFrame, s: Settings) -> dict[str, DataFrame]:
-    """Walks from start to end: walks, statistics, visits, neighbours of both ends."""
+    """Walks from start to end until ``n_walks`` succeed: walks, statistics, visits, neighbours of both ends."""
     _, edges = graph(m, s)
-    w = walks.walks_to_target(edges, s.start, s.end, s.n_walks, s.restart, s.min_weight, s.seed)
+    w = walks.walks_until(edges, s.start, s.end, s.n_walks, s.restart, s.min_weight, seed=s.seed)
     return {"walks": w, "statistics": walks.walk_statistics(w), "visits": walks.visit_counts(w), "from_start": multilayer.top_neighbours(edges, s.start), "into_end": multilayer.top_neighbours(edges, s.end, incoming=True)}
 
 
 def histone_to_rna(m: DataFrame, start: str, s: Settings) -> dict[str, DataFrame]:
-    """Walks from a histone node to any RNA node: endpoints by gene, normalised, with their stage ranks."""
+    """Walks from a histone node to any RNA node until ``n_walks`` succeed: endpoints by gene, normalised, with their stage ranks."""
     _, edges = graph(m, s)
     w = walks.walks_to_set(edges, start, "rna", s.n_walks, s.restart, s.min_weight, s.seed)
     ends = genes.endpoint_genes(w.filter("success"), m.filter(F.col("layer") != "rna_ai").select("node"))
@@ -59,9 +60,14 @@ def endpoints(m: DataFrame, a: str, b: str, s: Settings) -> DataFrame:
 
 
 def combined_clusters(m: DataFrame, s: Settings, k: int = 5, lam: float = 0.2) -> dict[str, DataFrame]:
-    """All layers as one: precision graph, walks, spectral clusters, their composition and the strongest edges."""
-    g = precision.lasso_graphs(combine_layers(m), lam, s.threshold, s.start, s.end)
-    e = clusters.affinity(g.edges.select(F.col("layer").alias("graph"), "src", "dst", "w"), "mean")
+    """All layers as one: precision graph, walks, spectral clusters, their composition and the strongest edges.
+
+    ``visited``: clusters with the visits of their nodes on successful walks.
+    """
+    edges = materialize(precision.lasso_graphs(combine_layers(m), lam, s.threshold, s.start, s.end).edges, "precision")  # solved once
+    e = clusters.affinity(edges.select(F.col("layer").alias("graph"), "src", "dst", "w"), "mean")
     lab = clusters.spectral(e, k)
-    w = walks.walks_to_target(g.edges, s.start, s.end, s.n_walks, s.restart, s.min_weight, s.seed)
-    return {"clusters": lab, "composition": clusters.composition(lab), "walks": w, "strongest": percentile_graph(g.edges)}
+    w = walks.walks_to_target(edges, s.start, s.end, s.n_walks, s.restart, s.min_weight, s.seed)
+    visits = walks.visit_counts(w).select("node", "visits")
+    visited = lab.join(visits, "node", "left").withColumn("visits", F.coalesce("visits", F.lit(0)))
+    return {"clusters": lab, "visited": visited, "composition": clusters.composition(lab), "walks": w, "strongest": percentile_graph(edges)}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from layerwalk.functions import kernels as K
 from layerwalk.functions import names as N
-from layerwalk.operators import clusters, diffusion, krylov, layers, manifest, metrics, multilayer, plotdata, precision, projection, simjoin, walks
+from layerwalk.operators import clusters, diffusion, krylov, layers, manifest, metrics, multilayer, plotdata, precision, projection, selection, simjoin, walks
 from layerwalk.sources import tables
 
 SERIES = {"g1": [0, 1, 2, 3], "g2": [1, 1, 1, 1], "g3": [2, 0, -1, -2]}
@@ -423,3 +423,56 @@ def test_similarity_join_of_little(spark):
     for series in ({}, {"a": [1, 1, 1]}, {"a": [0, 1, 2]}, {"a": [0, 1, 2], "b": [2, 1, 0], "c": [5, 5, 5]}):
         m = long(spark, series) if series else spark.createDataFrame([], "layer string, node string, t int, value double")
         assert layers.correlations_above(layers.pack(m), 0.9).count() == (1 if len(series) == 3 else 0)
+
+
+def test_order_statistics_equal_a_sort(spark):
+    rng = np.random.default_rng(31)
+    values = {"a": rng.normal(size=4000), "b": np.repeat([1.0, -2.0, 5.0], 700), "c": np.concatenate([rng.random(50) * 1e-300, [1e308, -1e308, 0.0]]), "d": np.array([3.0])}
+    df = spark.createDataFrame([(k, float(v)) for k, vs in values.items() for v in vs] + [("a", None), ("e", None)], "layer string, w double").repartition(4)
+    ranks = {k: sorted({1, len(v) // 3 + 1, (len(v) + 1) // 2, len(v), len(v) + 1}) for k, v in values.items()} | {"e": [1], "none": [1]}
+    got = selection.order_statistics(df, "layer", "w", ranks)
+    assert got == {(k, r): np.sort(v)[r - 1] for k, v in values.items() for r in ranks[k] if r <= len(v)}
+    cuts = selection.quantile_cuts(df, "layer", "w", 0.9)
+    want = {r.layer: r.q for r in df.filter("w is not null").groupBy("layer").agg(F.percentile("w", F.lit(0.9)).alias("q")).collect()}
+    assert cuts == want and selection.quantile_cuts(df.limit(0), "layer", "w", 0.5) == {}
+
+
+def test_first_rows_of_each_group(spark):
+    rng = np.random.default_rng(32)
+    rows = [(f"l{i % 3}", f"n{i:04d}", int(rng.integers(20))) for i in range(900)]
+    df = spark.createDataFrame(rows, "layer string, node string, x int")
+    got = {(r.layer, r.node) for r in selection.first_rows(df, ["layer"], [F.desc("x"), F.col("node")], 50, "node").collect()}
+    assert got == {r[:2] for k in range(3) for r in sorted((r for r in rows if r[0] == f"l{k}"), key=lambda r: (-r[2], r[1]))[:50]}
+
+
+@pytest.mark.parametrize("side", [512, 3])
+def test_clustering_of_asymmetric_weights_and_hubs(spark, monkeypatch, side):
+    monkeypatch.setattr(metrics, "SIDE", side)
+    rng = np.random.default_rng(33)
+    n = 25
+    a = rng.normal(size=(n, n)) * (rng.random((n, n)) < 0.3)
+    a[0, 1:], a[1:, 0] = rng.random(n - 1), rng.random(n - 1)  # a hub
+    a[n - 1] = a[:, n - 1] = 0
+    names = [f"n{i:02d}" for i in range(n)]
+    nodes = spark.createDataFrame([("l", x) for x in names], "layer string, node string")
+    edges = spark.createDataFrame([("l", names[i], names[j], float(a[i, j])) for i in range(n) for j in range(n) if a[i, j]], "layer string, src string, dst string, w double")
+    m = np.abs(a)
+    np.fill_diagonal(m, 0)
+    want = []
+    for i in range(n):
+        pairs = [(j, k) for j in range(n) for k in range(n) if j != k and i not in (j, k)]
+        num, den = sum(m[i, j] * m[j, k] * m[k, i] for j, k in pairs), sum(m[i, j] * m[k, i] for j, k in pairs)
+        want.append(num / den / m.max() if den > 0 else 0)
+    g = layers.Graph(edges, nodes)
+    assert metrics.clustering_coefficient(g).first().clustering == pytest.approx(np.mean(want), rel=1e-12)
+    hub = layers.Graph(spark.range(1, 3001).select(F.lit("l").alias("layer"), F.explode(F.array(F.struct(F.lit("h").alias("s"), F.concat(F.lit("x"), "id").alias("d")), F.struct(F.concat(F.lit("x"), "id").alias("s"), F.lit("h").alias("d")))).alias("e"), F.lit(1.0).alias("w")).select("layer", F.col("e.s").alias("src"), F.col("e.d").alias("dst"), "w"), nodes)
+    assert metrics.ordered_pairs(hub.edges, ["layer"]).agg(F.max("later")).first()[0] == 1  # no wedge begins at the hub
+
+
+def test_walks_to_a_set_go_on_until_enough_succeed(spark):
+    edges = spark.createDataFrame([("a", "b", 0.5), ("a", "dead", 0.5), ("b", "X_rna", 1.0), ("a", "y_RNA", 0.01)], "src string, dst string, w double")
+    w = walks.walks_to_set(edges, "a", "rna", 200).collect()
+    assert sum(r.success for r in w) == 200 < len(w) and w[-1].success and {r.end_node for r in w if r.success} == {"X_rna", "y_RNA"}
+    assert all(r.path[0] == "a" and r.path[-1] == r.end_node and len(r.path) == r.steps and r.unique_nodes == len(set(r.path)) for r in w)
+    with pytest.raises(ValueError):
+        walks.walks_to_set(edges, "a", "nothing", 5)
