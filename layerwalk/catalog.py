@@ -744,6 +744,13 @@ def _(s, d):
     return walks.absorption(_multi(s, d), ["e5"], 0.3, 0.001, 40).select("node", *_r("probability"))
 
 
+@query("absorption_probability_distributed", """SELECT node, round(x, 6) + 0.0 AS probability FROM (SELECT nn.node, CASE WHEN nn.node = 'e5' THEN 1.0 ELSE coalesce(sum(ab.x), 0) END AS x FROM nn LEFT JOIN ab ON ab.node = nn.node GROUP BY nn.node)""", multi=True, recursive=True,
+       more="""pp AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS p FROM ga WHERE w > 0.001), nn AS (SELECT src AS node FROM pp UNION SELECT dst FROM pp),
+ab AS (SELECT 0 AS i, 'e5' AS node, 1.0::DOUBLE AS x UNION ALL SELECT ab.i + 1, pp.src, 0.7 * sum(ab.x * pp.p) FROM ab JOIN pp ON pp.dst = ab.node WHERE pp.src <> 'e5' AND ab.i < 40 GROUP BY ab.i, pp.src)""")
+def _(s, d):
+    return walks.absorption(_multi(s, d), ["e5"], 0.3, 0.001, 40, strategy="distributed").select("node", *_r("probability"))
+
+
 @query("expected_visits", "SELECT node, round(sum(x) / 20, 6) + 0.0 AS frequency FROM vi GROUP BY node HAVING sum(x) > 0", multi=True, recursive=True,
        more="""pp AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS p FROM ga), 
 vi AS (SELECT 0 AS i, 'e3' AS node, 1.0::DOUBLE AS x UNION ALL SELECT i, node, sum(x) FROM (
@@ -753,6 +760,15 @@ def _(s, d):
     return walks.expected_visits(_multi(s, d), "e3", 0.1, 20).select("node", *_r("frequency"))
 
 
+@query("expected_visits_distributed", "SELECT node, round(sum(x) / 20, 6) + 0.0 AS frequency FROM vi GROUP BY node HAVING sum(x) > 0", multi=True, recursive=True,
+       more="""pp AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS p FROM ga), 
+vi AS (SELECT 0 AS i, 'e3' AS node, 1.0::DOUBLE AS x UNION ALL SELECT i, node, sum(x) FROM (
+  SELECT vi.i + 1 AS i, pp.dst AS node, 0.9 * vi.x * pp.p AS x FROM vi JOIN pp ON pp.src = vi.node WHERE vi.i < 19
+  UNION ALL SELECT vi.i + 1, 'e3', CASE WHEN vi.node IN (SELECT src FROM pp) THEN 0.1 ELSE 1.0 END * vi.x FROM vi WHERE vi.i < 19) GROUP BY i, node)""")
+def _(s, d):
+    return walks.expected_visits(_multi(s, d), "e3", 0.1, 20, strategy="distributed").select("node", *_r("frequency"))
+
+
 @query("walks_to_target")
 def _(s, d):
     return walks.walk_statistics(walks.walks_until(_multi(s, d, "shadow"), "e3", "e5", 1000, 0.0005))

@@ -31,14 +31,6 @@ def _matrix(pdf: pd.DataFrame) -> tuple[list[str], np.ndarray]:
     return names, a
 
 
-def dense(edges: DataFrame, f, schema: str) -> DataFrame:
-    """``f(names, matrix)`` of a graph of at most DENSE_NODES nodes, in one task."""
-    edges = materialize(edges.select("src", "dst", "w"), "edges")
-    if node_count(edges) > DENSE_NODES:
-        raise ValueError(f"more than {DENSE_NODES} nodes are no dense matrix; take the distributed strategy")
-    return _dense(edges, f, schema)
-
-
 def _dense(edges: DataFrame, f, schema: str) -> DataFrame:
     one = edges.select(F.lit("g").alias("graph"), "src", "dst", "w").withColumn("graph", F.concat("graph", F.lit("")))
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..plans.stages import materialize
+from ..plans.stages import drop, materialize
 
 MAX_STEPS = 100_000
 #: Bytes of edge arrays that may be broadcast.
@@ -257,39 +257,87 @@ def diffusion_visits(edges: DataFrame, start: str, n_walks: int = 100, max_steps
     return v.crossJoin(whole).select("node", (F.col("n") / F.col("whole")).alias("frequency"))
 
 
-def absorption(edges: DataFrame, targets: list[str], restart: float, min_weight: float, steps: int) -> DataFrame:
-    """(node, probability): exact chance that a walk from each node ends at a target within ``steps`` moves."""
-    from .diffusion import dense
+def _rounds(x: DataFrame, step: Callable[[DataFrame], DataFrame], steps: int, every: int = 5) -> Iterator[DataFrame]:
+    """x after each of ``steps`` rounds; each fifth is written and the one before it deleted once it is read."""
+    kept = None
+    for k in range(1, steps + 1):
+        x = step(x)
+        if k % every == 0 or k == steps:
+            old, kept = kept, materialize(x, "rounds")
+            x = kept
+            if old is not None:
+                drop(old)
+        yield x
 
-    p = prepare(edges, min_weight).select("src", "dst", F.col("p").alias("w"))
 
-    def solve(names: list[str], a: np.ndarray) -> pd.DataFrame:
-        goal = np.isin(names, targets)
-        h = goal.astype(float)
-        for _ in range(steps):
-            h = np.where(goal, 1.0, (1 - restart) * (a @ h))
-        return pd.DataFrame({"node": names, "probability": h})
+def absorption(edges: DataFrame, targets: list[str], restart: float, min_weight: float, steps: int, strategy: str = "auto") -> DataFrame:
+    """(node, probability): exact chance that a walk from each node ends at a target within ``steps`` moves.
 
-    return dense(p, solve, "node string, probability double")
+    Strategies as in ``diffusion``: a dense matrix in one task, or a vector table that goes against the edges, round by round.
+    """
+    from .diffusion import _dense, _pick, nodes_of
+
+    p, joins = _pick(prepare(edges, min_weight).select("src", "dst", F.col("p").alias("w")), strategy)
+    if not joins:
+
+        def solve(names: list[str], a: np.ndarray) -> pd.DataFrame:
+            goal = np.isin(names, targets)
+            h = goal.astype(float)
+            for _ in range(steps):
+                h = np.where(goal, 1.0, (1 - restart) * (a @ h))
+            return pd.DataFrame({"node": names, "probability": h})
+
+        return _dense(p, solve, "node string, probability double")
+    nodes = materialize(nodes_of(p), "nodes")
+    goal = nodes.filter(F.col("node").isin(targets)).select("node", F.lit(1.0).alias("h"))
+    inner = materialize(p.filter(~F.col("src").isin(targets)), "edges")
 
+    def back(h: DataFrame) -> DataFrame:
+        to = h.withColumnRenamed("node", "dst").join(inner, "dst").groupBy(F.col("src").alias("node")).agg(((1 - restart) * F.sum(F.col("w") * F.col("h"))).alias("h"))
+        return to.union(goal)
 
-def expected_visits(edges: DataFrame, start: str, restart: float, steps: int) -> DataFrame:
-    """(node, frequency): exact share of the visits of :func:`diffusion_visits` walkers, over places 0 to steps - 1."""
-    from .diffusion import dense
+    h = goal
+    for h in _rounds(goal, back, steps):
+        pass
+    return nodes.join(h, "node", "left").select("node", F.coalesce("h", F.lit(0.0)).alias("probability"))
 
-    p = prepare(edges, 0.0).select("src", "dst", F.col("p").alias("w"))
 
-    def solve(names: list[str], a: np.ndarray) -> pd.DataFrame:
-        e = np.zeros(len(names))
-        e[names.index(start)] = 1
-        x, total = e.copy(), e.copy()
-        dead = a.sum(1) <= 0
-        for _ in range(steps - 1):
-            x = (1 - restart) * (x @ a + x[dead].sum() * e) + restart * x.sum() * e
-            total += x
-        return pd.DataFrame({"node": names, "frequency": total / steps})
+def expected_visits(edges: DataFrame, start: str, restart: float, steps: int, strategy: str = "auto") -> DataFrame:
+    """(node, frequency): exact share of the visits of :func:`diffusion_visits` walkers, over places 0 to steps - 1.
 
-    return dense(p, solve, "node string, frequency double").filter("frequency > 0")
+    Strategies as in :func:`absorption`. A dead end is an edge back to ``start``, so its mass is carried on, and all mass is 1 in every round.
+    """
+    from .diffusion import _dense, _has, _pick
+
+    p, joins = _pick(prepare(edges, 0.0).select("src", "dst", F.col("p").alias("w")), strategy)
+    if not _has(p, start):
+        raise ValueError(f"no node {start!r}")
+    if not joins:
+
+        def solve(names: list[str], a: np.ndarray) -> pd.DataFrame:
+            e = np.zeros(len(names))
+            e[names.index(start)] = 1
+            x, total = e.copy(), e.copy()
+            dead = a.sum(1) <= 0
+            for _ in range(steps - 1):
+                x = (1 - restart) * (x @ a + x[dead].sum() * e) + restart * x.sum() * e
+                total += x
+            return pd.DataFrame({"node": names, "frequency": total / steps})
+
+        return _dense(p, solve, "node string, frequency double").filter("frequency > 0")
+    dead = p.select(F.col("dst").alias("src")).distinct().join(p.select("src").distinct(), "src", "left_anti")
+    whole = materialize(p.union(dead.select("src", F.lit(start), F.lit(1.0))), "edges")
+
+    def forth(x: DataFrame) -> DataFrame:
+        moved = x.filter("x > 0").join(whole, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(((1 - restart) * F.sum(F.col("w") * F.col("x"))).alias("x"))
+        more = moved.union(x.agg(F.lit(start).alias("node"), (restart * F.sum("x")).alias("x"))).groupBy("node").agg(F.sum("x").alias("x"))
+        both = x.select("node", F.lit(0.0).alias("x"), F.col("total")).union(more.select("node", "x", F.col("x").alias("total")))
+        return both.groupBy("node").agg(F.sum("x").alias("x"), F.sum("total").alias("total"))
+
+    x = edges.sparkSession.createDataFrame([(start, 1.0, 1.0)], "node string, x double, total double")
+    for x in _rounds(x, forth, steps - 1, 3):
+        pass
+    return x.filter("total > 0").select("node", (F.col("total") / steps).alias("frequency"))
 
 
 def shortest_walks(walks: DataFrame, n: int) -> DataFrame:

@@ -334,7 +334,7 @@ def test_leading_eigenvectors_of_repeated_values(spark):
 def test_large_graphs_are_no_dense_matrix(spark, monkeypatch):
     monkeypatch.setattr(diffusion, "DENSE_NODES", 3)
     edges = spark.createDataFrame([("a", "b", 1.0), ("c", "d", 1.0)], "src string, dst string, w double")
-    for f in (lambda: diffusion.local_neighbourhood(edges, "a", strategy="local"), lambda: walks.absorption(edges, ["b"], 0.1, 0.0, 5), lambda: walks.expected_visits(edges, "a", 0.1, 5)):
+    for f in (lambda: diffusion.local_neighbourhood(edges, "a", strategy="local"), lambda: walks.absorption(edges, ["b"], 0.1, 0.0, 5, "local"), lambda: walks.expected_visits(edges, "a", 0.1, 5, "local")):
         with pytest.raises(ValueError, match="dense"):
             f()
 
@@ -476,3 +476,14 @@ def test_walks_to_a_set_go_on_until_enough_succeed(spark):
     assert all(r.path[0] == "a" and r.path[-1] == r.end_node and len(r.path) == r.steps and r.unique_nodes == len(set(r.path)) for r in w)
     with pytest.raises(ValueError):
         walks.walks_to_set(edges, "a", "nothing", 5)
+
+
+def test_expectations_by_joins_equal_the_dense_ones(spark):
+    rows = [("a", "b", 0.5), ("b", "c", 1.0), ("c", "a", 0.3), ("a", "c", 0.5), ("d", "a", 1.0), ("c", "dead", 0.6), ("e", "d", 1.0)]
+    edges = spark.createDataFrame(rows, "src string, dst string, w double")
+    for targets in (["b"], ["b", "dead"], ["nope"], []):
+        one, two = ({r.node: r.probability for r in walks.absorption(edges, targets, 0.1, 0.0, 7, k).collect()} for k in ("local", "distributed"))
+        assert one == pytest.approx(two, abs=1e-12) and set(two) == set("abcde") | {"dead"}
+    for steps in (1, 2, 9):
+        one, two = ({r.node: r.frequency for r in walks.expected_visits(edges, "a", 0.2, steps, k).collect()} for k in ("local", "distributed"))
+        assert one == pytest.approx(two, abs=1e-12) and sum(two.values()) == pytest.approx(1)
