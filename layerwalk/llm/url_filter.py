@@ -163,7 +163,7 @@ def best_split(sums: dict[tuple[int, int, int], tuple[float, float]], nodes: int
     return best
 
 
-def boost(rows: DataFrame, prior: float, trees: int = TREES) -> list:
+def boost(rows: DataFrame, prior: float, trees: int) -> list:
     """Trees from (f0 ..., n, b): counts of all and of blocked labelled urls of each feature row. Rows of one label alone give none."""
     total = rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("b"), F.lit(0)).alias("b")).first()
     grown: list = []
@@ -189,7 +189,7 @@ def boost(rows: DataFrame, prior: float, trees: int = TREES) -> list:
     return grown
 
 
-def train(labelled: DataFrame) -> Model:
+def train(labelled: DataFrame, trees: int = TREES) -> Model:
     """Model of (url, block int); rows with a null label are ignored. Without rows of both labels it has no trees.
 
     Repeated urls count as often as they are there. No rows give even odds, which allow.
@@ -203,9 +203,9 @@ def train(labelled: DataFrame) -> Model:
     rows = materialize(rows, "url-features")
     n, b = whole.agg(F.count("block"), F.coalesce(F.sum("block"), F.lit(0))).first()
     prior = log((b + PRIOR) / (n - b + PRIOR))
-    trees = boost(rows, prior)
+    grown = boost(rows, prior, trees)
     drop_stage(rows)
-    return Model(prior, trees, rates)
+    return Model(prior, grown, rates)
 
 
 def rule_labels(pages: DataFrame, rules=RULES) -> DataFrame:

@@ -218,7 +218,7 @@ def pages(spark, urls):
 
 def test_rules_and_parts_against_plain_python(spark):
     df = pages(spark, URLS * 2)
-    model = url_filter.train(url_filter.rule_labels(df))
+    model = url_filter.train(url_filter.rule_labels(df), trees=2)
     found = {r.page_id: r for r in url_filter.judge(df, model).collect()}
     for i, u in enumerate(URLS * 2):
         r = found[i]
@@ -279,8 +279,8 @@ def test_trees_learn_held_out_urls(spark):
     held = pages(spark, [u for u, _ in rows[700:]])
     found = {r.page_id: r.margin > 0 for r in url_filter.judge(held, model, rules=()).collect()}
     assert len(model.trees) == url_filter.TREES and sum(found[i] == bool(b) for i, (_, b) in enumerate(rows[700:])) >= 0.97 * 200
-    again = url_filter.train(spark.createDataFrame(rows[:700][::-1], "url string, block int").repartition(5))
-    assert again.trees == model.trees and again.prior == model.prior
+    again = url_filter.train(spark.createDataFrame(rows[:700][::-1], "url string, block int").repartition(5), trees=3)
+    assert again.trees == model.trees[:3] and again.prior == model.prior
     plan = url_filter.judge(held, model)._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
 
