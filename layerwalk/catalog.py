@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .functions import kernels as K
 from .functions import names as N
-from .operators import clusters, diffusion, genes, layers, manifest, metrics, multilayer, plotdata, precision, projection, walks
+from .operators import clusters, diffusion, genes, layers, manifest, metrics, multilayer, plotdata, precision, projection, walkers, walks
 from .plans import pipelines
 from .plans.stages import materialize
 from .sources import tables
@@ -774,6 +774,11 @@ def _(s, d):
     return walks.walk_statistics(walks.walks_until(_multi(s, d, "shadow"), "e3", "e5", 1000, 0.0005))
 
 
+@query("walks_partitioned")
+def _(s, d):
+    return walks.walk_statistics(walkers.simulate(_multi(s, d), "e3", (F.col("node") == "e5").cast("int"), 10_000, 0.3))
+
+
 @query("walks_slow")
 def _(s, d):
     edges = materialize(layers.layer_graphs(measurements(s, d), "absolute", None).edges, "edges")

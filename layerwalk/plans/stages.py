@@ -5,23 +5,27 @@ from __future__ import annotations
 import re
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 #: How folders of stages end.
 _MADE = re.compile(r"/[a-z_-]+-[0-9a-f]{32}$")
 
 
-def materialize(df: DataFrame, what: str) -> DataFrame:
-    """``df`` written as Parquet under spark.checkpoint.dir (unset, in local mode: the warehouse) and read back."""
-    spark = df.sparkSession
+def folder(spark: SparkSession, what: str) -> str:
+    """A new folder under spark.checkpoint.dir (unset, in local mode: the warehouse)."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/stages"
-    path = f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, what: str) -> DataFrame:
+    """``df`` written as Parquet to a new folder and read back."""
+    path = folder(df.sparkSession, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def drop(df: DataFrame) -> None:

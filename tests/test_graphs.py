@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from layerwalk.functions import kernels as K
 from layerwalk.functions import names as N
-from layerwalk.operators import clusters, diffusion, krylov, layers, manifest, metrics, multilayer, plotdata, precision, projection, selection, simjoin, walks
+from layerwalk.operators import clusters, diffusion, krylov, layers, manifest, metrics, multilayer, plotdata, precision, projection, selection, simjoin, walkers, walks
 from layerwalk.sources import tables
 
 SERIES = {"g1": [0, 1, 2, 3], "g2": [1, 1, 1, 1], "g3": [2, 0, -1, -2]}
@@ -487,3 +487,25 @@ def test_expectations_by_joins_equal_the_dense_ones(spark):
     for steps in (1, 2, 9):
         one, two = ({r.node: r.frequency for r in walks.expected_visits(edges, "a", 0.2, steps, k).collect()} for k in ("local", "distributed"))
         assert one == pytest.approx(two, abs=1e-12) and sum(two.values()) == pytest.approx(1)
+
+
+def test_walkers_over_joins_take_the_same_walks(spark):
+    rng = np.random.default_rng(41)
+    names = [f"n{i:02d}" for i in range(12)]
+    rows = [(names[i], names[j], float(rng.random())) for i in range(11) for j in range(12) if rng.random() < 0.3]
+    rows += [("n00", f"m{k:03d}", 0.02 * float(rng.random()) + 0.002) for k in range(60)] + [(f"m{k:03d}", "n01", 1.0) for k in range(0, 60, 2)]  # a hub, and dead ends
+    edges = spark.createDataFrame(rows, "src string, dst string, w double")
+    for restart, most in ((0.1, 1000), (0.0, 6)):
+        one = walks.simulate(edges, ["n00"], {1: ["n11"], 2: ["n10"]}, 150, restart, max_steps=most, seed=3, first=20).collect()
+        goal = F.when(F.col("node") == "n11", 1).when(F.col("node") == "n10", 2)
+        two = walkers.simulate(edges, "n00", goal, 150, restart, max_steps=most, seed=3, first=20).collect()
+        assert sorted(map(tuple, one)) == sorted(map(tuple, two)) and {r.code for r in two} >= ({1, -1} if restart else {1, -2})
+    with pytest.raises(ValueError):
+        walkers.simulate(edges, "nowhere", F.lit(0), 5, 0.1)
+
+
+def test_slots_hold_every_edge_about_twice(spark):
+    edges = spark.createDataFrame([("a", f"x{k:04d}", 0.5 if k == 0 else 0.5 / 499) for k in range(500)], "src string, dst string, w double")
+    table, nodes = walkers.slots(edges, F.lit(0), 0.0)
+    s = table.groupBy("slot").agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)), F.sum("n")).first()
+    assert s[0] == 500 and s[1] <= 1000 and nodes.count() == 501
