@@ -35,11 +35,12 @@ from .common import table
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(.*?)(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?|\"[^\"]*\"|'[^']*'")
-_ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+_TELLING = re.compile(r"class|id|role|hidden|style", re.I)
 _BLANKS = re.compile(r"[ \t\n\v\f\r\xa0]+")
 #: Element names by their role in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
+_RAW_END = {name: re.compile(f"</{name}", re.I | re.A) for name in RAW}
 UNSEEN = frozenset("script style head title noscript template iframe noembed noframes svg math canvas object audio video select option button input textarea form fieldset label datalist map nav footer aside menu dialog".split())
 BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split()
@@ -88,24 +89,31 @@ class _Open:
         self.blocks, self.boxes = [], []
 
     def push(self, node: Node) -> None:
-        for places in self._lists(node.name):
-            places.append(len(self.stack))
+        at, name = len(self.stack), node.name
+        if name in self.places:
+            self.places[name].append(at)
+        else:
+            self.places[name] = [at]
+        if name in BLOCK:
+            self.blocks.append(at)
+            if name in HOLDS_INLINE:
+                self.boxes.append(at)
         self.stack.append(node)
 
     def close(self, at: int) -> None:
         """Close the element at a place and all inside it."""
         while len(self.stack) > at:
-            for places in self._lists(self.stack.pop().name):
-                places.pop()
-
-    def _lists(self, name: str) -> list[list[int]]:
-        own = [self.places.setdefault(name, [])]
-        own += [self.blocks] if name in BLOCK else []
-        return own + ([self.boxes] if name in HOLDS_INLINE else [])
+            name = self.stack.pop().name
+            self.places[name].pop()
+            if name in BLOCK:
+                self.blocks.pop()
+                if name in HOLDS_INLINE:
+                    self.boxes.pop()
 
     def last(self, name: str) -> int:
         """Place of the innermost open element of a name, or 0."""
-        return next(reversed(self.places.get(name, ())), 0)
+        places = self.places.get(name)
+        return places[-1] if places else 0
 
     def first_after(self, names: frozenset, at: int) -> int:
         """Place of the outermost open element of these names inside a place, or 0."""
@@ -126,7 +134,6 @@ def parse(page: str) -> Node:
     tree = _Open(root)
     stack = tree.stack
     at, n = 0, len(page)
-    low: str | None = None
 
     def add(text: str) -> None:
         if text:
@@ -154,19 +161,19 @@ def parse(page: str) -> Node:
             if not own:
                 if name in ("br", "p"):
                     stack[-1].kids.append(Node(name))
-            elif name not in ("html", "body") and (name in BLOCK or own > next(reversed(tree.boxes), 0)):
+            elif name not in ("html", "body") and (name in BLOCK or own > (tree.boxes[-1] if tree.boxes else 0)):
                 tree.close(own)  # a stray inline end does not close a box
             continue
         if name == "html" or name == "body" and tree.last(name):
             continue
-        if name in ENDS_P and tree.last("p") and tree.last("p") >= next(reversed(tree.blocks), 0):
-            tree.close(tree.last("p"))
+        if name in ENDS_P and (own := tree.last("p")) and own >= tree.blocks[-1]:  # p is a block itself
+            tree.close(own)
         if name in CLOSES:
             shut, barrier = CLOSES[name]
             if own := tree.first_after(shut, max(map(tree.last, barrier))):
                 tree.close(own)
         off = mark = talk = False
-        if m[4]:
+        if m[4] and _TELLING.search(m[4]):
             for key, value in _attributes(m[4]):
                 if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                     off = True
@@ -176,9 +183,8 @@ def parse(page: str) -> Node:
         node = Node(name, off or name in UNSEEN, mark, talk)
         stack[-1].kids.append(node)
         if name in RAW:
-            low = page.translate(_ASCII_LOWER) if low is None else low
-            end = low.find("</" + name, at)
-            end = n if end < 0 else end
+            found = _RAW_END[name].search(page, at)
+            end = found.start() if found else n
             if not node.off:
                 node.kids.append(page[at:end])
             close = page.find(">", end)
