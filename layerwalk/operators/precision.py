@@ -1,7 +1,14 @@
-"""Sparse positive-definite precision graphs: column lassos, then a primal-dual proximal iteration, one task a problem."""
+"""Sparse positive-definite precision graphs: column lassos, then a primal-dual proximal iteration.
+
+Layers of at most LOCAL_NODES nodes take one task each; larger ones are tables of tiles (``tiled``), with the same iteration: the lassos
+are dealt to tasks by blocks of columns, the projection is a polynomial iteration of tiled products, and gradients and losses go by
+the residuals X (I + off(Omega) T), which have as many rows as there are times.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -9,11 +16,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.names import BASIS
-from ..plans.stages import materialize
-from . import metrics
+from ..plans.stages import drop, materialize
+from . import metrics, tiles
 from .layers import Graph, basis_rows, pack
+from .tiles import Grid
 
 CLIP, TAU_FLOOR = 1e6, 1e-6
+#: Nodes of a layer that one task solves; coefficients that a lasso task holds at a time.
+LOCAL_NODES, COEFFICIENTS = 2000, 1 << 22
 
 
 def finite(a: np.ndarray, clip: float = CLIP) -> np.ndarray:
@@ -26,32 +36,40 @@ def project(omega: np.ndarray, floor: float = 1e-6) -> np.ndarray:
     return (vec * np.maximum(val, floor)) @ vec.T
 
 
-def lasso_columns(x: np.ndarray, lam: float, rounds: int = 10_000, tol: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
-    """Start: column j of Omega from the lasso of x_j on the others (1/2n loss, no intercept), and tau^2 of residuals.
+def lasso(x: np.ndarray, at: np.ndarray, lam: float, rounds: int = 10_000, tol: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+    """Coefficients (p, targets) of the lassos of the columns ``at`` on all others (1/2n loss, no intercept), and tau^2 of residuals.
 
-    Cyclic coordinate descent runs over all targets at once; the fits ``x @ b`` follow each step, so a step takes n * p products.
+    Cyclic coordinate descent runs over the targets at once and ends for each on its own, so a target's result does not depend on the others;
+    the fits ``x @ b`` follow each step, so a round takes n * p products a target.
     """
     n, p = x.shape
     own = (x * x).mean(0)
-    b, fit = np.zeros((p, p)), np.zeros((n, p))
+    b, fit = np.zeros((p, len(at))), np.zeros((n, len(at)))
+    open_ = np.arange(len(at))
     for _ in range(rounds):
-        move = 0.0
+        y, part_b, part_fit = x[:, at[open_]], b[:, open_], fit[:, open_]
+        move = np.zeros(len(open_))
         for k in range(p):
             if own[k] <= 0:
                 continue
-            part = x[:, k] @ (x - fit) / n + own[k] * b[k]
+            part = x[:, k] @ (y - part_fit) / n + own[k] * part_b[k]
             new = np.sign(part) * np.maximum(np.abs(part) - lam, 0) / own[k]
-            new[k] = 0
-            step = new - b[k]
-            far = float(np.abs(step).max())
-            if far:
-                move = max(move, far)
-                fit += np.outer(x[:, k], step)
-                b[k] = new
-        if move < tol:
+            new[at[open_] == k] = 0
+            step = new - part_b[k]
+            if step.any():
+                move = np.maximum(move, np.abs(step))
+                part_fit += np.outer(x[:, k], step)
+                part_b[k] = new
+        b[:, open_], fit[:, open_] = part_b, part_fit
+        open_ = open_[move >= tol]
+        if not len(open_):
             break
-    resid = x - x @ b
-    tau2 = np.clip((resid**2).mean(0), TAU_FLOOR, CLIP)
+    return b, np.clip(((x[:, at] - x @ b) ** 2).mean(0), TAU_FLOOR, CLIP)
+
+
+def lasso_columns(x: np.ndarray, lam: float) -> tuple[np.ndarray, np.ndarray]:
+    """Start: column j of Omega from the lasso of x_j on the others, and tau^2."""
+    b, tau2 = lasso(x, np.arange(x.shape[1]), lam)
     omega = -b / tau2
     np.fill_diagonal(omega, 1 / tau2)
     return finite(omega), tau2
@@ -110,26 +128,251 @@ def solve(x: np.ndarray, lam: float = 0.01, gamma: float = 0.02, eta: float = 20
     return -(t[:, None] * omega * t[None]), losses
 
 
-def lasso_graphs(m: DataFrame, lam: float = 0.01, threshold: float = 0.01, start: str | None = "e3", end: str | None = "e5", gamma: float = 0.02, eta: float = 20.0, max_iter: int = 500) -> Graph:
-    """Graph of each layer from its sparse precision matrix: abs(Q) at least ``threshold``, diagonal 0, with signs.
+class Tiled:
+    """The solver's state for one layer as tables: tiles (i, j, w, u) of Omega and the dual, and strips (s, x, tau2, r, loss) of columns.
 
-    Basis nodes are added unless start and end are both None; edges of basis nodes that are neither go as in
-    ``layer_graphs``. Constant series are left out of the solver and stay as isolated nodes.
+    ``r`` are the residuals X (I + off(Omega) T) of the strip's columns, n rows. A task holds a few tiles or, in the lassos, X and
+    COEFFICIENTS numbers.
     """
-    packed = pack(m)
-    if start is not None or end is not None:
-        packed = packed.unionByName(basis_rows(packed))
+
+    def __init__(self, rows: DataFrame, lam: float, tile: int = tiles.TILE, smallest: float = tiles.SMALLEST):
+        """rows: (node, z) of the layer, z not null, all of one length."""
+        self.lam, self.smallest = lam, smallest
+        # a place for each node in the order of names: its place in its range of the sort, after the rows of the ranges before
+        made = materialize(rows.select("node", "z").orderBy("node").withColumn("at", F.monotonically_increasing_id()), "precision")
+        part = F.shiftright("at", 33)
+        sizes = {r.part: r.n for r in made.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()}
+        first, total = [], 0
+        for k in sorted(sizes):
+            first.append((k, total))
+            total += sizes[k]
+        before = F.broadcast(made.sparkSession.createDataFrame(first, "part long, first long"))
+        place = (F.col("first") + F.col("at") - F.shiftleft(part, 33)).cast("int")
+        self.nodes = made.withColumn("part", part).join(before, "part").select(place.alias("at"), "node", "z")
+        self.grid, self.n = Grid(total, tile), made.select(F.size("z")).first()[0]
+        started = materialize(self._lassos(), "precision")
+        tau2 = started.filter("i < 0").select(F.col("j").alias("s"), F.col("w").alias("tau2"))
+        self.strips = self._x().join(tau2, "s").select("s", "x", "tau2")
+        self.state: DataFrame | None = None
+        new, strips = self._project(started.filter("i >= 0"))
+        grid = self.grid
+
+        def begin(rows: Iterator[list]) -> Iterator[list]:
+            for r, c, flip, a in rows:
+                w = np.ascontiguousarray(tiles.oriented(grid, a, r, c, flip))
+                yield [[r], [c], [w.tobytes()], [np.zeros_like(w).tobytes()]]
+
+        self._keep(tiles.streamed(tiles.whole(new), begin, "i int, j int, w binary, u binary"), strips)
+        for df in (new, started):
+            drop(df)
+
+    def _keep(self, state: DataFrame, strips: DataFrame) -> None:
+        """Takes new tables, the strips already written, and deletes those that nothing reads any more."""
+        state = materialize(state, "precision")
+        for old in (self.state, self.strips) if self.state is not None else ():
+            drop(old)
+        self.state, self.strips = state, strips
+
+    def _x(self) -> DataFrame:
+        """(s, x): the columns of X of each strip, n rows of the strip's width."""
+        grid, n = self.grid, self.n
+
+        def cut(key: tuple, rows: Iterator[list]) -> Iterator[list]:
+            x = np.array([z for _, _, z in rows], float).reshape(grid.width(key[0]), n)
+            yield [[key[0]], [np.ascontiguousarray(finite(x).T).tobytes()]]
+
+        return tiles.gathered(self.nodes.select((F.col("at") / grid.tile).cast("int").alias("s"), "at", "z"), ["s"], ["at"], cut, "s int, x binary")
+
+    def _lassos(self) -> DataFrame:
+        """(i, j, w) tiles of the start, not symmetric, and with i = -1 the tau^2 of strip j; a task takes the targets of a strip."""
+        grid, n, lam = self.grid, self.n, self.lam
+        rows = self._x().select(F.explode(F.sequence(F.lit(0), F.lit(grid.count - 1))).alias("j"), F.col("s").alias("k"), "x")
+
+        def fit(key: tuple, group: Iterator[list]) -> Iterator[list]:
+            j = key[0]
+            x = np.concatenate([np.frombuffer(v).reshape(n, -1) for _, _, v in group], axis=1)
+            at = np.arange(j * grid.tile, j * grid.tile + grid.width(j))
+            found, tau2 = [], np.zeros(len(at))
+            some = max(1, COEFFICIENTS // grid.size)
+            for first in range(0, len(at), some):
+                b, tau2[first : first + some] = lasso(x, at[first : first + some], lam)
+                k, c = np.nonzero(b)  # at most some n of them a target where the lasso has settled
+                found.append((k, c + first, b[k, c]))
+            k, c, v = (np.concatenate(f) for f in zip(*found))
+            yield [[-1], [j], [tau2.tobytes()]]
+            for i in range(grid.count):
+                w = np.zeros((grid.width(i), len(at)))
+                here = (k >= i * grid.tile) & (k < i * grid.tile + grid.width(i))
+                w[k[here] - i * grid.tile, c[here]] = -v[here] / tau2[c[here]]
+                if i == j:
+                    np.fill_diagonal(w, 1 / tau2)
+                yield [[i], [j], [finite(w).tobytes()]]
+
+        return tiles.gathered(rows, ["j"], ["k"], fit, "i int, j int, w binary")
+
+    def _project(self, a: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Written (i, j, a), i <= j, of the nearest positive matrix of the tiles (i, j, w), and the written strips that belong to it."""
+        grid, floor = self.grid, 1e-6
+        keyed = a.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), (F.col("i") > F.col("j")).alias("flip"), F.col("w").alias("a"))
+
+        def even(key: tuple, rows: Iterator[list]) -> Iterator[list]:
+            i, j = key
+            total = sum(tiles.oriented(grid, a, i, j, flip) for _, _, flip, a in rows)
+            total = (total + total.T) / 2 - floor * np.eye(len(total)) if i == j else total / 2
+            yield [[i], [j], [np.ascontiguousarray(total).tobytes()]]
+
+        b = materialize(tiles.gathered(keyed, ["i", "j"], ["flip"], even, "i int, j int, a binary"), "precision")
+        part = tiles.positive(b, grid, self.smallest)
+
+        def lift(rows: Iterator[list]) -> Iterator[list]:
+            for i, j, a in rows:
+                w = grid.read(a, i, j)
+                yield [[i], [j], [finite(w + floor * np.eye(len(w)) if i == j else w).tobytes()]]
+
+        new = materialize(tiles.streamed(part.select("i", "j", "a"), lift, "i int, j int, a binary"), "precision")
+        strips = materialize(self._residuals(new), "precision")
+        drop(part)
+        drop(b)
+        return new, strips
+
+    def _residuals(self, new: DataFrame) -> DataFrame:
+        """The strips for a new Omega, with their part of the loss and the penalty."""
+        grid, n, lam = self.grid, self.n, self.lam
+        own = self.strips.select(F.col("s").alias("c"), "tau2")
+        met = tiles.whole(new).join(self.strips.select(F.col("s").alias("r"), "x"), "r").join(own, "c").select("r", "c", "flip", "a", "x", "tau2")
+
+        def multiply(rows: Iterator[list]) -> Iterator[list]:
+            for r, c, flip, a, x, tau2 in rows:
+                off = tiles.oriented(grid, a, r, c, flip) * np.sqrt(np.frombuffer(tau2))
+                if r == c:
+                    np.fill_diagonal(off, 0)
+                yield [[c], [r], [(np.frombuffer(x).reshape(n, -1) @ off).tobytes()], [lam * float(np.abs(off).sum())]]
+
+        parts = tiles.streamed(met, multiply, "s int, i int, part binary, loss double")
+        none = F.lit(None).cast("binary")
+        rows = self.strips.select("s", F.lit(-1).alias("i"), none.alias("part"), F.lit(0.0).alias("loss"), "x", "tau2").union(parts.select("s", "i", "part", "loss", none, none))
+
+        def add(key: tuple, group: Iterator[list]) -> Iterator[list]:
+            *_, x, tau2 = next(group)
+            r, loss = np.frombuffer(x).copy(), 0.0
+            for _, _, part, penalty, *_ in group:
+                r += np.frombuffer(part)
+                loss += penalty
+            yield [[key[0]], [x.to_pybytes()], [tau2.to_pybytes()], [r.tobytes()], [loss + float(r @ r)]]
+
+        return tiles.gathered(rows, ["s"], ["i"], add, "s int, x binary, tau2 binary, r binary, loss double")
+
+    def loss(self) -> float:
+        return float(self.strips.agg(F.sum("loss")).first()[0])
+
+    def _met(self) -> DataFrame:
+        """(i, j, w, u, xi, tau2, r): the tiles with what their gradient takes, r the residuals of strip j."""
+        left = self.strips.select(F.col("s").alias("i"), F.col("x").alias("xi"))
+        return self.state.join(left, "i").join(self.strips.select(F.col("s").alias("j"), "tau2", "r"), "j").select("i", "j", "w", "u", "xi", "tau2", "r")
+
+    def step(self, gamma: float, eta: float) -> None:
+        """One iteration: the projected step of Omega, then that of the dual."""
+        grid, n, lam = self.grid, self.n, self.lam
+
+        def gradient(i: int, j: int, x: object, tau2: np.ndarray, r: object) -> np.ndarray:
+            g = 2 * np.sqrt(tau2) * (np.frombuffer(x).reshape(n, -1).T @ np.frombuffer(r).reshape(n, -1))
+            if i == j:
+                np.fill_diagonal(g, 0)
+            return g
+
+        def down(rows: Iterator[list]) -> Iterator[list]:
+            for i, j, w, u, x, tau2, r in rows:
+                g = gradient(i, j, x, np.frombuffer(tau2), r)
+                yield [[i], [j], [(grid.read(w, i, j) - gamma * grid.read(u, i, j) - gamma * g).tobytes()]]
+
+        new, strips = self._project(tiles.streamed(self._met(), down, "i int, j int, w binary"))
+        other = strips.select(F.col("s").alias("j"), F.col("r").alias("after"))
+        met = self._met().join(other, "j").join(tiles.whole(new).select(F.col("r").alias("i"), F.col("c").alias("j"), "flip", "a"), ["i", "j"])
+
+        def dual(rows: Iterator[list]) -> Iterator[list]:
+            for i, j, w, u, x, tau2, r, after, flip, a in rows:
+                t = np.frombuffer(tau2)
+                now = tiles.oriented(grid, a, i, j, flip)
+                change = gradient(i, j, x, t, r) - gradient(i, j, x, t, after)
+                v = finite(grid.read(u, i, j) + eta * (2 * now - grid.read(w, i, j) + gamma * change))
+                prox = np.sign(v) * np.maximum(np.abs(v / eta) - t * lam / eta, 0)
+                if i == j:
+                    np.fill_diagonal(prox, 1 / t)
+                yield [[i], [j], [np.ascontiguousarray(now).tobytes()], [finite(v - eta * prox).tobytes()]]
+
+        met = met.select("i", "j", "w", "u", "xi", "tau2", "r", "after", "flip", "a")
+        self._keep(tiles.streamed(met, dual, "i int, j int, w binary, u binary"), strips)
+        drop(new)
+
+    def edges(self, threshold: float) -> DataFrame:
+        """(src, dst, w, sign) of Q = -T Omega T with diagonal 0, abs(Q) at least ``threshold``."""
+        grid = self.grid
+        met = self.state.join(self.strips.select(F.col("s").alias("i"), F.col("tau2").alias("ti")), "i").join(self.strips.select(F.col("s").alias("j"), F.col("tau2").alias("tj")), "j")
+
+        def cut(rows: Iterator[list]) -> Iterator[list]:
+            for i, j, w, ti, tj in rows:
+                q = np.nan_to_num(-(np.sqrt(np.frombuffer(ti))[:, None] * grid.read(w, i, j) * np.sqrt(np.frombuffer(tj))))
+                if i == j:
+                    np.fill_diagonal(q, 0)
+                for first in range(0, len(q), 64):
+                    part = q[first : first + 64]
+                    a, b = np.nonzero(np.abs(part) >= threshold)
+                    yield [a + first + i * grid.tile, b + j * grid.tile, np.abs(part[a, b]), np.sign(part[a, b]).astype(int)]
+
+        found = tiles.streamed(met.select("i", "j", "w", "ti", "tj"), cut, "a bigint, b bigint, w double, sign int")
+        src, dst = (self.nodes.select(F.col("at").cast("long").alias(k), F.col("node").alias(n)) for k, n in (("a", "src"), ("b", "dst")))
+        return found.join(src, "a").join(dst, "b").select("src", "dst", "w", "sign")
+
+
+def tiled(rows: DataFrame, lam: float = 0.01, gamma: float = 0.02, eta: float = 20.0, max_iter: int = 500, tile: int = tiles.TILE, smallest: float = tiles.SMALLEST) -> tuple[Tiled, list[float]]:
+    """:func:`solve` for one layer's (node, z) in tiles: the final state, whose ``edges`` are the graph, and the losses of the iterations."""
+    state = Tiled(rows, lam, tile, smallest)
+    losses = [state.loss()]
+    for _ in range(max_iter):
+        state.step(gamma, eta)
+        losses.append(state.loss())
+        if len(losses) > 2 and abs(losses[-1] - losses[-2]) < 1e-6:
+            break
+    return state, losses
+
+
+def _solved(packed: DataFrame, lams: list[float], threshold: float, gamma: float, eta: float, max_iter: int, tile: int = tiles.TILE) -> DataFrame:
+    """(layer, param, src, dst, w, sign) of each layer's precision graph at each lambda, and a row with src and dst '' and the final loss as w."""
+    packed = packed.filter("z is not null").select("layer", "node", "z")
+    large = [r.layer for r in packed.groupBy("layer").count().filter(F.col("count") > LOCAL_NODES).collect()]
+    schema = "layer string, param double, src string, dst string, w double, sign int"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf[pdf.z.notna()].sort_values("node")
-        q, _ = solve(np.array(pdf.z.tolist(), float).T, lam, gamma, eta, max_iter)
+        pdf = pdf.sort_values("node")
+        q, loss = solve(np.array(pdf.z.tolist(), float).T, pdf.param.iloc[0], gamma, eta, max_iter)
         q = np.nan_to_num(q)
         np.fill_diagonal(q, 0)
         i, j = np.nonzero(np.abs(q) >= threshold)
         names = pdf.node.to_numpy()
-        return pd.DataFrame({"layer": pdf.layer.iloc[0], "src": names[i], "dst": names[j], "w": np.abs(q[i, j]), "sign": np.sign(q[i, j]).astype(int)})
+        out = pd.DataFrame({"src": [*names[i], ""], "dst": [*names[j], ""], "w": [*np.abs(q[i, j]), loss[-1]], "sign": [*np.sign(q[i, j]).astype(int), 0]})
+        return out.assign(layer=pdf.layer.iloc[0], param=pdf.param.iloc[0])
 
-    edges = packed.select("layer", "node", "z").filter("z is not null").groupBy("layer").applyInPandas(run, "layer string, src string, dst string, w double, sign int")
+    small = packed.filter(~F.col("layer").isin(large)) if large else packed
+    out = small.select("*", F.explode(F.array(*[F.lit(float(v)) for v in lams])).alias("param")).groupBy("layer", "param").applyInPandas(run, schema)
+    for layer in sorted(large):
+        for lam in lams:
+            state, losses = tiled(packed.filter(F.col("layer") == layer), lam, gamma, eta, max_iter, tile)
+            at = [F.lit(layer).alias("layer"), F.lit(float(lam)).alias("param")]
+            last = packed.sparkSession.range(1).select(*at, F.lit("").alias("src"), F.lit("").alias("dst"), F.lit(losses[-1]).alias("w"), F.lit(0).alias("sign"))
+            out = out.unionByName(state.edges(threshold).select(*at, "src", "dst", "w", "sign")).unionByName(last)
+    return out
+
+
+def lasso_graphs(m: DataFrame, lam: float = 0.01, threshold: float = 0.01, start: str | None = "e3", end: str | None = "e5", gamma: float = 0.02, eta: float = 20.0, max_iter: int = 500) -> Graph:
+    """Graph of each layer from its sparse precision matrix: abs(Q) at least ``threshold``, diagonal 0, with signs.
+
+    Basis nodes are added unless start and end are both None; edges of basis nodes that are neither go as in
+    ``layer_graphs``. Constant series are left out of the solver and stay as isolated nodes.
+    """
+    packed = pack(m)
+    if start is not None or end is not None:
+        packed = packed.unionByName(basis_rows(packed))
+    edges = _solved(packed, [lam], threshold, gamma, eta, max_iter).filter("src <> ''").drop("param")
     if {start, end} & set(BASIS):
         out = [b for b in BASIS if b not in (start, end)]
         edges = edges.filter(~F.col("src").isin(out) & ~F.col("dst").isin(out))
@@ -137,22 +380,10 @@ def lasso_graphs(m: DataFrame, lam: float = 0.01, threshold: float = 0.01, start
 
 
 def lambda_sweep(m: DataFrame, lams: list[float], threshold: float = 0.01, gamma: float = 0.02, eta: float = 20.0, max_iter: int = 500) -> DataFrame:
-    """Metrics of every layer's precision graph at every lambda, one task a (layer, lambda): the metrics of ``metrics.sweep`` and the final loss."""
-    packed = pack(m).filter("z is not null").select("layer", "node", "z", F.explode(F.array(*[F.lit(float(v)) for v in lams])).alias("param"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("node")
-        q, loss = solve(np.array(pdf.z.tolist(), float).T, pdf.param.iloc[0], gamma, eta, max_iter)
-        q = np.abs(np.nan_to_num(q))
-        np.fill_diagonal(q, 0)
-        i, j = np.nonzero(q >= threshold)
-        names = pdf.node.to_numpy()
-        out = pd.DataFrame({"src": [*names[i], ""], "dst": [*names[j], ""], "w": [*q[i, j], loss[-1]]})
-        return out.assign(layer=pdf.layer.iloc[0], param=pdf.param.iloc[0])
-
-    solved = materialize(packed.groupBy("layer", "param").applyInPandas(run, "src string, dst string, w double, layer string, param double"), "precision")
+    """Metrics of every layer's precision graph at every lambda: the metrics of ``metrics.sweep`` and the final loss."""
+    solved = materialize(_solved(pack(m), lams, threshold, gamma, eta, max_iter), "precision")
     nodes = pack(m).select("layer", "node", F.explode(F.array(*[F.lit(float(v)) for v in lams])).alias("param"))
-    out = metrics.table(Graph(solved.filter("src <> ''"), nodes), ("layer", "param"))
+    out = metrics.table(Graph(solved.filter("src <> ''").drop("sign"), nodes), ("layer", "param"))
     return out.join(solved.filter("src = ''").select("layer", "param", F.col("w").alias("loss")), ["layer", "param"], "left")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from layerwalk.functions import kernels as K
 from layerwalk.functions import names as N
-from layerwalk.operators import clusters, diffusion, krylov, layers, manifest, metrics, multilayer, plotdata, precision, projection, selection, simjoin, walkers, walks
+from layerwalk.operators import clusters, diffusion, krylov, layers, manifest, metrics, multilayer, plotdata, precision, projection, selection, simjoin, tiles, walkers, walks
 from layerwalk.sources import tables
 
 SERIES = {"g1": [0, 1, 2, 3], "g2": [1, 1, 1, 1], "g3": [2, 0, -1, -2]}
@@ -184,6 +184,72 @@ def test_precision_solver_is_symmetric_positive_and_descends():
     assert np.allclose(b, np.diag(1 / tau2))
 
 
+def test_column_lassos_meet_their_optimality_conditions_and_do_not_depend_on_blocks():
+    x = np.random.default_rng(1).standard_normal((7, 30))
+    x[:, 4] = 0
+    x[:, 9] = x[:, 8]
+    b, tau2 = precision.lasso(x, np.arange(30), 0.3, tol=1e-10)
+    slope = x.T @ (x - x @ b) / 7
+    np.fill_diagonal(slope, 0)
+    assert np.abs(slope).max() <= 0.3 + 1e-8 and np.allclose(slope[b != 0], 0.3 * np.sign(b[b != 0])) and (np.diag(b) == 0).all()
+    parts = [precision.lasso(x, np.arange(f, min(f + 7, 30)), 0.3, tol=1e-10) for f in range(0, 30, 7)]
+    assert np.allclose(np.hstack([p[0] for p in parts]), b, atol=1e-12) and np.allclose(np.concatenate([p[1] for p in parts]), tau2)
+
+
+def _tiles(spark, a, grid):
+    t = grid.tile
+    rows = [(i, j, bytearray(np.ascontiguousarray(a[i * t : i * t + t, j * t : j * t + t]).tobytes())) for i in range(grid.count) for j in range(i, grid.count)]
+    return spark.createDataFrame(rows, "i int, j int, a binary")
+
+
+def _dense(df, grid):
+    out, t = np.zeros((grid.size, grid.size)), grid.tile
+    for r in df.collect():
+        a = grid.read(bytes(r.a), r.i, r.j)
+        out[r.i * t : r.i * t + len(a), r.j * t : r.j * t + a.shape[1]] = a
+        out[r.j * t : r.j * t + a.shape[1], r.i * t : r.i * t + len(a)] = a.T
+    return out
+
+
+def test_positive_part_of_tiles(spark):
+    rng, grid = np.random.default_rng(2), tiles.Grid(19, 8)
+    a = rng.standard_normal((19, 19))
+    a = a + a.T
+    a[:3], a[:, :3] = 0, 0
+    both = _dense(tiles.product(_tiles(spark, a, grid), _tiles(spark, a, grid), grid, 2.0, _tiles(spark, a, grid), -1.0), grid)
+    assert np.allclose(both, 2 * a @ a - a)
+    val, vec = np.linalg.eigh(a)
+    got = _dense(tiles.positive(_tiles(spark, a, grid), grid, 1e-7), grid)
+    assert np.allclose(got, (vec * np.maximum(val, 0)) @ vec.T, atol=1e-6)
+    nothing = _tiles(spark, np.zeros((3, 3)), tiles.Grid(3, 8))
+    assert (_dense(tiles.positive(nothing, tiles.Grid(3, 8)), tiles.Grid(3, 8)) == 0).all()
+
+
+def test_tiled_precision_equals_the_dense_solver(spark, monkeypatch):
+    x = np.random.default_rng(3).standard_normal((6, 21))
+    rows = spark.createDataFrame([(f"n{i:02d}", [float(v) for v in x[:, i]]) for i in range(21)], "node string, z array<double>").repartition(3)
+
+    def positive(b, grid, smallest):  # the iteration has its own test
+        val, vec = np.linalg.eigh(_dense(b, grid))
+        return tiles.materialize(_tiles(spark, (vec * np.maximum(val, 0)) @ vec.T, grid), "positive")
+
+    monkeypatch.setattr(tiles, "positive", positive)
+    for gamma, rounds in ((0.001, 3), (0.05, 2)):
+        q, losses = precision.solve(x, 0.2, gamma, 20.0, rounds)
+        state, got = precision.tiled(rows, 0.2, gamma, 20.0, rounds, tile=8)
+        np.fill_diagonal(q, 0)
+        dense = np.zeros_like(q)
+        for r in state.edges(0.01).collect():
+            dense[int(r.src[1:]), int(r.dst[1:])] = r.w * r.sign
+        assert np.allclose(losses, got, rtol=1e-9) and np.allclose(dense, np.where(np.abs(q) >= 0.01, q, 0), atol=1e-9)
+    monkeypatch.setattr(precision, "LOCAL_NODES", 20)
+    m = spark.createDataFrame([("x", f"n{i:02d}", t, float(x[t, i])) for i in range(21) for t in range(6)], "layer string, node string, t int, value double")
+    large = {(r.src, r.dst): r.w * r.sign for r in precision.lasso_graphs(m, 0.2, 0.01, None, None, 0.001, max_iter=1).edges.collect()}
+    monkeypatch.setattr(precision, "LOCAL_NODES", 21)
+    small = {(r.src, r.dst): r.w * r.sign for r in precision.lasso_graphs(m, 0.2, 0.01, None, None, 0.001, max_iter=1).edges.collect()}
+    assert large.keys() == small.keys() and all(abs(large[k] - small[k]) < 1e-9 for k in small)
+
+
 def test_sweep_equals_single_graphs(spark):
     m = random_layers(spark, 5)
     got = {(r.layer, r.param): r for r in metrics.sweep(m, "gaussian_abs", "sigma", [0.1, 0.3], threshold=0.05).collect()}
