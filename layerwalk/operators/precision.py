@@ -265,6 +265,27 @@ class Tiled:
     def loss(self) -> float:
         return float(self.strips.agg(F.sum("loss")).first()[0])
 
+    def least_squares(self) -> float:
+        """:func:`least_squares` of the present Omega: parts X Omega of the tiles are added up by strip, then divided by the diagonal."""
+        grid, n = self.grid, self.n
+        met = self.state.select("i", "j", "w").join(self.strips.select(F.col("s").alias("i"), "x"), "i").select("j", "i", "w", "x")
+
+        def multiply(rows: Iterator[list]) -> Iterator[list]:
+            for j, i, w, x in rows:
+                a = grid.read(w, i, j)
+                diagonal = np.diag(a).tobytes() if i == j else None
+                yield [[j], [i], [(np.frombuffer(x).reshape(n, -1) @ a).tobytes()], [diagonal]]
+
+        def add(key: tuple, group: Iterator[list]) -> Iterator[list]:
+            total, diagonal = 0.0, None
+            for _, _, part, own in group:
+                total = total + np.frombuffer(part).reshape(n, -1)
+                diagonal = diagonal if own is None else np.frombuffer(own).copy()
+            yield [[float(np.square(total / diagonal).sum())]]
+
+        parts = tiles.streamed(met, multiply, "j int, i int, part binary, diagonal binary")
+        return float(tiles.gathered(parts, ["j"], ["i"], add, "loss double").agg(F.sum("loss")).first()[0])
+
     def _met(self) -> DataFrame:
         """(i, j, w, u, xi, tau2, r): the tiles with what their gradient takes, r the residuals of strip j."""
         left = self.strips.select(F.col("s").alias("i"), F.col("x").alias("xi"))
@@ -336,10 +357,19 @@ def tiled(rows: DataFrame, lam: float = 0.01, gamma: float = 0.02, eta: float =
     return state, losses
 
 
+def _problems(packed: DataFrame, lams: list[float]) -> tuple[DataFrame, list[str]]:
+    """The rows of layers that a task solves, once a lambda as ``param`` and dealt to as many partitions as problems, and the larger layers."""
+    sizes = {r.layer: r["count"] for r in packed.groupBy("layer").count().collect()}
+    large = sorted(k for k, v in sizes.items() if v > LOCAL_NODES)
+    small = packed.filter(~F.col("layer").isin(large)) if large else packed
+    # the rows are few and the work is not, so their number is set, lest they be put together
+    return small.select("*", F.explode(F.array(*[F.lit(float(v)) for v in lams])).alias("param")).repartition(max(1, (len(sizes) - len(large)) * len(lams)), "layer", "param"), large
+
+
 def _solved(packed: DataFrame, lams: list[float], threshold: float, gamma: float, eta: float, max_iter: int, tile: int = tiles.TILE) -> DataFrame:
     """(layer, param, src, dst, w, sign) of each layer's precision graph at each lambda, and a row with src and dst '' and the final loss as w."""
     packed = packed.filter("z is not null").select("layer", "node", "z")
-    large = [r.layer for r in packed.groupBy("layer").count().filter(F.col("count") > LOCAL_NODES).collect()]
+    small, large = _problems(packed, lams)
     schema = "layer string, param double, src string, dst string, w double, sign int"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -352,9 +382,8 @@ def _solved(packed: DataFrame, lams: list[float], threshold: float, gamma: float
         out = pd.DataFrame({"src": [*names[i], ""], "dst": [*names[j], ""], "w": [*np.abs(q[i, j]), loss[-1]], "sign": [*np.sign(q[i, j]).astype(int), 0]})
         return out.assign(layer=pdf.layer.iloc[0], param=pdf.param.iloc[0])
 
-    small = packed.filter(~F.col("layer").isin(large)) if large else packed
-    out = small.select("*", F.explode(F.array(*[F.lit(float(v)) for v in lams])).alias("param")).groupBy("layer", "param").applyInPandas(run, schema)
-    for layer in sorted(large):
+    out = small.groupBy("layer", "param").applyInPandas(run, schema)
+    for layer in large:
         for lam in lams:
             state, losses = tiled(packed.filter(F.col("layer") == layer), lam, gamma, eta, max_iter, tile)
             at = [F.lit(layer).alias("layer"), F.lit(float(lam)).alias("param")]
@@ -387,6 +416,27 @@ def lambda_sweep(m: DataFrame, lams: list[float], threshold: float = 0.01, gamma
     return out.join(solved.filter("src = ''").select("layer", "param", F.col("w").alias("loss")), ["layer", "param"], "left")
 
 
+def least_squares(x: np.ndarray, omega: np.ndarray) -> float:
+    """Sum over j of the squared residual of x_j + X_-j Omega_-j,j / Omega_jj."""
+    return float(np.square(finite(np.asarray(x, float)) @ (omega / np.diag(omega))).sum())
+
+
+def least_squares_sweep(m: DataFrame, lams: list[float], gamma: float = 0.01, eta: float = 0.5, max_iter: int = 100) -> DataFrame:
+    """(layer, param, least_squares) of every layer's precision matrix at every lambda, without the penalty."""
+    packed = pack(m).filter("z is not null").select("layer", "node", "z")
+    small, large = _problems(packed, lams)
+    schema = "layer string, param double, least_squares double"
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.array(pdf.sort_values("node").z.tolist(), float).T
+        omega, _ = solve(x, pdf.param.iloc[0], gamma, eta, max_iter, return_omega=True)
+        return pd.DataFrame({"layer": [pdf.layer.iloc[0]], "param": [pdf.param.iloc[0]], "least_squares": [least_squares(x, omega)]})
+
+    out = small.groupBy("layer", "param").applyInPandas(run, schema)
+    far = [(layer, float(lam), tiled(packed.filter(F.col("layer") == layer), lam, gamma, eta, max_iter)[0].least_squares()) for layer in large for lam in lams]
+    return out.unionByName(m.sparkSession.createDataFrame(far, schema)) if far else out
+
+
 def top_variance(m: DataFrame, layer: str, n: int = 60) -> DataFrame:
     """(node, variance): the n nodes of a layer whose values vary most."""
     v = m.filter(F.col("layer") == layer).groupBy("node").agg(F.var_samp("value").alias("variance"))

@@ -241,6 +241,9 @@ def test_tiled_precision_equals_the_dense_solver(spark, monkeypatch):
         dense = np.zeros_like(q)
         for r in state.edges(0.01).collect():
             dense[int(r.src[1:]), int(r.dst[1:])] = r.w * r.sign
+        omega, _ = precision.solve(x, 0.2, gamma, 20.0, rounds, return_omega=True)
+        plain = sum(np.square(x[:, j] + np.delete(x, j, 1) @ np.delete(omega[:, j], j) / omega[j, j]).sum() for j in range(21))
+        assert np.isclose(precision.least_squares(x, omega), plain) and np.isclose(state.least_squares(), plain)
         assert np.allclose(losses, got, rtol=1e-9) and np.allclose(dense, np.where(np.abs(q) >= 0.01, q, 0), atol=1e-9)
     monkeypatch.setattr(precision, "LOCAL_NODES", 20)
     m = spark.createDataFrame([("x", f"n{i:02d}", t, float(x[t, i])) for i in range(21) for t in range(6)], "layer string, node string, t int, value double")
@@ -260,6 +263,8 @@ def test_sweep_equals_single_graphs(spark):
             assert np.allclose([x.mean_degree, x.isolated, x.sparsity, x.clustering], [r.mean_degree, r.isolated, r.sparsity, r.clustering])
     lam = precision.lambda_sweep(m, [0.2, 0.9], max_iter=10).collect()
     assert len(lam) == 6 and all(r.loss is not None for r in lam)
+    ls = precision.least_squares_sweep(m, [0.2, 0.9], max_iter=10).collect()
+    assert len(ls) == 6 and all(r.least_squares > 0 for r in ls)
 
 
 def test_labels_and_matrices(spark):
