@@ -490,6 +490,23 @@ def test_similarity_join_equals_all_pairs_and_makes_few(spark, block):
     assert sorted(map(tuple, one)) == sorted(map(tuple, two))
 
 
+def test_copies_of_a_series_are_compared_once(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(30, 5))
+    rows = [("a", f"n{i:02d}c{c:02d}", t, float(v)) for i, x in enumerate(base) for c in range(40 if i else 3) for t, v in enumerate(x)]
+    long_ = spark.createDataFrame(rows, "layer string, node string, t int, value double")
+    met = []
+    pairs = simjoin.candidate_pairs
+    monkeypatch.setattr(simjoin, "candidate_pairs", lambda *a: met.append(pairs(*a)) or met[-1])
+    one = layers.layer_graphs(long_, "exponential_abs", 0.02, basis=False, prune=True).edges
+    two = layers.layer_graphs(long_, "exponential_abs", 0.02, basis=False, prune=False).edges
+    one, two = (sorted((r.src, r.dst, round(r.w, 9), r.sign) for r in e.collect()) for e in (one, two))
+    assert one == two and len(one) > 29 * 40 * 39
+    assert met[0].count() <= 30 * 31 / 2
+    rows = simjoin.classes(layers.pack(long_), 16).select("node", "nodes").collect()  # long lists are cut, no name is lost
+    assert sorted(x for r in rows for x in r.nodes) == sorted({x for x, _, _, _ in one}) and 60 < len(rows) and all(r.node == min(r.nodes) for r in rows)
+
+
 def test_similarity_join_of_little(spark):
     for series in ({}, {"a": [1, 1, 1]}, {"a": [0, 1, 2]}, {"a": [0, 1, 2], "b": [2, 1, 0], "c": [5, 5, 5]}):
         m = long(spark, series) if series else spark.createDataFrame([], "layer string, node string, t int, value double")
