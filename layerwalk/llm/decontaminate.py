@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textbuf as tb
-from .common import group_bounds, materialize, table
+from .common import group_bounds, materialize, released, table
 
 SIZE, LEAST = 5, 0.75
 BITS, BLOCKS = 128, 8
@@ -197,7 +197,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                         out["start_word"].append(word)
                 yield pa.RecordBatch.from_arrays([pa.array(out[c], k) for c, k in (("doc_id", pa.int64()), ("item_id", pa.int64()), ("similarity", pa.float64()), ("start_word", pa.int64()))], names=["doc_id", "item_id", "similarity", "start_word"])
 
-        found = docs.mapInArrow(run, "doc_id long, item_id long, similarity double, start_word long")
+        found = docs.mapInArrow(released(run), "doc_id long, item_id long, similarity double, start_word long")
         if not last:  # only one part's index is held at a time
             found = materialize(found, "leaks")
             shared.destroy()

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textbuf as tb
-from .common import group_bounds, grouped, materialize, partitions, table, unused
+from .common import group_bounds, grouped, materialize, partitions, released, table, unused
 
 LEAST_CHARS, LEAST_DOCS = 40, 5
 #: Keys aimed at in a shard; bits a key at a level of the perfect hash, and levels.
@@ -211,7 +211,7 @@ def drop_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int
     for c in ("n_lines", "n_dropped"):
         docs = docs.drop(c)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
-    keys = texts.mapInArrow(lambda it: _keys(it, least_chars), "h1 long, h2 long, doc_id long")
+    keys = texts.mapInArrow(released(lambda it: _keys(it, least_chars)), "h1 long, h2 long, doc_id long")
     found = keys.groupBy("h1", "h2").agg(F.count_distinct("doc_id").alias("n"), F.max("doc_id").alias("keeper"))
     if docs.select("doc_id").schema[0].dataType.simpleString() not in ("bigint", "int"):
         raise TypeError("doc_id must be an integer")
@@ -224,11 +224,11 @@ def drop_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int
     fair = max(1, (loads.agg(F.sum("n")).first()[0] or 0) // (2 * parts))
     salts = {r.shard: -(-r.n // fair) for r in loads.filter(F.col("n") > fair).collect()}  # at most two a partition
     made = made.repartition(min(shards, parts), "shard").sortWithinPartitions("shard")
-    made = made.select("shard", "h1", "h2", "n", "keeper").mapInArrow(lambda it: _shards(it, salts), "shard long, salt long, body binary")
+    made = made.select("shard", "h1", "h2", "n", "keeper").mapInArrow(released(lambda it: _shards(it, salts)), "shard long, salt long, body binary")
     made = made.select("shard", "salt", F.lit(None).cast("long").alias("doc_id"), "body")
-    sent = texts.mapInArrow(lambda it: _packets(it, shards, salts, least_chars), "shard long, salt long, doc_id long, body binary")
+    sent = texts.mapInArrow(released(lambda it: _packets(it, shards, salts, least_chars)), "shard long, salt long, doc_id long, body binary")
     met = made.union(sent).repartition(parts, "shard", "salt").sortWithinPartitions("shard", "salt", F.asc_nulls_first("doc_id"))
-    lost = met.mapInArrow(lambda it: _probe(it, least_docs), "doc_id long, lost binary").distinct().groupBy("doc_id").agg(F.collect_list("lost").alias(gone))
+    lost = met.mapInArrow(released(lambda it: _probe(it, least_docs)), "doc_id long, lost binary").distinct().groupBy("doc_id").agg(F.collect_list("lost").alias(gone))
     out = docs.join(lost, "doc_id", "left").select(*docs.columns, gone)
     names, at = out.columns, out.columns.index("text")
 
@@ -251,7 +251,7 @@ def drop_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int
             yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int64()), pa.array(fewer, pa.int64())], names=[*names[:-1], "n_lines", "n_dropped"])
 
     schema = out.drop(gone).withColumn("n_lines", F.lit(0).cast("long")).withColumn("n_dropped", F.lit(0).cast("long")).schema
-    return out.mapInArrow(rewrite, schema)
+    return out.mapInArrow(released(rewrite), schema)
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

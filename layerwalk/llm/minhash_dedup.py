@@ -31,7 +31,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import textbuf as tb
-from .common import connected_components, drop_stage, group_bounds, grouped, materialize, partitions, table
+from .common import connected_components, drop_stage, group_bounds, grouped, materialize, partitions, released, table
 
 SIZE, PER_CENT = 5, 75
 PREFIX, WIDTH = 10, 192
@@ -226,7 +226,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null")
-    sets = materialize(docs.mapInArrow(_signatures, "doc_id long, n_shingles long, s1 long, s2 long, post array<long>, sig binary"), "sets")
+    sets = materialize(docs.mapInArrow(released(_signatures), "doc_id long, n_shingles long, s1 long, s2 long, post array<long>, sig binary"), "sets")
     one = sets.groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("post").alias("post"), F.first("sig").alias("sig"))
     reps = materialize(one.filter("n_shingles > 0"), "reps")
 
@@ -237,7 +237,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     posts = materialize(posts, "posts")
     dealt = posts.select("key", F.col("block").alias("bi"), F.col("block").alias("bj"), "rep").join(reps.select("rep", "sig"), "rep")
     dealt = dealt.select("key", "bi", "bj", "rep", "sig").repartition(partitions(spark), "key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "rep")
-    forest = materialize(dealt.mapInArrow(_candidates, "a long, b long").distinct(), "forest")
+    forest = materialize(dealt.mapInArrow(released(_candidates), "a long, b long").distinct(), "forest")
     # the first posting of a list stands for it: blocks of one group are joined through it
     long = posts.filter("nb > 1")
     hot = not long.isEmpty()
@@ -245,7 +245,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         first = long.groupBy("key").agg(F.min("rep").alias("a"))
         star = long.select("key", "rep").join(first, "key").filter("a <> rep").select("a", F.col("rep").alias("b")).distinct()
         star = star.join(reps.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), "a").join(reps.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b")
-        star = star.select("a", "b", "sa", "sb").mapInArrow(_alike, "a long, b long")
+        star = star.select("a", "b", "sa", "sb").mapInArrow(released(_alike), "a long, b long")
         forest = materialize(forest.union(star).distinct(), "forest")
     links = _confirmed(docs, forest)
     comps = connected_components(links.filter("linked").select("a", "b"), "minhash")
@@ -253,7 +253,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         members = long.select(F.col("key").alias("part"), "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("part", "rep", F.coalesce("component", "rep").alias("comp"))
         met = between(materialize(members, "members"), BLOCK).join(reps.select("rep", "sig"), "rep")
         met = met.select("part", "bi", "bj", "rep", "comp", "sig").repartition(partitions(spark), "part", "bi", "bj").sortWithinPartitions("part", "bi", "bj", "rep")
-        cross = materialize(met.mapInArrow(_cross, "a long, b long").distinct(), "forest")
+        cross = materialize(met.mapInArrow(released(_cross), "a long, b long").distinct(), "forest")
         links = materialize(links.union(_confirmed(docs, cross)), "confirmed")
         comps = connected_components(links.filter("linked").select("a", "b"), "minhash")
     if not links.filter("not linked").isEmpty():
@@ -281,7 +281,7 @@ def _confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """(a, b, linked) of candidate pairs, on the full sets of both whole texts."""
     pairs = pairs.join(docs.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
     pairs = pairs.join(docs.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-    links = pairs.select("a", "b", "ta", "tb").mapInArrow(_confirm, "a long, b long, linked boolean")
+    links = pairs.select("a", "b", "ta", "tb").mapInArrow(released(_confirm), "a long, b long, linked boolean")
     return materialize(links.groupBy("a", "b").agg(F.max("linked").alias("linked")), "confirmed")
 
 
@@ -292,7 +292,7 @@ def _missing_links(spark: SparkSession, docs: DataFrame, reps: DataFrame, links:
     met = between(materialize(both, "parts"), MEET).join(reps.select("rep", "sig"), "rep").join(docs.select(F.col("doc_id").alias("rep"), "text"), "rep")
     met = met.select("part", "bi", "bj", "rep", "comp", "sig", "text")
     met = met.repartition(partitions(spark), "part", "bi", "bj").sortWithinPartitions("part", "bi", "bj", "rep")
-    return materialize(met.mapInArrow(_join_parts, "a long, b long"), "joined")
+    return materialize(met.mapInArrow(released(_join_parts), "a long, b long"), "joined")
 
 
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textbuf as tb
-from .common import bounded_sample, table
+from .common import bounded_sample, released, table
 
 #: Bytes of a chunk and of a filter, and between the positions of a filter; sizes of a byte vector and of the layer.
 CHUNK, WIDTH, STRIDE, DIM, FILTERS = 512, 8, 4, 6, 40
@@ -179,7 +179,7 @@ def train(docs: DataFrame, labels: DataFrame, mod: int = 5, rest: int = 0) -> Ne
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net.params())], pa.binary())], names=["net"])
 
     # one task fits the bounded sample, so that a lost executor only repeats it
-    got = rows.repartition(1).mapInArrow(run, "net binary").first()
+    got = rows.repartition(1).mapInArrow(released(run), "net binary").first()
     return Net(*pickle.loads(got.net)) if got else fit([], np.zeros(0))
 
 
@@ -198,7 +198,7 @@ def score_texts(docs: DataFrame, net: Net) -> DataFrame:
                 got.append(score(net, data, off))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(got))], names=[*batch.schema.names, "score"])
 
-    return docs.mapInArrow(run, docs.withColumn("score", F.lit(0.0)).schema)
+    return docs.mapInArrow(released(run), docs.withColumn("score", F.lit(0.0)).schema)
 
 
 def op2_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:

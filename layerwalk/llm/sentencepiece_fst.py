@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from . import textbuf as tb
-from .common import table
+from .common import released, table
 
 BLANK = "▁"
 #: Paths kept by a worker, at most.
@@ -610,7 +610,7 @@ def encode_texts(docs: DataFrame, model: str | None = None) -> DataFrame:
     from pyspark.sql import types as T
 
     schema = T.StructType([*docs.schema.fields, T.StructField("piece_ids", T.ArrayType(T.IntegerType(), False)), T.StructField("decoded", T.StringType())])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(released(run), schema)
 
 
 def digest(docs: DataFrame, model: str | None = None) -> DataFrame:

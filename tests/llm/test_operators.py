@@ -903,3 +903,21 @@ def test_messages_on_trees_are_exact_and_skip_edges_pull_repeats_together():
     none = (np.zeros(0, int), np.zeros(0, int), np.zeros((2, 2)))
     with_edge, without = (pii_crf.beliefs(emit, [none, e]) for e in ((np.array([0]), np.array([4]), np.diag([1.4, 1.4])), none))
     assert with_edge[4, 1] > 0.7 and abs(without[4, 1] - 0.5) < 1e-9
+
+
+def test_workers_give_back_what_a_task_has_freed(spark):
+    """A worker lives on after SentencePiece; what it held there must not stand beside the next stage."""
+    from pathlib import Path
+
+    import pyarrow as pa
+
+    words = F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(300)), lambda i: F.concat(F.lit("w"), F.pmod(F.xxhash64("id", i), F.lit(1_000_000)))))
+    docs = spark.range(0, 24_000, 1, 4).select(F.col("id").alias("doc_id"), words.alias("text"))
+    assert sentencepiece_fst.digest(docs).filter("round_trip").count() == 24_000
+
+    def held(batches):
+        for b in batches:
+            now = Path("/proc/self/smaps_rollup").read_text()
+            yield pa.RecordBatch.from_arrays([pa.array([sum(map(int, re.findall(r"\nPss_Anon:\s+(\d+)", now))) // 1024] * b.num_rows)], names=["mb"])
+
+    assert spark.range(0, 4, 1, 4).mapInArrow(held, "mb long").agg(F.max("mb")).first()[0] < 200
