@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -16,6 +17,8 @@ from . import krylov
 
 #: Nodes of a graph up to which its matrix is dense in one task; rows that k-means draws its first centres from.
 DENSE_NODES, SEEDS = 2000, 10_000
+#: Large graphs whose jobs run at once: a round of one is many short jobs that leave most cores idle.
+GRAPHS_AT_ONCE = 4
 
 
 def from_matrix(spark: SparkSession, matrix: object, names: list[str] | None = None, graph: str = "g") -> DataFrame:
@@ -172,6 +175,12 @@ def _sized(edges: DataFrame, strategy: str) -> tuple[DataFrame, DataFrame, list[
     return edges.filter(~F.col("graph").isin(large)) if large else edges, edges, large
 
 
+def _of_each(large: list[str], one: Callable) -> list:
+    """``one(graph)`` of every large graph, in order; their jobs share the cluster."""
+    with ThreadPoolExecutor(GRAPHS_AT_ONCE) as pool:
+        return list(pool.map(one, large))
+
+
 def spectral(edges: DataFrame, k: int, seed: int = 42, n_init: int = 20, strategy: str = "auto") -> DataFrame:
     """(graph, node, cluster, strength) of symmetric non-negative edges; a graph needs at least k >= 2 nodes.
 
@@ -192,7 +201,8 @@ def spectral(edges: DataFrame, k: int, seed: int = 42, n_init: int = 20, strateg
     schema = "graph string, node string, cluster int, strength double"
     small, every, large = _sized(edges, strategy)
     out = small.groupBy("graph").applyInPandas(run, schema)
-    for graph in large:
+
+    def clustered(graph: str) -> DataFrame:
         e, d = _normalised(every.filter(F.col("graph") == graph))
         if d.count() < k:
             raise ValueError(f"{d.count()} nodes are fewer than {k} clusters")
@@ -201,6 +211,9 @@ def spectral(edges: DataFrame, k: int, seed: int = 42, n_init: int = 20, strateg
         found = materialize(kmeans_rows(rows, k, seed, n_init).join(d, "node").select(F.lit(graph).alias("graph"), "node", "cluster", "strength"), "clusters")
         for used in (e, d, vectors, rows):
             drop(used)
+        return found
+
+    for found in _of_each(large, clustered):
         out = out.union(found)
     return out
 
@@ -221,16 +234,18 @@ def eigengap(edges: DataFrame, k_max: int = 12, strategy: str = "auto") -> DataF
     schema = "graph string, k int, eigenvalues array<double>"
     small, every, large = _sized(edges, strategy)
     out = small.groupBy("graph").applyInPandas(run, schema)
-    rows = []
-    for graph in large:
+
+    def values(graph: str) -> tuple:
         e, d = _normalised(every.filter(F.col("graph") == graph))
         n = d.count()
         if n < 3:
             raise ValueError("a graph needs at least three nodes")
         val = 1 - krylov.leading(e, d.select("node"), max(2, min(k_max, n - 1)) + 1)[0]
-        rows.append((graph, gaps(val), [float(v) for v in val]))
         drop(e)
         drop(d)
+        return graph, gaps(val), [float(v) for v in val]
+
+    rows = _of_each(large, values)
     return out.union(edges.sparkSession.createDataFrame(rows, schema)) if rows else out
 
 

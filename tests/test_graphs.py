@@ -463,6 +463,24 @@ def test_spectral_clusters_by_joins_equal_the_dense_ones(spark):
         clusters.spectral(edges.filter("graph = 'two' and src < 'n01' and dst < 'n02'"), 3, strategy="distributed")
 
 
+def test_large_graphs_take_their_rounds_side_by_side(spark, monkeypatch):
+    import threading
+
+    rng = np.random.default_rng(5)
+    rows = []
+    for g in ("one", "two"):
+        for i in range(12):
+            for j in range(i):
+                w = float(rng.random() * (1.0 if i // 6 == j // 6 else 0.02))
+                rows += [(g, f"n{i:02d}", f"n{j:02d}", w), (g, f"n{j:02d}", f"n{i:02d}", w)]
+    edges = spark.createDataFrame(rows, "graph string, src string, dst string, w double")
+    both, leading = threading.Barrier(2, timeout=120), krylov.leading
+    monkeypatch.setattr(krylov, "leading", lambda *a: both.wait() >= 0 and leading(*a))  # one alone would wait in vain
+    one, two = (clusters.spectral(edges, 2, strategy=s).collect() for s in ("local", "distributed"))
+    assert _as_partition(one) == _as_partition(two)
+    assert sorted((r.graph, r.node, round(r.strength, 9)) for r in one) == sorted((r.graph, r.node, round(r.strength, 9)) for r in two)
+
+
 def test_kmeans_rows_equal_kmeans(spark):
     rng = np.random.default_rng(13)
     x = np.concatenate([rng.normal(c, 0.3, (20, 3)) for c in (-2, 0, 2)])
