@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from layerwalk.functions import kernels as K
 from layerwalk.functions import names as N
 from layerwalk.operators import clusters, diffusion, krylov, layers, manifest, metrics, multilayer, plotdata, precision, projection, selection, simjoin, tiles, walkers, walks
-from layerwalk.sources import tables
+from layerwalk.sources import star, tables
 
 SERIES = {"g1": [0, 1, 2, 3], "g2": [1, 1, 1, 1], "g3": [2, 0, -1, -2]}
 
@@ -525,6 +525,38 @@ def test_copies_of_a_series_are_compared_once(spark, monkeypatch):
     assert sorted(x for r in rows for x in r.nodes) == sorted({x for x, _, _, _ in one}) and 60 < len(rows) and all(r.node == min(r.nodes) for r in rows)
 
 
+def test_edges_of_copies_come_in_runs(spark):
+    rng = np.random.default_rng(5)
+    rows = [("a", f"n{i:02d}c{c:02d}", t, float(v)) for i, x in enumerate(rng.normal(size=(30, 5))) for c in range(40) for t, v in enumerate(x)]
+    long_ = spark.createDataFrame(rows, "layer string, node string, t int, value double")
+    got = layers.layer_graphs(long_, "exponential_abs", 0.02, basis=False, prune=True).edges.collect()
+    for column in ("src", "w"):  # what a Parquet file holds in few bytes
+        assert 1 + sum(a[column] != b[column] for a, b in zip(got, got[1:])) <= len(got) / 39
+    one, two = (sorted(map(tuple, layers.layer_graphs(long_, "exponential_abs", 0.02, basis=False, prune=p, digits=6).edges.collect())) for p in (True, False))
+    assert one == two == sorted((r.layer, r.src, r.dst, round(r.w, 6), r.sign) for r in got) and len(one) >= 30 * 40 * 39
+
+
+def test_part_series_of_odd_line_items(spark, tmp_path):
+    items = [(1, "A", 2.0, 1995), (1, "A", 3.0, 1995), (1, "A", 4.0, 1999), (1, "R", None, 1997), (2, "A", 1.0, 1996), (2, "A", 9.0, 1994), (2, "A", 9.0, 2000), (None, "A", 5.0, 1999), (3, None, 5.0, 1999), (4, "N", 7.0, None)]
+    df = spark.createDataFrame(items, "l_partkey long, l_returnflag string, l_quantity double, y int").selectExpr("l_partkey", "l_returnflag", "l_quantity", "make_timestamp(y, 12, 31, 23, 59, 59) AS l_shipdate")
+    df.write.parquet(f"{tmp_path}/lineitem.parquet")
+    series = star.part_series(spark, str(tmp_path))
+    assert {(r.layer, r.node): r.v for r in series.collect()} == {("A", "1"): [5.0, 0.0, 0.0, 4.0], ("A", "2"): [0.0, 1.0, 0.0, 0.0], ("R", "1"): [0.0] * 4}  # 1998 has no line item
+    assert layers.pack(series)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 0  # it was shuffled once, before it was written
+    df.filter("false").write.parquet(f"{tmp_path}/none/lineitem.parquet")
+    assert star.part_series(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_tasks_of_a_similarity_join_grow_with_its_names(spark, monkeypatch):
+    rows = [("a", f"n{i}c{c}", t, float((i + t * t) % 7)) for i in range(7) for c in range(60) for t in range(4)]
+    packed = layers.pack(spark.createDataFrame(rows, "layer string, node string, t int, value double"))
+    monkeypatch.setattr(simjoin, "TASK", 50)
+    one = layers.correlations_above(packed, 0.9)
+    assert one.rdd.getNumPartitions() >= 8 > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    every = layers.correlations(packed).filter("abs(c) >= 0.9")
+    assert one.select("src", "dst").exceptAll(every.select("src", "dst")).isEmpty() and one.count() == every.count() > 7 * 60 * 59 / 2 - 1
+
+
 def test_similarity_join_of_little(spark):
     for series in ({}, {"a": [1, 1, 1]}, {"a": [0, 1, 2]}, {"a": [0, 1, 2], "b": [2, 1, 0], "c": [5, 5, 5]}):
         m = long(spark, series) if series else spark.createDataFrame([], "layer string, node string, t int, value double")
